@@ -70,8 +70,8 @@ def test_decontamination_equals_brute_force(spark, block):
     rng = random.Random(4)
     say = lambda n: " ".join(rng.choice(["A", "b", "c,", "Dé", "e1"]) for _ in range(n))
     items = [(i, say(rng.choice([0, 2, 4, 9, 10, 11, 25]))) for i in range(14)] + [(3, say(12)), (None, say(10)), (50, None)]
-    docs = [(i, say(rng.randrange(60)) + " " + rng.choice(items)[1] + " " + say(9) if i % 3 else say(30)) for i in range(60) if True]
-    docs = [(i, t.replace("None", "")) for i, t in docs] + [(100, None), (101, ""), (1, docs[1][1])]
+    docs = [(i, say(rng.randrange(60)) + " " + (rng.choice(items)[1] or "") + " " + say(9) if i % 3 else say(30)) for i in range(60)]
+    docs = docs + [(100, None), (101, ""), (1, docs[1][1])]
     rows = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "7 as n_hit"), spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()
     got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows)
     assert got == sorted((i, *naive_decontam(t, items)) for i, t in docs)
@@ -108,14 +108,14 @@ def test_toxicity_learns_words_that_only_toxic_text_has(spark):
     data = [row(i) for i in range(1200)]
     train = spark.createDataFrame(data[:800] + [(9, None, 1), (10, "x", None)], "doc_id long, text string, toxic int")
     test = spark.createDataFrame(data[800:], "doc_id long, text string, toxic int")
-    model = toxicity.fit(train)
+    model = toxicity.fit(train.drop('toxic'), train.select('doc_id', 'toxic'))
     rows = toxicity.score(test, model).collect()
     assert sum(r.predicted == r.toxic for r in rows) >= 0.95 * len(rows)
     odd = toxicity.score(spark.createDataFrame(ODD, DOCS).selectExpr("*", "0 as score"), model).collect()
     assert len(odd) == len(ODD) and all(r.predicted == 0 for r in odd)
-    alone = toxicity.fit(train.where("toxic = 0"))
+    alone = toxicity.fit(train.drop("toxic"), train.select("doc_id", "toxic").where("toxic = 0"))
     assert {r.predicted for r in toxicity.score(test, alone).collect()} == {0}
-    assert toxicity.fit(train.limit(0)).score("a b") == 0.5
+    assert toxicity.fit(train.drop("toxic"), train.select("doc_id", "toxic").limit(0)).score("a b") == 0.5
 
 
 def test_language_held_out(spark):

@@ -72,18 +72,20 @@ def extend(df: DataFrame, text: str, fields: str, make: Callable[[pa.RecordBatch
     new = [x.split()[0].strip("`") for x in fields.split(", ")]
     df = df.drop(*(x for x in new if x != text))
     kept = [x for x in (df.columns if keep is None else keep) if x not in new]
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*map(quoted, kept)).schema]
+    # mapInArrow can't name a column with a dot or backtick, so such columns travel under another name.
+    safe = [f"__kept_{i}" if set(".`") & set(x) else x for i, x in enumerate(kept)]
+    types = [f"`{a}` {f.dataType.simpleString()}" for a, f in zip(safe, df.select(*map(quoted, kept)).schema, strict=True)]
 
     def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *make(batch)], [*kept, *new])
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *make(batch)], [*safe, *new])
 
-    sent = df.select(*map(quoted, kept), *([] if text in kept else [quoted(text)]))
-    return arrow_pass(sent, ", ".join([*types, fields]), chunk, text)
+    sent = df.select(*(quoted(x).alias(a) for a, x in zip(safe, kept, strict=True)), *([] if text in kept else [quoted(text)]))
+    return arrow_pass(sent, ", ".join([*types, fields]), chunk, text).toDF(*kept, *new)
 
 
 def quoted(name: str) -> Column:
     """The column of exactly this name, dots and all."""
-    return F.col(f"`{name}`")
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

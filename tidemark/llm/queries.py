@@ -21,9 +21,8 @@ def held_out(doc_id) -> F.Column:
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     """Fitted on labelled rows outside the held-out fold."""
-    labels = table(spark, sf_dir, "labels").where("toxic is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(known, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    return toxicity.fit(docs.where(~held_out(F.col("doc_id"))), labels)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,17 +160,18 @@ class Model:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.features(text), self.weights)))))))
 
 
-def fit(labelled: DataFrame, most: int = 3000, text: str = "text", label: str = "toxic") -> Model:
-    """A model from at most `most` labelled rows of each class, chosen by the hash of their text; a quarter of them
-    calibrates and trains no dictionary."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).withColumn("h", F.xxhash64("text", F.lit(5)))
-    got = {1: [], 0: []}
-    for y in got:
-        for r in rows.where(F.col("label") == y).select("text", "h").distinct().orderBy("h", "text").limit(most).collect():
-            got[y].append((r.h, r.text))
-    train = {y: [t for h, t in x if h % 4] for y, x in got.items()}
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> Model:
+    """A model from at most `most` labelled rows of each class, chosen by the hash of their id before any text is read; a
+    quarter of them calibrates and trains no dictionary. labels: id_col and label; an id with both labels counts as 1."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    picks = [known.where(F.col("label") == y).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(most) for y in (0, 1)]
+    sample = picks[0].unionByName(picks[1])
+    # At most 2 * most ids are broadcast.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(sample), "id")
+    got = sorted({(r.h, r.text, r.label) for r in rows.select("text", "label", F.xxhash64("text", F.lit(5)).alias("h")).toLocalIterator()})
+    train = {y: [t for h, t, own in got if h % 4 and own == y] for y in (0, 1)}
     model = Model(train[1], train[0])
-    held = [(t, y) for y, x in got.items() for h, t in x if not h % 4]
+    held = [(t, y) for h, t, y in got if not h % 4]
     model.calibrate([t for t, _ in held], [y for _, y in held])
     return model
 
