@@ -137,6 +137,8 @@ def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     # 1. Phrases at two places.
     places = base.select("key", F.posexplode("phrases").alias("i", "h"))
     twice = places.groupBy("h").agg(F.min(F.xxhash64("key", "i")).alias("a"), F.max(F.xxhash64("key", "i")).alias("b")).where("a <> b").select("h")
+    # Written first, so that Spark can split a phrase that very many texts share in the join below.
+    twice = cut(twice, "substring-twice")
     candidates = cut(places.select("key", "h").join(twice, "h").groupBy("key").agg(F.collect_set("h").alias("hs")), "substring-candidates")
     # 2. Shards of different texts with candidates.
     wanted = keyed.select("key", "text")
