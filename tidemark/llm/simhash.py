@@ -139,4 +139,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     of_root = found.join(fps, found.node == fps.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = found.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
     by_fp = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return base.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    # Written first, so that Spark can split the copies of one text in the join below.
+    return base.join(cut(by_fp, "simhash-by-fp"), "fp").select(id_col, "fp", "component_id")
