@@ -23,7 +23,7 @@ from tidemark.llm.common import cut, quoted, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
-MOST, SEED, BUCKET = 3, 17, 2048
+MOST, SEED, BUCKET = 3, 17, 256
 #: The dynamic program covers a remaining budget of up to so many words.
 PROGRAM = 20_000
 #: A plan of at most so many rows (source, length) is broadcast.
