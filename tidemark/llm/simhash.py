@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACED, Words, cut, extend
+from tidemark.llm.common import SPACED, Words, cut, extend, small
 from tidemark.llm.components import components
 
 SHINGLE, BITS, SEED = 3, 3, 42
 BUCKET = 1024
+#: The keys of at most so many larger buckets are broadcast to read their members again; beyond that a join does it.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
@@ -121,7 +123,8 @@ def links(fps: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
         edges = counts.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
         most = bucket if half > 8 else 1 << 62
         # A row of more than two: only these are read again.
-        members = variants.join(counts.where("n > 2").select("key", "n"), "key")
+        crowded = counts.where("n > 2").select("key", "n")
+        members = variants.join(F.broadcast(crowded) if small(crowded, BROADCAST_KEYS) else crowded, "key")
         close = members.where(F.col("n") <= most).select("key", "fp").repartition("key").sortWithinPartitions("key")
         edges = edges.unionByName(close.mapInArrow(lambda batches, bits=bits: _linked(batches, bits), "a long, b long"))
         found = edges if found is None else found.unionByName(edges)
