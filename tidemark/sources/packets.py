@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.framing import joined
 from tidemark.functions.scalars import unpack_stamp
 from tidemark.operators.ordered import Log
 
@@ -36,7 +37,7 @@ def assemble(rows: DataFrame) -> DataFrame:
     order = Log(("seq", "pid"), ("i",))
     numbered = rows.where("payload is not null").withColumn("run", F.coalesce(F.sum(F.col("starts").cast("int")).over(order.so_far), F.lit(0)))
     parts = F.array_sort(F.collect_list(F.struct("i", "payload")))
-    return numbered.groupBy("seq", "pid", "run").agg(F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["payload"])).alias("data"))
+    return numbered.groupBy("seq", "pid", "run").agg(joined(F.transform(parts, lambda x: x["payload"])).alias("data"))
 
 
 def pes(units: DataFrame) -> DataFrame:
