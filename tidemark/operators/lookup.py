@@ -20,7 +20,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, righ
     by = Window.partitionBy(*keys).orderBy("__at", "__right")
     found = F.last("__got", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
     if clamp:
-        found = F.coalesce(found, F.first("__got", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+        # What a row lacks is the first one of all: a frame over the whole key is read once, one to its end once a row.
+        found = F.coalesce(found, F.first("__got", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     out = both.withColumn("__found", found).where("__right = 0")
     return out.select(*left.columns, *(F.col(f"__found.{c}").alias(c) for c in take))
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.framing import big_endian, joined
 from tidemark.functions.scalars import pack_clock
+from tidemark.operators.lookup import as_of
 from tidemark.operators.ordered import Log
+from tidemark.operators.selection import merge_streams
 
 #: Bytes of a packet after its header; flags of an adaptation field.
 ROOM = 184
@@ -49,3 +51,11 @@ def packetize(units: DataFrame, log: Log) -> DataFrame:
 
     rows = rows.withColumn("packets", F.transform(F.sequence(F.lit(0), F.col("__n") - 1), one))
     return rows.withColumn("body", joined(F.col("packets"))).drop("data", "__flags", "__clock", "__head", "__n", "__cc")
+
+
+def interleave(video: DataFrame, others: list[DataFrame], keys: list[str], at: str, order: list[str]) -> DataFrame:
+    """Video and other streams as one, in order of time: rank (0: video), place, and the video time (bucket) that each row
+    goes with, the latest at or before it. Rows before the first video go with that one; without video, bucket is null."""
+    times = video.select(*keys, F.col(at).alias("bucket")).distinct()
+    routed = [as_of(x, times, keys, at, "bucket", ["bucket"], clamp=True) for x in others]
+    return merge_streams([(x, i) for i, x in enumerate([video.withColumn("bucket", F.col(at)), *routed])], keys, at, order)

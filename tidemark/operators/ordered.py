@@ -148,3 +148,21 @@ def changes(df: DataFrame, log: Log, value: Column, name: str, modulo: int) -> D
     was = F.lag(value).over(log.window)
     marked = df.withColumn("__new", F.coalesce((was != value).cast("int"), F.lit(0)))
     return marked.withColumn(name, F.pmod(F.sum("__new").over(log.so_far), F.lit(modulo)).cast("bigint")).drop("__new")
+
+
+def replay(df: DataFrame, log: Log, at: str, start: str, seek: Column, pause: Column, swap: Column) -> DataFrame:
+    """A session's log under its commands: epoch, kept, shown, swapped.
+
+    seek (a target or null) begins an epoch on its own row; rows that start before its target are not kept. pause (true:
+    pause, false: resume, null: neither) holds rows from its own on until the next resume, whose `at` is when they are
+    shown (null: never). swap (a value or null) takes effect on the row after it.
+    """
+    # Backwards, as a frame that only grows is read once.
+    after = Window.partitionBy(*log.keys).orderBy(*(F.desc(x) for x in log.order)).rowsBetween(Window.unboundedPreceding, -1)
+    target = F.last(seek, ignorenulls=True).over(log.so_far)
+    held = F.coalesce(F.last(pause, ignorenulls=True).over(log.so_far), F.lit(False))
+    return df.withColumns({
+        "epoch": F.count(seek).over(log.so_far), "kept": F.coalesce(F.col(start) >= target, F.lit(True)),
+        "shown": F.when(held, F.last(F.when(~pause, F.col(at)), ignorenulls=True).over(after)).otherwise(F.col(at)),
+        "swapped": F.last(swap, ignorenulls=True).over(log.before),
+    })

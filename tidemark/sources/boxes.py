@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from tidemark.functions.codec import audio_config, avc_config
 from tidemark.sources.packets import number
 
-#: Boxes that hold boxes.
-HOLDERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"mvex", b"moof", b"traf"}
+#: Sample entries of pictures and audio; boxes that hold boxes, and the bytes before the first of these.
+PICTURES, AUDIO = (b"avc1", b"avc3", b"hvc1", b"hev1"), (b"mp4a", b"enca")
+HOLDERS = dict.fromkeys((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"mvex", b"moof", b"traf"), 0) | {b"stsd": 8} | dict.fromkeys(PICTURES, 78) | dict.fromkeys(AUDIO, 28)
+ENTRIES = "moov.trak.mdia.minf.stbl.stsd"
 
 
 @pandas_udf(ArrayType(StructType([StructField("path", StringType()), *(StructField(x, IntegerType()) for x in ("parent", "at", "payload", "stop"))])))
@@ -32,7 +35,7 @@ def walk(body: pd.Series) -> pd.Series:
             name = path + kind.decode("latin-1")
             found.append({"path": name, "parent": parent, "at": low, "payload": low + head, "stop": stop})
             if kind in HOLDERS:
-                inside(data, low + head, stop, f"{name}.", low, found)
+                inside(data, low + head + HOLDERS[kind], stop, f"{name}.", low, found)
             low = stop
 
     def one(data: bytes | None) -> list[dict] | None:
@@ -66,6 +69,35 @@ def tracks(files: DataFrame) -> DataFrame:
     return holders.join(own, ["seq", "trak"]).join(media, ["seq", "media"]).select("seq", "track_id", "kind", "timescale")
 
 
+def codecs(files: DataFrame) -> DataFrame:
+    """(seq, track_id, kind, fourcc, width, height, avc, audio) of each track by its first sample entry.
+
+    avc and audio are the structs of its configuration; their fields are null where the entry has none of that kind.
+    Boxes find their track by carrying its place forward in the order of the file.
+    """
+    entries = [f"{ENTRIES}.{x.decode()}" for x in (*PICTURES, *AUDIO)]
+    configs = [f"{e}.{c}" for e in entries for c in ("avcC", "esds")]
+    rows = boxes(files, "moov.trak", "moov.trak.tkhd", "moov.trak.mdia.hdlr", ENTRIES, *entries, *configs)
+    path, at, d = F.col("path"), F.col("at"), F.col("data")
+    # Holders are only placed; of the table of entries the first one's head is read.
+    rows = rows.withColumn("data", F.when(path == ENTRIES, F.substring(d, 1, 96)).when(~path.isin("moov.trak", *entries), d))
+    in_file = Window.partitionBy("seq").orderBy("at")
+    rows = rows.withColumn("trak", F.last(F.when(path == "moov.trak", at), ignorenulls=True).over(in_file))
+    found = rows.groupBy("seq", "trak").agg(
+        F.max(F.when(path == "moov.trak.tkhd", F.when(number(d, 0, 1) == 1, number(d, 20, 4)).otherwise(number(d, 12, 4)))).alias("track_id"),
+        F.max(F.when(path == "moov.trak.mdia.hdlr", F.substring(d, 9, 4).cast("string"))).alias("kind"),
+        F.max(F.when(path == ENTRIES, d)).alias("table"), F.min(F.when(path.isin(*entries), at)).alias("entry"),
+        F.min(F.when(path.isin(*configs), F.struct("at", "parent", "path", "data"))).alias("own"),
+    )
+    table, whole = F.col("table"), number(F.col("table"), 4, 4) > 0
+    config = lambda name: F.when((F.col("own.parent") == F.col("entry")) & F.col("own.path").endswith(name), F.col("own.data"))
+    picture = whole & (F.col("kind") == "vide")
+    return found.select(
+        "seq", "track_id", "kind", F.when(whole, F.substring(table, 13, 4).cast("string")).alias("fourcc"), F.when(picture, number(table, 40, 2)).alias("width"),
+        F.when(picture, number(table, 42, 2)).alias("height"), avc_config(config("avcC")).alias("avc"), audio_config(config("esds")).alias("audio"),
+    )
+
+
 def _field(data: Column, flags: Column, start: int | Column, bits: list[int], which: int, size: int = 4, sizes: dict[int, int] | None = None) -> Column:
     """The field of flag `which`, after those of the flags before it in bits; null if its flag is not set."""
     at = F.lit(start) if isinstance(start, int) else start
