@@ -45,9 +45,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     rows = sizes.withColumns({"weight": w, "name_order": F.row_number().over(by_name)}).withColumn("ratio", F.col("source_size") / F.col("weight"))
     by_ratio = Window.orderBy("ratio", "name_order")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(0, Window.unboundedFollowing)
     left = F.sum("source_size").over(Window.partitionBy()) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    rows = rows.withColumn("left", left).withColumn("rest", F.sum("weight").over(after))
+    # What is left of the weights from here on, without a frame that is summed anew for each row.
+    rest = F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0))
+    rows = rows.withColumn("left", left).withColumn("rest", rest)
     rows = rows.withColumn("capped", (F.col("weight") * F.col("left") / F.col("rest") > most * F.col("source_size")).cast("int"))
     # Once one isn't capped, none after it is.
     first = F.min(F.when(F.col("capped") == 0, F.struct("ratio", "name_order", "left", "rest"))).over(Window.partitionBy())
