@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, mixing, pii, simhash, toxicity
+from tidemark.llm import decontam, mixing, nearcopies, pii, toxicity
 from tidemark.llm.common import cut
 from tidemark.llm.queries import table, toxicity_model
 
@@ -19,12 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one whose id names the group. Rows without an id stay."""
-    found = simhash.near_duplicates(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(found, "doc_id", "left_semi")
-    # Rows that share an id: the least text by hash.
+    """One document of each group of near copies (see nearcopies): the least id of the group. Rows without an id stay."""
+    found = cut(nearcopies.near_copies(docs.select(*COLUMNS)), "pipeline-near-copies")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+    named = found.where("doc_id is not null").join(least, ["component", "doc_id"], "left_semi")
     one = named.select(*COLUMNS).dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    return one.unionByName(found.where("doc_id is null").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

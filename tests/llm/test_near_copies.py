@@ -1,0 +1,62 @@
+"""Near copies of the corpus pipeline against brute force."""
+
+import random
+import re
+
+import pytest
+
+from tidemark.llm import nearcopies
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def naive_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def naive_parts(texts):
+    sets, part = [naive_set(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or 5 * len(x & sets[j]) >= 4 * len(x | sets[j]) > 0:
+                a, b = part[i], part[j]
+                part = [min(a, b) if p in (a, b) else p for p in part]
+    return part
+
+
+def near_rows(seed=5, groups=9, own=12):
+    """Copies with a few words changed, so that many pairs lie near the limit; texts with a common passage; short and empty ones."""
+    rng = random.Random(seed)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, texts = say(60), [None, "", " \n", "One two", "one TWO", "one two three", "a b c d e", "a b c d e f"]
+    for _ in range(groups):
+        base = say(rng.choice([30, 120, 400]))
+        for _ in range(own):
+            w = list(base)
+            for _ in range(rng.randrange(max(2, len(w) // 25))):
+                w[rng.randrange(len(w))] = rng.choice(say(1))
+            texts.append(" ".join(w[rng.randrange(3) :]))
+    texts += [" ".join(passage + say(rng.randrange(40))) for _ in range(40)]
+    rng.shuffle(texts)
+    return [(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("sample", [nearcopies.SAMPLE, 1])
+def test_near_copies_equal_brute_force(spark, monkeypatch, sample):
+    monkeypatch.setattr(nearcopies, "SAMPLE", sample)
+    rows = near_rows()
+    part = naive_parts([r[1] for r in rows])
+    got = {r.doc_id: r.component for r in nearcopies.near_copies(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == len(rows) and len(set(part)) < len(rows) - 60
+    first = {}
+    assert all(first.setdefault(got[i], p) == p for i, p in enumerate(part)) and len(set(got.values())) == len(set(part))
+    assert nearcopies.near_copies(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rows = near_rows(7, 4, 6)
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(naive_parts([r[1] for r in rows])))
