@@ -133,3 +133,14 @@ def test_language_backs_off_and_takes_odd_rows(spark):
         assert model.predict(nothing) == ("und", 0.0)
     assert {r.lang_pred for r in langid.predict(spark.createDataFrame(ODD, DOCS), model).collect()} <= {"en", "de", "und"}
     assert langid.fit(spark.createDataFrame([], "text string, lang string")).predict("a") == ("und", 0.0)
+
+
+def test_language_reads_long_words_whole(spark):
+    head, tail = "ab" * 120, "ij" * 600
+    data = [("ab ab ab cab", "en"), ("ij ij ij kij", "de")]
+    model = langid.fit(spark.createDataFrame(data, "text string, lang string"))
+    assert model.predict(head + tail)[0] == "de" and model.predict(tail + head)[0] == "de"
+    assert not any(len(w) > langid.KEPT_LENGTH for w in model._kept)
+    long = spark.createDataFrame([("xy" * 150 + "qz" * 400, "en"), ("xyxy", "de")], "text string, lang string")
+    padded = ["^" + "xy" * 150 + "qz" * 400 + "$", "^xyxy$"]
+    assert set(langid.fit(long).grams) == {w[i : i + n] for w in padded for n in range(1, 5) for i in range(len(w) - n + 1)}

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, extend
 
 WORDS, GRAMS, LONGEST_GRAM = 20_000, 8_000, 4
-KEPT = 500_000
+#: So many scored words of at most so many letters are kept in memory; longer ones are scored anew each time.
+KEPT, KEPT_LENGTH = 500_000, 200
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = r"[^\p{L}\p{M}]+"
 
@@ -62,7 +63,7 @@ class Model:
             return found
         found = self._kept.get(word)
         if found is None:
-            found, at, padded, parts = np.zeros(len(self.langs)), 0, f"^{word[:200]}$", 0
+            found, at, padded, parts = np.zeros(len(self.langs)), 0, f"^{word}$", 0
             while at < len(padded):
                 for n in range(min(LONGEST_GRAM, len(padded) - at), 0, -1):
                     if (x := self.grams.get(padded[at : at + n])) is not None:
@@ -72,9 +73,10 @@ class Model:
                     n, found = 1, found + self.unseen[0]
                 at, parts = at + max(1, n - 1), parts + 1
             found = found / parts
-            if len(self._kept) >= KEPT:
-                self._kept.clear()
-            self._kept[word] = found
+            if len(word) <= KEPT_LENGTH:
+                if len(self._kept) >= KEPT:
+                    self._kept.clear()
+                self._kept[word] = found
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -106,11 +108,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words: int
     top: dict[str, list[tuple[str, int]]] = {}
     for r in best(counts, words).collect():
         top.setdefault(r["key"], []).append((r["lang"], r["count"]))
-    padded = F.concat(F.lit("^"), F.substring("key", 1, 200), F.lit("$"))
+    padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
     pieces = {}
     for n in range(1, LONGEST_GRAM + 1):
         places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1)))
-        g = counts.select("lang", "count", F.explode(F.transform(places, lambda i, n=n: F.substr(padded, i, F.lit(n)))).alias("key")).where(F.length("key") == n)
+        # One row a place, then its piece: a filter on pieces cut inside a transform loses some of them on Spark 4.1.2.
+        g = counts.where(F.length(padded) >= n).select("lang", "count", padded.alias("padded"), F.explode(places).alias("at"))
+        g = g.select("lang", "count", F.substr("padded", "at", F.lit(n)).alias("key"))
         for r in best(g.groupBy("lang", "key").agg(F.sum("count").alias("count")), grams).collect():
             pieces.setdefault(r["key"], []).append((r["lang"], r["count"]))
     return Model(top, pieces)
