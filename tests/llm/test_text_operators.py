@@ -144,3 +144,12 @@ def test_language_reads_long_words_whole(spark):
     long = spark.createDataFrame([("xy" * 150 + "qz" * 400, "en"), ("xyxy", "de")], "text string, lang string")
     padded = ["^" + "xy" * 150 + "qz" * 400 + "$", "^xyxy$"]
     assert set(langid.fit(long).grams) == {w[i : i + n] for w in padded for n in range(1, 5) for i in range(len(w) - n + 1)}
+
+
+def test_ibans_before_and_behind_other_tokens():
+    spaced, plain = "ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332"
+    for text, want in [
+        (f"{spaced} USD", [spaced]), (f"{plain} 2024", [plain]), (f"{plain} 2024 1 X", [plain]), (f"AB12 CDEF GH34 {spaced}", [spaced]), (f"{spaced} {plain}", [spaced, plain]),
+        (f"{plain}1234", []), ("ES91 2100 0418 4502 0005 1333 USD", []), (f"GB82 WEST 1234 5698 7654 32 {plain}", ["GB82 WEST 1234 5698 7654 32", plain]),
+    ]:
+        assert [text[s:e] for kind, s, e, _ in pii.spans_of(text) if kind == "iban"] == want
