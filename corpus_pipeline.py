@@ -19,12 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (see nearcopies): the least id of the group. Rows without an id stay."""
+    """One row of each group of near copies (see nearcopies): the least id (none comes last), of rows that share it the least by hash."""
     found = cut(nearcopies.near_copies(docs.select(*COLUMNS)), "pipeline-near-copies")
-    least = found.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
-    named = found.where("doc_id is not null").join(least, ["component", "doc_id"], "left_semi")
-    one = named.select(*COLUMNS).dropDuplicates(["doc_id"])
-    return one.unionByName(found.where("doc_id is null").select(*COLUMNS))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "lang", "source", "n_chars"), "row")
+    least = found.groupBy("component").agg(F.min_by("row", order).alias("row"))
+    return found.join(least.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,14 @@ def test_pipeline_drops_near_copies(spark):
     rows = near_rows(7, 4, 6)
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(naive_parts([r[1] for r in rows])))
+
+
+def test_pipeline_keeps_one_row_of_each_group_not_of_each_id(spark):
+    import corpus_pipeline
+
+    say = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    texts = [(1, say("a")), (1, say("b")), (2, say("a") + " end"), (2, say("c")), (3, say("d")), (1, say("d") + " end"), (None, say("e")), (None, say("e")), (None, say("c")), (4, None), (5, "")]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts]
+    kept = [corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(x, DOCS), "").collect() for x in (rows, rows[::-1])]
+    want = [(1, say("a")), (1, say("b")), (2, say("c")), (1, say("d") + " end"), (None, say("e")), (4, None)]
+    assert all(sorted(map(str, ((r.doc_id, r.text) for r in x))) == sorted(map(str, want)) for x in kept)

@@ -135,10 +135,10 @@ def links(base: DataFrame, one: DataFrame, text: str, shingle: int) -> DataFrame
 
 
 def near_copies(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs with component: the same number for all rows whose texts are linked by pairs of at least LEAST."""
+    """docs with row (a number of its own) and component (the same for all rows whose texts are linked by pairs of at least LEAST)."""
     base = cut(signed(docs.withColumn("row", F.monotonically_increasing_id()), text, shingle), "near-copies")
     one = cut(base.groupBy("key").agg(F.min("row").alias("row"), F.first("n").alias("n")), "near-keys")
     found = cut(components(links(base, one, text, shingle)), "near-components")
     parts = one.select("key").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("component"))
     # Written first, so that Spark can split the copies of one text in the join below.
-    return base.join(cut(parts, "near-by-key"), "key").select(*docs.columns, "component")
+    return base.join(cut(parts, "near-by-key"), "key").select(*docs.columns, "row", "component")
