@@ -112,7 +112,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words: int
     pieces = {}
     for n in range(1, LONGEST_GRAM + 1):
         places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1)))
-        # One row a place, then its piece: a filter on pieces cut inside a transform loses some of them on Spark 4.1.2.
+        # One row a place, then its piece: pieces cut inside a transform were seen to go missing on Spark 4.1.2.
         g = counts.where(F.length(padded) >= n).select("lang", "count", padded.alias("padded"), F.explode(places).alias("at"))
         g = g.select("lang", "count", F.substr("padded", "at", F.lit(n)).alias("key"))
         for r in best(g.groupBy("lang", "key").agg(F.sum("count").alias("count")), grams).collect():
