@@ -13,11 +13,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in chunks of about so many bytes (one longer text is a chunk of its own).
 CHUNK_BYTES = 4 << 20
+#: Hashing takes so many bytes, or words, at a time, so that its working memory doesn't grow with one text.
+PIECE = 1 << 20
 NO_HASH = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _ALL = np.arange(256)
@@ -29,9 +32,11 @@ LOWER = np.where((_ALL >= 0x41) & (_ALL <= 0x5A), _ALL + 32, _ALL).astype(np.uin
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests), a new local one."""
+    """The folder all executors share: spark.checkpoint.dir; only where that is unset and Spark runs in one process (tests), a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -42,7 +47,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes what cut wrote for these frames; nothing that is still to be computed may read them."""
+    for df in frames:
+        if path := df.__dict__.pop("cut_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def deal(df: DataFrame, rows: int, per_part: int, *columns: str) -> DataFrame:
+    """df dealt out by hash of the columns to as many parts as rows asks for (a count that Spark doesn't coalesce), at least the usual number."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(usual, -(-rows // per_part)), *columns)
+
+
+def join_by_copies(left: DataFrame, right: DataFrame, key: str | list[str], n: str, most: int = 10_000) -> DataFrame:
+    """left joined to right by key (unique in right), where n says how many rows of left a row of right meets.
+
+    A key with more than 1/most of all these rows is hot. There are fewer than `most` such keys, whatever the size of the
+    input, so they are broadcast; the others are joined by a shuffle in which no key has more than that share.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total // most
+    few = F.broadcast(right.where(hot).drop(n))
+    return left.join(few, key).unionByName(left.join(F.broadcast(right.where(hot).select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(right.where(~hot).drop(n), key))
 
 
 def small(df: DataFrame, rows: int) -> bool:
@@ -115,6 +149,23 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct lower-cased runs of letters and combining marks of some texts, and for each word of each text its place
+    in them and the number of its text."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), pattern=r"[^\pL\pM]+")
+    coded = parts.flatten().dictionary_encode()
+    if not len(coded):
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = coded.indices.to_numpy(zero_copy_only=False)
+    text_of = np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+    worded = pc.match_substring_regex(coded.dictionary, pattern=r"\pL").to_numpy(zero_copy_only=False)
+    there = worded[place]
+    moved = np.cumsum(worded) - 1
+    return coded.dictionary.filter(pa.array(worded)), moved[place[there]], text_of[there]
+
+
 class Words:
     """The words of a chunk of texts: byte ranges, and the range of word numbers of each text."""
 
@@ -149,13 +200,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        n = len(self.data)
-        if not len(self):
-            return np.zeros(0, np.uint64)
-        power, inverse = powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        out = np.zeros(len(self), np.uint64)
+        low = 0
+        # In pieces of about PIECE bytes, as a hash doesn't depend on where its word stands: a long text costs a few bytes a byte.
+        while low < len(self):
+            high = max(low + 1, int(np.searchsorted(self.end, self.start[low] + PIECE, "right")))
+            start, end = self.start[low:high] - self.start[low], self.end[low:high] - self.start[low]
+            data = self.data[self.start[low] : self.end[high - 1]]
+            power, inverse = powers(len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+            out[low:high] = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+            low = high
+        return out
 
     def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         """All words with one space after each, and where each word begins and ends in that."""
@@ -180,7 +237,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64, and those of its inverse; kept for the next call."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _BACK)):
-            steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+            steps = np.full(max(n, PIECE + 1), base, np.uint64)
             steps[0] = 1
             _powers[i] = np.cumprod(steps)
     return _powers[0][:n], _powers[1][:n]
@@ -197,13 +254,14 @@ def grams(words: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each position on; NO_HASH where the text (ending at high) has fewer. high: for each word."""
     n = len(words)
     out = np.full(n, NO_HASH, np.uint64)
-    if n >= k:
-        power, inverse = powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * power[:n], out=sums[1:])
-        found = mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1] + np.uint64(k))
-        fits = np.arange(n - k + 1) + k <= high[: n - k + 1]
-        out[: n - k + 1] = np.where(fits, np.minimum(found, NO_HASH - np.uint64(1)), NO_HASH)
+    for low in range(0, n - k + 1, PIECE):
+        stop = min(low + PIECE, n - k + 1)
+        power, inverse = powers(stop - low + k)
+        sums = np.zeros(stop - low + k, np.uint64)
+        np.cumsum(words[low : stop + k - 1] * power[:-1], out=sums[1:])
+        found = mix((sums[k:] - sums[:-k]) * inverse[: stop - low] + np.uint64(k))
+        fits = np.arange(low, stop) + k <= high[low:stop]
+        out[low:stop] = np.where(fits, np.minimum(found, NO_HASH - np.uint64(1)), NO_HASH)
     return out
 
 

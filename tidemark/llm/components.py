@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, forget
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     last = None
     while True:
-        now = cut(_stars(both(_stars(both(now), True)), False), "stars")
+        before, now = now, cut(_stars(both(_stars(both(now), True)), False), "stars")
+        forget(before)
         # Sums of hashes tell whether the set of edges has changed.
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == last:
