@@ -1,19 +1,22 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Learned rotations (iterative quantisation on a bounded sample) turn each vector into a binary code. Every block of
-vectors indexes its codes by each of their 16-bit substrings. A query probes, for each substring, all values that differ
-from its own in at most the pigeonhole share of the radius: a code within the radius must be under one of them. Codes
-found so are compared as a whole, and those within the radius are ranked by the exact distance of the original vectors.
+vectors indexes its codes by each of their 16-bit substrings: a table from each value to its codes. A query looks up, for each
+substring, all values within `depth` bits of its own. By the pigeonhole principle that retrieves every code within a Hamming
+radius of parts * (depth + 1) - 1 bits, and many beyond it. What is retrieved and lies within `radius` is ranked by the exact
+distance of the original vectors.
 
-The radius is measured on the sample: it holds `recall` of the sample's true neighbours, which lie further apart than
-those among all vectors. A query that finds fewer than k vectors is run again with a radius that holds every code.
+radius and depth are learned from the sample: the radius holds nearly all of its true neighbours, the depth is the least that
+retrieves RECALL of them. Neighbours among all vectors are nearer than those of the sample, so they are found more often.
+A query that finds fewer than k vectors is compared with all vectors.
 
 Queries go to all vectors in blocks of at most QUERY_BLOCK, so what is broadcast is bounded; each task keeps the k best
 of each query and gives only those on.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without an id; ties go to the smaller id; rows with one id are all candidates, but never for a query of
-that id, which is asked once, with the first of its vectors by value; with fewer than k candidates all are given.
+that id, which is asked once, with the first of its vectors by value; with fewer than k candidates all are given; empty tables
+give none; only the named columns of the input are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -23,16 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS, SUBSTRING = 256, 16
-SAMPLE, PROBES, ROUNDS, RECALL = 20_000, 300, 25, 0.985
-QUERY_BLOCK, VECTOR_BLOCK = 8192, 4096
+from tidemark.llm.common import cut
+
+BITS, SUBSTRING = 512, 16
+SAMPLE, PROBES, ROUNDS, WITHIN, RECALL = 20_000, 300, 25, 0.998, 0.93
+QUERY_BLOCK, VECTOR_BLOCK = 8192, 32_768
+#: All 16-bit patterns by the number of their bits, and how many have at most so many.
+PATTERNS = np.argsort(np.bitwise_count(np.arange(1 << SUBSTRING, dtype=np.uint16)), kind="stable").astype(np.uint16)
+UP_TO = np.cumsum(np.bincount(np.bitwise_count(PATTERNS), minlength=SUBSTRING + 1))
 _MAX = np.iinfo(np.int64).max
 
 
 class Codes:
-    """Centre and rotations learned from a sample, and the radius that holds most true neighbours."""
+    """Centre and rotations learned from a sample, the radius that holds nearly all true neighbours, the depth that finds most,
+    and what share of all codes and of neighbours that retrieves."""
 
-    def __init__(self, sample: np.ndarray, k: int, bits: int = BITS, recall: float = RECALL, seed: int = 0):
+    def __init__(self, sample: np.ndarray, k: int, bits: int = BITS, within: float = WITHIN, recall: float = RECALL, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.mean = sample.mean(axis=0)
@@ -52,13 +61,22 @@ class Codes:
         self.width = self.parts * SUBSTRING
         probes = sample[: min(PROBES, len(sample))]
         codes, own = self.encode(sample), self.encode(probes)
-        far = []
+        far, nearest, others = [], [], np.zeros(SUBSTRING + 1)
         for i, p in enumerate(probes):
             d = ((sample - p) ** 2).sum(axis=1)
             d[i] = np.inf
             near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
-            far.append(np.bitwise_count(codes[near] ^ own[i]).sum(axis=1))
-        self.radius = int(np.quantile(np.concatenate(far), recall, method="higher")) if far and len(sample) > 1 else self.width
+            apart = np.bitwise_count(codes ^ own[i])
+            far.append(apart[near].sum(axis=1))
+            nearest.append(apart[near].min(axis=1))
+            others += np.bincount(apart.min(axis=1), minlength=SUBSTRING + 1) / (len(sample) * len(probes))
+        self.radius, self.depth, self.share, self.recall = self.width, SUBSTRING, 1.0, 1.0
+        if len(sample) > 1:
+            far, nearest = np.concatenate(far), np.concatenate(nearest)
+            self.radius = int(np.quantile(far, within, method="higher"))
+            found = np.cumsum(np.bincount(nearest[far <= self.radius], minlength=SUBSTRING + 1)) / len(far)
+            self.depth = int(np.argmax(found >= recall)) if (found >= recall).any() else SUBSTRING
+            self.share, self.recall = float(np.cumsum(others)[self.depth]), float(found[self.depth])
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
         """16-bit substrings of the code of each vector."""
@@ -94,23 +112,38 @@ class Best:
         self.distance[query], self.id[query] = d[order], i[order]
 
 
-def search_block(best: Best, codes: Codes, radius: int, q_ids: np.ndarray, q_vectors: np.ndarray, q_codes: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+class Index:
+    """The codes of a block of vectors by each value of each of their substrings."""
+
+    def __init__(self, codes: np.ndarray):
+        self.n, self.parts = codes.shape
+        self.members = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32)
+        self.begins = np.stack([np.concatenate([[0], np.cumsum(np.bincount(codes[:, j], minlength=1 << SUBSTRING))]) for j in range(self.parts)]).astype(np.int32)
+
+    def probe(self, code: np.ndarray, depth: int) -> np.ndarray:
+        """The codes that are within depth bits of the given one in some substring."""
+        values = (code[:, None] ^ PATTERNS[None, : UP_TO[depth]]).astype(np.int64)
+        part = np.arange(self.parts)[:, None]
+        low, high = self.begins[part, values].ravel(), self.begins[part, values + 1].ravel()
+        sizes = high - low
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1]) - np.repeat(ends - sizes - low, sizes)
+        found = np.zeros(self.n, bool)
+        found[self.members[np.repeat(np.repeat(np.arange(self.parts), values.shape[1]), sizes), place]] = True
+        return np.flatnonzero(found)
+
+
+def search_block(best: Best, codes: Codes, whole: bool, q_ids: np.ndarray, q_vectors: np.ndarray, q_codes: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+    """Adds to best what the index of a block of vectors retrieves; whole: compares all of it instead."""
     own = codes.encode(vectors)
-    share = radius // codes.parts
-    index = [np.unique(own[:, j], return_inverse=True) for j in range(codes.parts)]
-    for low in range(0, len(q_ids), 256):
-        some = q_codes[low : low + 256]
-        found = np.zeros((len(some), len(own)), bool)
-        for j, (values, place) in enumerate(index):
-            # At most share bits differ in one of the substrings of a code within the radius.
-            near = np.bitwise_count(some[:, j][:, None] ^ values[None, :]) <= share
-            found |= near[:, place]
-        for i in range(len(some)):
-            at = np.flatnonzero(found[i])
-            at = at[np.bitwise_count(own[at] ^ some[i]).sum(axis=1, dtype=np.int64) <= radius]
-            at = at[ids[at] != q_ids[low + i]]
-            if len(at):
-                best.add(low + i, np.sqrt(((vectors[at] - q_vectors[low + i]) ** 2).sum(axis=1)), ids[at])
+    index = None if whole else Index(own)
+    for i in range(len(q_ids)):
+        at = np.arange(len(ids)) if whole else index.probe(q_codes[i], codes.depth)
+        if not whole:
+            at = at[np.bitwise_count(own[at] ^ q_codes[i]).sum(axis=1, dtype=np.int64) <= codes.radius]
+        at = at[ids[at] != q_ids[i]]
+        if len(at):
+            best.add(i, np.sqrt(((vectors[at] - q_vectors[i]) ** 2).sum(axis=1)), ids[at])
 
 
 def learn(vectors: DataFrame, id_col: str, vector_col: str, k: int, sample: int = SAMPLE, bits: int = BITS) -> Codes | None:
@@ -141,28 +174,42 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             continue
         ids, own = valid(part[0], codes.dim)
         ids, first = np.unique(ids, return_index=True)
-        best = _scan(rows, codes, codes.radius, ids, own[first], k)
-        few = best.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-        full = {r.query_id for r in few.toLocalIterator()}
+        best = cut(_scan(rows, codes, False, ids, own[first], k), "ann-best")
+        # At most k rows of each query of a block of at most `block` queries.
+        full = {r.query_id for r in best.where(F.col("rank") == k).select("query_id").collect()}
         rest = np.array([i not in full for i in ids.tolist()], bool)
         if rest.any():
-            again = _scan(rows, codes, codes.width, ids[rest], own[first][rest], k)
-            best = best.where(~F.col("query_id").isin(ids[rest].tolist())).unionByName(again) if rest.sum() <= 1000 else best.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
+            again = _scan(rows, codes, True, ids[rest], own[first][rest], k)
+            short = spark.createDataFrame([(i,) for i in ids[rest].tolist()], "query_id long")
+            best = best.join(F.broadcast(short), "query_id", "left_anti").unionByName(again)
         found = found.unionByName(best)
     return found
 
 
-def _scan(rows: DataFrame, codes: Codes, radius: int, q_ids: np.ndarray, q_vectors: np.ndarray, k: int) -> DataFrame:
+def _scan(rows: DataFrame, codes: Codes, whole: bool, q_ids: np.ndarray, q_vectors: np.ndarray, k: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((codes, q_ids, q_vectors))
 
     def run(batches):
         codes, q_ids, q_vectors = shared.value
         best, q_codes = Best(len(q_ids), k), codes.encode(q_vectors)
+        held, n = [], 0
+
+        def search() -> None:
+            ids, vectors = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            search_block(best, codes, whole, q_ids, q_vectors, q_codes, ids, vectors)
+            held.clear()
+
         for batch in batches:
             for low in range(0, batch.num_rows, VECTOR_BLOCK):
-                ids, vectors = valid(batch.slice(low, VECTOR_BLOCK), codes.dim)
-                if len(ids):
-                    search_block(best, codes, radius, q_ids, q_vectors, q_codes, ids, vectors)
+                own = valid(batch.slice(low, VECTOR_BLOCK), codes.dim)
+                if len(own[0]):
+                    held.append(own)
+                    n += len(own[0])
+                if n >= VECTOR_BLOCK:
+                    search()
+                    n = 0
+        if held:
+            search()
         query, place = np.nonzero(np.isfinite(best.distance))
         yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), pa.array(best.id[query, place]), pa.array(best.distance[query, place])], ["query_id", "vec_id", "score"])
 
