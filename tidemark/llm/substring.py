@@ -2,17 +2,20 @@
 
 A window of WINDOW words that also starts elsewhere is removed wherever it stands.
 1. Each text's PHRASE-word phrases are winnowed, so that every window holds a chosen phrase and equal windows hold equal
-   ones. Phrases that occur at two places, by hash, are candidates (copies of a text are one place).
-2. The different texts with candidates are put into shards of about SHARD bytes. For each shard an Aho-Corasick
-   automaton over its words is compiled from the candidate phrases that occur in it, and streams the shard's texts to
-   locate every occurrence. Only windows around an occurrence can recur.
+   ones. Phrases that occur at two places, by hash, recur (copies of a text are one place); the words of each are read from
+   one of its texts.
+2. The different texts with recurring phrases are put into shards of about SHARD bytes, together with the phrases, as words,
+   that any of them holds. For each shard an Aho-Corasick automaton is compiled from those phrases and streams all texts of the
+   shard to locate every occurrence. Only windows around an occurrence can recur; nothing else says where phrases stand.
 3. Those windows' 128-bit digests, one of each kind in a shard, are dealt out by digest and counted over all shards.
 4. Each shard marks its recurring windows and keeps the other words. Texts that occur twice as a whole lose all words.
 
 An automaton is as large as its shard, a text meets one automaton, and no phrase list is broadcast: work grows with the input.
+A text without a recurring phrase can hold no occurrence of one, so it meets none.
 
-Defined cases: null text has no words; texts of fewer than WINDOW words are kept; one text longer than a shard is a shard of
-its own; rows with equal or null ids are separate rows.
+Defined cases: null text has no words; texts of fewer than WINDOW words are kept; a very long text is a shard of its own, in
+one task; rows with equal or null ids are separate rows; only the named columns of the input are read, whatever others are
+called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ import uuid
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACED, NO_HASH, Words, chunks, cut, extend, grams, mix, quoted, small, text_key, winnow
+from tidemark.llm.common import SPACED, NO_HASH, Words, chunks, cut, extend, forget, grams, join_by_copies, mix, quoted, small, text_key, winnow
 
 WINDOW, PHRASE = 35, 10
 SHARD = 1 << 20
@@ -53,19 +57,30 @@ def phrases(docs: DataFrame, text: str, keep: list[str], window: int, phrase: in
     return extend(docs, text, "n_words long, sha string, phrases array<long>", make, keep)
 
 
+def spelled(texts: pa.Array, wanted: pa.Array, phrase: int) -> tuple[np.ndarray, list[bytes]]:
+    """The words of the phrases with the wanted hashes (a list for each text), read from the texts: hashes and phrases."""
+    words = Words(texts, SPACED)
+    runs = grams(words.hashes(), np.repeat(words.high, words.counts), phrase)
+    joined, start, end = words.joined()
+    known = np.unique(wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+    if not len(known) or not len(runs):
+        return np.zeros(0, np.uint64), []
+    there = np.flatnonzero((known[np.minimum(np.searchsorted(known, runs), len(known) - 1)] == runs) & (runs != NO_HASH))
+    found, first = np.unique(runs[there], return_index=True)
+    return found, [joined[start[p] : end[p + phrase - 1]] for p in there[first].tolist()]
+
+
 class Shard:
-    """The words of some texts and their windows around candidate phrases, located by the shard's automaton."""
+    """The words of some texts and their windows around recurring phrases, located by the shard's automaton."""
 
-    def __init__(self, texts: pa.Array, candidates: pa.Array, window: int, phrase: int):
+    def __init__(self, texts: pa.Array, phrases: pa.Array, window: int, phrase: int):
+        both = Words(pa.concat_arrays([texts, phrases.cast(texts.type)]), SPACED)
+        hashes = both.hashes()
+        found = self._locate(both, hashes, len(texts), phrase)
         self.words = words = Words(texts, SPACED)
         self.window = window
-        hashes = words.hashes()
+        hashes = hashes[: len(words)]
         high = np.repeat(words.high, words.counts)
-        known = np.unique(candidates.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-        runs = grams(hashes, high, phrase)
-        at = np.minimum(np.searchsorted(known, runs), max(0, len(known) - 1))
-        seeds = np.flatnonzero((known[at] == runs) & (runs != NO_HASH)) if len(known) else np.zeros(0, np.int64)
-        found = self._locate(hashes, runs, seeds, phrase)
         # A window is worth counting if a located phrase lies within it.
         before = np.concatenate([[0], np.cumsum(found)])
         n = max(0, len(words) - window + 1)
@@ -83,22 +98,21 @@ class Shard:
         self.first, self.second = a[new], b[new]
         self.twice = np.bincount(self.kind, minlength=len(self.first)) > 1
 
-    def _locate(self, hashes: np.ndarray, runs: np.ndarray, seeds: np.ndarray, phrase: int) -> np.ndarray:
-        """Whether a candidate phrase starts at each word."""
-        found = np.zeros(len(hashes), np.int64)
-        if not len(seeds):
-            return found
+    def _locate(self, both: Words, hashes: np.ndarray, n_texts: int, phrase: int) -> np.ndarray:
+        """Whether a phrase starts at each word of the texts. both: the words of the texts, then of the phrases."""
+        low, high = both.low.tolist(), both.high.tolist()
+        found = np.zeros(high[n_texts - 1] if n_texts else 0, np.int64)
         # Words as small numbers, equal only for equal words of this shard.
-        _, numbers = np.unique(hashes, return_inverse=True)
-        numbers = numbers.astype(np.int64) + 1
-        _, one_each = np.unique(runs[seeds], return_index=True)
+        numbers = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for p in seeds[one_each].tolist():
-            automaton.add_word(tuple(numbers[p : p + phrase].tolist()))
+        for a, b in zip(low[n_texts:], high[n_texts:], strict=True):
+            automaton.add_word(tuple(numbers[a:b].tolist()))
+        if not len(automaton):
+            return found
         automaton.make_automaton()
-        for low, high in zip(self.words.low.tolist(), self.words.high.tolist(), strict=True):
-            ends = [e for e, _ in automaton.iter(tuple(numbers[low:high].tolist()))] if high - low >= phrase else []
-            found[np.array(ends, np.int64) + (low - phrase + 1)] = 1
+        for a, b in zip(low[:n_texts], high[:n_texts], strict=True):
+            ends = [e for e, _ in automaton.iter(tuple(numbers[a:b].tolist()))] if b - a >= phrase else []
+            found[np.array(ends, np.int64) + (a - phrase + 1)] = 1
         return found
 
     def parts(self, n: int) -> np.ndarray:
@@ -122,12 +136,14 @@ class Shard:
 
 
 def _shards(batches):
-    """Rows (key, text, hs) packed into shards: shard, keys, texts, hs."""
+    """Rows (key, text, phrases) packed into shards: shard, keys, texts, and the different phrases of all."""
     for batch in batches:
         for chunk in chunks(batch, "text", SHARD):
             n = pa.array([0, chunk.num_rows], pa.int32())
-            columns = [pa.ListArray.from_arrays(n, chunk.column(i)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *columns], ["shard", "keys", "texts", "hs"])
+            columns = [pa.ListArray.from_arrays(n, chunk.column(i)) for i in range(2)]
+            phrases = pc.unique(chunk.column(2).flatten())
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(phrases)], pa.int32()), phrases))
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *columns], ["shard", "keys", "texts", "phrases"])
 
 
 def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, per_part: int = PER_PART) -> DataFrame:
@@ -137,21 +153,36 @@ def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     # 1. Phrases at two places.
     places = base.select("key", F.posexplode("phrases").alias("i", "h"))
     twice = places.groupBy("h").agg(F.min(F.xxhash64("key", "i")).alias("a"), F.max(F.xxhash64("key", "i")).alias("b")).where("a <> b").select("h")
-    # Written first, so that Spark can split a phrase that very many texts share in the join below.
+    # Written first, so that Spark can split a phrase that very many texts share in the joins below.
     twice = cut(twice, "substring-twice")
-    candidates = cut(places.select("key", "h").join(twice, "h").groupBy("key").agg(F.collect_set("h").alias("hs")), "substring-candidates")
-    # 2. Shards of different texts with candidates.
+    candidates = cut(places.select("key", "h").join(twice, "h").distinct(), "substring-candidates")
+    keys = cut(candidates.groupBy("key").agg(F.count("*").alias("n")), "substring-keys")
+    few = small(keys, BROADCAST_KEYS)
+    # The words of each, from one text that has it.
+    speakers = candidates.groupBy("h").agg(F.min("key").alias("key")).groupBy("key").agg(F.collect_list("h").alias("hs"))
+    spoken = keyed.select("key", "text").join(F.broadcast(speakers) if few and small(twice, BROADCAST_KEYS) else speakers, "key")
+
+    def spell(batches):
+        for batch in batches:
+            for chunk in chunks(batch, "text"):
+                found, said = spelled(chunk.column("text"), chunk.column("hs"), phrase)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64), pa.int64()), pa.array(said, pa.binary()).cast(pa.string())], ["h", "phrase"])
+
+    spelt = cut(spoken.select("text", "hs").mapInArrow(spell, "h long, phrase string").groupBy("h").agg(F.min("phrase").alias("phrase")), "substring-spelt")
+    said = candidates.join(spelt, "h").groupBy("key").agg(F.collect_list("phrase").alias("phrases"))
+    # 2. Shards of different texts with recurring phrases.
     wanted = keyed.select("key", "text")
-    if small(candidates, BROADCAST_KEYS):
-        wanted = wanted.join(F.broadcast(candidates.select("key")), "key", "left_semi")
-    texts = wanted.groupBy("key").agg(F.first("text").alias("text")).join(candidates, "key").select("key", "text", "hs")
-    shards = cut(texts.mapInArrow(_shards, "shard string, keys array<binary>, texts array<string>, hs array<array<long>>"), "substring-shards")
+    if few:
+        wanted = wanted.join(F.broadcast(keys.select("key")), "key", "left_semi")
+    texts = wanted.groupBy("key").agg(F.first("text").alias("text")).join(said, "key").select("key", "text", "phrases")
+    shards = cut(texts.mapInArrow(_shards, "shard string, keys array<binary>, texts array<string>, phrases array<string>"), "substring-shards")
+    forget(twice, candidates, spelt)
     # 3. Windows of each kind counted over all shards.
-    n_words = base.join(candidates, "key", "left_semi").agg(F.sum("n_words")).first()[0] or 0
+    n_words = base.join(keys, "key", "left_semi").agg(F.sum("n_words")).first()[0] or 0
     n_parts = max(1, -(-n_words // (2 * per_part)))
 
     def opened(batch: pa.RecordBatch, i: int) -> Shard:
-        return Shard(batch.column("texts")[i].values, batch.column("hs")[i].values, window, phrase)
+        return Shard(batch.column("texts")[i].values, batch.column("phrases")[i].values, window, phrase)
 
     def digests(batches):
         for batch in batches:
@@ -192,11 +223,13 @@ def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     done = shards.join(masks, "shard", "left").mapInArrow(marked, "key binary, n_removed long, kept string")
     done = cut(done.where("n_removed > 0"), "substring-removed")
-    copies = base.where(F.col("n_words") >= window).groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
-    out = base.select("id", "key", "n_words", "sha").join(done, "key", "left").join(copies, "key", "left")
-    whole = F.col("copies").isNotNull()
+    forget(shards, keys)
+    by_key = base.groupBy("key").agg(F.count("*").alias("n"), (F.max("n_words") >= window).alias("long")).withColumn("whole", F.expr("long and n > 1"))
+    by_key = cut(by_key.join(done, "key", "left").select("key", "n", "whole", "n_removed", "kept"), "substring-by-key")
+    forget(done)
+    out = join_by_copies(base.select("id", "key", "n_words", "sha"), by_key, "key", "n")
     return out.select(
         F.col("id").alias(id_col), "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("whole"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
