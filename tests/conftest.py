@@ -1,6 +1,7 @@
 import os
 import sys
 
+import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
@@ -17,3 +18,32 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def duck():
+    """All tables of the smallest size as views."""
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.execute(f"create view {name.removesuffix('.parquet')} as select * from '{SF}/{name}'")
+    return con
+
+
+def plain(rows):
+    """Rows as sorted texts, all numbers alike."""
+    number = lambda v: round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    return sorted(str([number(v) for v in r]) for r in rows)
+
+
+@pytest.fixture(scope="session")
+def equals_sql(spark, duck):
+    def check(queries, sql, name):
+        got = queries[name](spark, SF)
+        names = ", ".join(f'"{c}"' for c in got.columns)
+        want = duck.execute(f"select {names} from ({sql[name]})").fetchall()
+        assert want and plain(got.collect()) == plain(want)
+
+    return check

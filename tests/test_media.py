@@ -4,33 +4,23 @@ import http.server
 import io
 import threading
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec, framing, tables
 from tidemark.operators import muxing
 from tidemark.operators.ordered import Log
-from tidemark.plans import catalog, media
+from tidemark.plans import media
 from tidemark.sources import boxes, fetch, packets, sinks
 from tidemark.streaming import watermark
 
-SF = "/root/testdata/sf0.001"
-
-
 def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
-@pytest.mark.parametrize("name", ["ts_roundtrip", "adts_split", "nal_units", "program_tables", "absolute_url", "fragment_samples", "dedup_stream", "program_map_read", "sync_search", "private_stamp", "codec_config", "session_replay", "interleaved"])
-def test_query_equals_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "supplier", "customer", "pages", "lineitem", "events"):
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got = getattr(media, name)(spark, SF)
-    names = ", ".join(f'"{c}"' for c in got.columns)
-    want = con.execute(f"select {names} from ({catalog.SQL[name]})").fetchall()
-    assert want and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+@pytest.mark.parametrize("name", sorted(media.SQL))
+def test_query_equals_sql(equals_sql, name):
+    equals_sql(media.QUERIES, media.SQL, name)
 
 
 def test_packets_of_units(spark):

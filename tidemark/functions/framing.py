@@ -29,14 +29,14 @@ def joined(parts: Column) -> Column:
     return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
 
 
-def pes_unit(stream_id: Column, pts: Column, dts: Column, payload: Column, bounded: Column) -> Column:
+def pes_unit(stream_id: Column, pts: Column, dts: Column, payload: Column, bounded: Column, aligned: Column | None = None) -> Column:
     """A packetised unit. The decoding stamp is written only where it differs; unbounded ones (video) have length 0."""
     two = dts.isNotNull() & (dts != pts)
     stamps = F.when(two, F.concat(big_endian(pack_stamp(pts, 3), 5), big_endian(pack_stamp(dts, 1), 5))).otherwise(big_endian(pack_stamp(pts, 2), 5))
     size = F.length(stamps) + 3 + F.length(payload)
     size = F.when(bounded & (size <= 0xFFFF), size).otherwise(0)
     flags = F.when(two, 0xC0).otherwise(0x80)
-    return F.concat(F.unhex(F.lit("000001")), big_endian(stream_id, 1), big_endian(size, 2), F.unhex(F.lit("80")), big_endian(flags, 1), big_endian(F.length(stamps), 1), stamps, payload)
+    return F.concat(F.unhex(F.lit("000001")), big_endian(stream_id, 1), big_endian(size, 2), F.unhex(F.lit("80") if aligned is None else F.when(aligned, "84").otherwise("80")), big_endian(flags, 1), big_endian(F.length(stamps), 1), stamps, payload)
 
 
 def section(table_id: int, number: Column, version: Column, body: Column) -> Column:
@@ -57,6 +57,16 @@ def language_descriptor(code: Column) -> Column:
     return F.concat(F.unhex(F.lit("0A04")), code.cast("binary"), F.unhex(F.lit("00")))
 
 
+def registration_descriptor(code: str) -> Column:
+    """Registration descriptor of a format of four letters."""
+    return F.concat(F.unhex(F.lit("0504")), F.lit(code).cast("binary"))
+
+
+def pointed(section: Column) -> Column:
+    """A section behind a pointer field of 0, as a packet begins it."""
+    return F.concat(F.unhex(F.lit("00")), section)
+
+
 def pmt(program: Column, pcr_pid: Column, streams: Column, version: Column) -> Column:
     """The program map of streams, array<struct<type, pid, descriptors>>."""
     entry = lambda s: F.concat(big_endian(s["type"], 1), big_endian(s["pid"].bitwiseOR(F.lit(0xE000)), 2), big_endian(F.length(s["descriptors"]).bitwiseOR(F.lit(0xF000)), 2), s["descriptors"])

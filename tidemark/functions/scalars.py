@@ -27,6 +27,80 @@ def leading_int(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).try_cast("bigint")
 
 
+def leading_float(text: Column) -> Column:
+    """The finite decimal number that a text begins with, or null."""
+    x = F.nullif(F.regexp_extract(text, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1), F.lit("")).try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+def hex_value(text: Column) -> Column:
+    """The bytes of 0x and digits in hexadecimal; an odd number of them gets a leading 0; null if it isn't one."""
+    digits = F.nullif(F.regexp_extract(text, r"^0[xX]([0-9A-Fa-f]+)$", 1), F.lit(""))
+    return F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits))
+
+
+def size_value(text: Column) -> Column:
+    """struct<width, height> of a resolution, or null."""
+    part = lambda i: F.nullif(F.regexp_extract(text, r"^([0-9]+)x([0-9]+)$", i), F.lit("")).try_cast("int")
+    return F.when(part(1).isNotNull(), F.struct(part(1).alias("width"), part(2).alias("height")))
+
+
+def yes_value(text: Column) -> Column:
+    """Whether a text is YES; null is not."""
+    return text.eqNullSafe(F.lit("YES"))
+
+
+def clamp(x: Column, low: Column, high: Column) -> Column:
+    return F.greatest(low, F.least(high, x))
+
+
+def expected_bytes(declared: Column, bitrate: Column, duration: Column) -> Column:
+    """The declared size of a body if it is above 0, else what its bitrate and duration suggest."""
+    return F.when(declared > 0, declared).otherwise(F.ceil(bitrate * duration / 8)).cast("bigint")
+
+
+def content_length(text: Column) -> Column:
+    """The whole number that a header's value begins with, or null."""
+    return leading_int(text)
+
+
+def header_map(text: Column) -> Column:
+    """map<name, value> of header lines; names small, the last of equal names wins, lines without a colon go."""
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: F.locate(":", x) > 1)
+    pair = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.locate(":", x) + 1)).alias("v")))
+    last = F.filter(pair, lambda p, i: ~F.exists(F.slice(pair, i + 2, F.greatest(F.size(pair), F.lit(1))), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
+def quality(text: Column) -> Column:
+    """struct<kind, value> of a quality option: highest, lowest, index:N or maxBitrate:N; null if it is none of them."""
+    n = leading_int(F.substring_index(text, ":", -1))
+    kind = F.when(text.isin("highest", "lowest"), text).when(n.isNotNull(), F.regexp_extract(text, "^(index|maxBitrate):", 1))
+    kind = F.nullif(kind, F.lit(""))
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.when(kind.isin("index", "maxBitrate"), n).alias("value")))
+
+
+#: Half-lives (fast, slow), cold-start estimate, factors to keep and to go up, starvation slack, by preset.
+PRESETS = {"default": (3.0, 9.0, 500_000, 0.95, 0.70, 4.0), "unstable": (2.0, 4.0, 250_000, 0.80, 0.60, 2.0)}
+
+
+def preset(text: Column) -> Column:
+    """struct<fast, slow, estimate, keep, up, slack> of a preset's name, or null."""
+    fields = ("fast", "slow", "estimate", "keep", "up", "slack")
+    found = [F.when(text == name, F.struct(*(F.lit(x).alias(f) for f, x in zip(fields, values, strict=True)))) for name, values in PRESETS.items()]
+    return F.coalesce(*found)
+
+
+def names(text: Column) -> Column:
+    """The names of a list with commas, trimmed, empty ones left out; the one name `all` is kept as it is."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def poll_delay(target: Column, least: int = 500) -> Column:
+    """Milliseconds until a live playlist is loaded again: half its target duration, at least 500."""
+    return F.greatest(F.lit(least), F.ceil(target * 500)).cast("bigint")
+
+
 def language_code(name: Column) -> Column:
     """Three letters, small, padded; und if there is none."""
     letters = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z]", "")
@@ -48,6 +122,16 @@ def decrypt_cbc(body: Column, key: Column, iv: Column) -> Column:
     return F.when(fits, F.try_aes_decrypt(F.concat(iv, body), key, F.lit("CBC"), F.lit("PKCS")))
 
 
+def clear_body(method: Column, body: Column, key: Column, iv: Column) -> Column:
+    """struct<body, error> of a segment: as it is without a method, decrypted with AES-128; other methods, a missing key and a
+    body that doesn't decrypt set error, so that one segment doesn't end a job."""
+    plain = decrypt_cbc(body, key, iv)
+    whole = F.coalesce(method == "AES-128", F.lit(False))
+    open_ = F.coalesce(method == "NONE", F.lit(True))
+    error = F.when(open_, F.lit(None)).when(~whole, F.concat(F.lit("unsupported method "), method)).when(key.isNull(), "no key").when(plain.isNull(), "not decrypted")
+    return F.struct(F.when(open_, body).when(whole, plain).alias("body"), error.cast("string").alias("error"))
+
+
 def pack_stamp(pts: Column, prefix: int = 2) -> Column:
     """The 40-bit field of a 33-bit time stamp: prefix and three parts, each followed by a marker bit."""
     part = lambda low, bits: F.shiftright(pts, low).bitwiseAND(F.lit((1 << bits) - 1))

@@ -36,6 +36,31 @@ def segment_at(probes: DataFrame, segments: DataFrame, keys: list[str], t: str,
     return out.select(*probes.columns, hit.alias(seq))
 
 
+def by_sequence(probes: DataFrame, segments: DataFrame, keys: list[str], seq: str, take: list[str]) -> DataFrame:
+    """Each probe with the columns `take` of the segment of its number; null outside the list."""
+    return probes.join(segments.select(*keys, seq, *take), [*keys, seq], "left")
+
+
+def reanchor(positions: DataFrame, segments: DataFrame, keys: list[str], t: str, start: str, length: str, seq: str, past_end: str = "last") -> DataFrame:
+    """Positions (keys, t, their own seq) with the number to go on from in another list of segments: the one that t is in; past
+    its end the last one (past_end='last') or the position's own ('same')."""
+    own = positions.withColumnRenamed(seq, "__own")
+    found = segment_at(own, segments, keys, t, start, length, seq)
+    if past_end == "last":
+        found = found.join(segments.groupBy(*keys).agg(F.max_by(seq, F.struct(start, seq)).alias("__last")), keys, "left")
+        return found.withColumn(seq, F.coalesce(seq, "__last")).drop("__own", "__last")
+    return found.withColumn(seq, F.coalesce(seq, "__own")).drop("__own")
+
+
+def by_uri(rows: DataFrame, bodies: DataFrame, uri: str, name: str, most: int = 100_000) -> DataFrame:
+    """rows with the body of the uri they name (bodies: uri, body; one each is used), null without one. The distinct uris in use
+    are broadcast if there are at most `most`; else a join does it."""
+    wanted = rows.where(F.col(uri).isNotNull()).select(F.col(uri).alias("__uri")).distinct()
+    known = bodies.select(F.col("uri").alias("__uri"), F.col("body").alias(name)).join(wanted, "__uri", "left_semi").groupBy("__uri").agg(F.min(name).alias(name))
+    few = known.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(known) if few else known, F.col(uri) == F.col("__uri"), "left").drop("__uri")
+
+
 def follow(changes: DataFrame, groups: DataFrame, keys: list[str], on: str, value: str, order: list[str], key: list[str]) -> DataFrame:
     """Each change with the value of its group if there is one, else the value that held before."""
     found = changes.join(groups.select(*keys, on, value), [*keys, on], "left")

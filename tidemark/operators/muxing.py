@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.framing import big_endian, joined
-from tidemark.functions.scalars import pack_clock
+from tidemark.functions.framing import big_endian, joined, language_descriptor, pat, pes_unit, pmt, pointed, registration_descriptor
+from tidemark.functions.scalars import language_code, pack_clock
 from tidemark.operators.lookup import as_of
 from tidemark.operators.ordered import Log
+from tidemark.operators.scan import bucket_starts
 from tidemark.operators.selection import merge_streams
 
 #: Bytes of a packet after its header; flags of an adaptation field.
@@ -59,3 +60,80 @@ def interleave(video: DataFrame, others: list[DataFrame], keys: list[str], at: s
     times = video.select(*keys, F.col(at).alias("bucket")).distinct()
     routed = [as_of(x, times, keys, at, "bucket", ["bucket"], clamp=True) for x in others]
     return merge_streams([(x, i) for i, x in enumerate([video.withColumn("bucket", F.col(at)), *routed])], keys, at, order)
+
+
+#: Pids of the tables; stream type of private units; stream ids of video, of the first audio stream and of subtitles; the format name of timed text.
+PAT_PID, PMT_PID, PRIVATE_TYPE = 0, 0x1000, 0x06
+VIDEO_ID, AUDIO_ID, PRIVATE_ID, TEXT_FORMAT = 0xE0, 0xC0, 0xBD, "VTT "
+
+
+def mux(samples: DataFrame, log: Log, part: str, versions: DataFrame | None = None, clock_at_keys: bool = False) -> DataFrame:
+    """Samples to transport packets: (keys, part, place, pid, packets, body), bodies to be joined in that order.
+
+    samples: the keys of log, part (a chunk of the output, in the order of log), kind (video, audio or text), rank (0 for video, then
+    one number for each other stream), pid, type, language, pts, dts, data, is_key, and the order of log within a part.
+    Every part begins with both tables; then come the units by decoding time (other streams: by pts), then rank. The first packet of
+    a picture has the clock (clock_at_keys: of key pictures only). Audio streams have ids from 0xC0 on, text ones 0xBD and a
+    registration. versions: (keys, part, version, fresh): the tables' version, 0 without a row; fresh marks the first picture's break.
+    """
+    keys = [*log.keys, part]
+    at = F.when(F.col("kind") == "video", F.col("dts")).otherwise(F.col("pts"))
+    rows = samples.withColumn("__at", at)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("__at", "rank", *log.order)) + 1)
+    told = F.when(F.col("kind") == "text", registration_descriptor(TEXT_FORMAT)).otherwise(F.lit(b""))
+    described = F.concat(F.when(F.col("language").isNotNull(), language_descriptor(language_code(F.col("language")))).otherwise(F.lit(b"")), told)
+    streams = rows.groupBy(*keys, "rank").agg(F.first("type").alias("type"), F.first("pid").alias("pid"), F.first(described).alias("descriptors"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "type", "pid", "descriptors")))
+    tables = streams.groupBy(*keys).agg(listed.alias("streams"))
+    if versions is not None:
+        tables = tables.join(versions.select(*keys, "version", "fresh"), keys, "left")
+    else:
+        tables = tables.withColumns({"version": F.lit(0), "fresh": F.lit(False)})
+    tables = tables.withColumn("version", F.coalesce("version", F.lit(0)))
+    entries = F.transform("streams", lambda s: F.struct(s["type"].alias("type"), s["pid"].alias("pid"), s["descriptors"].alias("descriptors")))
+    pair = F.array(
+        F.struct(F.lit(0).alias("place"), F.lit(PAT_PID).alias("pid"), pointed(pat(F.lit(1), F.lit(PMT_PID), F.col("version"))).alias("data")),
+        F.struct(F.lit(1).alias("place"), F.lit(PMT_PID).alias("pid"), pointed(pmt(F.lit(1), F.element_at("streams", 1)["pid"], entries, F.col("version"))).alias("data")),
+    )
+    none = {"pcr": F.lit(None).cast("bigint"), "key": F.lit(False), "break": F.lit(False)}
+    heads = tables.select(*keys, F.explode(pair).alias("t")).select(*keys, "t.place", "t.pid", "t.data").withColumns(none)
+    video = F.col("kind") == "video"
+    stream_id = F.when(video, VIDEO_ID).when(F.col("kind") == "audio", F.lit(AUDIO_ID - 1) + F.col("rank")).otherwise(PRIVATE_ID)
+    unit = pes_unit(stream_id, F.col("pts"), F.when(video, F.col("dts")).otherwise(F.col("pts")), F.coalesce("data", F.lit(b"")), ~video, F.col("kind") != "text")
+    key = video & F.coalesce(F.col("is_key"), F.lit(False))
+    first = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("place")) == 1
+    units = rows.withColumns({"__unit": unit, "pcr": F.when(key if clock_at_keys else video, F.col("dts")), "key": key, "__first": video & first})
+    units = units.join(tables.select(*keys, "fresh"), keys) if versions is not None else units.withColumn("fresh", F.lit(False))
+    units = units.withColumn("break", F.col("__first") & F.coalesce("fresh", F.lit(False)))
+    units = units.select(*keys, "place", "pid", F.col("__unit").alias("data"), "pcr", "key", "break")
+    return packetize(heads.unionByName(units), Log(log.keys, (part, "place"))).select(*keys, "place", "pid", "packets", "body")
+
+
+def streams_of(muxed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, body) of muxed units: the bytes of each part end to end. A group is one part of the output."""
+    parts = F.array_sort(F.collect_list(F.struct("place", "body")))
+    return muxed.groupBy(*keys).agg(joined(F.transform(parts, lambda x: x["body"])).alias("body"))
+
+
+def inline_rows(video: DataFrame, others: list[DataFrame], keys: list[str], order: list[str], width: int) -> DataFrame:
+    """Video and other streams as one, with the part of each row, for stretches of video of about `width` ticks.
+
+    A part begins with a picture that is width or more after the first of the part before; other rows go to the part of the
+    latest such picture at or before their pts, those before the first to the first. Without video the part is null.
+    """
+    rows = bucket_starts(video, Log(tuple(keys), ("dts", *order)), "dts", width, "part")
+    times = rows.select(*keys, F.col("part").alias("__start")).distinct()
+    for x in others:
+        rows = rows.unionByName(as_of(x, times, keys, "pts", "__start", ["__start"], clamp=True).withColumnRenamed("__start", "part"))
+    return rows
+
+
+def inline(video: DataFrame, others: list[DataFrame], keys: list[str], order: list[str], width: int) -> DataFrame:
+    """The rows of inline_rows, muxed part by part (see mux for the columns)."""
+    return mux(inline_rows(video, others, keys, order, width), Log(tuple(keys), tuple(order)), "part")
+
+
+def payload_of(units: DataFrame, kind: str) -> DataFrame:
+    """(seq, body): the payloads of one kind of demuxed units end to end, as elementary output has them. A group is one body."""
+    parts = F.array_sort(F.collect_list(F.struct("first", "payload")))
+    return units.where(F.col("kind") == kind).groupBy("seq").agg(joined(F.transform(parts, lambda x: x["payload"])).alias("body"))

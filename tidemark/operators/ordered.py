@@ -61,12 +61,21 @@ def bind_to_next(df: DataFrame, log: Log, is_target: Column, flags: dict[str, Co
     return run.withColumns({k: F.max(v.cast("int")).over(by).cast("bigint") for k, v in flags.items()}).where(is_target).drop("__run")
 
 
-def chained_offset(df: DataFrame, log: Log, explicit: Column, length: str, name: str = "offset") -> DataFrame:
-    """Explicit offsets where given; else the end of the element before; null before the first explicit one."""
+def chained_offset(df: DataFrame, log: Log, explicit: Column, length: str, name: str = "offset", resource: str | None = None) -> DataFrame:
+    """Explicit offsets where given; else the end of the element before; null before the first explicit one.
+
+    resource: a column that ends a chain: after an element without a length, whose resource isn't that of the last one with
+    a length, there is no end to go on from until the next explicit offset.
+    """
     run = df.withColumns({"__given": explicit, "__run": F.sum(explicit.isNotNull().cast("int")).over(log.so_far)})
     inner = log.within("__run")
     start = F.first("__given").over(inner.so_far) + F.coalesce(F.sum(length).over(inner.before), F.lit(0))
-    return run.withColumn(name, start.cast("bigint")).drop("__given", "__run")
+    if resource is not None:
+        other = F.col(length).isNull() & (F.last(F.when(F.col(length).isNotNull(), F.col(resource)), ignorenulls=True).over(inner.before) != F.col(resource))
+        run = run.withColumn("__other", other)
+        start = F.when(~F.coalesce(F.max("__other").over(inner.so_far), F.lit(False)), start)
+    out = run.withColumn(name, start.cast("bigint")).drop("__given", "__run")
+    return out.drop("__other") if resource is not None else out
 
 
 def runs(df: DataFrame, log: Log, starts: Column, aggs: dict[str, Column], run: str = "run") -> DataFrame:
@@ -80,46 +89,75 @@ def in_order(order: tuple[str, ...], *values: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*order, *values)))
 
 
-def ewma(samples: Column, half_lives: tuple[float, ...], weight: Callable, value: Callable) -> Column:
-    """Bias-corrected exponentially weighted means of a sorted array, one for each half-life, as an array of doubles."""
+#: Rows of a chunk that is folded as one array.
+CHUNK = 512
+
+
+def ewma_of(df: DataFrame, log: Log, half_lives: tuple[float, ...], weight: Column, value: Column) -> DataFrame:
+    """(keys, means, weight) of each key's log: bias-corrected exponentially weighted means, one for each half-life.
+
+    A mean over two stretches is that of the later one plus the earlier one faded by the later one's weight, so stretches of
+    CHUNK rows are folded on their own and then combined: no array holds a key's whole log.
+    """
+    rows = df.select(*log.keys, *log.order, weight.alias("__w"), value.alias("__v")).where("__w is not null and __v is not null")
+    rows = rows.withColumn("__chunk", F.floor((F.row_number().over(log.window) - 1) / CHUNK))
+    own = F.array_sort(F.collect_list(F.struct(*log.order, F.col("__w").alias("w"), F.col("__v").alias("v"))))
     zero = F.struct(*(F.lit(0.0).alias(f"e{i}") for i in range(len(half_lives))), F.lit(0.0).alias("w"))
+    fade = lambda h, w: F.pow(F.lit(0.5 ** (1 / h)), w)
+    step = lambda a, x: F.struct(*((x["v"] * (1 - fade(h, x["w"])) + fade(h, x["w"]) * a[f"e{i}"]).alias(f"e{i}") for i, h in enumerate(half_lives)), (a["w"] + x["w"]).alias("w"))
+    join = lambda a, x: F.struct(*((x["s"][f"e{i}"] + fade(h, x["s"]["w"]) * a[f"e{i}"]).alias(f"e{i}") for i, h in enumerate(half_lives)), (a["w"] + x["s"]["w"]).alias("w"))
+    parts = rows.groupBy(*log.keys, "__chunk").agg(F.aggregate(own, zero, step).alias("s"))
+    whole = parts.groupBy(*log.keys).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("__chunk", "s"))), zero, join).alias("a"))
+    left = lambda h: 1 - fade(h, F.col("a.w"))
+    means = F.array(*(F.when(left(h) == 0, F.col(f"a.e{i}")).otherwise(F.col(f"a.e{i}") / left(h)) for i, h in enumerate(half_lives)))
+    return whole.select(*log.keys, means.alias("means"), F.col("a.w").alias("weight"))
 
-    def step(a: Column, x: Column) -> Column:
-        w, v = weight(x), value(x)
-        terms = []
-        for i, h in enumerate(half_lives):
-            q = F.pow(F.lit(0.5 ** (1 / h)), w)
-            terms.append((v * (1 - q) + q * a[f"e{i}"]).alias(f"e{i}"))
-        return F.struct(*terms, (a["w"] + w).alias("w"))
 
-    def done(a: Column) -> Column:
-        found = []
-        for i, h in enumerate(half_lives):
-            left = 1 - F.pow(F.lit(0.5 ** (1 / h)), a["w"])
-            found.append(F.when(left == 0, a[f"e{i}"]).otherwise(a[f"e{i}"] / left))
-        return F.array(*found)
+#: The shortest time a sample counts as (ms), the weight from which an estimate counts, the delay assumed before, the least delay.
+LEAST_MS, ENOUGH, FIRST_DELAY, LEAST_DELAY = 50.0, 0.001, 100.0, 5.0
 
-    return F.aggregate(samples, zero, step, done)
+
+def bandwidth(df: DataFrame, log: Log, ms: Column, size: Column, ttfb: Column, half_lives: tuple[float, float] = (3.0, 9.0), first: float = 500_000.0) -> DataFrame:
+    """(keys, can_estimate, estimate, ttfb) of each key's loads: bits a second as the lesser of a fast and a slow mean, and
+    the mean delay to the first byte; what is assumed before there are loads enough. A load without a delay leaves that mean alone."""
+    seconds = F.greatest(ms.cast("double"), F.lit(LEAST_MS)) / 1000
+    rates = ewma_of(df, log, half_lives, seconds, size * 8.0 / seconds).withColumnRenamed("weight", "rate_weight").withColumnRenamed("means", "rate")
+    heavy = F.sqrt(F.lit(2.0)) * F.exp(-F.pow(ttfb / 1000.0, F.lit(2.0)) / 2)
+    delays = ewma_of(df, log, half_lives[1:], heavy, F.greatest(ttfb.cast("double"), F.lit(LEAST_DELAY))).withColumnRenamed("weight", "delay_weight").withColumnRenamed("means", "delay")
+    both = df.select(*log.keys).distinct().join(rates, list(log.keys), "left").join(delays, list(log.keys), "left")
+    can = F.coalesce(F.col("rate_weight") >= ENOUGH, F.lit(False))
+    known = F.coalesce(F.col("delay_weight") >= ENOUGH, F.lit(False))
+    return both.select(*log.keys, can.alias("can_estimate"), F.when(can, F.least(F.col("rate")[0], F.col("rate")[1])).otherwise(first).alias("estimate"), F.when(known, F.col("delay")[0]).otherwise(FIRST_DELAY).alias("ttfb"))
 
 
 def watermark_dedup(df: DataFrame, log: Log, value: str, epoch_starts: Column, segment: str) -> DataFrame:
-    """Rows whose value is above all values of earlier segments of their epoch (an epoch begins at epoch_starts).
+    """Rows whose value is above the mark of earlier segments of their epoch (an epoch begins at epoch_starts): the value
+    of the last row kept in the last segment that kept any."""
+    from tidemark.operators.scan import above_last_kept
 
-    Exact for values that rise within a segment, as timed cues do.
-    """
     epochs = df.withColumn("epoch", F.coalesce(F.sum(epoch_starts.cast("int")).over(log.so_far), F.lit(0)).cast("bigint"))
-    by = Window.partitionBy(*log.keys, "epoch").orderBy(segment).rangeBetween(Window.unboundedPreceding, -1)
-    mark = F.max(value).over(by)
-    return epochs.withColumn("__mark", mark).where(F.col("__mark").isNull() | (F.col(value) > F.col("__mark"))).drop("__mark")
+    return above_last_kept(epochs, log, value, "epoch", segment, "__kept").where("__kept").drop("__kept")
 
 
 def running_max(df: DataFrame, log: Log, value: Column, name: str) -> DataFrame:
     return df.withColumn(name, F.max(value).over(log.so_far))
 
 
-def counter(df: DataFrame, log: Log, name: str, modulo: int) -> DataFrame:
-    """Numbers the rows of each key from 0, modulo a count."""
-    return df.withColumn(name, F.pmod(F.row_number().over(log.window) - 1, F.lit(modulo)).cast("bigint"))
+def counter(df: DataFrame, log: Log, name: str, modulo: int, stretch: Column | None = None) -> DataFrame:
+    """Numbers the rows of each key from 0, modulo a count.
+
+    stretch: a value that never falls in the order of the log (such as its hour). Rows are then numbered within their stretch,
+    from the number of rows in earlier ones, so that no task has a whole key.
+    """
+    if stretch is None:
+        return df.withColumn(name, F.pmod(F.row_number().over(log.window) - 1, F.lit(modulo)).cast("bigint"))
+    rows = df.withColumn("__stretch", stretch)
+    sums = rows.groupBy(*log.keys, "__stretch").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*log.keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    found = rows.join(sums, [*log.keys, "__stretch"])
+    number = F.col("__before") + F.row_number().over(log.within("__stretch").window) - 1
+    return found.withColumn(name, F.pmod(number, F.lit(modulo)).cast("bigint")).drop("__stretch", "__before")
 
 
 def spans(df: DataFrame, log: Log, at: str, name: str = "span", alone: int = 3600) -> DataFrame:
@@ -129,20 +167,6 @@ def spans(df: DataFrame, log: Log, at: str, name: str = "span", alone: int = 360
     return df.withColumn(name, F.coalesce(F.lead(at).over(log.window) - F.col(at), mean).cast("bigint"))
 
 
-def anchored_buckets(times: Column, width: int) -> Column:
-    """Starts of buckets over a sorted array of times: one begins when a time is width or more after the last start.
-
-    Not a fixed grid, so a fold: struct<start, n>, the last start and how many buckets there are.
-    """
-    zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("n"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = a["start"].isNull() | (x >= a["start"] + width)
-        return F.when(new, F.struct(x.alias("start"), (a["n"] + 1).alias("n"))).otherwise(a)
-
-    return F.aggregate(times, zero, step)
-
-
 def changes(df: DataFrame, log: Log, value: Column, name: str, modulo: int) -> DataFrame:
     """How often value has changed so far, modulo a count."""
     was = F.lag(value).over(log.window)

@@ -40,15 +40,15 @@ def first_of(rows: DataFrame, keys: list[str], preferred: Column, order: list[st
 
 
 def static_picks(ladder: DataFrame, key: str, rate: str, pos: str, index: int, cap: int) -> DataFrame:
-    """By key: the lowest, the highest, the one at an index (the last if there are fewer), and the highest at most cap, else the lowest."""
-    steps = F.array_sort(F.collect_list(F.struct(rate, pos)))
-    rows = ladder.groupBy(key).agg(steps.alias("s"))
-    under = F.filter("s", lambda x: x[rate] <= cap)
-    return rows.select(
-        key, F.element_at("s", 1)[pos].alias("lowest"), F.element_at("s", -1)[pos].alias("highest"),
-        F.element_at("s", F.least(F.lit(index + 1), F.size("s")))[pos].alias("seventh"),
-        F.coalesce(F.try_element_at(under, F.lit(-1))[pos], F.element_at("s", 1)[pos]).alias("under"),
-    )
+    """By key: the lowest, the highest, the one at an index (the last if there are fewer), and the highest at most cap, else the lowest.
+
+    Aggregates and a bounded rank, so no key's ladder is ever held whole.
+    """
+    step = F.struct(rate, pos)
+    ends = ladder.groupBy(key).agg(F.min(step).alias("low"), F.max(step).alias("high"), F.max(F.when(F.col(rate) <= cap, step)).alias("capped"))
+    ranked = ladder.select(key, rate, pos).withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(rate, pos))).where(F.col("__r") <= index + 1)
+    at = ranked.groupBy(key).agg(F.max_by(pos, "__r").alias("seventh"))
+    return ends.join(at, key).select(key, F.col(f"low.{pos}").alias("lowest"), F.col(f"high.{pos}").alias("highest"), "seventh", F.coalesce(F.col(f"capped.{pos}"), F.col(f"low.{pos}")).alias("under"))
 
 
 def assign_numbers(have: DataFrame, key: str, name: str, wanted: list[str], base: int) -> DataFrame:
@@ -68,17 +68,35 @@ def merge_streams(streams: list[tuple[DataFrame, int]], keys: list[str], at: str
     return out.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(at, "rank", *order)).cast("bigint"))
 
 
-def anchors(parts: DataFrame, log: Log, first: str, span: str, n: str, lone: int = 1920) -> DataFrame:
+def anchors(parts: DataFrame, log: Log, first: str, span: str, n: str, lone: int = 1920, duration: Column | None = None) -> DataFrame:
     """Where each part begins if parts follow each other without gaps: the first at its own time, each next one a frame
-    after the end of the one before."""
+    after the end of the one before. An empty part has no anchor; with a duration (seconds) it takes that long, once there
+    is a part before it."""
+    some = F.col(n) > 0
     frame = F.when(F.col(n) > 1, F.floor(F.col(span) / (F.col(n) - 1))).otherwise(lone)
-    rows = parts.withColumn("__length", F.col(span) + frame)
-    start = F.first(first).over(log.so_far) + F.coalesce(F.sum("__length").over(log.before), F.lit(0))
-    return rows.withColumn("anchor", start.cast("bigint")).drop("__length")
+    silent = F.floor(duration * 90_000 + 0.5) if duration is not None else F.lit(0)
+    rows = parts.withColumn("__first", F.first(F.when(some, F.col(first)), ignorenulls=True).over(log.so_far))
+    rows = rows.withColumn("__length", F.when(some, F.col(span) + frame).when(F.col("__first").isNotNull(), silent).otherwise(0))
+    start = F.col("__first") + F.coalesce(F.sum("__length").over(log.before), F.lit(0))
+    return rows.withColumn("anchor", F.when(some, start).cast("bigint")).drop("__length", "__first")
+
 
+def live_state(tip: Column, cursor: Column, target: int, sync: int, max_lag: int, offset: int, since: Column | None = None, live: Column | None = None, vod_buffer: int = 30) -> tuple[Column, Column, Column]:
+    """Lag behind the live edge, buffer left of the sync target, and where to skip to (null: nowhere).
 
-def live_state(tip: Column, cursor: Column, target: int, sync: int, max_lag: int, offset: int) -> tuple[Column, Column, Column]:
-    """Lag behind the live edge, buffer left of the sync target, and where to skip to (null: nowhere)."""
+    since: seconds since the list was loaded, by which the edge has moved on, up to one target duration. live: false for
+    lists that have ended, which lag nothing and have a constant buffer.
+    """
     lag = F.greatest(F.lit(0), tip - cursor + 1) * target
-    skip = F.when(lag > max_lag, F.greatest(cursor, tip - offset + 1))
-    return lag.cast("bigint"), F.greatest(F.lit(0), F.lit(sync) - lag).cast("bigint"), skip.cast("bigint")
+    if since is not None:
+        lag = lag + F.least(since, F.lit(target))
+    running = F.lit(True) if live is None else live
+    lag = F.when(running & (tip >= 0), lag).otherwise(0)
+    skip = F.when(running & (tip >= 0) & (lag > max_lag), F.greatest(cursor, tip - offset + 1))
+    kind = "bigint" if since is None else "double"
+    return lag.cast(kind), F.when(running, F.greatest(F.lit(0), F.lit(sync) - lag)).otherwise(vod_buffer).cast(kind), skip.cast("bigint")
+
+
+def initial_cursor(first: Column, last: Column, live: Column, offset: int = 6) -> Column:
+    """The number to begin with: the first one, or in a live list `offset` from its end."""
+    return F.when(live, F.greatest(first, last - offset + 1)).otherwise(first).cast("bigint")

@@ -2,45 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import lookup, ordered, selection
 from tidemark.operators.ordered import Log
+from tidemark.operators.scan import bucket_starts
+from tidemark.plans.registry import is_type, log, registry, table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 USER = Log(("user_id",), ("ts", "event_id"))
 TYPE = Log(("event_type",), ("ts", "event_id"))
 #: Bitrates of the ladder the level queries use.
 LADDER = [250_000, 460_000, 840_000, 2_150_000, 6_220_000]
-#: The same in SQL, and the log of events as all SQL below sees it.
+#: The same in SQL.
 SQL_LADDER = "(values (0, 250000), (1, 460000), (2, 840000), (3, 2150000), (4, 6220000)) l(i, rate)"
-SQL_LOG = "log as (select *, floor(value * 100 + 0.5)::bigint as dur, epoch_us(ts) as us, floor(epoch_us(ts) * 9 / 100)::bigint as dts from events)"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").withColumns({"dur": S.half_up(F.col("value") * 100), "us": us, "dts": F.floor(us * 9 / 100).cast("bigint")})
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql if sql.startswith("with ") else f"with {SQL_LOG} " + sql
-        return f
-
-    return add
-
-
-def is_type(name: str):
-    return F.col("event_type") == name
 
 
 @query("""select event_id, user_id, (row_number() over w - 1)::bigint as seq, coalesce(sum(dur) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as start, sum(dur) over (partition by user_id)::bigint as total
@@ -99,11 +75,11 @@ def run_assembly(spark, sf_dir):
 select user_id, round(s.a / (1 - pow(pow(0.5::double, 1 / 3.0::double), s.w)), 3) as fast, round(s.b / (1 - pow(pow(0.5::double, 1 / 9.0::double), s.w)), 3) as slow,
  round(least(s.a / (1 - pow(pow(0.5::double, 1 / 3.0::double), s.w)), s.b / (1 - pow(pow(0.5::double, 1 / 9.0::double), s.w))), 3) as estimate from f""")
 def ewma_dual(spark, sf_dir):
-    rows = log(spark, sf_dir).withColumn("bytes", (F.col("event_id") % 1000 + 1).cast("double"))
-    weight = lambda x: F.greatest(x["value"], F.lit(50.0)) / 1000
-    means = ordered.ewma(ordered.in_order(USER.order, "value", "bytes"), (3.0, 9.0), weight, lambda x: x["bytes"] * 8 / weight(x))
-    out = rows.groupBy("user_id").agg(means.alias("m"))
-    return out.select("user_id", F.round(F.col("m")[0], 3).alias("fast"), F.round(F.col("m")[1], 3).alias("slow"), F.round(F.least(F.col("m")[0], F.col("m")[1]), 3).alias("estimate"))
+    seconds = F.greatest(F.col("value"), F.lit(50.0)) / 1000
+    size = (F.col("event_id") % 1000 + 1).cast("double")
+    out = ordered.ewma_of(log(spark, sf_dir), USER, (3.0, 9.0), seconds, size * 8 / seconds)
+    m = F.col("means")
+    return out.select("user_id", F.round(m[0], 3).alias("fast"), F.round(m[1], 3).alias("slow"), F.round(F.least(m[0], m[1]), 3).alias("estimate"))
 
 
 @query(f""", u as (select user_id, sum(dur)::double * 200 / count(*) as bw, user_id % 5 as cur, (user_id % 7) * 2.0 as buf, user_id % 3 as low from log group by user_id),
@@ -141,8 +117,12 @@ def cap_level(spark, sf_dir):
 
 
 @query(""", e as (select *, sum((event_type = 'error')::int) over (partition by user_id order by ts, event_id)::bigint as epoch, us // 3600000000 as hour from log),
-m as (select *, max(dur) over (partition by user_id, epoch order by hour range between unbounded preceding and 1 preceding) as mark from e)
-select event_id, epoch from m where mark is null or dur > mark""")
+f as (select user_id, list_reduce(list_prepend({'e': -1::bigint, 'h': null::bigint, 'v': null::bigint, 'm': null::bigint, 'k': []::bigint[], 'i': null::bigint}, list({'e': epoch, 'h': hour, 'v': dur, 'm': null::bigint, 'k': []::bigint[], 'i': event_id} order by ts, event_id)),
+ lambda a, x: case when x.e <> a.e then {'e': x.e, 'h': x.h, 'v': x.v, 'm': null::bigint, 'k': case when x.v is null then a.k else list_append(a.k, x.i) end, 'i': null::bigint}
+  when x.v is not null and (case when x.h <> a.h then coalesce(a.v, a.m) else a.m end is null or x.v > case when x.h <> a.h then coalesce(a.v, a.m) else a.m end)
+   then {'e': x.e, 'h': x.h, 'v': x.v, 'm': case when x.h <> a.h then coalesce(a.v, a.m) else a.m end, 'k': list_append(a.k, x.i), 'i': null::bigint}
+  else {'e': x.e, 'h': x.h, 'v': case when x.h <> a.h then null else a.v end, 'm': case when x.h <> a.h then coalesce(a.v, a.m) else a.m end, 'k': a.k, 'i': null::bigint} end) as r from e group by user_id)
+select e.event_id, e.epoch from e join (select unnest(r.k) as event_id from f) k using (event_id)""")
 def dedup_watermark(spark, sf_dir):
     rows = log(spark, sf_dir).withColumn("hour", F.floor(F.col("us") / 3_600_000_000))
     return ordered.watermark_dedup(rows, USER, "dur", is_type("error"), "hour").select("event_id", "epoch")
@@ -182,8 +162,8 @@ def bucket_span(spark, sf_dir):
 @query(""", f as (select user_id, list_reduce(list_prepend({'s': null::bigint, 'n': 0::bigint}, list({'s': dts, 'n': 0::bigint} order by dts)), lambda a, x: case when a.s is null or x.s >= a.s + 7776000000 then {'s': x.s, 'n': a.n + 1} else a end) as r from log group by user_id)
 select user_id, r.s as last_start, r.n as buckets from f""")
 def bucket_anchor(spark, sf_dir):
-    found = log(spark, sf_dir).groupBy("user_id").agg(ordered.anchored_buckets(F.array_sort(F.collect_list("dts")), 7_776_000_000).alias("r"))
-    return found.select("user_id", F.col("r.start").alias("last_start"), F.col("r.n").alias("buckets"))
+    rows = bucket_starts(log(spark, sf_dir).select("user_id", "dts"), Log(("user_id",), ("dts",)), "dts", 7_776_000_000)
+    return rows.groupBy("user_id").agg(F.max("bucket").alias("last_start"), F.count_distinct("bucket").alias("buckets"))
 
 
 @query(""", v as (select user_id, us, event_id from log where event_type = 'view'), c as (select user_id, us, event_id from log where event_type = 'click')
@@ -203,7 +183,7 @@ def merge_dts(spark, sf_dir):
 
 @query("""select event_id, ((row_number() over (partition by event_type order by ts, event_id) - 1) % 16)::bigint as cc from log""")
 def cc_counter(spark, sf_dir):
-    return ordered.counter(log(spark, sf_dir), TYPE, "cc", 16).select("event_id", "cc")
+    return ordered.counter(log(spark, sf_dir), TYPE, "cc", 16, F.floor(F.col("us") / 3_600_000_000)).select("event_id", "cc")
 
 
 @query(""", l as (select *, dur // 10000 as level, lag(dur // 10000) over (partition by user_id order by ts, event_id) as was from log)
@@ -305,7 +285,9 @@ def sink_progress(spark, sf_dir):
     return log(spark, sf_dir).select("event_id", F.sum("dur").over(by).alias("bytes_written"), ahead.alias("ahead"))
 
 
-@query(None)
+@query("""with u as (select page_id, url, hex(encode(url)) as h from pages),
+b as (select page_id, url, [(('0x' || h[2 * (i // 8) + 1 : 2 * (i // 8) + 2])::bigint >> (7 - i % 8)) & 1 for i in range(4 * length(h))] as bits from u)
+select page_id, case when url is not null then list_reduce(list_prepend(4294967295::bigint, bits), lambda c, x: xor((c << 1) & 4294967295, case when xor(c >> 31, x) = 1 then 79764919 else 0 end)) end as crc from b""")
 def crc_mpeg2(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.crc32_mpeg2(F.col("url").cast("binary")).alias("crc"))
 

@@ -8,11 +8,12 @@ from tidemark.functions import framing, tables
 from tidemark.functions.scalars import crc32_mpeg2
 from tidemark.operators import muxing, ordered
 from tidemark.operators.ordered import Log
-from tidemark.plans.catalog import QUERIES, SQL, USER, is_type, log, query, table
+from tidemark.plans.catalog import USER
+from tidemark.plans.registry import is_type, log, registry, table
 from tidemark.sources import boxes, fetch, packets
 from tidemark.streaming import watermark
 
-__all__ = ["QUERIES", "SQL"]
+QUERIES, SQL, query = registry()
 
 
 @query("""select doc_id, (doc_id * 3600)::bigint as pts, ceil((octet_length(encode(text)) + 14) / 184.0)::bigint as n_packets, sha256(text) as payload_sha256 from documents where octet_length(encode(text)) >= 5""")
@@ -23,10 +24,8 @@ def ts_roundtrip(spark, sf_dir):
     data = framing.pes_unit(F.lit(0xE0), pts, pts, F.col("text"), F.lit(False))
     units = docs.select("seq", F.lit(256).alias("pid"), data.alias("data"), F.lit(None).cast("bigint").alias("pcr"), F.lit(False).alias("key"), F.lit(False).alias("break"))
     streams = muxing.packetize(units, Log(("seq",), ("pid",))).select("seq", "body")
-    rows = packets.packets(streams)
-    found = packets.pes(packets.assemble(rows)).select("seq", "pts", F.sha2("payload", 256).alias("payload_sha256"))
-    counts = rows.groupBy("seq").agg(F.count("*").alias("n_packets"))
-    return found.join(counts, "seq").select(F.col("seq").alias("doc_id"), "pts", "n_packets", "payload_sha256")
+    found = packets.pes(packets.assemble(packets.packets(streams)))
+    return found.select(F.col("seq").alias("doc_id"), "pts", "n_packets", F.sha2("payload", 256).alias("payload_sha256"))
 
 
 @query("""select doc_id, i::bigint as i, (least(1000, n - i * 1000) + 7)::bigint as size, (doc_id * 3600 + i * 1920)::bigint as pts from (select doc_id, octet_length(encode(text)) as n, unnest(range(0, (octet_length(encode(text)) + 999) // 1000)) as i from documents)""")
@@ -162,5 +161,5 @@ def dedup_stream(spark, sf_dir):
     path = f"{sf_dir}/event[s].parquet"
     schema = spark.read.parquet(path).schema
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    events = spark.readStream.schema(schema).parquet(path).where("value is not null").select("event_id", "user_id", F.floor(F.col("value") * 100 + 0.5).cast("bigint").alias("dur"), us.alias("us"), is_type("error").alias("error"))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path).where("value is not null").select("event_id", "user_id", F.floor(F.col("value") * 100 + 0.5).cast("bigint").alias("dur"), us.alias("us"), is_type("error").alias("error"))
     return watermark.drain(watermark.dedup(events, "user_id", "us", ["event_id"], "dur", "error"), "dedup-stream").select("event_id", "user_id", "dur")

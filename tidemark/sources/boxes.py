@@ -9,6 +9,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tidemark.functions.codec import audio_config, avc_config
+from tidemark.functions.framing import RATES, adts_header, is_key, length_prefixed, to_annex_b
 from tidemark.sources.packets import number
 
 #: Sample entries of pictures and audio; boxes that hold boxes, and the bytes before the first of these.
@@ -143,3 +144,39 @@ def samples(files: DataFrame) -> DataFrame:
         "seq", "track_id", (F.row_number().over(in_traf) - 1).alias("i"), (F.coalesce("start", F.lit(0)) + before).alias("dts"), "cts", "size",
         (F.coalesce("base", F.col("moof")) + F.coalesce("data_offset", F.lit(0)) + F.coalesce(F.sum("size").over(in_run), F.lit(0))).alias("offset"),
     )
+
+
+def first_track(tracks_: DataFrame, kind: str, on: list[str]) -> DataFrame:
+    """(on, track_id, timescale) of the first track of a kind ('vide' or 'soun')."""
+    top = F.min_by(F.struct("track_id", "timescale"), "track_id")
+    return tracks_.where(F.col("kind") == kind).groupBy(*on).agg(top.alias("t")).select(*on, "t.track_id", "t.timescale")
+
+
+def payloads(files: DataFrame, track: DataFrame, on: list[str]) -> DataFrame:
+    """(seq, track_id, i, dts, pts, need, data) of the samples of one track (see first_track), cut from files and in 90 kHz ticks.
+
+    need: by how much pts falls short of dts, 0 at least; a stream's shift is the greatest so far (see ordered.running_max).
+    on: what files and track share. A sample that its file doesn't hold whole is left out.
+    """
+    named = files.select("seq", *(c for c in on if c != "seq"), "body").join(track, on)
+    rows = samples(files).join(named.select("seq", "track_id", "timescale", "body"), ["seq", "track_id"])
+    rows = rows.where(F.col("offset") + F.col("size") <= F.length("body"))
+    scaled = lambda x: F.floor(x * 90_000 / F.col("timescale") + 0.5).cast("bigint")
+    dts, pts = scaled(F.col("dts")), scaled(F.col("dts") + F.col("cts"))
+    data = F.substring("body", F.col("offset").cast("int") + 1, F.col("size").cast("int"))
+    return rows.select("seq", "track_id", "i", dts.alias("dts"), pts.alias("pts"), F.greatest(F.lit(0), dts - pts).alias("need"), data.alias("data"))
+
+
+def pictures(rows: DataFrame, avc: Column, shift: Column) -> DataFrame:
+    """Rows of payloads as pictures: data between start codes, the parameter sets first in key ones, is_key, and pts moved by shift."""
+    nals = length_prefixed("data", avc["length_size"])
+    own = rows.withColumn("__nals", nals)
+    sets = F.concat(avc["sps"], avc["pps"])
+    return own.select("seq", "i", "dts", (F.col("pts") + shift).alias("pts"), is_key(F.col("__nals")).alias("is_key"), to_annex_b(F.col("__nals"), sets).alias("data"))
+
+
+def audio_frames(rows: DataFrame, audio: Column) -> DataFrame:
+    """Rows of payloads as audio frames with their headers; pts is dts. audio: the struct of the track's configuration."""
+    index = F.array_position(F.array(*map(F.lit, RATES)), audio["rate"]) - 1
+    head = adts_header(audio["object_type"], index, audio["channels"], F.length("data"))
+    return rows.select("seq", "i", F.col("dts").alias("pts"), F.concat(head, "data").alias("data"))

@@ -11,6 +11,7 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
@@ -72,3 +73,14 @@ def fetch(requests: DataFrame, retries: int = 4, base_ms: float = 200, most_ms:
                 yield pd.DataFrame([(row.uri, row.offset, row.length, *one(row.uri, row.offset, row.length))], columns=names).astype({"offset": "Int64", "length": "Int64", "status": "Int32"})
 
     return requests.select("uri", "offset", "length").mapInPandas(run, SCHEMA)
+
+
+def texts(fetched: DataFrame) -> DataFrame:
+    """(uri, text) of fetched bodies, named by where they were found in the end, so that relative uris resolve; bytes that aren't
+    UTF-8 become replacement characters; failed fetches are left out."""
+    return fetched.where("body is not null").select(F.coalesce("final_uri", "uri").alias("uri"), F.make_valid_utf8("body").cast("string").alias("text"))
+
+
+def bodies(fetched: DataFrame) -> DataFrame:
+    """(uri, body) of fetched bodies by the uri asked for, as keys and init sections are looked up (see lookup.by_uri)."""
+    return fetched.where("body is not null").select("uri", "body")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.framing import joined
 from tidemark.functions.scalars import unpack_stamp
+from tidemark.functions.tables import map_entries, program_map
 from tidemark.operators.ordered import Log
 
 SIZE, SYNC = 188, 0x47
@@ -33,11 +34,12 @@ def packets(streams: DataFrame) -> DataFrame:
 
 
 def assemble(rows: DataFrame) -> DataFrame:
-    """(seq, pid, run, data): payloads of one pid joined from each start to the next. A group is one unit, never a stream."""
+    """(seq, pid, run, data, first, n_packets): payloads of one pid joined from each start to the next, the number of its first
+    packet and of packets with a payload. A group is one unit, never a stream."""
     order = Log(("seq", "pid"), ("i",))
     numbered = rows.where("payload is not null").withColumn("run", F.coalesce(F.sum(F.col("starts").cast("int")).over(order.so_far), F.lit(0)))
     parts = F.array_sort(F.collect_list(F.struct("i", "payload")))
-    return numbered.groupBy("seq", "pid", "run").agg(joined(F.transform(parts, lambda x: x["payload"])).alias("data"))
+    return numbered.groupBy("seq", "pid", "run").agg(joined(F.transform(parts, lambda x: x["payload"])).alias("data"), F.min("i").alias("first"), F.count("*").alias("n_packets"))
 
 
 def pes(units: DataFrame) -> DataFrame:
@@ -52,3 +54,39 @@ def pes(units: DataFrame) -> DataFrame:
     dts = F.when(flags.bitwiseAND(F.lit(0x40)) > 0, unpack_stamp(number(d, 14, 5)))
     rows = rows.withColumns({"pts": pts, "dts": F.coalesce(dts, pts), "payload": F.substring(d, (number(d, 8, 1) + 10).cast("int"), F.length(d))})
     return rows.withColumn("pts", F.when(F.col("pts") - F.col("dts") > 60 * 90_000, F.col("dts")).otherwise(F.col("pts"))).drop("data")
+
+
+def sections(units: DataFrame) -> DataFrame:
+    """units with `section`, their data behind its pointer field."""
+    d = F.col("data")
+    return units.withColumn("section", F.substring(d, (number(d, 0, 1) + 2).cast("int"), F.length(d)))
+
+
+def programs(units: DataFrame) -> DataFrame:
+    """(seq, pmt_pid, since, video_pid, video_codec, audio_pid, audio_codec, id3_pid, error): the first program of the first
+    association table of each stream, and its first map. since: the packet of the map; streams without either are left out."""
+    first = lambda rows: rows.groupBy("seq").agg(F.min_by(F.struct("section", "first"), "first").alias("u"))
+    tables_ = sections(units)
+    pats = first(tables_.where("pid = 0")).select("seq", number(F.col("u.section"), 10, 2).bitwiseAND(F.lit(0x1FFF)).alias("pmt_pid"), F.col("u.first").alias("pat_at"))
+    maps = tables_.join(pats.where("pmt_pid is not null"), "seq").where("pid = pmt_pid and first > pat_at")
+    found = maps.groupBy("seq", "pmt_pid").agg(F.min_by(F.struct("section", "first"), "first").alias("u"))
+    read = found.select("seq", "pmt_pid", F.col("u.first").alias("since"), map_entries(F.col("u.section")).alias("e"))
+    read = read.select("seq", "pmt_pid", "since", program_map(F.col("e")).alias("m"))
+    return read.select("seq", "pmt_pid", "since", "m.video_pid", "m.video_codec", "m.audio_pid", "m.audio_codec", "m.id3_pid", "m.error")
+
+
+def demux(streams: DataFrame) -> DataFrame:
+    """(seq, kind, codec, pid, first, pts, dts, payload, n_packets) of the elementary units of streams (seq, body), found through
+    the association table and the program map. Units of other pids, and those that begin before the map, are left out."""
+    units = assemble(packets(streams))
+    known = programs(units)
+    named = units.join(known, "seq").where(F.col("first") > F.col("since"))
+    kind = F.when(F.col("pid") == F.col("video_pid"), "video").when(F.col("pid") == F.col("audio_pid"), "audio").when(F.col("pid") == F.col("id3_pid"), "id3")
+    codec = F.when(F.col("pid") == F.col("video_pid"), F.col("video_codec")).when(F.col("pid") == F.col("audio_pid"), F.col("audio_codec"))
+    named = named.withColumns({"kind": kind, "codec": codec}).where("kind is not null")
+    return pes(named).select("seq", "kind", "codec", "pid", "first", "pts", "dts", "payload", "n_packets")
+
+
+def malformed(streams: DataFrame) -> DataFrame:
+    """(seq, n_packets, n_malformed) of each stream's whole packets."""
+    return packets(streams).groupBy("seq").agg(F.count("*").alias("n_packets"), F.count_if("malformed").alias("n_malformed"))

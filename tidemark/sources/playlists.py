@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import attributes, leading_int
+from tidemark.functions.scalars import attributes, hex_value, leading_float, leading_int
 from tidemark.operators.ordered import Log, carry, chained_offset
+from tidemark.sources.fetch import resolve_url
 
 LINES = Log(("uri",), ("pos",))
 
@@ -30,66 +31,119 @@ def _attribute(attrs: Column, name: str) -> Column:
     return F.nullif(F.try_element_at(attrs, F.lit(name)), F.lit(""))
 
 
-def _runs(rows: DataFrame) -> DataFrame:
-    """rows with `run`, the number of uri lines before each line: a run ends at its uri."""
-    own = (F.col("line") != "") & ~F.startswith("line", F.lit("#"))
-    marked = rows.withColumn("is_uri", own)
+def _uris(playlists: DataFrame) -> DataFrame:
+    """lines of playlists that begin with the magic, with is_uri and `run`, the number of uri lines before each line."""
+    rows = lines(playlists.where(F.startswith("text", F.lit("#EXTM3U"))))
+    marked = rows.withColumn("is_uri", (F.col("line") != "") & ~F.startswith("line", F.lit("#")))
     return marked.withColumn("run", F.coalesce(F.sum(F.col("is_uri").cast("int")).over(LINES.before), F.lit(0)))
 
 
+def key_of(text: Column) -> Column:
+    """struct<method, uri, iv, format, versions> of a key tag: a method other than the two known ones is NONE."""
+    a = attributes(text)
+    method = F.when(_attribute(a, "METHOD").isin("AES-128", "SAMPLE-AES"), _attribute(a, "METHOD")).otherwise("NONE")
+    fields = F.struct(method.alias("method"), _attribute(a, "URI").alias("uri"), hex_value(_attribute(a, "IV")).alias("iv"), _attribute(a, "KEYFORMAT").alias("format"), _attribute(a, "KEYFORMATVERSIONS").alias("versions"))
+    return F.when(text.isNotNull(), fields)
+
+
+def byte_range(text: Column) -> tuple[Column, Column]:
+    """(length, offset) of length[@offset]; the length is null where either isn't a number."""
+    offset = leading_int(F.when(F.contains(text, F.lit("@")), F.substring_index(text, "@", -1)))
+    return F.when(offset.isNotNull() | ~F.contains(text, F.lit("@")), leading_int(F.substring_index(text, "@", 1))), offset
+
+
 def media_segments(playlists: DataFrame) -> DataFrame:
     """One row for each segment: uri, index, media_sequence, segment_uri, duration, start_time_sec, title, byte_length,
-    byte_offset, discontinuity, key (attributes, carried on until replaced), init_uri, program_date_time.
+    byte_offset, discontinuity, key (see key_of), init_uri, init_length, init_offset, program_date_time.
 
-    Tags before a uri line bind to it; a key or init section holds until the next; a byte range without an offset starts
-    where the one before ended; a duration that isn't a number is 0; an unreadable date is null.
+    A uri line is a segment if a length tag stands between it and the uri line before. Tags since the last segment bind to it;
+    a key or init section holds until the next; a byte range without an offset starts where the last one ended, unless a
+    segment of another uri without a range stands between, and is dropped where there is no such end. A duration is the number
+    that its text begins with, else 0; an unreadable date is null. Uris are resolved against the playlist's. A text without the
+    magic has no segments. Of several ranges before one segment, one with an offset counts before one without, then the last.
     """
-    rows = _runs(lines(playlists))
+    rows = _uris(playlists)
+    in_run = Window.partitionBy("uri", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("is_segment", F.col("is_uri") & F.max(F.startswith("line", F.lit("#EXTINF:"))).over(in_run))
+    rows = rows.withColumn("run", F.coalesce(F.sum(F.col("is_segment").cast("int")).over(LINES.before), F.lit(0)))
+    maps = attributes(tag("EXT-X-MAP"))
     rows = carry(rows, LINES, tag("EXT-X-KEY"), "key_text")
-    rows = carry(rows, LINES, tag("EXT-X-MAP"), "map_text")
+    rows = carry(rows, LINES, F.when(_attribute(maps, "URI").isNotNull(), F.struct(_attribute(maps, "URI").alias("uri"), _attribute(maps, "BYTERANGE").alias("range"))), "init")
     rows = carry(rows, LINES, leading_int(tag("EXT-X-MEDIA-SEQUENCE")), "base")
-    of_run = Window.partitionBy("uri", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inf, ranged, date = tag("EXTINF"), tag("EXT-X-BYTERANGE"), tag("EXT-X-PROGRAM-DATE-TIME")
+    inf, date = tag("EXTINF"), F.try_to_timestamp(tag("EXT-X-PROGRAM-DATE-TIME"))
+    length, offset = byte_range(tag("EXT-X-BYTERANGE"))
+    ranged = F.when(length.isNotNull(), F.struct(length.alias("length"), offset.alias("offset")))
+    last = lambda value: F.last(value, ignorenulls=True).over(in_run)
     rows = rows.withColumns({
-        "inf": F.last(inf, ignorenulls=True).over(of_run), "ranged": F.last(ranged, ignorenulls=True).over(of_run), "date": F.last(date, ignorenulls=True).over(of_run),
-        "discontinuity": F.max(F.col("line") == "#EXT-X-DISCONTINUITY").over(of_run),
+        "inf": last(inf), "title": last(F.nullif(F.regexp_extract(inf, "^[^,]*,(.*)$", 1), F.lit(""))), "date": last(date),
+        "ranged": F.coalesce(last(F.when(offset.isNotNull(), ranged)), last(ranged)), "discontinuity": F.max(F.col("line") == "#EXT-X-DISCONTINUITY").over(in_run),
     })
-    segments = rows.where("is_uri").withColumns({
-        "duration": F.coalesce(F.substring_index("inf", ",", 1).try_cast("double"), F.lit(0.0)),
-        "title": F.nullif(F.regexp_extract("inf", "^[^,]*,(.*)$", 1), F.lit("")),
-        "byte_length": leading_int(F.col("ranged")), "given": F.nullif(F.regexp_extract("ranged", "@([0-9]+)", 1), F.lit("")).try_cast("bigint"),
+    segments = rows.where("is_segment").withColumns({
+        "segment_uri": resolve_url("uri", "line"), "duration": F.coalesce(leading_float(F.substring_index("inf", ",", 1)), F.lit(0.0)),
+        "length": F.col("ranged.length"), "given": F.col("ranged.offset"),
     })
-    segments = chained_offset(segments, LINES, F.when(F.col("byte_length").isNull(), F.lit(None)).otherwise(F.col("given")), "byte_length", "byte_offset")
+    segments = chained_offset(segments, LINES, F.col("given"), "length", "byte_offset", resource="segment_uri")
     index = F.row_number().over(LINES.window) - 1
+    init_length, init_offset = byte_range(F.col("init.range"))
+    # Python functions can't stand inside conditions, so uris are resolved as columns of their own; null stays null.
+    segments = segments.withColumns({"own_key": key_of(F.col("key_text")), "init_text": F.col("init.uri")}).withColumn("key_text", F.col("own_key.uri"))
+    segments = segments.withColumns({"key_uri": resolve_url("uri", "key_text"), "init_uri": resolve_url("uri", "init_text")})
+    key = F.col("own_key")
+    whole = init_length.isNotNull() & init_offset.isNotNull()
     return segments.select(
-        "uri", index.alias("index"), (F.coalesce("base", F.lit(0)) + index).cast("bigint").alias("media_sequence"), F.col("line").alias("segment_uri"), "duration",
+        "uri", index.alias("index"), (F.coalesce("base", F.lit(0)) + index).cast("bigint").alias("media_sequence"), "segment_uri", "duration",
         F.coalesce(F.sum("duration").over(LINES.before), F.lit(0.0)).alias("start_time_sec"), "title",
-        F.when(F.col("byte_offset").isNotNull(), F.col("byte_length")).alias("byte_length"), F.when(F.col("byte_length").isNotNull(), F.col("byte_offset")).alias("byte_offset"),
-        "discontinuity", attributes(F.col("key_text")).alias("key"), _attribute(attributes(F.col("map_text")), "URI").alias("init_uri"), F.try_to_timestamp("date").alias("program_date_time"),
+        F.when(F.col("byte_offset").isNotNull(), F.col("length")).alias("byte_length"), F.when(F.col("length").isNotNull(), F.col("byte_offset")).alias("byte_offset"),
+        "discontinuity", F.when(key.isNotNull(), key.withField("uri", F.col("key_uri"))).alias("key"),
+        "init_uri", F.when(whole, init_length).alias("init_length"), F.when(whole, init_offset).alias("init_offset"),
+        F.col("date").alias("program_date_time"),
     )
 
 
+def media_playlists(playlists: DataFrame) -> DataFrame:
+    """One row for each playlist with the magic: version, target_duration, media_sequence, discontinuity_sequence, end_list,
+    playlist_type, n_segments, total_duration. The last readable value of a tag counts; a type other than two is null."""
+    rows = _uris(playlists)
+    newest = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col("pos")))
+    kind = F.trim(tag("EXT-X-PLAYLIST-TYPE"))
+    tags = rows.groupBy("uri").agg(
+        newest(leading_int(tag("EXT-X-VERSION"))).alias("version"), newest(leading_float(tag("EXT-X-TARGETDURATION"))).alias("target_duration"),
+        newest(leading_int(tag("EXT-X-MEDIA-SEQUENCE"))).alias("media_sequence"), newest(leading_int(tag("EXT-X-DISCONTINUITY-SEQUENCE"))).alias("discontinuity_sequence"),
+        F.bool_or(F.col("line") == "#EXT-X-ENDLIST").alias("end_list"), newest(F.when(kind.isin("VOD", "EVENT"), kind)).alias("playlist_type"),
+    )
+    sums = media_segments(playlists).groupBy("uri").agg(F.count("*").alias("n_segments"), F.sum("duration").alias("total_duration"))
+    out = tags.join(sums, "uri", "left")
+    none = {"version": 1, "target_duration": 0.0, "media_sequence": 0, "discontinuity_sequence": 0, "n_segments": 0, "total_duration": 0.0}
+    return out.fillna(none)
+
+
 def variants(playlists: DataFrame) -> DataFrame:
-    """One row for each variant of master playlists; the last STREAM-INF before a uri counts."""
-    rows = _runs(lines(playlists))
+    """One row for each variant of master playlists; the last STREAM-INF before a uri counts. A variant without a bandwidth has a null bitrate."""
+    rows = _uris(playlists)
     of_run = Window.partitionBy("uri", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("a", attributes(F.last(tag("EXT-X-STREAM-INF"), ignorenulls=True).over(of_run))).where(F.col("is_uri") & F.col("a").isNotNull())
     a = F.col("a")
     size = lambda i: F.nullif(F.regexp_extract(_attribute(a, "RESOLUTION"), r"^([0-9]+)x([0-9]+)", i), F.lit("")).try_cast("int")
     return rows.select(
-        "uri", (F.row_number().over(LINES.window) - 1).alias("pos"), F.col("line").alias("variant_uri"), leading_int(_attribute(a, "BANDWIDTH")).alias("bitrate"),
+        "uri", (F.row_number().over(LINES.window) - 1).alias("pos"), resolve_url("uri", "line").alias("variant_uri"), leading_int(_attribute(a, "BANDWIDTH")).alias("bitrate"),
         leading_int(_attribute(a, "AVERAGE-BANDWIDTH")).alias("average_bitrate"), _attribute(a, "CODECS").alias("codecs"), size(1).alias("width"), size(2).alias("height"),
-        _attribute(a, "FRAME-RATE").try_cast("double").alias("frame_rate"), _attribute(a, "AUDIO").alias("audio_group"), _attribute(a, "SUBTITLES").alias("subtitle_group"), _attribute(a, "NAME").alias("name"),
+        _attribute(a, "FRAME-RATE").try_cast("double").alias("frame_rate"), _attribute(a, "AUDIO").alias("audio_group"), _attribute(a, "SUBTITLES").alias("subtitle_group"), _attribute(a, "CLOSED-CAPTIONS").alias("caption_group"), _attribute(a, "NAME").alias("name"),
     )
 
 
 def renditions(playlists: DataFrame) -> DataFrame:
-    """One row for each alternate rendition that has a type, group and name."""
+    """One row for each alternate rendition (audio, subtitles, closed captions) that has a type, group and name."""
     rows = lines(playlists).withColumn("a", attributes(tag("EXT-X-MEDIA"))).where("a is not null")
     a = F.col("a")
     yes = lambda n: F.coalesce(_attribute(a, n) == "YES", F.lit(False))
-    out = rows.select(
+    out = rows.withColumn("rendition_uri", _attribute(a, "URI")).withColumn("rendition_uri", resolve_url("uri", "rendition_uri")).select(
         "uri", "pos", _attribute(a, "TYPE").alias("type"), _attribute(a, "GROUP-ID").alias("group_id"), _attribute(a, "NAME").alias("name"), _attribute(a, "LANGUAGE").alias("language"),
-        yes("DEFAULT").alias("is_default"), yes("AUTOSELECT").alias("autoselect"), yes("FORCED").alias("forced"), _attribute(a, "CHANNELS").alias("channels"), _attribute(a, "URI").alias("rendition_uri"),
+        _attribute(a, "ASSOC-LANGUAGE").alias("assoc_language"), _attribute(a, "CHARACTERISTICS").alias("characteristics"),
+        yes("DEFAULT").alias("is_default"), yes("AUTOSELECT").alias("autoselect"), yes("FORCED").alias("forced"), _attribute(a, "CHANNELS").alias("channels"), "rendition_uri",
     )
-    return out.where("type is not null and group_id is not null and name is not null")
+    return out.where("type in ('AUDIO', 'SUBTITLES', 'CLOSED-CAPTIONS') and group_id is not null and name is not null")
+
+
+def independent(text: Column) -> Column:
+    """Whether a master playlist says that its segments decode on their own."""
+    return text.rlike("(?m)^#EXT-X-INDEPENDENT-SEGMENTS\\s*$")
