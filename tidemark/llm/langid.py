@@ -1,132 +1,148 @@
 """Language identification, word first with backoff.
 
-A known word is scored by its log frequency in each language. An unseen one is scored by its character n-grams, the
-longest first: at each place the longest n-gram that training has seen, down to single characters, which are smoothed.
-
-Word and n-gram counts are Spark aggregations over the training rows; the model keeps the `words` most frequent words
-and `grams` most frequent n-grams of each length in each language (documented bounds), and is broadcast.
-
-Defined cases: a text that is null or has no letter is `und` with score 0; ties go to the first language by name; very
-long texts cost time in proportion; rows without a language don't train; without any training rows all is `und`.
+A known word is scored by its log frequency in each language. An unseen one is scored by its character n-grams: at each place
+the longest n-gram that training has seen, from LONGEST_GRAM down to single characters, and the mean over its places.
+
+Words are runs of letters and combining marks, lower-cased, by one function for training and prediction. Counts of words and
+n-grams are made over the training rows by Spark, all of them are kept, and the model (sorted 64-bit hashes with a row of log
+frequencies each) is broadcast; its size follows from the documented bound on training rows, not from the corpus. Distinct
+words of a chunk of texts are scored once.
+
+Defined cases: a text that is null or has no letter is `und` with score 0; ties go to the first language by name; very long
+texts and words are read whole and cost time in proportion; copies of a text train once and are predicted alike; rows
+without a language don't train; without any training rows all is `und`; an empty table gives an empty result; columns of other
+names are left alone, and those named as a result are replaced.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, extend
+from tidemark.llm.common import NO_HASH, Words, cut, extend, forget, grams, letter_words, mix, quoted
+
+LONGEST_GRAM, UNSEEN = 4, math.log(1e-6)
+#: The model learns from about so many different texts of each language.
+MOST = 4_000
+_WHOLE = np.ones(256, bool)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    return Words(words, _WHOLE).hashes()
+
 
-WORDS, GRAMS, LONGEST_GRAM = 20_000, 8_000, 4
-#: So many scored words of at most so many letters are kept in memory; longer ones are scored anew each time.
-KEPT, KEPT_LENGTH = 500_000, 200
-_WORD = re.compile(r"[^\W\d_]+")
-_LETTERS = r"[^\p{L}\p{M}]+"
+def gram_hashes(words: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For the places of all words, with a mark before and behind each: the number of the word, and the hashes of the n-grams
+    that begin there, n from 1 to LONGEST_GRAM; NO_HASH where the word ends before."""
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    points = np.frombuffer("".join(f"^{w}$" for w in words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    word_of = np.repeat(np.arange(len(words)), sizes)
+    high = np.repeat(np.cumsum(sizes), sizes)
+    points = mix(points + np.uint64(1))
+    return word_of, [grams(points, high, n) for n in range(1, LONGEST_GRAM + 1)]
 
 
 class Model:
-    """Per word and n-gram: an array of log frequencies by language."""
-
-    def __init__(self, words: dict[str, list[tuple[str, int]]], grams: dict[str, list[tuple[str, int]]]):
-        self.langs = sorted({lang for x in words.values() for lang, _ in x})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-
-        def logs(counts: dict[str, list[tuple[str, int]]], of: list[str]) -> dict[str, np.ndarray]:
-            table = np.zeros((len(of), len(at)))
-            for i, key in enumerate(of):
-                for lang, n in counts[key]:
-                    if lang in at:
-                        table[i, at[lang]] += n
-            table = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(of) + 1))
-            return dict(zip(of, table, strict=True))
-
-        self.words = logs(words, sorted(words))
-        self.grams: dict[str, np.ndarray] = {}
-        self.unseen = [np.full(len(at), math.log(1e-6))]
-        for n in range(1, LONGEST_GRAM + 1):
-            self.grams |= logs(grams, sorted(g for g in grams if len(g) == n))
-        self._kept: dict[str, np.ndarray] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_kept": {}}
-
-    def log_odds(self, word: str) -> np.ndarray:
-        """What the word adds to each language's score."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        found = self._kept.get(word)
-        if found is None:
-            found, at, padded, parts = np.zeros(len(self.langs)), 0, f"^{word}$", 0
-            while at < len(padded):
-                for n in range(min(LONGEST_GRAM, len(padded) - at), 0, -1):
-                    if (x := self.grams.get(padded[at : at + n])) is not None:
-                        found = found + x
-                        break
-                else:
-                    n, found = 1, found + self.unseen[0]
-                at, parts = at + max(1, n - 1), parts + 1
-            found = found / parts
-            if len(word) <= KEPT_LENGTH:
-                if len(self._kept) >= KEPT:
-                    self._kept.clear()
-                self._kept[word] = found
-        return found
+    """By length of n-gram (0: words): sorted hashes and a row of log frequencies by language for each."""
+
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """counts: by length, the number of the language, hash and count of each (language, hash)."""
+        self.langs, self.tables = langs, []
+        for lang, key, count in counts:
+            keys, place = np.unique(key, return_inverse=True)
+            table = np.zeros((len(keys), len(langs)))
+            np.add.at(table, (place, lang), count)
+            self.tables.append((keys, np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(keys) + 1))))
+
+    def _look_up(self, n: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and the rows of those."""
+        keys, table = self.tables[n]
+        if not len(keys):
+            return np.zeros(len(hashes), bool), np.zeros((0, len(self.langs)))
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        known = keys[at] == hashes
+        return known, table[at[known]]
+
+    def scores(self, words: pa.Array) -> np.ndarray:
+        """What each word adds to each language's score."""
+        out = np.zeros((len(words), len(self.langs)))
+        known, rows = self._look_up(0, word_hashes(words))
+        out[known] = rows
+        unseen = np.flatnonzero(~known)
+        if len(unseen):
+            word_of, hashes = gram_hashes(words.take(pa.array(unseen)))
+            score, open_ = np.full((len(word_of), len(self.langs)), UNSEEN), np.ones(len(word_of), bool)
+            for n in range(LONGEST_GRAM, 0, -1):
+                at = np.flatnonzero(open_ & (hashes[n - 1] != NO_HASH))
+                seen, rows = self._look_up(n, hashes[n - 1][at])
+                score[at[seen]] = rows
+                open_[at[seen]] = False
+            begins = np.flatnonzero(np.diff(word_of, prepend=-1))
+            out[unseen] = np.add.reduceat(score, begins, axis=0) / np.bincount(word_of)[:, None]
+        return out
+
+    def predict_all(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        words, place, text_of = letter_words(texts)
+        langs, shares = ["und"] * len(texts), [0.0] * len(texts)
+        if len(place) and self.langs:
+            score = self.scores(words)
+            totals = np.stack([np.bincount(text_of, score[place, i], len(texts)) for i in range(len(self.langs))], axis=1)
+            odds = np.exp(totals - totals.max(axis=1, keepdims=True))
+            best = totals.argmax(axis=1)
+            for i in np.unique(text_of).tolist():
+                langs[i], shares[i] = self.langs[best[i]], float(odds[i, best[i]] / odds[i].sum())
+        return langs, shares
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_WORD.findall((text or "").lower()))
-        for word in [w for w in counts if not w.isalpha() and not any(map(str.isalpha, w))]:
-            del counts[word]
-        if not counts or not self.langs:
-            return "und", 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in counts.items():
-            total += n * self.log_odds(word)
-        odds = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.langs[best], float(odds[best] / odds.sum())
-
-
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, grams: int = GRAMS, most: int = 4_000) -> Model:
-    """Counts over at most `most` training rows of each language, taken by hash of their text."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
-    sizes = rows.groupBy("lang").count().collect()
-    share = [(r["lang"], most / r["count"]) for r in sizes if r["count"] > most]
-    if share:
-        keep = F.lit(1.0)
-        for name, s in share:
-            keep = F.when(F.col("lang") == name, F.lit(s)).otherwise(keep)
-        rows = rows.where(F.pmod("h", F.lit(1_000_000)) < keep * 1_000_000)
-    found = rows.select("lang", F.explode(F.split(F.lower("text"), _LETTERS)).alias("key")).where("key <> ''")
-    counts = cut(found.groupBy("lang", "key").count(), "langid-words")
-    top: dict[str, list[tuple[str, int]]] = {}
-    for r in best(counts, words).collect():
-        top.setdefault(r["key"], []).append((r["lang"], r["count"]))
-    padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
-    pieces = {}
-    for n in range(1, LONGEST_GRAM + 1):
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1)))
-        # One row a place, then its piece: pieces cut inside a transform were seen to go missing on Spark 4.1.2.
-        g = counts.where(F.length(padded) >= n).select("lang", "count", padded.alias("padded"), F.explode(places).alias("at"))
-        g = g.select("lang", "count", F.substr("padded", "at", F.lit(n)).alias("key"))
-        for r in best(g.groupBy("lang", "key").agg(F.sum("count").alias("count")), grams).collect():
-            pieces.setdefault(r["key"], []).append((r["lang"], r["count"]))
-    return Model(top, pieces)
-
-
-def best(counts: DataFrame, n: int) -> DataFrame:
-    """The n most frequent keys of each language, ties by key, without ranking a language in one task: ranks first
-    within hash parts, then among those parts' best."""
-    order = [F.desc("count"), "key"]
-    part = F.pmod(F.xxhash64("key"), F.lit(64))
-    first = counts.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("r") <= n)
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= n).select("lang", "key", "count")
+        langs, shares = self.predict_all(pa.array([text], pa.string()))
+        return langs[0], shares[0]
+
+
+def _counted(batches):
+    """Counts of words and n-grams of each batch of (lang, text)."""
+    for batch in batches:
+        langs = batch.column("lang").dictionary_encode()
+        of_row = langs.indices.to_numpy(zero_copy_only=False)
+        words, place, text_of = letter_words(batch.column("text"))
+        if not len(words):
+            continue
+        pairs, count = np.unique(of_row[text_of] * len(words) + place, return_counts=True)
+        lang, word = pairs // len(words), pairs % len(words)
+        found = [(0, lang, word_hashes(words)[word], count)]
+        word_of, hashes = gram_hashes(words)
+        for own in range(len(langs.dictionary)):
+            weight = np.zeros(len(words), np.int64)
+            weight[word[lang == own]] = count[lang == own]
+            for n, h in enumerate(hashes, 1):
+                there = (h != NO_HASH) & (weight[word_of] > 0)
+                keys, at = np.unique(h[there], return_inverse=True)
+                found.append((n, np.full(len(keys), own), keys, np.bincount(at, weight[word_of[there]], len(keys)).astype(np.int64)))
+        for n, lang, key, count in found:
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), pa.array(np.full(len(key), n, np.int32)), pa.array(key.view(np.int64)), pa.array(count)], ["lang", "n", "key", "count"])
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST) -> Model:
+    """Counts over the different texts of each language, about `most` of them where there are more, taken by their hash."""
+    rows = labelled.where(quoted(lang).isNotNull() & quoted(text).isNotNull()).select(quoted(lang).cast("string").alias("lang"), quoted(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("lang", "h").agg(F.lit(1)).groupBy("lang").count().collect()
+    keep = F.lit(1.0)
+    for r in sizes:
+        if r["count"] > most:
+            keep = F.when(F.col("lang") == r["lang"], F.lit(most / r["count"])).otherwise(keep)
+    part = F.pmod(F.xxhash64("h", F.lit(4)), F.lit(1_000_000))
+    sample = rows.where(part < keep * 1_000_000).dropDuplicates(["lang", "h"]).select("lang", "text")
+    counts = cut(sample.mapInArrow(_counted, "lang string, n int, key long, count long").groupBy("lang", "n", "key").agg(F.sum("count").alias("count")), "langid-counts")
+    got = counts.toArrow().to_pandas()
+    forget(counts)
+    langs = sorted(set(got["lang"]))
+    of = got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
+    length, key, count = got["n"].to_numpy(), got["key"].to_numpy(np.int64).view(np.uint64), got["count"].to_numpy(np.int64)
+    return Model(langs, [(of[length == n], key[length == n], count[length == n]) for n in range(LONGEST_GRAM + 1)])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -134,8 +150,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        own = shared.value
-        found = [own.predict(t) for t in batch.column(text).to_pylist()]
-        return [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+        langs, shares = shared.value.predict_all(batch.column(text))
+        return [pa.array(langs, pa.string()), pa.array(shares, pa.float64())]
 
     return extend(docs, text, f"`{lang_col}` string, `{score_col}` double", make, keep)
