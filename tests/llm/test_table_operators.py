@@ -1,11 +1,11 @@
 """SimHash, mixing, substrings, neighbours, chat and urls against brute force and awkward inputs."""
 
 import hashlib
-import json
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -62,7 +62,7 @@ def roots(n, pairs):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("bucket", [simhash.BUCKET, 2])
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 8])
 def test_simhash_equals_brute_force(spark, bucket):
     rows = corpus()
     got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as fp"), bucket=bucket).collect()
@@ -78,13 +78,43 @@ def test_simhash_equals_brute_force(spark, bucket):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_simhash_of_a_very_long_text(spark):
+    text = " ".join(f"w{i % 977}" for i in range(400_000))
+    rows = [(1, text, "s"), (2, text.upper(), "s"), (3, "w1 w2 w3", "s")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def wide_links(fps):
+    """Pairs that SIMILAR links: at most 19 bits apart and within one bit in one of five segments."""
+    edges = [128 * i // 5 for i in range(6)]
+    near = lambda x: x.bit_count() <= 19 and any((x >> a & (1 << b - a) - 1).bit_count() <= 1 for a, b in zip(edges, edges[1:]))
+    return [(i, j) for i in range(len(fps)) for j in range(i) if near(fps[i] ^ fps[j])]
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 8])
+def test_wide_fingerprints_equal_brute_force(spark, bucket):
+    rng = random.Random(8)
+    centres = [rng.getrandbits(128) for _ in range(4)]
+    flip = lambda x, low, high: x ^ sum(1 << b for b in rng.sample(range(low, high), rng.randrange(0, 24) if high - low > 30 else rng.randrange(3)))
+    fps = [flip(rng.choice(centres), 0, 128) for _ in range(120)] + [flip(centres[0] ^ 0xFFFFFFFFFF, 50, 70) for _ in range(60)]
+    fps = sorted(set(fps))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(signed(f & (1 << 64) - 1), signed(f >> 64)) for f in fps], "fp long, fp_1 long")
+    nodes = [r.node for r in frame.withColumn("node", simhash.node_of(["fp", "fp_1"])).collect()]
+    found = {r.node: r.root for r in components.components(simhash.links(frame, simhash.SIMILAR, bucket)).collect()}
+    root, first = roots(len(fps), wide_links(fps)), {}
+    got = [found.get(n, n) for n in nodes]
+    assert all(first.setdefault(g, r) == r for g, r in zip(got, root)) and len(set(got)) == len(set(root)) < len(fps)
+
+
 def test_simhash_links_every_close_pair_in_crowded_buckets(spark):
     rng = random.Random(1)
     centres = [rng.getrandbits(64) for _ in range(3)]
     fps = {rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7))) for _ in range(400)}
     fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
     frame = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for bucket in (4, 1024):
+    for bucket in (8, 1024):
         found = {r.node: r.root for r in components.components(simhash.links(frame, bucket=bucket)).collect()}
         root = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) % (1 << 64)).bit_count() <= 3])
         for i, f in enumerate(fps):
@@ -119,6 +149,26 @@ def test_substrings_equal_brute_force(spark, window, phrase, part):
     assert substring.remove_recurring(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_substrings_are_located_by_the_automaton():
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    texts = pa.array([f"{a} x {b}", f"y {b}", ""])
+    phrases = [" ".join(f"b{i}" for i in range(k, k + 10)) for k in (3, 30)]
+    shard = substring.Shard(texts, pa.array(phrases), 35, 10)
+    places = {p for at in (61, 122) for k in (3, 30) for p in range(at + k - 25, at + k + 1)}
+    whole = [*range(0, 121 - 34), *range(121, 182 - 34)]
+    assert shard.starts.tolist() == [p for p in whole if p in places]
+    assert not len(substring.Shard(texts, pa.array([], pa.string()), 35, 10).starts)
+    assert not len(substring.Shard(texts, pa.array(["b1 b2 b3 b4 b5 b6 b7 b8 b9 b11"]), 35, 10).starts)
+
+
+def test_substrings_of_a_very_long_text(spark):
+    rng = random.Random(2)
+    passage, long = " ".join(f"p{i}" for i in range(40)), " ".join(f"w{rng.randrange(10**7)}" for _ in range(250_000))
+    rows = [(1, f"{long} {passage} end", "s"), (2, f"start {passage}", "s"), (2, None, "s")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_recurring(spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as h", "2 as n", "3 as `a.b`")).collect())
+    assert got == [(1, 250_041, 40), (2, 0, 0), (2, 41, 40)]
+
+
 def test_mixing_meets_targets(spark):
     rows = corpus(300, 5)
     for bucket in (mixing.BUCKET, 3):
@@ -194,6 +244,34 @@ def test_neighbours_against_brute_force(spark):
     assert ann.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_index_retrieves_every_code_within_its_radius():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 1 << 16, (500, 8)).astype(np.uint16)
+    codes[100:200] = codes[0] ^ np.packbits(rng.random((100, 128)) < 0.15, axis=1).view(np.uint16)
+    index = ann.Index(codes)
+    for depth in (0, 1, 3):
+        got = index.probe(codes[0], depth)
+        apart = np.bitwise_count(codes ^ codes[0])
+        assert got.tolist() == np.flatnonzero(apart.min(axis=1) <= depth).tolist()
+        assert set(np.flatnonzero(apart.sum(axis=1) < 8 * (depth + 1)).tolist()) <= set(got.tolist())
+
+
+def test_neighbours_of_the_given_vectors(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    codes = ann.learn(frame, "vec_id", "embedding", 10)
+    ids, x = (np.array(c) for c in zip(*((r.vec_id, r.embedding) for r in frame.collect()), strict=True))
+    got = {}
+    for r in ann.nearest(frame, frame.where("vec_id % 100 = 0"), codes=codes).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    right = 0
+    for q, found in got.items():
+        d = ((x - x[ids == q]) ** 2).sum(axis=1)
+        d[ids == q] = np.inf
+        right += len(found & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    print(f"recall {right / (10 * len(got)):.3f}, share of codes retrieved {codes.share:.3f}, depth {codes.depth}, radius {codes.radius}")
+    assert right >= 0.9 * 10 * len(got) and codes.share <= 0.7
+
+
 def test_chat_round_trip_and_branches(spark):
     tree = [
         ("t", 1, None, "user", "q <|im_end|> \\ <\\|", 0.0), ("t", 2, 1, "assistant", "bad", 0.1), ("t", 3, 1, "assistant", "good", 0.9), ("t", 4, 3, "us\ner", None, 0.5),
@@ -210,6 +288,18 @@ def test_chat_round_trip_and_branches(spark):
     rows = {r.tree: r for r in chat.conversations(chat.linear(turns)).collect()}
     assert rows[1].n_turns == 3 and chat.read_back(rows[1].formatted)[0][0] == "assistant" and rows[None].n_turns == 1
     assert chat.conversations(chat.linear(turns.limit(0))).count() == 0
+    clash = turns.selectExpr("*", "1 as tree", "2 as node", "'x' as formatted", "3 as `a.b`", "4 as up", "5 as score")
+    assert {r.tree: r.formatted for r in chat.conversations(chat.linear(clash)).collect()} == {t: r.formatted for t, r in rows.items()}
+
+
+def test_chat_of_many_turns_and_every_mask(spark):
+    rng = random.Random(1)
+    said = [(k, t, rng.choice(["user", "assistant"]), rng.choice(["", "<|im_end|>", "\\", "é\n", "word " * 9])) for k, n in ((1, 5000), (2, 1), (3, 37)) for t in range(n)]
+    frame = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    got = {r.tree: r for r in chat.conversations(chat.linear(frame)).collect()}
+    for k, r in got.items():
+        own = [(role, text) for c, _, role, text in said if c == k]
+        assert chat.read_back(r.formatted) == own and [chat.unescaped(r.formatted[m.start : m.end]) for m in r.mask] == [text for role, text in own if role == "assistant"]
 
 
 def test_url_rules_and_trees(spark):
@@ -230,12 +320,3 @@ def test_url_rules_and_trees(spark):
     assert {(r.id, r.verdict) for r in learnt.collect()} == {(1, "block"), (2, "allow")}
     assert {r.verdict for r in url_filter.judge(frame, []).collect()} == {"allow"}
     assert url_filter.judge(frame.limit(0), RULES).count() == 0
-
-
-def test_pipeline_keeps_clean_documents(spark):
-    import corpus_pipeline
-
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
-    assert 0.5 * docs < len(rows) < docs and json.dumps([k for k, _ in corpus_pipeline.STAGES])
-    assert all(r.taken <= 3 * r.size for r in rows)

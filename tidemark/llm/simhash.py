@@ -1,38 +1,73 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Fingerprints of 64 bits that differ in at most 3 are cut into 2 segments of 32 bits, one of which differs in at most one
-bit. So each segment is indexed under its 32 variants with one bit blanked: two segments within one bit share a variant.
-Equal variants are joined and the whole fingerprints compared.
-
-Only distinct fingerprints are indexed. Buckets of two are compared as they are counted. Larger ones are compared in one
-task if they have at most BUCKET members, and give only the edges of a spanning star of each linked part. A still larger
-bucket is cut again the same way on the half that its key leaves free (2 segments of 16, then of 8 bits), after which it
-cannot have more than 2**8 * 2**3 distinct members. So no group is unbounded, no pairs of a group are listed, no link is lost.
-
-Defined cases: null and wordless texts have fingerprint zero and link like any other; a text with fewer words than a
-shingle is one shingle; rows with a null id link but give no id to their component (null if no row of it has one); equal
-rows stay separate rows.
+A fingerprint is cut into segments, so few that one of them must differ in at most one bit: 2 segments for fingerprints that
+differ in at most 3 bits. So each segment is indexed under its variants with one bit blanked: two segments within one bit
+share a variant. Variants are brought together by an equality shuffle and whole fingerprints are compared.
+
+Two settings. CLOSE: 64 bits of XXH64, 3 bits, 2 segments; every pair within 3 bits is linked. SIMILAR, for texts of a Jaccard
+similarity of about 0.8 or more: 128 bits, of which a share of 1 - angle / pi agrees for two texts, so that 0.8 is at 19
+differing bits; 5 segments, as 10 segments would be too short to tell texts apart. There, pairs of up to 9 bits are always
+found, and those further apart when one of their segments is within one bit.
+
+Only distinct fingerprints are indexed. A bucket of up to BUCKET members is compared in one task and gives only the edges of a
+spanning star of each linked part. The members of a larger one are dealt into blocks, and each pair of blocks is compared in a
+task of its own. So no group is unbounded, no pairs of a group are listed, and no link is lost.
+
+Defined cases: null and wordless texts have fingerprint zero and link like any other; a text with fewer words than a shingle
+is one shingle; a very long text is hashed in one task, in time in proportion; equal rows stay separate rows; rows with a null
+id link but give no id to their component (null if no row of it has one); an empty table gives an empty result; columns of
+other names are left alone, and those named as a result are replaced.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACED, Words, cut, extend, small
+from tidemark.llm.common import SPACED, Words, cut, deal, extend, forget, join_by_copies, quoted, small
 from tidemark.llm.components import components
 
-SHINGLE, BITS, SEED = 3, 3, 42
-BUCKET = 1024
-#: The keys of at most so many larger buckets are broadcast to read their members again; beyond that a join does it.
+SEED, BUCKET = 42, 1024
+#: Keys of at most so many rows are broadcast; beyond that a join does the same.
 BROADCAST_KEYS = 1_000_000
+#: Variants that one task sorts, about.
+PER_PART = 1_000_000
+#: Buckets of at most so many members are compared without a loop over buckets.
+FEW = 8
+
+
+@dataclass(frozen=True)
+class Setting:
+    """Words in a shingle, 64-bit parts of a fingerprint, the most bits that linked ones differ in, and segments."""
+
+    shingle: int
+    parts: int
+    bits: int
+    segments: int
+
+    @property
+    def names(self) -> list[str]:
+        return [f"fp_{i}" if i else "fp" for i in range(self.parts)]
+
+
+CLOSE, SIMILAR = Setting(3, 1, 3, 2), Setting(5, 2, 19, 5)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns in keep) with fp, the SimHash of the text's word shingles as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, text: str = "text", setting: Setting = CLOSE, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with the SimHash of the text's word shingles in signed 64-bit numbers: fp, fp_1."""
+    shingle, parts = setting.shingle, setting.parts
+
+    def digests(parts_of: list[memoryview]) -> np.ndarray:
+        if parts == 1:
+            digest = xxhash.xxh64_intdigest
+            return np.fromiter((digest(x, SEED) for x in parts_of), np.uint64, len(parts_of)).reshape(-1, 1)
+        digest = xxhash.xxh3_128_digest
+        return np.frombuffer(b"".join([digest(x, SEED) for x in parts_of]), np.uint64).reshape(-1, parts)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         words = Words(batch.column(text), SPACED, lower=True)
@@ -45,102 +80,199 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, ke
         begins = (rest >= shingle) | ((whole < shingle) & (rest == whole))
         at = first[begins]
         stop = end[np.minimum(at + np.minimum(whole[begins], shingle), len(words)) - 1] if len(at) else at
-        digest = xxhash.xxh64_intdigest
+        begin, edges = start[at], np.searchsorted(at, np.concatenate([words.low, [len(words)]]))
         view = memoryview(joined)
-        hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(start[at].tolist(), stop.tolist(), strict=True)), np.uint64, len(at))
-        edges = np.searchsorted(at, np.concatenate([words.low, [len(words)]]))
-        out = np.zeros(len(counts), np.uint64)
-        for i in range(len(counts)):
-            own = hashes[edges[i] : edges[i + 1]]
-            if len(own):
-                ones = np.zeros(64, np.int64)
-                for part in range(0, len(own), 1 << 16):
-                    ones += np.unpackbits(own[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                out[i] = np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0]
-        return [pa.array(out.view(np.int64), pa.int64())]
-
-    return extend(docs, text, "fp long", make, keep)
-
-
-def _variants(rows: DataFrame, free: Column, half: int) -> DataFrame:
-    """rows (key, fp) exploded to the one-blank variants of both halves of the bits in free: key, fp, left (the other half)."""
-    mask = (1 << half) - 1
-    high, low = F.shiftrightunsigned(free, half).bitwiseAND(F.lit(mask)), free.bitwiseAND(F.lit(mask))
-    one = F.explode(F.sequence(F.lit(0), F.lit(2 * half - 1))).alias("v")
-    split = rows.select("key", "fp", high.alias("high"), low.alias("low"), one)
-    own = F.when(F.col("v") < half, F.col("high")).otherwise(F.col("low"))
-    other = F.when(F.col("v") < half, F.col("low")).otherwise(F.col("high"))
-    blank = F.expr(f"~shiftleft(1L, v % {half})")
-    return split.select(F.xxhash64("key", "v", own.bitwiseAND(blank)).alias("key"), "fp", other.alias("left"))
-
-
-def _linked(batches, bits: int):
-    """Star edges of the linked parts of each bucket; batches are sorted by key and may break a bucket anywhere."""
-    key, held = None, []
-
-    def edges(fps: np.ndarray) -> list[np.ndarray]:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits
-        label = np.arange(len(fps))
-        while True:
-            new = np.where(near, label[None, :], len(fps)).min(axis=1)
-            if (new == label).all():
-                break
-            label = new
-        joined = label != np.arange(len(fps))
-        return [fps[joined], fps[label[joined]]]
-
-    def out(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate([p[i] for p in parts]).view(np.int64) if parts else np.zeros(0, np.int64) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        out = np.zeros((len(counts), parts), np.uint64)
+        for i, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            ones = np.zeros(64 * parts, np.int64)
+            for a in range(low, high, 1 << 16):
+                b = min(high, a + (1 << 16))
+                own = digests([view[x:y] for x, y in zip(begin[a:b].tolist(), stop[a:b].tolist(), strict=True)])
+                ones += np.unpackbits(own.view(np.uint8).reshape(b - a, 8 * parts), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out[i] = np.packbits(2 * ones > high - low, bitorder="little").view(np.uint64)
+        return [pa.array(out[:, i].copy().view(np.int64), pa.int64()) for i in range(parts)]
+
+    return extend(docs, text, ", ".join(f"{x} long" for x in setting.names), make, keep)
+
+
+def _segment(names: list[str], low: int, size: int) -> Column:
+    """Bits low to low + size of a fingerprint."""
+    i, at = divmod(low, 64)
+    own = F.shiftrightunsigned(names[i], at)
+    if at + size > 64:
+        own = own.bitwiseOR(F.shiftleft(names[i + 1], 64 - at))
+    return own.bitwiseAND(F.lit((1 << size) - 1))
+
+
+def variants(fps: DataFrame, setting: Setting) -> DataFrame:
+    """fps exploded to (key, *names): one row for each segment with one of its bits blanked."""
+    names, total = setting.names, 64 * setting.parts
+    edges = [total * i // setting.segments for i in range(setting.segments + 1)]
+    split = fps.select(*names, *(_segment(names, a, b - a).alias(f"s{i}") for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))), F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("v"))
+    own, low = F.col(f"s{setting.segments - 1}"), F.lit(edges[-2])
+    for i in reversed(range(setting.segments - 1)):
+        own, low = F.when(F.col("v") < edges[i + 1], F.col(f"s{i}")).otherwise(own), F.when(F.col("v") < edges[i + 1], F.lit(edges[i])).otherwise(low)
+    marked = split.select(*names, "v", own.alias("own"), (F.col("v") - low).alias("bit"))
+    return marked.select(F.xxhash64("v", F.expr("own & ~shiftleft(1L, bit)")).alias("key"), *names)
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _star(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which members of a bucket are linked to a member of a lower place, and the lowest of their part."""
+    near = np.bitwise_count(fps[:, None, 0] ^ fps[None, :, 0]).astype(np.int16)
+    for i in range(1, fps.shape[1]):
+        near += np.bitwise_count(fps[:, None, i] ^ fps[None, :, i])
+    near = near <= bits
+    label = np.arange(len(fps))
+    while True:
+        new = np.where(near, label[None, :], len(fps)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    joined = np.flatnonzero(label != np.arange(len(fps)))
+    return joined, label[joined]
+
+
+def _links_of(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked members of the whole buckets in keys (sorted)."""
+    begins = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+    sizes = np.diff(begins)
+    own = np.repeat(sizes, sizes)
+    a, b = [], []
+    # Small buckets by distance of their places, all at once.
+    for d in range(1, FEW):
+        at = np.flatnonzero((keys[d:] == keys[:-d]) & (own[d:] <= FEW))
+        at = at[_differ(fps[at], fps[at + d]) <= bits]
+        a.append(at + d)
+        b.append(at)
+    for i in np.flatnonzero(sizes > FEW).tolist():
+        joined, least = _star(fps[begins[i] : begins[i + 1]], bits)
+        a.append(joined + begins[i])
+        b.append(least + begins[i])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _linked(batches, bits: int, most: int):
+    """Batches of (key, *names), sorted by key, to (key, *names, *others): links (without a key), and the members of buckets
+    of more than `most` (with their key, without others)."""
+    held_keys, held, large = np.zeros(0, np.int64), None, None
+
+    def out(key: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        n, parts = a.shape
+        columns = [pa.nulls(n, pa.int64()) if key is None else pa.array(key)]
+        columns += [pa.array(a[:, i].copy().view(np.int64)) for i in range(parts)]
+        columns += [pa.nulls(n, pa.int64()) if b is None else pa.array(b[:, i].copy().view(np.int64)) for i in range(parts)]
+        return pa.RecordBatch.from_arrays(columns, ["key", *(f"a{i}" for i in range(parts)), *(f"b{i}" for i in range(parts))])
 
     for batch in batches:
-        keys, fps = (np.asarray(batch.column(i)) for i in (0, 1))
-        if not len(keys):
+        if not batch.num_rows:
             continue
-        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        parts = []
-        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if keys[low] != key:
-                if held:
-                    parts.append(edges(np.concatenate(held)))
-                key, held = keys[low], []
-            held.append(fps[low:high].view(np.uint64))
-        yield out(parts)
-    if held:
-        yield out([edges(np.concatenate(held))])
-
-
-def links(fps: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints of fps (column fp) which differ in at most `bits` (3 or fewer) bits."""
-    if bits > 3:
-        raise ValueError("two segments with one blank find at most 3 differing bits")
-    rows = fps.select(F.lit(0).cast("long").alias("key"), "fp", F.col("fp").alias("left"))
-    found = None
-    for half in (32, 16, 8):
-        variants = _variants(rows, F.col("left"), half)
-        counts = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-        counts = cut(counts, f"simhash-{half}")
-        edges = counts.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
-        most = bucket if half > 8 else 1 << 62
-        # A row of more than two: only these are read again.
-        crowded = counts.where("n > 2").select("key", "n")
-        members = variants.join(F.broadcast(crowded) if small(crowded, BROADCAST_KEYS) else crowded, "key")
-        close = members.where(F.col("n") <= most).select("key", "fp").repartition("key").sortWithinPartitions("key")
-        edges = edges.unionByName(close.mapInArrow(lambda batches, bits=bits: _linked(batches, bits), "a long, b long"))
-        found = edges if found is None else found.unionByName(edges)
-        if half == 8 or counts.where(F.col("n") > most).isEmpty():
-            return found
-        rows = cut(members.where(F.col("n") > most).select("key", "fp", "left"), f"simhash-large-{half}")
-    return found
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """(id_col, fp, component_id) for each row of docs: the least id reachable over links of at most `bits` differing bits."""
-    base = cut(fingerprints(docs, text, shingle, [id_col]), "simhash")
-    fps = base.groupBy("fp").agg(F.min(id_col).alias("least"))
-    found = cut(components(links(fps.select("fp"), bits, bucket)), "simhash-components")
-    of_root = found.join(fps, found.node == fps.fp).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = found.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
-    by_fp = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    # Written first, so that Spark can split the copies of one text in the join below.
-    return base.join(cut(by_fp, "simhash-by-fp"), "fp").select(id_col, "fp", "component_id")
+        keys = np.asarray(batch.column(0))
+        fps = np.stack([np.asarray(batch.column(i)) for i in range(1, batch.num_columns)], axis=1).view(np.uint64)
+        if large is not None:
+            n = int(np.searchsorted(keys, large, "right"))
+            if n:
+                yield out(keys[:n], fps[:n], None)
+            keys, fps = keys[n:], fps[n:]
+            if not len(keys):
+                continue
+            large = None
+        if held is not None:
+            keys, fps = np.concatenate([held_keys, keys]), np.concatenate([held, fps])
+        low = int(np.searchsorted(keys, keys[-1], "left"))
+        # Too large buckets within the batch, then the last one, which may go on.
+        begins = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        many = np.repeat(np.diff(begins) > most, np.diff(begins))
+        if many.any():
+            yield out(keys[many], fps[many], None)
+            if many[-1]:
+                large, low = keys[-1], len(keys)
+        done = ~many
+        done[low:] = False
+        if done.any():
+            k, f = keys[done], fps[done]
+            a, b = _links_of(k, f, bits)
+            if len(a):
+                yield out(None, f[a], f[b])
+        held_keys, held = keys[low:], fps[low:]
+    if held is not None and len(held):
+        a, b = _links_of(held_keys, held, bits)
+        if len(a):
+            yield out(None, held[a], held[b])
+
+
+def node_of(names: list[str]) -> Column:
+    """What stands for a fingerprint in the graph: itself, or a 64-bit hash of its parts."""
+    return F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
+
+
+def links(fps: DataFrame, setting: Setting = CLOSE, bucket: int = BUCKET, rows: int | None = None) -> DataFrame:
+    """Edges (a, b) between the nodes of distinct fingerprints (columns of the setting's names) that connect all that are linked."""
+    names = setting.names
+    if setting.parts == 1 and setting.bits >= 2 * setting.segments:
+        raise ValueError("too few segments for one of them to be within one bit")
+    n = (fps.count() if rows is None else rows) * 64 * setting.parts
+    keyed = deal(variants(deal(fps.select(*names), n, PER_PART, *names), setting), n, PER_PART, "key").sortWithinPartitions("key")
+    schema = ", ".join(f"{x} long" for x in ("key", *(f"a{i}" for i in range(setting.parts)), *(f"b{i}" for i in range(setting.parts))))
+
+    def compare(frame: DataFrame, most: int) -> DataFrame:
+        return frame.mapInArrow(lambda batches, bits=setting.bits: _linked(batches, bits, most), schema)
+
+    ends = [[f"{x}{i}" for i in range(setting.parts)] for x in "ab"]
+    edges = lambda frame: frame.where("key is null").select(*(node_of(e).alias(x) for e, x in zip(ends, "ab", strict=True)))
+    found = cut(compare(keyed, bucket), "simhash-links")
+    large = found.where("key is not null").select("key", *(F.col(a).alias(x) for a, x in zip(ends[0], names, strict=True)))
+    blocks = cut(large.groupBy("key").agg(F.ceil(F.count("*") / bucket).alias("n")), "simhash-large")
+    if blocks.isEmpty():
+        return edges(found)
+    # Every pair of blocks meets once; a block also meets itself.
+    dealt = large.join(F.broadcast(blocks) if small(blocks, BROADCAST_KEYS) else blocks, "key").withColumn("own", F.pmod(F.xxhash64(*names), "n"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *names)
+    more = compare(pairs.repartition("key").sortWithinPartitions("key"), 1 << 62)
+    return edges(found).unionByName(edges(more))
+
+
+def grouped(docs: DataFrame, pick: Column, text: str = "text", setting: Setting = CLOSE, keep: list[str] | None = None, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(docs, or its columns in keep, with the fingerprint; a row for each distinct fingerprint with n, its number of rows,
+    and least: the smallest pick, nulls left out, of all rows linked to it). pick: a column of docs that keep names."""
+    names = setting.names
+    base = cut(fingerprints(docs, text, setting, keep), "simhash")
+    fps = cut(base.groupBy(*names).agg(F.min(pick).alias("least"), F.count("*").alias("n")).withColumn("node", node_of(names)), "simhash-fps")
+    found = cut(components(links(fps, setting, bucket)), "simhash-components")
+    of_root = found.join(fps.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("of_all"))
+    linked = found.join(of_root, "root").select("node", "of_all")
+    # A linked fingerprint has a row in linked, whose least may be null only if all are.
+    out = cut(fps.join(linked, "node", "left").select(*names, "n", F.coalesce("of_all", "least").alias("least"), F.col("of_all").isNotNull().alias("linked")), "simhash-by-fp")
+    forget(fps, found)
+    return base, out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", setting: Setting = CLOSE, bucket: int = BUCKET) -> DataFrame:
+    """(id_col, the fingerprint, component_id) for each row of docs: the least id reachable over links."""
+    base, by_fp = grouped(docs, quoted(id_col), text, setting, [id_col], bucket)
+    return join_by_copies(base, by_fp.drop("linked"), setting.names, "n").select(quoted(id_col), *setting.names, F.col("least").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", order: list[Column] = (), setting: Setting = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+    """One row of docs of each group of linked texts: the first by `order` (columns of docs), of rows alike in that the least by
+    a hash of all columns. Rows equal in all columns are told apart by nothing, and one of them stays.
+
+    Rows are known by a 128-bit hash of their columns (none of which may be a map), so texts are read again instead of written.
+    """
+    columns = list(map(quoted, docs.columns))
+    own = [F.xxhash64(*columns).alias("__a"), F.xxhash64(F.lit(7), *columns).alias("__b")]
+    rows = docs.select(quoted(text).alias("__text"), *own, F.struct(*order, *own).alias("__pick"))
+    base, by_fp = grouped(rows, F.col("__pick"), "__text", setting, ["__a", "__b", "__pick"], bucket)
+    touched = by_fp.where("n > 1 or linked").select(*setting.names, "n", F.col("least.__a").alias("__kept_a"), F.col("least.__b").alias("__kept_b"))
+    met = join_by_copies(base, touched, setting.names, "n").select("__a", "__b", ((F.col("__a") == F.col("__kept_a")) & (F.col("__b") == F.col("__kept_b"))).alias("kept"))
+    met = cut(met.groupBy("__a", "__b").agg(F.first("kept").alias("kept"), F.count("*").alias("copies")), "simhash-met")
+    forget(base, by_fp)
+    maybe = lambda df: F.broadcast(df) if small(df, BROADCAST_KEYS) else df
+    marked = docs.select(*columns, *own)
+    alone = marked.join(maybe(met.where("not kept or copies > 1").select("__a", "__b")), ["__a", "__b"], "left_anti")
+    one_of = marked.join(maybe(met.where("kept and copies > 1").select("__a", "__b")), ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"])
+    return alone.unionByName(one_of).select(*columns)
