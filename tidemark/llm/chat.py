@@ -7,8 +7,13 @@ messages, and each chosen path is written as one conversation.
 The template is <|im_start|>role, newline, text, <|im_end|>, newline. Inside roles and texts a backslash becomes two and
 <| becomes <\\|, so no control string occurs in them and reading back is exact.
 
+Links, paths and scores are narrow tables; texts take part only where they are numbered, and where the chosen paths are put
+together.
+
 Defined cases: null role or text is empty; a reply to a missing message is a root; messages on a cycle are on no path;
-equal rows stay separate turns; branches of equal score go by length, then by their leaf's key; an empty table gives none.
+equal rows stay separate turns; branches of equal score go by length, then by their leaf's key; very long texts and
+conversations cost time in proportion, but one conversation is one value, so it must fit a task; only the named columns of
+the input are read, whatever others are called; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, extend
+from tidemark.llm.common import cut, extend, forget, small
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Paths of at most so many messages are broadcast to the texts; beyond that a join does it.
+BROADCAST_PATHS = 1_000_000
 
 
 def escaped(text: Column) -> Column:
@@ -50,16 +57,19 @@ def branches(messages: DataFrame) -> DataFrame:
     links = messages.select("tree", "node", "parent").alias("m")
     real = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     near = links.join(real, F.col("m.tree").eqNullSafe(F.col("t")) & (F.col("m.parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("up_node"))
-    jump = cut(near, "chat-links")
+    jump = near = cut(near, "chat-links")
     inner = jump.where("up_node is not null").select(F.col("tree").alias("t"), F.col("up_node").alias("n")).distinct()
-    paths = jump.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    step, most = 1, max(1, messages.count())
+    paths = cut(jump.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "chat-leaves")
+    step, most = 1, max(1, near.count())
     while step < 2 * most:
         ahead = jump.where("up_node is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up_node").alias("a"))
+        # Each step is written once: what it adds to the paths.
         more = paths.join(ahead, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("a").alias("node"), (F.col("up") + step).alias("up"))
-        paths = cut(paths.unionByName(more), "chat-paths")
+        paths = paths.unionByName(cut(more, "chat-paths"))
         far = jump.join(ahead, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up_node") == F.col("n"))).select("tree", "node", F.col("a").alias("up_node"))
-        jump, step = cut(far, "chat-jumps"), 2 * step
+        before, jump, step = jump, cut(far, "chat-jumps"), 2 * step
+        if before is not near:
+            forget(before)
         if jump.isEmpty():
             break
     else:
@@ -75,26 +85,25 @@ def conversations(messages: DataFrame, best_only: bool = True) -> DataFrame:
 
     mask: the [start, end) code point ranges of formatted that carry loss: the texts of assistant turns.
     """
+    messages = cut(messages.select("tree", "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), "chat-messages")
+    same = lambda: F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
     paths = branches(messages)
-    own = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
-    full = paths.join(own, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     if best_only:
-        rank = full.groupBy("tree", "leaf").agg(F.avg("score").alias("s"), F.count("*").alias("d"))
+        scores = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "score")
+        rank = paths.join(scores, same()).groupBy("tree", "leaf").agg(F.avg("score").alias("s"), F.count("*").alias("d"))
         top = rank.groupBy("tree").agg(F.max_by("leaf", F.struct("s", "d", "leaf")).alias("l")).select(F.col("tree").alias("bt"), "l")
-        full = full.join(top, F.col("tree").eqNullSafe(F.col("bt")) & (F.col("leaf") == F.col("l")))
-    said = F.struct((-F.col("up")).alias("at"), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\n")).alias("role"), escaped(F.col("text")).alias("text"))
-    rows = full.groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score"), F.array_sort(F.collect_list(said)).alias("turns"))
+        paths = paths.join(top, F.col("tree").eqNullSafe(F.col("bt")) & (F.col("leaf") == F.col("l")))
+    paths = cut(paths.select(F.col("tree").alias("t"), "leaf", F.col("node").alias("n"), "up"), "chat-chosen")
+    full = messages.join(F.broadcast(paths) if small(paths, BROADCAST_PATHS) else paths, same())
+    said = full.select("tree", "leaf", "score", (-F.col("up")).alias("at"), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\n")).alias("role"), escaped(F.col("text")).alias("text"))
+    # Where a text begins is what the turns before it take up, by a running sum.
+    before, after = len(START) + 1, len(END) + 1
+    length = F.length("role") + F.length("text") + before + after
+    so_far = F.coalesce(F.sum(length).over(Window.partitionBy("tree", "leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    said = said.withColumn("start", (so_far + before + F.length("role")).cast("bigint"))
+    rows = said.groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score"), F.array_sort(F.collect_list(F.struct("at", "role", "text", "start"))).alias("turns"))
     parts = F.transform("turns", lambda t: F.concat(F.lit(START), t.role, F.lit("\n"), t.text, F.lit(END + "\n")))
-    frame = len(START) + 1 + len(END) + 1
-    begins = F.aggregate(
-        "turns", F.array().cast("array<struct<role:string,start:bigint,end:bigint>>"),
-        lambda a, t: F.concat(a, F.array(F.struct(
-            t.role.alias("role"),
-            (F.coalesce(F.try_element_at(a, F.lit(-1))["end"] + len(END) + 1, F.lit(0)) + len(START) + F.length(t.role) + 1).cast("bigint").alias("start"),
-            (F.coalesce(F.try_element_at(a, F.lit(-1))["end"] + len(END) + 1, F.lit(0)) + frame - len(END) - 1 + F.length(t.role) + F.length(t.text)).cast("bigint").alias("end"),
-        ))),
-    )
-    mask = F.transform(F.filter(begins, lambda r: r.role == "assistant"), lambda r: F.struct(r.start.alias("start"), r.end.alias("end")))
+    mask = F.transform(F.filter("turns", lambda t: t.role == "assistant"), lambda t: F.struct(t.start.alias("start"), (t.start + F.length(t.text)).alias("end")))
     return rows.select("tree", "leaf", "branch_score", F.size("turns").cast("long").alias("n_turns"), F.array_join(parts, "").alias("formatted"), mask.alias("mask"))
 
 
