@@ -2,11 +2,11 @@
 
 A window of WINDOW words that also starts elsewhere is removed wherever it stands.
 1. Each text's PHRASE-word phrases are winnowed, so that every window holds a chosen phrase and equal windows hold equal
-   ones. Phrases that occur at two places, by hash, recur (copies of a text are one place); the words of each are read from
-   one of its texts.
-2. The different texts with recurring phrases are put into shards of about SHARD bytes, together with the phrases, as words,
-   that any of them holds. For each shard an Aho-Corasick automaton is compiled from those phrases and streams all texts of the
-   shard to locate every occurrence. Only windows around an occurrence can recur; nothing else says where phrases stand.
+   ones. Phrases that occur at two places, by hash, recur (copies of a text are one place).
+2. The different texts with recurring phrases are put into shards of about SHARD bytes, together with the words of the different
+   phrases that any of them holds, spelled out once. For each shard an Aho-Corasick automaton is compiled from those phrases and
+   streams all texts of the shard to locate every occurrence. Only windows around an occurrence can recur; nothing else says
+   where phrases stand.
 3. Those windows' 128-bit digests, one of each kind in a shard, are dealt out by digest and counted over all shards.
 4. Each shard marks its recurring windows and keeps the other words. Texts that occur twice as a whole lose all words.
 
@@ -26,7 +26,6 @@ import uuid
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,15 +134,13 @@ class Shard:
         return total[self.words.high] - total[self.words.low], sha
 
 
-def _shards(batches):
-    """Rows (key, text, phrases) packed into shards: shard, keys, texts, and the different phrases of all."""
+def _shards(batches, phrase: int):
+    """Rows (key, text, hs) packed into shards: shard, keys, texts, and the different phrases of all, as words."""
     for batch in batches:
         for chunk in chunks(batch, "text", SHARD):
-            n = pa.array([0, chunk.num_rows], pa.int32())
-            columns = [pa.ListArray.from_arrays(n, chunk.column(i)) for i in range(2)]
-            phrases = pc.unique(chunk.column(2).flatten())
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(phrases)], pa.int32()), phrases))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *columns], ["shard", "keys", "texts", "phrases"])
+            said = pa.array(spelled(chunk.column("text"), chunk.column("hs"), phrase)[1], pa.binary()).cast(pa.string())
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (chunk.column("key"), chunk.column("text"), said)]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists], ["shard", "keys", "texts", "phrases"])
 
 
 def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, per_part: int = PER_PART) -> DataFrame:
@@ -153,30 +150,16 @@ def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     # 1. Phrases at two places.
     places = base.select("key", F.posexplode("phrases").alias("i", "h"))
     twice = places.groupBy("h").agg(F.min(F.xxhash64("key", "i")).alias("a"), F.max(F.xxhash64("key", "i")).alias("b")).where("a <> b").select("h")
-    # Written first, so that Spark can split a phrase that very many texts share in the joins below.
+    # Written first, so that Spark can split a phrase that very many texts share in the join below.
     twice = cut(twice, "substring-twice")
-    candidates = cut(places.select("key", "h").join(twice, "h").distinct(), "substring-candidates")
-    keys = cut(candidates.groupBy("key").agg(F.count("*").alias("n")), "substring-keys")
-    few = small(keys, BROADCAST_KEYS)
-    # The words of each, from one text that has it.
-    speakers = candidates.groupBy("h").agg(F.min("key").alias("key")).groupBy("key").agg(F.collect_list("h").alias("hs"))
-    spoken = keyed.select("key", "text").join(F.broadcast(speakers) if few and small(twice, BROADCAST_KEYS) else speakers, "key")
-
-    def spell(batches):
-        for batch in batches:
-            for chunk in chunks(batch, "text"):
-                found, said = spelled(chunk.column("text"), chunk.column("hs"), phrase)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64), pa.int64()), pa.array(said, pa.binary()).cast(pa.string())], ["h", "phrase"])
-
-    spelt = cut(spoken.select("text", "hs").mapInArrow(spell, "h long, phrase string").groupBy("h").agg(F.min("phrase").alias("phrase")), "substring-spelt")
-    said = candidates.join(spelt, "h").groupBy("key").agg(F.collect_list("phrase").alias("phrases"))
+    keys = cut(places.select("key", "h").join(twice, "h").groupBy("key").agg(F.collect_set("h").alias("hs")), "substring-candidates")
     # 2. Shards of different texts with recurring phrases.
     wanted = keyed.select("key", "text")
-    if few:
+    if small(keys, BROADCAST_KEYS):
         wanted = wanted.join(F.broadcast(keys.select("key")), "key", "left_semi")
-    texts = wanted.groupBy("key").agg(F.first("text").alias("text")).join(said, "key").select("key", "text", "phrases")
-    shards = cut(texts.mapInArrow(_shards, "shard string, keys array<binary>, texts array<string>, phrases array<string>"), "substring-shards")
-    forget(twice, candidates, spelt)
+    texts = wanted.groupBy("key").agg(F.first("text").alias("text")).join(keys, "key").select("key", "text", "hs")
+    shards = cut(texts.mapInArrow(lambda batches: _shards(batches, phrase), "shard string, keys array<binary>, texts array<string>, phrases array<string>"), "substring-shards")
+    forget(twice)
     # 3. Windows of each kind counted over all shards.
     n_words = base.join(keys, "key", "left_semi").agg(F.sum("n_words")).first()[0] or 0
     n_parts = max(1, -(-n_words // (2 * per_part)))
