@@ -60,3 +60,67 @@ def test_the_whole_keeps_what_each_stage_keeps(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert 0.5 * docs < len(rows) < docs and [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "pii", "mixing"]
     assert all(r.taken <= 3 * r.size for r in rows)
+
+
+def test_planted_cases_of_the_whole(spark, tmp_path):
+    """Toxic, copied, leaked and personal texts are each dealt with; clean ones come through, and the mix meets its targets."""
+    rng = random.Random(2)
+    say = lambda n=60: ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(n)]
+    docs, labels, kind = [], [], {}
+    passage = say(14)
+
+    def add(words, what, toxic=0):
+        i = len(docs)
+        text = " ".join(words)
+        docs.append((i, text, "en", f"s{i % 3}", len(text)))
+        kind[i] = what
+        if i % 3:
+            labels.append((i, toxic))
+
+    for i in range(1500):
+        words = say()
+        if i % 5 == 0:
+            for _ in range(3):
+                words[rng.randrange(60)] = rng.choice(["wretchy", "foulgrub", "snarkpit"])
+        add(words, "toxic" if i % 5 == 0 else "clean", int(i % 5 == 0))
+    base = say(300)
+    for k in range(4):
+        add([*base[:150], f"x{k}", *base[151:]], "copy")
+    for _ in range(5):
+        add([*say(20), *passage, *say(20)], "leak")
+    add([*say(10), "mail", "some.one@example.org", "card", "4111", "1111", "1111", "1111", *say(10)], "personal")
+    folder = str(tmp_path)
+    for name, rows, schema in (("documents", docs, DOCS), ("labels", labels, "doc_id long, toxic int"), ("benchmark", [(1, " ".join(passage)), (2, "nothing that is here at all in any of them")], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    got = spark.read.parquet(f"{folder}/documents.parquet")
+    states = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = spark.createDataFrame(stage(spark, got, folder).collect(), DOCS)
+        states[name] = {r.doc_id: r.text for r in got.collect()}
+    of = lambda what: {i for i, k in kind.items() if k == what}
+    after = states["toxicity"].keys()
+    assert len(of("toxic") - after) >= 0.95 * len(of("toxic")) and len(of("clean") & after) >= 0.98 * len(of("clean"))
+    now = states["simhash"].keys()
+    assert len(of("copy") & now) == 1 and now - of("copy") == after - of("copy")
+    assert states["decontamination"].keys() == now - of("leak")
+    (one,) = of("personal")
+    assert states["pii"][one] == re.sub(r"4111 1111 1111 1111", "[CARD]", docs[one][1].replace("some.one@example.org", "[EMAIL]"))
+    assert {i: t for i, t in states["pii"].items() if i != one} == {i: t for i, t in states["decontamination"].items() if i != one}
+    mixed = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in mixed} == states["pii"].keys()
+    for source in {r.source for r in mixed}:
+        own = [r for r in mixed if r.source == source]
+        # Nearly all texts have 60 words, so no sum is nearer than that.
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 60 and sum(r.size for r in own) == own[0].source_size
+        assert all(r.size == len(states["pii"][r.doc_id].split()) for r in own)
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    odd = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "", "en", "s", 0), (2, " \n", "en", None, 2), (3, "a b c", None, "s", 5)], DOCS)
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            assert out.count() == (0 if docs.isEmpty() else 2 if name == "simhash" else 5)

@@ -86,21 +86,24 @@ def test_simhash_of_a_very_long_text(spark):
 
 
 def wide_links(fps):
-    """Pairs that SIMILAR links: at most 19 bits apart and within one bit in one of five segments."""
-    edges = [128 * i // 5 for i in range(6)]
-    near = lambda x: x.bit_count() <= 19 and any((x >> a & (1 << b - a) - 1).bit_count() <= 1 for a, b in zip(edges, edges[1:]))
+    """Pairs that SIMILAR links: at most 77 of 512 bits apart, at most 30 of the first 128, and within one bit in one of 8 segments of the first 192."""
+
+    def near(x):
+        return x.bit_count() <= 77 and (x & (1 << 128) - 1).bit_count() <= 30 and any((x >> a & (1 << 24) - 1).bit_count() <= 1 for a in range(0, 192, 24))
+
     return [(i, j) for i in range(len(fps)) for j in range(i) if near(fps[i] ^ fps[j])]
 
 
-@pytest.mark.parametrize("bucket", [simhash.BUCKET, 8])
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 16])
 def test_wide_fingerprints_equal_brute_force(spark, bucket):
     rng = random.Random(8)
-    centres = [rng.getrandbits(128) for _ in range(4)]
-    flip = lambda x, low, high: x ^ sum(1 << b for b in rng.sample(range(low, high), rng.randrange(0, 24) if high - low > 30 else rng.randrange(3)))
-    fps = [flip(rng.choice(centres), 0, 128) for _ in range(120)] + [flip(centres[0] ^ 0xFFFFFFFFFF, 50, 70) for _ in range(60)]
+    centres = [rng.getrandbits(512) for _ in range(4)]
+    flip = lambda x, most: x ^ sum(1 << b for b in rng.sample(range(512), rng.randrange(most)))
+    fps = [flip(rng.choice(centres), 70) for _ in range(150)] + [flip(centres[0] ^ (1 << 40) - 1, 12) for _ in range(60)]
     fps = sorted(set(fps))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    frame = spark.createDataFrame([(signed(f & (1 << 64) - 1), signed(f >> 64)) for f in fps], "fp long, fp_1 long")
+    word = lambda f, i: signed(f >> 64 * i & (1 << 64) - 1)
+    frame = spark.createDataFrame([(word(f, 0), word(f, 1), word(f, 2), bytearray(f.to_bytes(64, "little"))) for f in fps], "fp long, fp_1 long, fp_2 long, fp_all binary")
     nodes = [r.node for r in frame.withColumn("node", simhash.node_of(["fp", "fp_1"])).collect()]
     found = {r.node: r.root for r in components.components(simhash.links(frame, simhash.SIMILAR, bucket)).collect()}
     root, first = roots(len(fps), wide_links(fps)), {}
@@ -108,6 +111,24 @@ def test_wide_fingerprints_equal_brute_force(spark, bucket):
     assert all(first.setdefault(g, r) == r for g, r in zip(got, root)) and len(set(got)) == len(set(root)) < len(fps)
 
 
+def test_wide_fingerprints_of_texts(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(900)}" for _ in range(700)]
+    near = [*words[:300], "other", *words[301:]]
+    rows = [(1, " ".join(words), "s"), (2, " ".join(near).upper(), "s"), (3, None, "s"), (4, "one two", "s"), (5, " ".join(words[:350]), "s"), (6, " ".join(words), "s")]
+    got = {r.doc_id: r for r in simhash.fingerprints(spark.createDataFrame(rows, DOCS), setting=simhash.SIMILAR).collect()}
+    apart = lambda a, b: (int.from_bytes(got[a].fp_all, "little") ^ int.from_bytes(got[b].fp_all, "little")).bit_count()
+    assert apart(1, 6) == 0 and got[3].fp_all == bytes(64) and 0 < apart(1, 2) < 40 and 77 < apart(1, 5) < 180 and apart(1, 4) > 200
+    assert got[1].fp_all[:8] == (got[1].fp % (1 << 64)).to_bytes(8, "little")
+    # In pieces, too.
+    hashes, edges = np.array([rng.getrandbits(64) for _ in range(50)], np.uint64), np.array([0, 3, 3, 20, 50])
+    whole, simhash.SHINGLES = simhash.folded(hashes, edges, 3), 7
+    assert (simhash.folded(hashes, edges, 3) == whole).all()
+    simhash.SHINGLES = 1 << 19
+    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        assert int(whole[i, 0]) == sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in hashes[a:b]) > b - a)
+
+
 def test_simhash_links_every_close_pair_in_crowded_buckets(spark):
     rng = random.Random(1)
     centres = [rng.getrandbits(64) for _ in range(3)]
@@ -187,6 +208,19 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mixing_sizes_equal_sql_and_odd_rows(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(r"with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents) select doc_id, size, sum(size) over (partition by source)::bigint from d").fetchall()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("*", "1 as taken", "2 as h", "3 as `a.b`")
+    assert sorted((r.doc_id, r.size, r.source_size) for r in mixing.mix(docs).collect()) == sorted(want)
+    rows = [(1, "w " * 200_000, "a"), (2, "w", None), (2, "w", None), (None, None, "a"), (3, "", "b")]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 5 and {r.size for r in got} == {200_000, 1, 0} and all(0 <= r.taken <= 3 * r.size for r in got)
+
+
 def test_mixing_reshares_above_the_cap(spark):
     sizes = [("a", 5), ("b", 1000), ("c", 10), ("d", 700), (None, 0)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}

@@ -1,11 +1,15 @@
 """PII, toxicity, language and decontamination against brute force, held-out accuracy and awkward inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
+import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,18 +69,33 @@ def naive_decontam(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 12])
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 60])
 def test_decontamination_equals_brute_force(spark, block):
     rng = random.Random(4)
     say = lambda n: " ".join(rng.choice(["A", "b", "c,", "Dé", "e1"]) for _ in range(n))
     items = [(i, say(rng.choice([0, 2, 4, 9, 10, 11, 25]))) for i in range(14)] + [(3, say(12)), (None, say(10)), (50, None)]
     docs = [(i, say(rng.randrange(60)) + " " + (rng.choice(items)[1] or "") + " " + say(9) if i % 3 else say(30)) for i in range(60)]
     docs = docs + [(100, None), (101, ""), (1, docs[1][1])]
-    rows = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "7 as n_hit"), spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()
+    rows = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "7 as n_hit"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
     got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows)
     assert got == sorted((i, *naive_decontam(t, items)) for i, t in docs)
 
 
+def test_decontamination_reads_very_long_texts_and_many_items(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(14))
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300_000))
+    docs = spark.createDataFrame([(1, f"{long} {passage.upper()} {long}"), (2, long), (2, long)], "doc_id long, text string").selectExpr("*", "1 as n_words", "2 as items", "'x' as `a.b`")
+    items = spark.createDataFrame([(7, passage), (8, "never seen here"), (9, passage + " and more")], "item_id long, text string")
+    for block in (decontam.BLOCK_BYTES, 40):
+        got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontam.decontaminate(docs, items, block_bytes=block).collect())
+        assert got == [(1, 600_014, 14, 2, hashlib.sha256(b"7,9").hexdigest())] + [(2, 300_000, 0, 0, hashlib.sha256(b"").hexdigest())] * 2
+    # Five million words of items stay within some 5 bytes a byte.
+    block = decontam.Block([(str(i), " ".join(f"v{rng.randrange(10**6)}" for _ in range(1000))) for i in range(200)])
+    size = sum(x.nbytes for w in block.windows.values() for x in (w.hashes, w.at, w.stop, w.items, w.edges)) + len(block.data) + block.prints.nbytes
+    assert size <= 8 * len(block.data)
+
+
 def test_decontamination_of_empty_tables(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     none = spark.createDataFrame([], "item_id long, text string")
@@ -88,6 +107,7 @@ def test_toxicity_held_out(spark):
     rows = op3_toxicity(spark, SF).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert 0.6 <= sum(r.predicted for r in rows if r.held_out and labels.get(r.doc_id)) / max(1, sum(r.held_out and labels.get(r.doc_id) == 1 for r in rows))
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in labels]
     clean = [r for r in held if not labels[r.doc_id]]
@@ -113,6 +133,12 @@ def test_toxicity_learns_words_that_only_toxic_text_has(spark):
     assert sum(r.predicted == r.toxic for r in rows) >= 0.95 * len(rows)
     odd = toxicity.score(spark.createDataFrame(ODD, DOCS).selectExpr("*", "0 as score"), model).collect()
     assert len(odd) == len(ODD) and all(r.predicted == 0 for r in odd)
+    clash = test.selectExpr("*", "9 as predicted", "8 as score", "7 as `a.b`")
+    assert sorted((r.doc_id, r.predicted) for r in toxicity.score(clash.unionByName(clash), model).collect()) == sorted((r.doc_id, r.predicted) for r in rows + rows)
+    assert toxicity.score(clash.limit(0), model).count() == 0
+    # A window of many letters is cut, whatever stands before its toxic part; a score at the limit rejects.
+    long = "b" * 5000 + " " + " ".join(["ba"] * 30_000) + " wretchy foulgrub snarkpit wretchy"
+    assert model.score(long) > model.score(long[:5000]) and toxicity.windows_of(pa.array(["a" * 40])) == [["a" * 16, "a" * 16, "a" * 8]]
     alone = toxicity.fit(train.drop("toxic"), train.select("doc_id", "toxic").where("toxic = 0"))
     assert {r.predicted for r in toxicity.score(test, alone).collect()} == {0}
     assert toxicity.fit(train.drop("toxic"), train.select("doc_id", "toxic").limit(0)).score("a b") == 0.5
@@ -136,14 +162,53 @@ def test_language_backs_off_and_takes_odd_rows(spark):
 
 
 def test_language_reads_long_words_whole(spark):
-    head, tail = "ab" * 120, "ij" * 600
+    head, tail = "ab" * 120, "ij" * 6000
     data = [("ab ab ab cab", "en"), ("ij ij ij kij", "de")]
     model = langid.fit(spark.createDataFrame(data, "text string, lang string"))
-    assert model.predict(head + tail)[0] == "de" and model.predict(tail + head)[0] == "de"
-    assert not any(len(w) > langid.KEPT_LENGTH for w in model._kept)
-    long = spark.createDataFrame([("xy" * 150 + "qz" * 400, "en"), ("xyxy", "de")], "text string, lang string")
-    padded = ["^" + "xy" * 150 + "qz" * 400 + "$", "^xyxy$"]
-    assert set(langid.fit(long).grams) == {w[i : i + n] for w in padded for n in range(1, 5) for i in range(len(w) - n + 1)}
+    assert model.predict(head + tail)[0] == "de" and model.predict(tail + head)[0] == "de" and model.predict("q" * 199 + "ij" * 2500)[0] == "de"
+    long = "xy" * 150 + "qz" * 400
+    learnt = langid.fit(spark.createDataFrame([(long, "en"), ("xyxy", "de")], "text string, lang string"))
+    pieces = {w[i : i + n] for w in (f"^{long}$", "^xyxy$") for n in range(1, 5) for i in range(len(w) - n + 1)}
+    assert sum(len(keys) for keys, _ in learnt.tables[1:]) == len(pieces) and len(learnt.tables[0][0]) == 2
+
+
+def naive_scores(train, word):
+    """The word's score in each language from plain counters of the training texts."""
+    split = lambda t: [w for w in regex.findall(r"[\p{L}\p{M}]+", t.lower()) if regex.search(r"\p{L}", w)]
+    langs = sorted({lang for _, lang in train})
+    counts = [{lang: Counter() for lang in langs} for _ in range(5)]
+    for text, lang in train:
+        for w in split(text):
+            counts[0][lang][w] += 1
+            for n in range(1, 5):
+                counts[n][lang].update(f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n))
+    out = {}
+    for lang in langs:
+        def log(n, key, lang=lang):
+            known = set().union(*counts[n].values())
+            return math.log((counts[n][lang][key] + 0.5) / (sum(counts[n][lang].values()) + 0.5 * len(known) + 1)) if key in known else None
+
+        found, padded = log(0, word), f"^{word}$"
+        if found is None:
+            best = [next((x for n in range(min(4, len(padded) - i), 0, -1) if (x := log(n, padded[i : i + n])) is not None), math.log(1e-6)) for i in range(len(padded))]
+            found = sum(best) / len(best)
+        out[lang] = found
+    return out
+
+
+def test_language_scores_equal_brute_force(spark):
+    train = [("the cat, the CAFE\u0301 and 2 hats", "en"), ("der hund l\u00e4uft, die \u0939\u093f\u0928\u094d\u0926\u0940", "de"), ("le chat dort", "fr"), ("le chat dort", "fr")]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"))
+    words = ["the", "cafe\u0301", "cafe", "\u0939\u093f\u0928\u094d\u0926\u0940", "hunde", "zzz", "chats", "l\u00e4uft"]
+    got = model.scores(pa.array(words))
+    for w, row in zip(words, got, strict=True):
+        assert dict(zip(model.langs, row, strict=True)) == pytest.approx(naive_scores(train[:3], w))
+    # Marks belong to their word; a tie goes to the first language.
+    assert model.predict("\u0939\u093f\u0928\u094d\u0926\u0940")[0] == "de" and model.predict("cafe\u0301")[0] == "en"
+    assert langid.fit(spark.createDataFrame([("aa bb", "fr"), ("aa bb", "de")], "text string, lang string")).predict("bb") == ("de", 0.5)
+    docs = spark.createDataFrame([(1, "the cat", "x"), (1, "the cat", "x"), (2, None, "y")], "doc_id long, text string, score string")
+    rows = langid.predict(docs.selectExpr("*", "5 as lang_pred", "6 as `a.b`"), model).collect()
+    assert [r.lang_pred for r in rows] == ["en", "en", "und"] and langid.predict(docs.limit(0), model).count() == 0
 
 
 def test_ibans_before_and_behind_other_tokens():

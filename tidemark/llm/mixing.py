@@ -6,11 +6,13 @@ that still fit, and a bounded-knapsack dynamic program over what remains, which
 lengths allow. How many documents of a length are wanted is then met by documents in the order of a seeded hash.
 
 Groups in a task: the length counts of one source (as many as it has different lengths), and at most about BUCKET documents
-of one source and length. Sources: one row each passes one task for the shares.
+of one source and length. The shares need all sources at once: one narrow row a source passes one task, which bounds sources to
+some tens of millions; documents never do.
 
 Defined cases: null text has size 0; a null source is a source of its own, last; documents of size 0 are never needed
 and are taken as often as all the rest of their source; equal rows are told apart only by their order, so which of them
-is taken doesn't show; an empty table gives none.
+is taken doesn't show; a very long text only has a large size; ties of the seeded hash go by id; only the named columns of
+the input are read, whatever others are called; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words move their scores.
 
 Defined cases: a null or empty text has no spans; spans are in code points, end exclusive; a text's length only costs
-time in proportion (no pattern can backtrack over a long run); copies of a row give copies of its result; an empty table
-gives an empty result; columns of other names are left alone, and the input needs no name but those passed in.
+time in proportion (no pattern can backtrack over a long run); copies of a row give copies of its result; spans of one kind
+never overlap, those of different kinds may, and of equal starts the longer is redacted; an empty table gives an empty result;
+columns of other names are left alone, those named as a result are replaced, and the input needs no name but those passed in.
 """
 
 from __future__ import annotations
