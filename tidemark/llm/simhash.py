@@ -2,16 +2,18 @@
 
 A fingerprint is cut into segments, so few that one of them must differ in at most one bit: 2 segments for fingerprints that
 differ in at most 3 bits. So each segment is indexed under its variants with one bit blanked: two segments within one bit
-share a variant. Variants are brought together by an equality shuffle and whole fingerprints are compared.
+share a variant. Variants are brought together by an equality shuffle and fingerprints are compared as a whole.
 
-Two settings. CLOSE: 64 bits of XXH64, 3 bits, 2 segments; every pair within 3 bits is linked. SIMILAR, for texts of a Jaccard
-similarity of about 0.8 or more: 128 bits, of which a share of 1 - angle / pi agrees for two texts, so that 0.8 is at 19
-differing bits; 5 segments, as 10 segments would be too short to tell texts apart. There, pairs of up to 9 bits are always
-found, and those further apart when one of their segments is within one bit.
+Two settings. CLOSE: 64 bits of XXH64, 3 bits, 2 segments; every pair within 3 bits is linked. SIMILAR, for texts with a Jaccard
+similarity of 0.8 or more: of two texts' bits a share of angle / pi differs, which at 0.8 is 77 of 512 bits. The index has 8
+segments of the first 192 bits; segments as short as a guarantee for 0.8 would need could not tell texts apart at scale, so
+pairs of 15 or fewer differing bits there are always found and pairs near the limit often, not always (README has figures). What
+the index brings together is prefiltered by 128 bits and decided by all 512, which measure 0.8 to within about 0.03.
 
-Only distinct fingerprints are indexed. A bucket of up to BUCKET members is compared in one task and gives only the edges of a
-spanning star of each linked part. The members of a larger one are dealt into blocks, and each pair of blocks is compared in a
-task of its own. So no group is unbounded, no pairs of a group are listed, and no link is lost.
+Only distinct fingerprints are indexed. Members of small buckets are compared pair by pair; one of up to BUCKET members is compared
+in one task and gives only the edges of a spanning star of each linked part. The members of a larger one are dealt into blocks,
+and each pair of blocks is compared in a task of its own. So no group is unbounded, no pairs of a group are listed, and no link
+that the index finds is lost.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any other; a text with fewer words than a shingle
 is one shingle; a very long text is hashed in one task, in time in proportion; equal rows stay separate rows; rows with a null
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACED, Words, cut, deal, extend, forget, join_by_copies, quoted, small
+from tidemark.llm.common import NO_HASH, SPACED, Words, cut, deal, extend, forget, grams, join_by_copies, mix, quoted, small
 from tidemark.llm.components import components
 
 SEED, BUCKET = 42, 1024
@@ -43,34 +45,42 @@ FEW = 8
 
 @dataclass(frozen=True)
 class Setting:
-    """Words in a shingle, 64-bit parts of a fingerprint, the most bits that linked ones differ in, and segments."""
+    """Words in a shingle, 64-bit words of the index, its segments, the bits (of the first two words at most) that members of a
+    bucket may differ in, and for a decision by more bits than those: how many words there are of them, and their most bits."""
 
     shingle: int
-    parts: int
-    bits: int
+    index: int
     segments: int
+    bits: int
+    words: int = 0
+    limit: int = 0
 
     @property
     def names(self) -> list[str]:
-        return [f"fp_{i}" if i else "fp" for i in range(self.parts)]
+        """The columns that tell fingerprints apart."""
+        return ["fp"] if self.index == 1 else ["fp", "fp_1"]
 
+    @property
+    def indexed(self) -> list[str]:
+        return [f"fp_{i}" if i else "fp" for i in range(self.index)]
 
-CLOSE, SIMILAR = Setting(3, 1, 3, 2), Setting(5, 2, 19, 5)
+    @property
+    def columns(self) -> list[str]:
+        return [*self.indexed, *(["fp_all"] if self.words else [])]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", setting: Setting = CLOSE, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns in keep) with the SimHash of the text's word shingles in signed 64-bit numbers: fp, fp_1."""
-    shingle, parts = setting.shingle, setting.parts
+CLOSE, SIMILAR = Setting(3, 1, 2, 3), Setting(5, 3, 8, 30, 8, 77)
+_STEP = 0x9E3779B97F4A7C15
+#: So many shingles are turned into bits at a time.
+SHINGLES = 1 << 19
 
-    def digests(parts_of: list[memoryview]) -> np.ndarray:
-        if parts == 1:
-            digest = xxhash.xxh64_intdigest
-            return np.fromiter((digest(x, SEED) for x in parts_of), np.uint64, len(parts_of)).reshape(-1, 1)
-        digest = xxhash.xxh3_128_digest
-        return np.frombuffer(b"".join([digest(x, SEED) for x in parts_of]), np.uint64).reshape(-1, parts)
 
-    def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        words = Words(batch.column(text), SPACED, lower=True)
+def fingerprints(docs: DataFrame, text: str = "text", setting: Setting = CLOSE, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with the SimHash of the text's word shingles: fp, and for a wide one fp_1, fp_2 and all
+    its words in fp_all. Signed 64-bit numbers; shingles are hashed by XXH64, those of a wide one by `grams`, once for each word."""
+    shingle = setting.shingle
+
+    def narrow(words: Words) -> np.ndarray:
         joined, start, end = words.joined()
         counts = words.counts
         first = np.arange(len(words))
@@ -80,19 +90,52 @@ def fingerprints(docs: DataFrame, text: str = "text", setting: Setting = CLOSE,
         begins = (rest >= shingle) | ((whole < shingle) & (rest == whole))
         at = first[begins]
         stop = end[np.minimum(at + np.minimum(whole[begins], shingle), len(words)) - 1] if len(at) else at
-        begin, edges = start[at], np.searchsorted(at, np.concatenate([words.low, [len(words)]]))
-        view = memoryview(joined)
-        out = np.zeros((len(counts), parts), np.uint64)
-        for i, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-            ones = np.zeros(64 * parts, np.int64)
-            for a in range(low, high, 1 << 16):
-                b = min(high, a + (1 << 16))
-                own = digests([view[x:y] for x, y in zip(begin[a:b].tolist(), stop[a:b].tolist(), strict=True)])
-                ones += np.unpackbits(own.view(np.uint8).reshape(b - a, 8 * parts), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits(2 * ones > high - low, bitorder="little").view(np.uint64)
-        return [pa.array(out[:, i].copy().view(np.int64), pa.int64()) for i in range(parts)]
+        view, digest, begin = memoryview(joined), xxhash.xxh64_intdigest, start[at]
+        hashes = np.empty(len(at), np.uint64)
+        for low in range(0, len(at), SHINGLES):
+            some = slice(low, low + SHINGLES)
+            hashes[some] = np.fromiter((digest(view[a:b], SEED) for a, b in zip(begin[some].tolist(), stop[some].tolist(), strict=True)), np.uint64, len(begin[some]))
+        return folded(hashes, np.searchsorted(at, np.concatenate([words.low, [len(words)]])), 1)
+
+    def wide(words: Words) -> np.ndarray:
+        hashes, counts = words.hashes(), words.counts
+        high = np.repeat(words.high, counts)
+        found = grams(hashes, high, shingle)
+        for k in range(1, shingle):
+            short = words.low[counts == k]
+            if len(short):
+                found[short] = grams(hashes, high, k)[short]
+        at = np.flatnonzero(found != NO_HASH)
+        return folded(found[at], np.searchsorted(at, np.concatenate([words.low, [len(words)]])), setting.words)
 
-    return extend(docs, text, ", ".join(f"{x} long" for x in setting.names), make, keep)
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        words = Words(batch.column(text), SPACED, lower=True)
+        out = wide(words) if setting.words else narrow(words)
+        found = [pa.array(out[:, i].copy().view(np.int64), pa.int64()) for i in range(setting.index)]
+        return [*found, pa.array([x.tobytes() for x in out], pa.binary())] if setting.words else found
+
+    fields = [*(f"{x} long" for x in setting.indexed), *(["fp_all binary"] if setting.words else [])]
+    return extend(docs, text, ", ".join(fields), make, keep)
+
+
+def folded(hashes: np.ndarray, edges: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of the texts whose shingles' hashes lie between edges: a bit is 1 if it is set in over half of them. Word 0
+    is of the hashes themselves, each further one of hashes made from them."""
+    sizes = np.diff(edges)
+    out = np.zeros((len(sizes), words), np.uint64)
+    for i in range(words):
+        ones = np.zeros((len(sizes), 64), np.int64)
+        for low in range(0, len(hashes), SHINGLES):
+            own = hashes[low : low + SHINGLES]
+            own = mix(own + np.uint64(_STEP * i % (1 << 64))) if i else own
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            first = int(np.searchsorted(edges, low, "right")) - 1
+            last = int(np.searchsorted(edges, low + len(own), "left"))
+            begins = np.maximum(edges[first:last], low) - low
+            there = np.flatnonzero(np.diff(np.append(begins, len(own))) > 0)
+            ones[first + there] += np.add.reduceat(bits, begins[there], axis=0, dtype=np.int64)
+        out[:, i] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
 
 
 def _segment(names: list[str], low: int, size: int) -> Column:
@@ -106,9 +149,9 @@ def _segment(names: list[str], low: int, size: int) -> Column:
 
 def variants(fps: DataFrame, setting: Setting) -> DataFrame:
     """fps exploded to (key, *names): one row for each segment with one of its bits blanked."""
-    names, total = setting.names, 64 * setting.parts
+    names, total = setting.names, 64 * setting.index
     edges = [total * i // setting.segments for i in range(setting.segments + 1)]
-    split = fps.select(*names, *(_segment(names, a, b - a).alias(f"s{i}") for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))), F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("v"))
+    split = fps.select(*names, *(_segment(setting.indexed, a, b - a).alias(f"s{i}") for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))), F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("v"))
     own, low = F.col(f"s{setting.segments - 1}"), F.lit(edges[-2])
     for i in reversed(range(setting.segments - 1)):
         own, low = F.when(F.col("v") < edges[i + 1], F.col(f"s{i}")).otherwise(own), F.when(F.col("v") < edges[i + 1], F.lit(edges[i])).otherwise(low)
@@ -120,19 +163,23 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _star(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _near(fps: np.ndarray, bits: int) -> np.ndarray:
+    """Which members of a bucket are within so many bits of which, themselves included."""
+    apart = np.zeros((len(fps), len(fps)), np.int16)
+    for i in range(fps.shape[1]):
+        apart += np.bitwise_count(fps[:, None, i] ^ fps[None, :, i])
+    return apart <= bits
+
+
+def _star(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which members of a bucket are linked to a member of a lower place, and the lowest of their part."""
-    near = np.bitwise_count(fps[:, None, 0] ^ fps[None, :, 0]).astype(np.int16)
-    for i in range(1, fps.shape[1]):
-        near += np.bitwise_count(fps[:, None, i] ^ fps[None, :, i])
-    near = near <= bits
-    label = np.arange(len(fps))
+    label = np.arange(len(near))
     while True:
-        new = np.where(near, label[None, :], len(fps)).min(axis=1)
+        new = np.where(near, label[None, :], len(near)).min(axis=1)
         if (new == label).all():
             break
         label = new
-    joined = np.flatnonzero(label != np.arange(len(fps)))
+    joined = np.flatnonzero(label != np.arange(len(near)))
     return joined, label[joined]
 
 
@@ -149,23 +196,40 @@ def _links_of(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray,
         a.append(at + d)
         b.append(at)
     for i in np.flatnonzero(sizes > FEW).tolist():
-        joined, least = _star(fps[begins[i] : begins[i + 1]], bits)
+        joined, least = _star(_near(fps[begins[i] : begins[i + 1]], bits))
         a.append(joined + begins[i])
         b.append(least + begins[i])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _linked(batches, bits: int, most: int):
-    """Batches of (key, *names), sorted by key, to (key, *names, *others): links (without a key), and the members of buckets
-    of more than `most` (with their key, without others)."""
+def _linked(batches, bits: int, most: int, verified: bool):
+    """Batches of (key, *names), sorted by key, to (key, large, *a, *b): links (without a key); and members without others, with
+    their key: those of buckets of more than `most` (large), and those of buckets of more than FEW if links are to be
+    verified by more bits (the near ones only)."""
     held_keys, held, large = np.zeros(0, np.int64), None, None
 
-    def out(key: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+    def out(key: np.ndarray | None, is_large: bool, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
         n, parts = a.shape
-        columns = [pa.nulls(n, pa.int64()) if key is None else pa.array(key)]
+        columns = [pa.nulls(n, pa.int64()) if key is None else pa.array(key), pa.array(np.full(n, is_large))]
         columns += [pa.array(a[:, i].copy().view(np.int64)) for i in range(parts)]
         columns += [pa.nulls(n, pa.int64()) if b is None else pa.array(b[:, i].copy().view(np.int64)) for i in range(parts)]
-        return pa.RecordBatch.from_arrays(columns, ["key", *(f"a{i}" for i in range(parts)), *(f"b{i}" for i in range(parts))])
+        return pa.RecordBatch.from_arrays(columns, ["key", "large", *(f"a{i}" for i in range(parts)), *(f"b{i}" for i in range(parts))])
+
+    def compared(keys: np.ndarray, fps: np.ndarray):
+        if verified:
+            begins = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            sizes = np.diff(begins)
+            for i in np.flatnonzero(sizes > FEW).tolist():
+                near = _near(fps[begins[i] : begins[i + 1]], bits).sum(axis=1) > 1
+                if near.any():
+                    own = fps[begins[i] : begins[i + 1]][near]
+                    yield out(np.full(len(own), keys[begins[i]]), False, own, None)
+            few = np.repeat(sizes <= FEW, sizes)
+            keys, fps = keys[few], fps[few]
+        if len(keys):
+            a, b = _links_of(keys, fps, bits)
+            if len(a):
+                yield out(None, False, fps[a], fps[b])
 
     for batch in batches:
         if not batch.num_rows:
@@ -175,7 +239,7 @@ def _linked(batches, bits: int, most: int):
         if large is not None:
             n = int(np.searchsorted(keys, large, "right"))
             if n:
-                yield out(keys[:n], fps[:n], None)
+                yield out(keys[:n], True, fps[:n], None)
             keys, fps = keys[n:], fps[n:]
             if not len(keys):
                 continue
@@ -187,21 +251,38 @@ def _linked(batches, bits: int, most: int):
         begins = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
         many = np.repeat(np.diff(begins) > most, np.diff(begins))
         if many.any():
-            yield out(keys[many], fps[many], None)
+            yield out(keys[many], True, fps[many], None)
             if many[-1]:
                 large, low = keys[-1], len(keys)
         done = ~many
         done[low:] = False
         if done.any():
-            k, f = keys[done], fps[done]
-            a, b = _links_of(k, f, bits)
-            if len(a):
-                yield out(None, f[a], f[b])
+            yield from compared(keys[done], fps[done])
         held_keys, held = keys[low:], fps[low:]
     if held is not None and len(held):
-        a, b = _links_of(held_keys, held, bits)
-        if len(a):
-            yield out(None, held[a], held[b])
+        yield from compared(held_keys, held)
+
+
+def _stars(batches, bits: int, limit: int):
+    """Batches of (key, node, fp_all), sorted by key, to edges (a, b) of the stars of each bucket by the first 128 and all bits."""
+    key, nodes, fps = None, [], []
+
+    def done():
+        words = np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)
+        joined, least = _star(_near(words[:, :2], bits) & _near(words, limit))
+        own = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(own[joined]), pa.array(own[least])], ["a", "b"])
+
+    for batch in batches:
+        for k, node, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != key:
+                if len(nodes) > 1:
+                    yield done()
+                key, nodes, fps = k, [], []
+            nodes.append(node)
+            fps.append(fp)
+    if len(nodes) > 1:
+        yield done()
 
 
 def node_of(names: list[str]) -> Column:
@@ -210,30 +291,46 @@ def node_of(names: list[str]) -> Column:
 
 
 def links(fps: DataFrame, setting: Setting = CLOSE, bucket: int = BUCKET, rows: int | None = None) -> DataFrame:
-    """Edges (a, b) between the nodes of distinct fingerprints (columns of the setting's names) that connect all that are linked."""
+    """Edges (a, b) between the nodes of distinct fingerprints (the setting's columns) that connect all that are linked."""
     names = setting.names
-    if setting.parts == 1 and setting.bits >= 2 * setting.segments:
+    if not setting.words and setting.bits >= 2 * setting.segments:
         raise ValueError("too few segments for one of them to be within one bit")
-    n = (fps.count() if rows is None else rows) * 64 * setting.parts
-    keyed = deal(variants(deal(fps.select(*names), n, PER_PART, *names), setting), n, PER_PART, "key").sortWithinPartitions("key")
-    schema = ", ".join(f"{x} long" for x in ("key", *(f"a{i}" for i in range(setting.parts)), *(f"b{i}" for i in range(setting.parts))))
+    n = (fps.count() if rows is None else rows) * 64 * setting.index
+    spread = deal(fps.select(*setting.indexed), n, PER_PART, *names)
+    keyed = deal(variants(spread, setting), n, PER_PART, "key").sortWithinPartitions("key")
+    ends = [[f"{x}{i}" for i in range(len(names))] for x in "ab"]
+    schema = ", ".join(["key long", "large boolean", *(f"{x} long" for x in ends[0] + ends[1])])
 
     def compare(frame: DataFrame, most: int) -> DataFrame:
-        return frame.mapInArrow(lambda batches, bits=setting.bits: _linked(batches, bits, most), schema)
+        return frame.mapInArrow(lambda batches, bits=setting.bits, more=bool(setting.words): _linked(batches, bits, most, more), schema)
 
-    ends = [[f"{x}{i}" for i in range(setting.parts)] for x in "ab"]
-    edges = lambda frame: frame.where("key is null").select(*(node_of(e).alias(x) for e, x in zip(ends, "ab", strict=True)))
     found = cut(compare(keyed, bucket), "simhash-links")
-    large = found.where("key is not null").select("key", *(F.col(a).alias(x) for a, x in zip(ends[0], names, strict=True)))
+    large = found.where("large").select("key", *(F.col(a).alias(x) for a, x in zip(ends[0], names, strict=True)))
     blocks = cut(large.groupBy("key").agg(F.ceil(F.count("*") / bucket).alias("n")), "simhash-large")
-    if blocks.isEmpty():
-        return edges(found)
-    # Every pair of blocks meets once; a block also meets itself.
-    dealt = large.join(F.broadcast(blocks) if small(blocks, BROADCAST_KEYS) else blocks, "key").withColumn("own", F.pmod(F.xxhash64(*names), "n"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *names)
-    more = compare(pairs.repartition("key").sortWithinPartitions("key"), 1 << 62)
-    return edges(found).unionByName(edges(more))
+    if not blocks.isEmpty():
+        # Every pair of blocks meets once; a block also meets itself.
+        dealt = large.join(F.broadcast(blocks) if small(blocks, BROADCAST_KEYS) else blocks, "key").withColumn("own", F.pmod(F.xxhash64(*names), "n"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *names)
+        found = found.where("not large").unionByName(compare(pairs.repartition("key").sortWithinPartitions("key"), 1 << 62))
+    edges = found.where("key is null").select(*(node_of(e).alias(x) for e, x in zip(ends, "ab", strict=True)))
+    if not setting.words:
+        return edges
+    # What is near by the first bits is decided by all of them: pairs one by one, larger buckets in their own tasks.
+    whole = fps.select(node_of(names).alias("node"), "fp_all")
+    tried = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-tried")
+    of = lambda x: whole.select(F.col("node").alias(x), F.col("fp_all").alias(f"all_{x}"))
+    both = tried.join(of("a"), "a").join(of("b"), "b")
+
+    def decide(batches, limit=setting.limit):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("all_a", "all_b"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(_differ(a, b) <= limit))
+
+    pairs = both.mapInArrow(decide, "a long, b long")
+    members = found.where("key is not null and not large").select("key", node_of(ends[0]).alias("node")).distinct()
+    crowded = members.join(whole, "node").select("key", "node", "fp_all").repartition("key").sortWithinPartitions("key")
+    return pairs.unionByName(crowded.mapInArrow(lambda batches, bits=setting.bits, limit=setting.limit: _stars(batches, bits, limit), "a long, b long"))
 
 
 def grouped(docs: DataFrame, pick: Column, text: str = "text", setting: Setting = CLOSE, keep: list[str] | None = None, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
@@ -241,7 +338,8 @@ def grouped(docs: DataFrame, pick: Column, text: str = "text", setting: Setting
     and least: the smallest pick, nulls left out, of all rows linked to it). pick: a column of docs that keep names."""
     names = setting.names
     base = cut(fingerprints(docs, text, setting, keep), "simhash")
-    fps = cut(base.groupBy(*names).agg(F.min(pick).alias("least"), F.count("*").alias("n")).withColumn("node", node_of(names)), "simhash-fps")
+    more = [F.first(x).alias(x) for x in setting.columns if x not in names]
+    fps = cut(base.groupBy(*names).agg(F.min(pick).alias("least"), F.count("*").alias("n"), *more).withColumn("node", node_of(names)), "simhash-fps")
     found = cut(components(links(fps, setting, bucket)), "simhash-components")
     of_root = found.join(fps.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("of_all"))
     linked = found.join(of_root, "root").select("node", "of_all")
