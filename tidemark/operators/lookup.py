@@ -27,13 +27,18 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, righ
 
 
 def segment_at(probes: DataFrame, segments: DataFrame, keys: list[str], t: str, start: str, length: str, seq: str) -> DataFrame:
-    """Each probe with the number of the first segment that ends after t: t below 0 gives the first, past the end null."""
-    real = segments.where(F.col(length) > 0)
-    found = as_of(probes, real.withColumn("__end", F.col(start) + F.col(length)), keys, t, start, [start, seq, "__end"])
-    first = segments.groupBy(*keys).agg(F.min_by(seq, F.struct(start, seq)).alias("__first"))
-    out = found.join(first, keys, "left")
-    hit = F.when(F.col(t) < 0, F.col("__first")).when(F.col(t) < F.col("__end"), F.col(seq))
-    return out.select(*probes.columns, hit.alias(seq))
+    """Each probe with the number of the first segment that ends after t: t below 0 gives the first, past the end null.
+
+    One exchange and one sort of probes and segments together; a segment's row tells its key's first one as well.
+    """
+    own = probes.withColumns({"__at": F.col(t), "__side": F.lit(0)})
+    real = F.when(F.col(length) > 0, F.struct(F.col(seq).alias("seq"), (F.col(start) + F.col(length)).alias("end")))
+    other = segments.select(*keys, F.col(start).alias("__at"), F.lit(-1).alias("__side"), real.alias("__got"), F.struct(F.col(start).alias("start"), F.col(seq).alias("seq")).alias("__head"))
+    both = own.unionByName(other, allowMissingColumns=True)
+    by = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumns({"__found": F.last("__got", ignorenulls=True).over(by), "__first": F.min("__head").over(Window.partitionBy(*keys))}).where("__side = 0")
+    hit = F.when(F.col(t) < 0, F.col("__first.seq")).when(F.col(t) < F.col("__found.end"), F.col("__found.seq"))
+    return found.select(*probes.columns, hit.alias(seq))
 
 
 def by_sequence(probes: DataFrame, segments: DataFrame, keys: list[str], seq: str, take: list[str]) -> DataFrame:
