@@ -186,3 +186,24 @@ def test_sessions_follow_commands_between_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = watermark.drain(session.follow(stream, "k", ["i"], "d", "seek", "pause", "swap"), "session-test").orderBy("k", "i").collect()
     assert [(r.start, r.epoch, r.kept, r.held, r.swapped) for r in got] == [(0, 0, True, False, None), (10, 1, False, True, None), (20, 1, False, True, 7), (20, 1, False, False, 7), (0, 0, True, False, None)]
+
+
+def test_output_modes(spark):
+    bodies = muxing.streams_of(muxing.mux(av(spark), Log(("k",), ("o",)), "part"), ["part"]).select(F.col("part").alias("seq"), F.when(F.col("part") == 0, "ts").otherwise("fmp4").alias("format"), "body")
+    parts = spark.createDataFrame([(1, bytearray(b"made"))], "seq int, body binary")
+    got = lambda mode, p=None: {r.seq: bytes(r.body) for r in muxing.output(bodies, mode, p).collect()}
+    raw = {r.seq: bytes(r.body) for r in bodies.collect()}
+    assert got("ts") == raw and got("ts-canonical", parts) == {0: raw[0], 1: b"made"} and got("es-audio") == {0: b"@" * 50 + b"A" * 50}
+    with pytest.raises(ValueError):
+        muxing.output(bodies, "mp3")
+
+
+def test_raw_audio_and_unit_types(spark):
+    head = bytes.fromhex("fff15080") + ((100 + 7) << 5 | 0x1FFC0000).to_bytes(4, "big")[1:]
+    frame = bytearray(bytes.fromhex("fff150800d7ffc") + bytes(100))
+    rows = spark.createDataFrame([(0, frame + frame[:50]), (1, bytearray(b"xx") + frame), (2, bytearray()), (3, None)], "seq int, body binary")
+    assert [(r.seq, r.i, r.pts, r.duration, len(r.data)) for r in packets.raw_audio(rows).collect()] == [(0, 0, 0, 2090, 107)] and len(head) == 7
+    units = spark.range(1).select(framing.classified(F.array(F.lit(b"\x65x"), F.lit(b""), F.lit(b"\x41"))).alias("u")).first().u
+    assert [u.type for u in units] == [5, 0, 1]
+    junk = muxing.streams_of(muxing.mux(av(spark), Log(("k",), ("o",)), "part"), ["part"]).select(F.col("part").alias("seq"), F.concat(F.unhex(F.lit("0102")), "body").alias("body"))
+    assert packets.demux(junk).count() == 8

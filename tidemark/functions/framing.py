@@ -156,3 +156,13 @@ def id3_size(body: Column) -> Column:
     digit = lambda i: F.conv(F.hex(F.substring(body, i, 1)), 16, 10).cast("int").bitwiseAND(F.lit(127))
     size = F.shiftleft(digit(7), 21) + F.shiftleft(digit(8), 14) + F.shiftleft(digit(9), 7) + digit(10) + 10
     return F.when(F.hex(F.substring(body, 1, 3)).eqNullSafe(F.lit("494433")) & (F.length(body) >= 10) & (size <= F.length(body)), size).otherwise(0)
+
+
+def classified(nals: Column) -> Column:
+    """NAL units with their types: array<struct<type, data>>; an empty unit has type 0."""
+    return F.transform(nals, lambda n: F.struct(F.coalesce(F.when(F.length(n) > 0, nal_type(n)), F.lit(0)).alias("type"), n.alias("data")))
+
+
+def id3_prefixed(body: Column) -> Column:
+    """Whether a body begins with the letters of such a tag, whole or not."""
+    return F.coalesce(F.hex(F.substring(body, 1, 3)) == "494433", F.lit(False))

@@ -11,6 +11,7 @@ from tidemark.operators.lookup import as_of
 from tidemark.operators.ordered import Log
 from tidemark.operators.scan import bucket_starts
 from tidemark.operators.selection import merge_streams
+from tidemark.sources.packets import demux
 
 #: Bytes of a packet after its header; flags of an adaptation field.
 ROOM = 184
@@ -137,3 +138,20 @@ def payload_of(units: DataFrame, kind: str) -> DataFrame:
     """(seq, body): the payloads of one kind of demuxed units end to end, as elementary output has them. A group is one body."""
     parts = F.array_sort(F.collect_list(F.struct("first", "payload")))
     return units.where(F.col("kind") == kind).groupBy("seq").agg(joined(F.transform(parts, lambda x: x["payload"])).alias("body"))
+
+
+#: The ways to put a stream out: as it came, one kind of payload alone, or always as a transport stream.
+MODES = ("ts", "es-audio", "es-video", "ts-canonical")
+
+
+def output(bodies: DataFrame, mode: str, parts: DataFrame | None = None) -> DataFrame:
+    """(seq, body) of segment bodies (seq, format, body) in a mode of MODES. Elementary modes take only transport streams (others
+    give no row); the canonical one passes those on and puts parts (seq, body: other formats, muxed; see mux and streams_of) beside them."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    if mode == "ts":
+        return bodies.select("seq", "body")
+    streams = bodies.where("format = 'ts'").select("seq", "body")
+    if mode == "ts-canonical":
+        return streams if parts is None else streams.unionByName(parts.select("seq", "body"))
+    return payload_of(demux(streams), mode.removeprefix("es-"))

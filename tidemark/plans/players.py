@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import framing
+from tidemark.functions import framing, tables
 from tidemark.functions import scalars as S
 from tidemark.operators import lookup, muxing, ordered, renditions, scan, selection
 from tidemark.operators.ordered import Log
 from tidemark.plans.catalog import USER
 from tidemark.plans.registry import is_type, log, registry, table
-from tidemark.sources import boxes, packets, playlists
+from tidemark.sources import boxes, cues, packets, playlists
 from tidemark.streaming import session, watermark
 
 QUERIES, SQL, query = registry()
@@ -292,7 +293,66 @@ def demux_units(spark, sf_dir):
 
 @query(SQL_SAMPLES + """select user_id * 100000 + part as seq, sha256(string_agg(props, '' order by dts, ts, event_id)) as body_sha256 from x where kind = 'video' and octet_length(encode(props)) >= 5 group by all""")
 def elementary_output(spark, sf_dir):
-    return muxing.payload_of(packets.demux(event_streams(spark, sf_dir)), "video").select("seq", F.sha2("body", 256).alias("body_sha256"))
+    bodies = event_streams(spark, sf_dir).withColumn("format", F.lit("ts"))
+    return muxing.output(bodies, "es-video").select("seq", F.sha2("body", 256).alias("body_sha256"))
+
+
+@query("""with n as (select c_custkey as k, c_custkey % 9 + 1 as n from customer) select k, n::bigint as n_packets, case when k % 3 = 0 then n else n - 1 end::bigint as n_malformed from n""")
+def malformed_packets(spark, sf_dir):
+    k = F.col("c_custkey")
+    good, bad = F.lit("47" + "00" * 187), F.lit("48" + "00" * 187)
+    body = F.unhex(F.concat(F.when(k % 3 == 0, bad).otherwise(good), F.repeat(bad, (k % 9).cast("int")), F.lit("47")))
+    return packets.malformed(table(spark, sf_dir, "customer").select(k.alias("seq"), body.alias("body"))).select(F.col("seq").alias("k"), "n_packets", "n_malformed")
+
+
+@query("""select c_custkey as k, i::bigint as i, (case when c_custkey % 2 = 0 then c_custkey * 3600 else 0 end + i * 2090)::bigint as pts, 2090::bigint as duration, (c_custkey % 20 + 7)::bigint as size from (select c_custkey, unnest(range(0, c_custkey % 4)) as i from customer)""")
+def raw_audio_frames(spark, sf_dir):
+    k, zero = F.col("c_custkey"), F.unhex(F.lit("0000"))
+    data = F.concat(F.lit(tables.STAMP_OWNER), F.unhex(F.lit("00")), framing.big_endian(k * 3600, 8))
+    stamp = F.concat(F.lit("PRIV").cast("binary"), framing.big_endian(F.length(data), 4), zero, data)
+    tag = F.when(k % 2 == 0, F.concat(F.unhex(F.lit("49443304000000")), framing.big_endian(F.length(stamp), 3), stamp)).otherwise(F.lit(b""))
+    raw = F.unhex(F.repeat(F.lit("00"), (k % 20).cast("int")))
+    # The first frame's rate counts for all.
+    frame = lambda i: F.concat(framing.adts_header(F.lit(2), F.when(i == 0, 4).otherwise(3), F.lit(2), F.length(raw)), raw)
+    frames = framing.joined(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (k % 4).cast("int") - 1)), frame))
+    body = F.concat(tag, F.when(k % 4 > 0, frames).otherwise(F.lit(b"")), F.unhex(F.lit("00FF")))
+    found = packets.raw_audio(table(spark, sf_dir, "customer").select(k.alias("seq"), body.alias("body")))
+    return found.select(F.col("seq").alias("k"), F.col("i").cast("bigint").alias("i"), "pts", "duration", F.length("data").cast("bigint").alias("size"))
+
+
+@query("""select doc_id, len(w)::bigint as n, list_sum([length(x) + 0 for x in w])::bigint as size, [('0x' || hex(encode(x))[1:2])::int % 32 for x in w][1] as first_type from (select doc_id, list_filter(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' '), lambda x: x <> '') as w from documents where text is not null) where len(w) > 0 and octet_length(encode(array_to_string(w, ''))) = length(array_to_string(w, ''))""")
+def length_prefixed_units(spark, sf_dir):
+    words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), " "), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", words.alias("w")).where("size(w) > 0 and octet_length(array_join(w, '')) = length(array_join(w, ''))")
+    coded = framing.joined(F.transform("w", lambda w: F.concat(framing.big_endian(F.length(w), 2), w.cast("binary"))))
+    units = docs.select("doc_id", coded.alias("c")).select("doc_id", framing.length_prefixed("c", F.lit(2)).alias("u")).select("doc_id", framing.classified(F.col("u")).alias("u"))
+    size = F.aggregate("u", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["data"]))
+    return units.select("doc_id", F.size("u").cast("bigint").alias("n"), size.alias("size"), F.element_at("u", 1)["type"].alias("first_type"))
+
+
+@query("""select c_custkey as k, c_custkey % 3 = 0 as tagged, c_custkey % 2 = 0 as master, case when c_custkey % 4 = 3 then 1 else 3 end::bigint as n_lines, floor((c_custkey + 0.25) * 90000 + 0.5)::bigint as ticks from customer""")
+def small_predicates(spark, sf_dir):
+    k = F.col("c_custkey")
+    body = F.unhex(F.when(k % 3 == 0, "4944330400").otherwise("4944"))
+    text = F.when(k % 4 == 3, "#EXTM3U #EXT-X-STREAM-INF:no").otherwise(F.concat(F.lit("#EXTM3U\r\n"), F.when(k % 2 == 0, "#EXT-X-STREAM-INF:BANDWIDTH=1").otherwise("#EXTINF:1,"), F.lit("\rx")))
+    rows = table(spark, sf_dir, "customer").select(k.cast("string").alias("uri"), k.alias("k"), text.alias("text"), framing.id3_prefixed(body).alias("tagged"))
+    n = playlists.lines(rows).groupBy("uri").agg(F.count("*").alias("n_lines"))
+    return rows.join(n, "uri").select("k", "tagged", playlists.is_master(F.regexp_replace("text", "\r\n|\r", "\n")).alias("master"), "n_lines", S.ticks(F.col("k") + 0.25).alias("ticks"))
+
+
+@query(""", c as (select user_id, us // 3600000000 as hour, event_id, row_number() over (partition by user_id, us // 3600000000 order by event_id) - 1 as n from log)
+select user_id * 1000000 + hour as seq, n::bigint as n, ((user_id * 1000 + case when hour % 2 = 0 then 900000 - 90000 else 5000000 end) + (n * 1500 * 90))::bigint as pts, ((case when n % 3 = 2 then 0 else 1000 end) * 90)::bigint as ticks, event_id as said from c""")
+def timed_text(spark, sf_dir):
+    hour = F.floor(F.col("us") / 3_600_000_000)
+    rows = log(spark, sf_dir).withColumn("hour", hour).groupBy("user_id", "hour").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    clock = lambda ms: F.concat(F.lpad(F.floor(ms / 60_000).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(ms / 1000) % 60).cast("string"), 2, "0"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
+    cue = lambda x, n: F.concat(F.lit("id\n"), clock(n * 1500), F.lit(" --> "), clock(F.when(n % 3 == 2, n * 1500).otherwise(n * 1500 + 1000)), F.lit(" align:start\n"), x.cast("string"))
+    even = F.col("hour") % 2 == 0
+    head = F.concat(F.lit("WEBVTT"), F.when(even, F.concat(F.lit("\nX-TIMESTAMP-MAP=LOCAL:00:01.000,MPEGTS:"), (F.col("user_id") * 1000 + 900_000).cast("string"))).otherwise(""), F.lit("\n\nNOTE none\n\n"))
+    bodies = rows.select((F.col("user_id") * 1_000_000 + F.col("hour")).alias("seq"), F.concat(head, F.array_join(F.transform("ids", cue), "\n\n")).alias("body"), (F.col("user_id") * 1000 + 5_000_000).alias("fallback_base"))
+    found = cues.cues(bodies)
+    place = F.row_number().over(Window.partitionBy("seq").orderBy("pos")) - 1
+    return found.select("seq", place.cast("bigint").alias("n"), "pts", F.col("duration_ticks").alias("ticks"), F.regexp_extract("payload", "\n([0-9]+)\n$", 1).cast("bigint").alias("said"))
 
 
 @query(SQL_SAMPLES + """, v as (select * from x where kind = 'video'), f as (select user_id, list_distinct(list_reduce(list_prepend({'s': null::bigint, 'o': []::bigint[]}, list({'s': dts, 'o': []::bigint[]} order by dts, ts, event_id)),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.framing import joined
+from tidemark.functions.framing import adts_frames, frame_ticks, id3_size, joined
 from tidemark.functions.scalars import unpack_stamp
-from tidemark.functions.tables import map_entries, program_map
+from tidemark.functions.tables import id3_stamp, map_entries, program_map, sync_offset
 from tidemark.operators.ordered import Log
 
 SIZE, SYNC = 188, 0x47
@@ -77,8 +77,10 @@ def programs(units: DataFrame) -> DataFrame:
 
 def demux(streams: DataFrame) -> DataFrame:
     """(seq, kind, codec, pid, first, pts, dts, payload, n_packets) of the elementary units of streams (seq, body), found through
-    the association table and the program map. Units of other pids, and those that begin before the map, are left out."""
-    units = assemble(packets(streams))
+    the association table and the program map. Bytes before the first packet in step are skipped (see tables.sync_offset); units of
+    other pids, and those that begin before the map, are left out."""
+    found = streams.select("seq", "body", sync_offset("body").alias("__at"))
+    units = assemble(packets(found.select("seq", F.expr("substring(body, greatest(0, __at) + 1)").alias("body"))))
     known = programs(units)
     named = units.join(known, "seq").where(F.col("first") > F.col("since"))
     kind = F.when(F.col("pid") == F.col("video_pid"), "video").when(F.col("pid") == F.col("audio_pid"), "audio").when(F.col("pid") == F.col("id3_pid"), "id3")
@@ -90,3 +92,14 @@ def demux(streams: DataFrame) -> DataFrame:
 def malformed(streams: DataFrame) -> DataFrame:
     """(seq, n_packets, n_malformed) of each stream's whole packets."""
     return packets(streams).groupBy("seq").agg(F.count("*").alias("n_packets"), F.count_if("malformed").alias("n_malformed"))
+
+
+def raw_audio(bodies: DataFrame) -> DataFrame:
+    """(seq, i, pts, duration, data) of the frames of raw audio bodies (seq, body), each behind an optional tag: times run on from the
+    tag's stamp, 0 without one, by the frame length of the first frame's rate. A body that doesn't begin with a frame has none."""
+    rows = bodies.select("seq", "body", id3_size(F.col("body")).alias("head"), id3_stamp("body").alias("stamp"))
+    rows = rows.withColumn("body", F.expr("substring(body, head + 1)")).withColumn("frames", adts_frames("body"))
+    ticks = frame_ticks(F.get("frames", F.lit(0))["rate"])
+    rows = rows.select("seq", "body", F.coalesce("stamp", F.lit(0)).alias("stamp"), ticks.alias("duration"), F.posexplode("frames").alias("i", "f"))
+    data = F.substring("body", F.col("f.at") + 1, F.col("f.size"))
+    return rows.select("seq", "i", (F.col("stamp") + F.col("i") * F.col("duration")).alias("pts"), "duration", data.alias("data"))
