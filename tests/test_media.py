@@ -116,13 +116,13 @@ def test_sinks(spark, tmp_path):
 
 def test_stream_keeps_its_mark_between_batches(spark, tmp_path):
     # Kept: 5, 5 (same segment), not 5 (later), 3 after the reset, not 2.
-    rows = [(1, 0, 0, 5, False), (1, 0, 1, 5, False), (1, 1, 0, 5, False), (1, 2, 0, 3, True), (1, 3, 0, 2, None), (1, 4, 0, 9, False)]
+    rows = [(1, 0, 0, 5, False), (1, 0, 1, 5, False), (1, 1, 0, 5, False), (1, 2, 0, 3, True), (1, 3, 0, 2, None), (1, 4, 0, 9, False), (1, 5, 0, None, True), (1, 6, 0, 1, None)]
     schema = "k int, seg int, pos int, v long, cut boolean"
     for i, part in enumerate((rows[:2], rows[2:4], rows[4:])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = watermark.drain(watermark.dedup(stream, "k", "seg", ["pos"], "v", "cut"), "test")
-    assert sorted((r.seg, r.pos) for r in got.collect()) == [(0, 0), (0, 1), (2, 0), (4, 0)]
+    assert sorted((r.seg, r.pos) for r in got.collect()) == [(0, 0), (0, 1), (2, 0), (4, 0), (6, 0)]
 
 
 def test_sync_search(spark):

@@ -132,13 +132,13 @@ def codec_config(spark, sf_dir):
     return found.select(k.alias("c_custkey"), "track_id", "fourcc", "width", "height", "avc.length_size", F.hex(F.col("avc.sps")[0]).alias("sps"), "audio.rate", "audio.channels")
 
 
-@query(""", s as (select *, coalesce(sum(dur) over (w rows between unbounded preceding and 1 preceding), 0) as start, count(*) filter (event_type = 'signup') over w as epoch,
+@query(""", s as (select *, coalesce(sum(dur) over (w rows between unbounded preceding and 1 preceding), 0) as start, count(case when event_type = 'signup' then dur end) over w as epoch,
 last_value(case when event_type = 'signup' then dur * 20 end ignore nulls) over w as target, coalesce(last_value(case event_type when 'error' then true when 'purchase' then false end ignore nulls) over w, false) as held,
 first_value(case when event_type = 'purchase' then us end ignore nulls) over (w rows between 1 following and unbounded following) as resumes,
-last_value(case when event_type = 'view' then event_id end ignore nulls) over (w rows between unbounded preceding and 1 preceding) as swapped from log where dur is not null window w as (partition by user_id order by ts, event_id))
+last_value(case when event_type = 'view' then event_id end ignore nulls) over (w rows between unbounded preceding and 1 preceding) as swapped from log window w as (partition by user_id order by ts, event_id))
 select event_id, epoch, coalesce(start >= target, true) as kept, case when held then resumes else us end as shown, swapped from s""")
 def session_replay(spark, sf_dir):
-    rows = ordered.timeline(log(spark, sf_dir).where("dur is not null"), USER, "dur")
+    rows = ordered.timeline(log(spark, sf_dir), USER, "dur")
     pause = F.when(is_type("error"), True).when(is_type("purchase"), False)
     done = ordered.replay(rows, USER, "us", "start", F.when(is_type("signup"), F.col("dur") * 20), pause, F.when(is_type("view"), F.col("event_id")))
     return done.select("event_id", "epoch", "kept", "shown", "swapped")
@@ -155,11 +155,11 @@ def interleaved(spark, sf_dir):
 
 @query(""", e as (select *, coalesce(sum((event_type = 'error')::int) over (partition by user_id order by ts, event_id), 0) as epoch from log),
 m as (select *, max(dur) over (partition by user_id, epoch order by ts, event_id rows between unbounded preceding and 1 preceding) as mark from e)
-select event_id, user_id, dur from m where mark is null or dur > mark""")
+select event_id, user_id, dur from m where dur is not null and (mark is null or dur > mark)""")
 def dedup_stream(spark, sf_dir):
     # A pattern: a stream takes a plain path for a folder, and the table may be one file.
     path = f"{sf_dir}/event[s].parquet"
     schema = spark.read.parquet(path).schema
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path).where("value is not null").select("event_id", "user_id", F.floor(F.col("value") * 100 + 0.5).cast("bigint").alias("dur"), us.alias("us"), is_type("error").alias("error"))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path).select("event_id", "user_id", F.floor(F.col("value") * 100 + 0.5).cast("bigint").alias("dur"), us.alias("us"), is_type("error").alias("error"))
     return watermark.drain(watermark.dedup(events, "user_id", "us", ["event_id"], "dur", "error"), "dedup-stream").select("event_id", "user_id", "dur")

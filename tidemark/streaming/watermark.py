@@ -16,8 +16,8 @@ def dedup(stream: DataFrame, key: str, segment: str, order: list[str], value: st
     """Rows whose value is above the mark of their key: the value of the last row kept in the last segment that kept any.
 
     Rows of a segment are held against the mark of earlier segments, so equal values within one segment stay. A row with
-    `reset` clears the mark from its segment on. Values aren't null. Segments must arrive in order and not be split over batches; rows of one batch are put in
-    order here. A key's state is one number; its rows of one batch are held in a task, so bound a batch at the source.
+    `reset` clears the mark from its segment on. A null value is not kept. Segments must arrive in order and not be split over batches;
+    rows of one batch are put in order here. A key's state is one number; its rows of one batch are held in a task, so bound a batch at the source.
     """
     names = stream.columns
 
@@ -30,7 +30,8 @@ def dedup(stream: DataFrame, key: str, segment: str, order: list[str], value: st
         for low, high in zip(edges[:-1], edges[1:], strict=True):
             if resets[low:high].any():
                 mark = None
-            kept[low:high] = True if mark is None else values[low:high] > mark
+            known = ~pd.isna(values[low:high])
+            kept[low:high] = known if mark is None else known & (np.where(known, values[low:high], mark) > mark)
             if kept[low:high].any():
                 mark = values[low:high][kept[low:high]][-1]
         state.update((int(mark),))
@@ -42,8 +43,12 @@ def dedup(stream: DataFrame, key: str, segment: str, order: list[str], value: st
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that is there now, into a table in the folder that executors share, and reads that."""
     spark: SparkSession = stream.sparkSession
-    # Only where no shared folder is set (tests), a local one.
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        # Only where Spark runs in one process (tests), a local folder.
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="tidemark-")
     path = f"{shared.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
