@@ -124,7 +124,9 @@ def test_wide_fingerprints_of_texts(spark):
     hashes, edges = np.array([rng.getrandbits(64) for _ in range(50)], np.uint64), np.array([0, 3, 3, 20, 50])
     whole, simhash.SHINGLES = simhash.folded(hashes, edges, 3), 7
     assert (simhash.folded(hashes, edges, 3) == whole).all()
-    simhash.SHINGLES = 1 << 19
+    simhash.SHINGLES = 1 << 16
+    many = np.array([rng.getrandbits(64) for _ in range(2000)], np.uint64)
+    assert int(simhash.folded(many, np.array([0, 2000]), 1)[0, 0]) == sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in many) > 2000)
     for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
         assert int(whole[i, 0]) == sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in hashes[a:b]) > b - a)
 

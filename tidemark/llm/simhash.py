@@ -72,7 +72,7 @@ class Setting:
 CLOSE, SIMILAR = Setting(3, 1, 2, 3), Setting(5, 3, 8, 30, 8, 77)
 _STEP = 0x9E3779B97F4A7C15
 #: So many shingles are turned into bits at a time.
-SHINGLES = 1 << 19
+SHINGLES = 1 << 16
 
 
 def fingerprints(docs: DataFrame, text: str = "text", setting: Setting = CLOSE, keep: list[str] | None = None) -> DataFrame:
@@ -118,23 +118,33 @@ def fingerprints(docs: DataFrame, text: str = "text", setting: Setting = CLOSE,
     return extend(docs, text, ", ".join(fields), make, keep)
 
 
+#: Each value of a byte as eight counters of a byte, one for each of its bits: sums of up to 255 of these don't overflow.
+COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
+
+
 def folded(hashes: np.ndarray, edges: np.ndarray, words: int) -> np.ndarray:
     """Fingerprints of the texts whose shingles' hashes lie between edges: a bit is 1 if it is set in over half of them. Word 0
     is of the hashes themselves, each further one of hashes made from them."""
     sizes = np.diff(edges)
+    # Runs of at most 255 shingles of one text, some SHINGLES of them at a time.
+    many = -(-sizes // 255)
+    text_of = np.repeat(np.arange(len(sizes)), many)
+    starts = edges[text_of] + 255 * (np.arange(len(text_of)) - np.repeat(np.cumsum(many) - many, many))
     out = np.zeros((len(sizes), words), np.uint64)
+    ones = np.zeros((words, len(sizes), 64), np.int64)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + SHINGLES)))
+        stop = starts[high] if high < len(starts) else len(hashes)
+        part, begins = hashes[starts[low] : stop], starts[low:high] - starts[low]
+        for i in range(words):
+            own = (mix(part + np.uint64(_STEP * i % (1 << 64))) if i else part).view(np.uint8).reshape(-1, 8)
+            for k in range(8):
+                counts = np.add.reduceat(COUNTERS[own[:, k]], begins).view(np.uint8).reshape(-1, 8)
+                np.add.at(ones[i, :, 8 * k : 8 * k + 8], text_of[low:high], counts)
+        low = high
     for i in range(words):
-        ones = np.zeros((len(sizes), 64), np.int64)
-        for low in range(0, len(hashes), SHINGLES):
-            own = hashes[low : low + SHINGLES]
-            own = mix(own + np.uint64(_STEP * i % (1 << 64))) if i else own
-            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            first = int(np.searchsorted(edges, low, "right")) - 1
-            last = int(np.searchsorted(edges, low + len(own), "left"))
-            begins = np.maximum(edges[first:last], low) - low
-            there = np.flatnonzero(np.diff(np.append(begins, len(own))) > 0)
-            ones[first + there] += np.add.reduceat(bits, begins[there], axis=0, dtype=np.int64)
-        out[:, i] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        out[:, i] = np.packbits(2 * ones[i] > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
