@@ -285,7 +285,7 @@ def test_index_retrieves_every_code_within_its_radius():
     codes = rng.integers(0, 1 << 16, (500, 8)).astype(np.uint16)
     codes[100:200] = codes[0] ^ np.packbits(rng.random((100, 128)) < 0.15, axis=1).view(np.uint16)
     index = ann.Index(codes)
-    for depth in (0, 1, 3):
+    for depth in (0, 1, 2, 3, 16):
         got = index.probe(codes[0], depth)
         apart = np.bitwise_count(codes ^ codes[0])
         assert got.tolist() == np.flatnonzero(apart.min(axis=1) <= depth).tolist()

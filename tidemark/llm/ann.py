@@ -116,12 +116,15 @@ class Index:
     """The codes of a block of vectors by each value of each of their substrings."""
 
     def __init__(self, codes: np.ndarray):
-        self.n, self.parts = codes.shape
+        self.codes, (self.n, self.parts) = codes, codes.shape
         self.members = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32)
         self.begins = np.stack([np.concatenate([[0], np.cumsum(np.bincount(codes[:, j], minlength=1 << SUBSTRING))]) for j in range(self.parts)]).astype(np.int32)
 
     def probe(self, code: np.ndarray, depth: int) -> np.ndarray:
         """The codes that are within depth bits of the given one in some substring."""
+        if UP_TO[depth] > self.n:
+            # More values than codes: to compare the codes' substrings is less work, with the same result.
+            return np.flatnonzero((np.bitwise_count(self.codes ^ code) <= depth).any(axis=1))
         values = (code[:, None] ^ PATTERNS[None, : UP_TO[depth]]).astype(np.int64)
         part = np.arange(self.parts)[:, None]
         low, high = self.begins[part, values].ravel(), self.begins[part, values + 1].ravel()
