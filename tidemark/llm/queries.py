@@ -1,11 +1,11 @@
-"""The queries of the ten training-data operators, and SQL for those that SQL can express."""
+"""The queries of the training-data operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, decontam, langid, mixing, pii, simhash, substring, toxicity, url_filter
+from tidemark.llm import ann, chat, decontam, langid, mixing, oddsketch, pii, simhash, substring, toxicity, url_filter
 
 #: The rules of the url query: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -77,13 +77,17 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_recurring(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_toxicity, op4_language, op5_decontam, op6_chat, op7_ann, op8_simhash, op9_mixing, op10_substring, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_toxicity, op4_language, op5_decontam, op6_chat, op7_ann, op8_simhash, op9_mixing, op10_substring, op13_minhash, pipeline)}
 
 SQL = {
     "op5_decontam": r"""
@@ -117,4 +121,17 @@ kept as (select rid, string_agg(x, ' ' order by p) as said from word anti join g
 n as (select rid, count(*) as n_removed from gone group by rid)
 select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(said, '')) as kept_sha256
 from doc left join n using (rid) left join kept using (rid)""",
+    "op13_minhash": r"""
+with recursive d as (select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+s as (select distinct rid, array_to_string(w[i : i + 2], ' ') as x from (select rid, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
+own as (select rid, count(*) as n, md5(string_agg(x, chr(10) order by x)) as h from s group by rid),
+rep as (select h, min(rid) as r, any_value(n) as n from own group by h),
+rs as (select rep.r, s.x from rep join s on s.rid = rep.r),
+pair as (select a.r as p, b.r as q, count(*) as both_ from rs a join rs b on a.x = b.x and a.r < b.r group by all),
+link as (select p, q from pair join rep a on a.r = p join rep b on b.r = q where 100 * both_ >= 85 * (a.n + b.n - both_)),
+edge as (select p, q from link union all select q, p from link),
+reach as (select r as p, r as q from rep union select reach.p, edge.q from reach join edge on edge.p = reach.q),
+least as (select reach.p as r, min(d.doc_id) as c from reach join rep on rep.r = reach.q join own on own.h = rep.h join d on d.rid = own.rid group by reach.p)
+select doc_id, coalesce(own.n, 0)::bigint as n_shingles, case when own.n is null then doc_id else c end as component_id, coalesce(doc_id = case when own.n is null then doc_id else c end, false) as kept
+from d left join own using (rid) left join rep using (h) left join least on least.r = rep.r""",
 }
