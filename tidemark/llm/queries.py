@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, decontam, langid, mixing, oddsketch, pii, simhash, substring, toxicity, url_filter
+from tidemark.llm import ann, chat, decontam, langid, mixing, oddsketch, pii, repair, simhash, spelling, substring, toxicity, url_filter
 
 #: The rules of the url query: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -77,6 +77,15 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_recurring(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.digest(turns, *repair.repair(repair.damaged(turns)))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oddsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -87,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_toxicity, op4_language, op5_decontam, op6_chat, op7_ann, op8_simhash, op9_mixing, op10_substring, op13_minhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_toxicity, op4_language, op5_decontam, op6_chat, op7_ann, op8_simhash, op9_mixing, op10_substring, op11_repair, op12_spelling, op13_minhash, pipeline)}
 
 SQL = {
     "op5_decontam": r"""
@@ -121,6 +130,19 @@ kept as (select rid, string_agg(x, ' ' order by p) as said from word anti join g
 n as (select rid, count(*) as n_removed from gone group by rid)
 select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(said, '')) as kept_sha256
 from doc left join n using (rid) left join kept using (rid)""",
+    "op12_spelling": r"""
+with recursive tab as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+run as (select doc_id, run, count(*) as c from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as run from documents) where length(run) >= 7 group by all),
+code as (select run, c, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as h from run),
+sum_ as (select run, c, xor(list_reduce(list_prepend(4294967295::bigint, [('0x' || h[2 * i + 1 : 2 * i + 2])::bigint for i in range(length(h) // 2)]), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) as k from code, tab),
+word as (select w as word, sum(c)::bigint as n from (select c, case when k % 31 = 0 then run[1 : k % length(run)] || run[k % length(run) + 2 :] else run end as w from sum_) where length(w) >= 7 group by w having sum(c) >= 2),
+plain as (select *, translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~') as p from word),
+near as (select a.word, a.n, b.word as other, b.n as other_n from plain a join plain b on abs(length(a.p) - length(b.p)) <= 1 and levenshtein(a.p, b.p) = 1),
+best as (select word, any_value(n) as n, count(*) as n_near, min_by({'o': other, 'n': other_n}, (-other_n, other)) as b from near group by word),
+form as (select word, n_near, case when b.n >= 10 * n then b.o end as form, case when b.n >= 10 * n then b.n end as form_n from best),
+chain as (select word, form as at_ from form where form is not null union all select chain.word, form.form from chain join form on form.word = chain.at_ where form.form is not null),
+root as (select chain.word, chain.at_ as root from chain left join form on form.word = chain.at_ where form.form is null)
+select word, form, coalesce(root, word) as root, n, coalesce(n_near, 0)::bigint as n_near, form_n from word left join form using (word) left join root using (word)""",
     "op13_minhash": r"""
 with recursive d as (select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
 s as (select distinct rid, array_to_string(w[i : i + 2], ' ') as x from (select rid, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
