@@ -143,6 +143,46 @@ def test_demux_follows_the_tables(spark):
     assert sorted(map(tuple, packets.malformed(spark.createDataFrame([(0, bytearray(b"G" + bytes(187) + bytes(188) + b"x"))], "seq int, body binary")).collect())) == [(0, 2, 1)]
 
 
+def packet(pid, payload, start=True, sync=0x47):
+    free = 184 - len(payload)
+    field = b"" if free == 0 else bytes([free - 1]) + (b"\x00" + b"\xff" * (free - 2) if free > 1 else b"")
+    return bytes([sync, (0x40 if start else 0) | pid >> 8, pid & 255, 0x30 if free else 0x10]) + field + payload
+
+
+def program(pmt_pid, video, audio):
+    """An association table and a map."""
+    entries = b"".join(bytes([kind, 0xE0 | pid >> 8, pid & 255, 0xF0, 0]) for kind, pid in ((0x1B, video), (0x0F, audio)) if pid)
+    told = b"\x00\x02\xb0" + bytes([13 + len(entries)]) + b"\x00\x01\xc1\x00\x00\xe1\x00\xf0\x00" + entries + bytes(4)
+    return packet(0, b"\x00\x00\xb0\x0d\x00\x01\xc1\x00\x00\x00\x01" + bytes([0xE0 | pmt_pid >> 8, pmt_pid & 255]) + bytes(4)) + packet(pmt_pid, told)
+
+
+def unit(pid, data, broken=False):
+    whole = b"\x00\x00\x01\xe0\x00\x00\x80\x80\x05\x21\x00\x01\x00\x01" + data
+    parts = [whole[i : i + 184] for i in range(0, len(whole), 184)]
+    return b"".join(packet(pid, x, i == 0, 0 if broken and i == 1 else 0x47) for i, x in enumerate(parts))
+
+
+def test_demux_skips_broken_packets_and_follows_maps(spark):
+    a, b, c, d = (bytes([x]) * 500 for x in b"abcd")
+    segments = [
+        ("s", 0, program(4096, 256, 257) + unit(256, a) + unit(256, b, broken=True) + unit(257, c), False),
+        # No tables: the map of the segment before counts. The pid of the map is told again, with the pictures elsewhere.
+        ("s", 1, unit(256, a) + unit(300, d) + program(5000, 300, None) + unit(300, b) + unit(256, c) + unit(257, c), None),
+        ("s", 2, unit(300, c), False),
+        # A packet of the former map's pid is no map any more.
+        ("s", 3, program(4096, 256, None)[188:] + unit(300, d), False),
+        ("s", 4, unit(300, a), True),
+        ("s", 5, unit(300, a), False), ("t", 0, unit(300, a), False), ("t", 1, b"", False), ("t", 2, None, False),
+    ]
+    frame = spark.createDataFrame([(s, i, None if x is None else bytearray(x), f) for s, i, x, f in segments], "s string, seq int, body binary, breaks boolean")
+    rows = packets.demux(frame, "s", "breaks").orderBy("seq", "first").collect()
+    assert [(r.s, r.seq, r.kind, r.pid, bytes(r.payload)) for r in rows] == [
+        ("s", 0, "video", 256, a), ("s", 0, "video", 256, b[:316]), ("s", 0, "audio", 257, c), ("s", 1, "video", 256, a), ("s", 1, "video", 300, b), ("s", 2, "video", 300, c), ("s", 3, "video", 300, d),
+    ]
+    alone = packets.demux(frame.where("s = 's'")).orderBy("seq", "first").collect()
+    assert [(r.seq, r.pid, bytes(r.payload)) for r in alone] == [(0, 256, a), (0, 256, b[:316]), (0, 257, c), (1, 300, b)]
+
+
 def test_inline_rows_and_silence(spark):
     rows = av(spark).where("part = 0").drop("part")
     video, audio = rows.where("kind = 'video'"), rows.where("kind = 'audio'")

@@ -291,6 +291,29 @@ def demux_units(spark, sf_dir):
     return found.select("seq", "kind", F.col("pid").cast("bigint").alias("pid"), "pts", "dts", F.sha2("payload", 256).alias("payload_sha256"))
 
 
+@query(SQL_SAMPLES + """, y as (select *, repeat(props, 8) as said, 256 + 44 * (part // 6 % 2) as vpid from x where kind <> 'text'),
+p as (select user_id, part, part // 2 as seq, bool_or(kind = 'video') as v, bool_or(kind = 'audio') as a, 256 + 44 * (part // 6 % 2) as vpid from x group by user_id, part),
+q as (select *, last_value(case when seq % 5 = 0 then seq end ignore nulls) over (partition by user_id order by part) as epoch from p),
+m as (select user_id, part, seq, last_value(case when part % 3 <> 1 then {'v': case when v then vpid end, 'a': case when a then 257 end} end ignore nulls) over (partition by user_id, epoch order by part) as map from q),
+z as (select y.*, m.seq, case when kind = 'audio' or event_id % 5 > 0 then said else left(said, case when pts <> dts then 157 else 162 end) || substr(said, case when pts <> dts then 342 else 347 end) end as left_ from y join m using (user_id, part) where case kind when 'video' then map.v = vpid else map.a = 257 end)
+select user_id, seq::bigint as seq, kind, case kind when 'video' then vpid else 257 end::bigint as pid, pts, dts, sha256(left_) as payload_sha256 from z where props <> '' and octet_length(encode(said)) >= 5""")
+def demux_versions(spark, sf_dir):
+    """Streams whose program maps move pictures to another pid, also inside a segment, with segments without tables, breaks and broken packets."""
+    part = F.col("part")
+    samples = event_samples(spark, sf_dir).withColumn("data", F.repeat(F.col("data").cast("string"), F.lit(8)).cast("binary"))
+    samples = samples.withColumn("pid", F.when(F.col("kind") == "video", 256 + 44 * (F.floor(part / 6) % 2)).otherwise(F.col("pid")).cast("int"))
+    muxed = muxing.mux(samples, Log(("user_id",), ("ts", "event_id")), "part")
+    # The second packet of some pictures loses its sync byte; a picture is known by its place.
+    places = samples.withColumn("place", F.row_number().over(Window.partitionBy("user_id", "part").orderBy(F.when(F.col("kind") == "video", F.col("dts")).otherwise(F.col("pts")), "rank", "ts", "event_id")) + 1)
+    hit = places.where("kind = 'video' and event_id % 5 = 0").select("user_id", "part", "place", F.lit(True).alias("hit"))
+    broken = F.transform("packets", lambda x, j: F.when(F.coalesce("hit", F.lit(False)) & (j == 1), F.concat(F.unhex(F.lit("00")), F.substring(x, 2, 187))).otherwise(x))
+    sent = muxed.join(hit, ["user_id", "part", "place"], "left").where("place > 1 or part % 3 <> 1").withColumn("body", framing.joined(broken))
+    sent = sent.withColumns({"seq": F.floor(part / 2), "place": F.struct("part", "place")})
+    bodies = muxing.streams_of(sent, ["user_id", "seq"]).withColumn("breaks", F.col("seq") % 5 == 0)
+    found = packets.demux(bodies, "user_id", "breaks")
+    return found.select("user_id", "seq", "kind", F.col("pid").cast("bigint").alias("pid"), "pts", "dts", F.sha2("payload", 256).alias("payload_sha256"))
+
+
 @query(SQL_SAMPLES + """select user_id * 100000 + part as seq, sha256(string_agg(props, '' order by dts, ts, event_id)) as body_sha256 from x where kind = 'video' and octet_length(encode(props)) >= 5 group by all""")
 def elementary_output(spark, sf_dir):
     bodies = event_streams(spark, sf_dir).withColumn("format", F.lit("ts"))

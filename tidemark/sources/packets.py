@@ -19,36 +19,41 @@ def number(data: Column, at: int | Column, n: int) -> Column:
     return F.when(F.length(part) == n, F.conv(F.hex(part), 16, 10).cast("bigint"))
 
 
-def packets(streams: DataFrame) -> DataFrame:
-    """(seq, i, pid, starts, control, cc, payload, malformed) of the packets of streams (seq, body); whole ones only."""
+_PACKET = ("i", "pid", "starts", "control", "cc", "payload", "malformed")
+
+
+def packets(streams: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(seq, i, pid, starts, control, cc, payload, malformed) of the packets of streams (seq, body), and its columns in keep; whole ones only."""
     n = F.floor(F.length("body") / SIZE).cast("int")
-    rows = streams.where(n > 0).select("seq", "body", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    rows = rows.select("seq", "i", F.substring("body", F.col("i") * SIZE + 1, F.lit(SIZE)).alias("p"))
+    rows = streams.where(n > 0).select("seq", *keep, "body", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    rows = rows.select("seq", *keep, "i", F.substring("body", F.col("i") * SIZE + 1, F.lit(SIZE)).alias("p"))
     head, control = number(F.col("p"), 0, 4), number(F.col("p"), 3, 1)
     rows = rows.withColumns({"head": head, "control": F.shiftright(control, 4).bitwiseAND(F.lit(3))})
     at = F.when(F.col("control") == 1, 4).when(F.col("control") == 3, number(F.col("p"), 4, 1) + 5)
     return rows.select(
-        "seq", "i", F.shiftright("head", 8).bitwiseAND(F.lit(0x1FFF)).alias("pid"), (F.shiftright("head", 22).bitwiseAND(F.lit(1)) == 1).alias("starts"), "control",
+        "seq", *keep, "i", F.shiftright("head", 8).bitwiseAND(F.lit(0x1FFF)).alias("pid"), (F.shiftright("head", 22).bitwiseAND(F.lit(1)) == 1).alias("starts"), "control",
         F.col("head").bitwiseAND(F.lit(15)).alias("cc"), F.when(at < SIZE, F.substring("p", at.cast("int") + 1, F.lit(SIZE))).alias("payload"), (F.shiftright("head", 24) != SYNC).alias("malformed"),
     )
 
 
-def assemble(rows: DataFrame) -> DataFrame:
-    """(seq, pid, run, data, first, n_packets): payloads of one pid joined from each start to the next, the number of its first
-    packet and of packets with a payload. A group is one unit, never a stream."""
-    order = Log(("seq", "pid"), ("i",))
-    numbered = rows.where("payload is not null").withColumn("run", F.coalesce(F.sum(F.col("starts").cast("int")).over(order.so_far), F.lit(0)))
+def assemble(rows: DataFrame, by: str = "pid") -> DataFrame:
+    """(seq, by, run, data, first, n_packets): payloads of one pid (or what `by` names) joined from each start to the next, the number
+    of its first packet and of packets with a payload; more columns of rows come from the first packet. Packets that don't begin with
+    the sync byte are skipped. A group is one unit, never a stream."""
+    order = Log(("seq", by), ("i",))
+    numbered = rows.where("payload is not null and not malformed").withColumn("run", F.coalesce(F.sum(F.col("starts").cast("int")).over(order.so_far), F.lit(0)))
     parts = F.array_sort(F.collect_list(F.struct("i", "payload")))
-    return numbered.groupBy("seq", "pid", "run").agg(joined(F.transform(parts, lambda x: x["payload"])).alias("data"), F.min("i").alias("first"), F.count("*").alias("n_packets"))
+    more = [F.min_by(c, "i").alias(c) for c in rows.columns if c not in (*_PACKET, "seq", by)] + ([] if by == "pid" else [F.min_by("pid", "i").alias("pid")])
+    return numbered.groupBy("seq", by, "run").agg(joined(F.transform(parts, lambda x: x["payload"])).alias("data"), F.min("i").alias("first"), F.count("*").alias("n_packets"), *more)
 
 
 def pes(units: DataFrame) -> DataFrame:
-    """units with pts, dts and the payload of their data; rows without the start code, a stamp or 19 bytes go.
+    """units with pts, dts and the payload of their data; rows without the start code, 19 bytes or a payload go.
 
     Without a decoding stamp it equals the other. A presentation stamp over a minute later is set to the decoding one.
     """
     d = F.col("data")
-    rows = units.where((F.length(d) >= 19) & (number(d, 0, 3) == 1))
+    rows = units.where((F.length(d) >= 19) & (number(d, 0, 3) == 1) & (F.length(d) > 9 + number(d, 8, 1)))
     flags = number(d, 7, 1)
     pts = F.when(flags >= 0x80, unpack_stamp(number(d, 9, 5)))
     dts = F.when(flags.bitwiseAND(F.lit(0x40)) > 0, unpack_stamp(number(d, 14, 5)))
@@ -56,37 +61,82 @@ def pes(units: DataFrame) -> DataFrame:
     return rows.withColumn("pts", F.when(F.col("pts") - F.col("dts") > 60 * 90_000, F.col("dts")).otherwise(F.col("pts"))).drop("data")
 
 
-def sections(units: DataFrame) -> DataFrame:
-    """units with `section`, their data behind its pointer field."""
-    d = F.col("data")
-    return units.withColumn("section", F.substring(d, (number(d, 0, 1) + 2).cast("int"), F.length(d)))
-
-
-def programs(units: DataFrame) -> DataFrame:
-    """(seq, pmt_pid, since, video_pid, video_codec, audio_pid, audio_codec, id3_pid, error): the first program of the first
-    association table of each stream, and its first map. since: the packet of the map; streams without either are left out."""
-    first = lambda rows: rows.groupBy("seq").agg(F.min_by(F.struct("section", "first"), "first").alias("u"))
-    tables_ = sections(units)
-    pats = first(tables_.where("pid = 0")).select("seq", number(F.col("u.section"), 10, 2).bitwiseAND(F.lit(0x1FFF)).alias("pmt_pid"), F.col("u.first").alias("pat_at"))
-    maps = tables_.join(pats.where("pmt_pid is not null"), "seq").where("pid = pmt_pid and first > pat_at")
-    found = maps.groupBy("seq", "pmt_pid").agg(F.min_by(F.struct("section", "first"), "first").alias("u"))
-    read = found.select("seq", "pmt_pid", F.col("u.first").alias("since"), map_entries(F.col("u.section")).alias("e"))
-    read = read.select("seq", "pmt_pid", "since", program_map(F.col("e")).alias("m"))
-    return read.select("seq", "pmt_pid", "since", "m.video_pid", "m.video_codec", "m.audio_pid", "m.audio_codec", "m.id3_pid", "m.error")
-
-
-def demux(streams: DataFrame) -> DataFrame:
-    """(seq, kind, codec, pid, first, pts, dts, payload, n_packets) of the elementary units of streams (seq, body), found through
-    the association table and the program map. Bytes before the first packet in step are skipped (see tables.sync_offset); units of
-    other pids, and those that begin before the map, are left out."""
-    found = streams.select("seq", "body", sync_offset("body").alias("__at"))
-    units = assemble(packets(found.select("seq", F.expr("substring(body, greatest(0, __at) + 1)").alias("body"))))
-    known = programs(units)
-    named = units.join(known, "seq").where(F.col("first") > F.col("since"))
-    kind = F.when(F.col("pid") == F.col("video_pid"), "video").when(F.col("pid") == F.col("audio_pid"), "audio").when(F.col("pid") == F.col("id3_pid"), "id3")
-    codec = F.when(F.col("pid") == F.col("video_pid"), F.col("video_codec")).when(F.col("pid") == F.col("audio_pid"), F.col("audio_codec"))
-    named = named.withColumns({"kind": kind, "codec": codec}).where("kind is not null")
-    return pes(named).select("seq", "kind", "codec", "pid", "first", "pts", "dts", "payload", "n_packets")
+def section(payload: Column, starts: Column) -> Column:
+    """The table section in a packet's payload: behind its pointer field where the packet starts one."""
+    return F.when(starts, F.substring(payload, (number(payload, 0, 1) + 2).cast("int"), F.length(payload))).otherwise(payload)
+
+
+def _heads(streams: DataFrame, pids: Column) -> DataFrame:
+    """Of streams (…, body, at: where packets begin), the packets whose pid is in the array pids: i, pid and section; other columns stay but body."""
+    n = F.floor((F.length("body") - F.col("at")) / SIZE).cast("int")
+    begin = lambda i: F.col("at") + i * SIZE
+    pid = lambda i: number(F.col("body"), begin(i) + 1, 2).bitwiseAND(F.lit(0x1FFF))
+    places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(pids, pid(i)))
+    rows = streams.where(n > 0).withColumn("i", F.explode(places)).withColumn("body", F.substring("body", (begin(F.col("i")) + 1).cast("int"), F.lit(SIZE))).where(number(F.col("body"), 0, 1) == SYNC)
+    flags, control = number(F.col("body"), 1, 1), F.shiftright(number(F.col("body"), 3, 1), 4).bitwiseAND(F.lit(3))
+    start = F.when(control == 1, 4).when(control == 3, number(F.col("body"), 4, 1) + 5)
+    payload = F.when(start < SIZE, F.substring("body", start.cast("int") + 1, F.lit(SIZE)))
+    own = number(F.col("body"), 1, 2).bitwiseAND(F.lit(0x1FFF))
+    kept = [c for c in streams.columns if c not in ("body", "at")]
+    return rows.select(*kept, "i", own.alias("pid"), section(payload, flags.bitwiseAND(F.lit(0x40)) > 0).alias("section")).where("section is not null")
+
+
+#: What a program map says, as versions has it.
+_MAP = ("video_pid", "video_codec", "audio_pid", "audio_codec", "id3_pid", "error")
+
+
+def versions(streams: DataFrame) -> DataFrame:
+    """(stream, seq, maps) of streams (stream, epoch, seq, body, at): the program maps that count in each segment, in order: an array of i (the
+    packet that holds the map, -1 for the one in force before the segment) and map. A map is a packet of the pid that the
+    latest association table names; both tables last over the segments of an epoch. Segments in which none counts are left out.
+
+    Only table packets and a row a segment pass the windows.
+    """
+    keys, order = ["stream", "epoch"], Log(("stream", "epoch"), ("seq", "i"))
+    named = _heads(streams, F.array(F.lit(0).cast("bigint"))).withColumn("names", number(F.col("section"), 10, 2).bitwiseAND(F.lit(0x1FFF)))
+    # A stream's program maps have few pids.
+    pids = named.groupBy(*keys).agg(F.collect_set("names").alias("pids"))
+    maps = _heads(streams.join(pids, keys), F.col("pids")).where("pid <> 0").drop("pids")
+    begins = streams.select(*keys, "seq", F.lit(-1).alias("i"))
+    rows = named.drop("section").unionByName(maps, allowMissingColumns=True).unionByName(begins, allowMissingColumns=True)
+    rows = rows.withColumn("in_force", F.last("names", ignorenulls=True).over(order.before)).where("i < 0 or (pid = in_force and pid > 0)")
+    read = rows.withColumn("map", F.when(F.col("section").isNotNull(), program_map(map_entries(F.col("section")))))
+    read = read.withColumn("map", F.last("map", ignorenulls=True).over(order.so_far)).where("map is not null")
+    return read.groupBy("stream", "seq").agg(F.array_sort(F.collect_list(F.struct("i", "map"))).alias("maps"))
+
+
+def demux(streams: DataFrame, stream: str | None = None, restart: str | None = None) -> DataFrame:
+    """(seq, kind, codec, pid, first, pts, dts, payload, n_packets) of the elementary units of streams (seq, body).
+
+    Each body is a segment. With `stream` (a column) the segments of a stream, in the order of seq (unique), share their tables: one without
+    any is read by those before it, up to a segment where the column restart is true, which begins anew. The program map in force at a
+    packet decides what it belongs to, so a stream may move to another pid at any packet. Bytes before the first packet in step are
+    skipped (see tables.sync_offset), and so are broken packets, other pids and what comes before the first map. Units end with their segment.
+    """
+    key = F.col(stream) if stream else F.col("seq")
+    bodies = streams.select(key.alias("stream"), "seq", "body")
+    own = Log(("stream",), ("seq",))
+    if restart:
+        # Epochs are counted on a narrow row a segment.
+        flags = streams.select(key.alias("stream"), "seq", F.coalesce(F.col(restart), F.lit(False)).cast("int").alias("flag"))
+        bodies = bodies.join(flags.select("stream", "seq", F.sum("flag").over(own.so_far).alias("epoch")), ["stream", "seq"])
+    else:
+        bodies = bodies.withColumn("epoch", F.lit(0).cast("bigint"))
+    bodies = bodies.withColumn("at", F.greatest(F.lit(0), sync_offset("body")))
+    told = bodies.join(versions(bodies), ["stream", "seq"]).select("stream", "seq", "maps", F.expr("substring(body, at + 1)").alias("body"))
+    rows = packets(told, keep=["stream", "maps"])
+    # A map counts from the packet behind it on.
+    last = F.element_at(F.filter("maps", lambda m: m["i"] < F.col("i")), -1)["map"]
+    is_map = F.exists("maps", lambda m: m["i"] == F.col("i"))
+    rows = rows.withColumn("m", F.when(~is_map & (F.get("maps", F.lit(0))["i"] < F.col("i")), last)).where("m is not null").drop("maps")
+    kind = F.when(F.col("pid") == F.col("m.video_pid"), "video").when(F.col("pid") == F.col("m.audio_pid"), "audio").when(F.col("pid") == F.col("m.id3_pid"), "id3")
+    codec = F.when(kind == "video", F.col("m.video_codec")).when(kind == "audio", F.col("m.audio_codec"))
+    named = rows.withColumns({"kind": kind, "codec": codec}).where("kind is not null").drop("m")
+    if stream:
+        named = named.withColumn("seq", F.struct("stream", "seq"))
+    units = pes(assemble(named.drop("stream"), "kind"))
+    out = ["kind", "codec", "pid", "first", "pts", "dts", "payload", "n_packets"]
+    return units.select(F.col("seq.stream").alias(stream), F.col("seq.seq").alias("seq"), *out) if stream else units.select("seq", *out)
 
 
 def malformed(streams: DataFrame) -> DataFrame:
