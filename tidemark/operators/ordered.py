@@ -1,64 +1,38 @@
 """Operators over keyed, ordered logs: running sums, carried values, runs, folds, watermarks, counters.
 
 Each takes a DataFrame and a Log that names its key and order columns, and adds columns. All windows of one Log share a
-partitioning and an ordering, so Spark plans one exchange and one sort for any number of them.
+partitioning and an ordering, so Spark plans one exchange and one sort for any number of them. A window gives a key to one task (it
+spills, but is one task): with a Log from `spread`, keys that hold much of a table are scanned in parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import Log, last_of, max_of, neighbour_of, next_of, number, scanned, spread, sum_of, whole
 
-@dataclass(frozen=True)
-class Log:
-    """What identifies a log (keys) and orders it; order must be unique within a key for reproducible results."""
-
-    keys: tuple[str, ...]
-    order: tuple[str, ...]
-
-    @property
-    def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy(*self.order)
-
-    @property
-    def so_far(self) -> WindowSpec:
-        return self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    @property
-    def before(self) -> WindowSpec:
-        return self.window.rowsBetween(Window.unboundedPreceding, -1)
-
-    @property
-    def whole(self) -> WindowSpec:
-        return self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    def within(self, *more: str) -> Log:
-        return Log((*self.keys, *more), self.order)
+__all__ = ["Log", "spread"]
 
 
 def timeline(df: DataFrame, log: Log, length: str, start: str = "start", total: str = "total", seq: str = "seq", base: int = 0) -> DataFrame:
     """Start of each element as the sum of those before it, the log's total length, and numbers from base on."""
-    return df.withColumns({
-        start: F.coalesce(F.sum(length).over(log.before), F.lit(0)).cast(df.schema[length].dataType),
-        total: F.sum(length).over(log.whole).cast(df.schema[length].dataType),
-        seq: (F.row_number().over(log.window) + (base - 1)).cast("bigint"),
-    })
+    kind = df.schema[length].dataType
+    rows = scanned(df, log, {start: sum_of(F.col(length), before=True), total: whole(F.sum, F.col(length)), seq: number(base)})
+    return rows.withColumns({start: F.coalesce(start, F.lit(0)).cast(kind), total: F.col(total).cast(kind)})
 
 
 def carry(df: DataFrame, log: Log, value: Column, name: str) -> DataFrame:
     """The latest non-null value up to and including each row."""
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(log.so_far))
+    return scanned(df, log, {name: last_of(value)})
 
 
 def bind_to_next(df: DataFrame, log: Log, is_target: Column, flags: dict[str, Column]) -> DataFrame:
-    """Only the target rows, each with whether any row since the last target (itself included) had each flag."""
-    run = df.withColumn("__run", F.coalesce(F.sum(is_target.cast("int")).over(log.before), F.lit(0)))
-    by = Window.partitionBy(*log.keys, "__run")
-    return run.withColumns({k: F.max(v.cast("int")).over(by).cast("bigint") for k, v in flags.items()}).where(is_target).drop("__run")
+    """Only the target rows, each with whether (1 or 0) any row since the last target (itself included) had each flag."""
+    counts = {f"__n_{k}": sum_of(F.coalesce(v.cast("int"), F.lit(0))) for k, v in flags.items()}
+    last = {f"__l_{k}": last_of(F.when(is_target, F.col(f"__n_{k}")), before=True) for k in flags}
+    rows = scanned(df, log, counts, last).where(is_target)
+    return rows.withColumns({k: (F.col(f"__n_{k}") > F.coalesce(f"__l_{k}", F.lit(0))).cast("bigint") for k in flags}).drop(*counts, *last)
 
 
 def chained_offset(df: DataFrame, log: Log, explicit: Column, length: str, name: str = "offset", resource: str | None = None) -> DataFrame:
@@ -67,20 +41,24 @@ def chained_offset(df: DataFrame, log: Log, explicit: Column, length: str, name:
     resource: a column that ends a chain: after an element without a length, whose resource isn't that of the last one with
     a length, there is no end to go on from until the next explicit offset.
     """
-    run = df.withColumns({"__given": explicit, "__run": F.sum(explicit.isNotNull().cast("int")).over(log.so_far)})
-    inner = log.within("__run")
-    start = F.first("__given").over(inner.so_far) + F.coalesce(F.sum(length).over(inner.before), F.lit(0))
+    n = F.col(length)
+    # What was explicit last, less the lengths before it, plus those before the row.
+    stages = [{"__before": sum_of(F.coalesce(n, F.lit(0)), before=True)}, {"__base": last_of(F.when(F.col("__given").isNotNull(), F.col("__given") - F.coalesce("__before", F.lit(0))))}]
+    start = F.col("__base") + F.coalesce("__before", F.lit(0))
     if resource is not None:
-        other = F.col(length).isNull() & (F.last(F.when(F.col(length).isNotNull(), F.col(resource)), ignorenulls=True).over(inner.before) != F.col(resource))
-        run = run.withColumn("__other", other)
-        start = F.when(~F.coalesce(F.max("__other").over(inner.so_far), F.lit(False)), start)
-    out = run.withColumn(name, start.cast("bigint")).drop("__given", "__run")
-    return out.drop("__other") if resource is not None else out
+        # The resource of the last element with a length since an explicit offset.
+        own = F.struct(F.when(n.isNotNull(), F.col(resource)).alias("r"))
+        stages[0]["__resource"] = last_of(F.when(F.col("__given").isNotNull() | n.isNotNull(), own), before=True)
+        other = F.col("__given").isNull() & n.isNull() & (F.col("__resource.r") != F.col(resource))
+        stages[1]["__ended"] = last_of(F.when(F.col("__given").isNotNull(), False).when(other, True))
+        start = F.when(~F.coalesce("__ended", F.lit(False)), start)
+    rows = scanned(df.withColumn("__given", explicit), log, *stages)
+    return rows.withColumn(name, start.cast("bigint")).drop("__given", "__before", "__base", "__resource", "__ended")
 
 
 def runs(df: DataFrame, log: Log, starts: Column, aggs: dict[str, Column], run: str = "run") -> DataFrame:
     """One row for each run of rows that begins at `starts`; rows before the first start are run 0."""
-    numbered = df.withColumn(run, F.coalesce(F.sum(starts.cast("int")).over(log.so_far), F.lit(0)).cast("bigint"))
+    numbered = scanned(df, log, {run: sum_of(starts.cast("int"))}).withColumn(run, F.coalesce(run, F.lit(0)).cast("bigint"))
     return numbered.groupBy(*log.keys, run).agg(*(v.alias(k) for k, v in aggs.items()))
 
 
@@ -100,7 +78,7 @@ def ewma_of(df: DataFrame, log: Log, half_lives: tuple[float, ...], weight: Colu
     CHUNK rows are folded on their own and then combined: no array holds a key's whole log.
     """
     rows = df.select(*log.keys, *log.order, weight.alias("__w"), value.alias("__v")).where("__w is not null and __v is not null")
-    rows = rows.withColumn("__chunk", F.floor((F.row_number().over(log.window) - 1) / CHUNK))
+    rows = scanned(rows, log, {"__n": number()}).withColumn("__chunk", F.floor(F.col("__n") / CHUNK))
     own = F.array_sort(F.collect_list(F.struct(*log.order, F.col("__w").alias("w"), F.col("__v").alias("v"))))
     zero = F.struct(*(F.lit(0.0).alias(f"e{i}") for i in range(len(half_lives))), F.lit(0.0).alias("w"))
     fade = lambda h, w: F.pow(F.lit(0.5 ** (1 / h)), w)
@@ -135,12 +113,12 @@ def watermark_dedup(df: DataFrame, log: Log, value: str, epoch_starts: Column, s
     of the last row kept in the last segment that kept any."""
     from tidemark.operators.scan import above_last_kept
 
-    epochs = df.withColumn("epoch", F.coalesce(F.sum(epoch_starts.cast("int")).over(log.so_far), F.lit(0)).cast("bigint"))
+    epochs = scanned(df, log, {"epoch": sum_of(epoch_starts.cast("int"))}).withColumn("epoch", F.coalesce("epoch", F.lit(0)).cast("bigint"))
     return above_last_kept(epochs, log, value, "epoch", segment, "__kept").where("__kept").drop("__kept")
 
 
 def running_max(df: DataFrame, log: Log, value: Column, name: str) -> DataFrame:
-    return df.withColumn(name, F.max(value).over(log.so_far))
+    return scanned(df, log, {name: max_of(value)})
 
 
 def counter(df: DataFrame, log: Log, name: str, modulo: int, stretch: Column | None = None) -> DataFrame:
@@ -150,28 +128,31 @@ def counter(df: DataFrame, log: Log, name: str, modulo: int, stretch: Column | N
     from the number of rows in earlier ones, so that no task has a whole key.
     """
     if stretch is None:
-        return df.withColumn(name, F.pmod(F.row_number().over(log.window) - 1, F.lit(modulo)).cast("bigint"))
+        return scanned(df, log, {name: number()}).withColumn(name, F.pmod(F.col(name), F.lit(modulo)))
     rows = df.withColumn("__stretch", stretch)
     sums = rows.groupBy(*log.keys, "__stretch").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*log.keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     found = rows.join(sums, [*log.keys, "__stretch"])
-    number = F.col("__before") + F.row_number().over(log.within("__stretch").window) - 1
-    return found.withColumn(name, F.pmod(number, F.lit(modulo)).cast("bigint")).drop("__stretch", "__before")
+    place = F.col("__before") + F.row_number().over(log.within("__stretch").window) - 1
+    return found.withColumn(name, F.pmod(place, F.lit(modulo)).cast("bigint")).drop("__stretch", "__before")
 
 
 def spans(df: DataFrame, log: Log, at: str, name: str = "span", alone: int = 3600) -> DataFrame:
     """Distance to the next row; the last row gets the mean distance, or `alone` if it has no other."""
-    n, first, last = F.count("*").over(log.whole), F.min(at).over(log.whole), F.max(at).over(log.whole)
-    mean = F.when(n > 1, F.floor((last - first) / (n - 1))).otherwise(alone)
-    return df.withColumn(name, F.coalesce(F.lead(at).over(log.window) - F.col(at), mean).cast("bigint"))
+    t = F.col(at)
+    rows = scanned(df, log, {"__n": whole(F.count, F.lit(1), F.sum), "__first": whole(F.min, t), "__last": whole(F.max, t), "__next": neighbour_of(t, ahead=True)})
+    n = F.col("__n")
+    mean = F.when(n > 1, F.floor((F.col("__last") - F.col("__first")) / (n - 1))).otherwise(alone)
+    return rows.withColumn(name, F.coalesce(F.col("__next.v") - t, mean).cast("bigint")).drop("__n", "__first", "__last", "__next")
 
 
 def changes(df: DataFrame, log: Log, value: Column, name: str, modulo: int) -> DataFrame:
     """How often value has changed so far, modulo a count."""
-    was = F.lag(value).over(log.window)
-    marked = df.withColumn("__new", F.coalesce((was != value).cast("int"), F.lit(0)))
-    return marked.withColumn(name, F.pmod(F.sum("__new").over(log.so_far), F.lit(modulo)).cast("bigint")).drop("__new")
+    marked = df.withColumn("__value", value)
+    new = F.coalesce((F.col("__was.v") != F.col("__value")).cast("int"), F.lit(0))
+    rows = scanned(marked, log, {"__was": neighbour_of(F.col("__value"))}, {name: sum_of(new)})
+    return rows.withColumn(name, F.pmod(F.col(name), F.lit(modulo)).cast("bigint")).drop("__value", "__was")
 
 
 def replay(df: DataFrame, log: Log, at: str, start: str, seek: Column, pause: Column, swap: Column) -> DataFrame:
@@ -181,12 +162,9 @@ def replay(df: DataFrame, log: Log, at: str, start: str, seek: Column, pause: Co
     pause, false: resume, null: neither) holds rows from its own on until the next resume, whose `at` is when they are
     shown (null: never). swap (a value or null) takes effect on the row after it.
     """
-    # Backwards, as a frame that only grows is read once.
-    after = Window.partitionBy(*log.keys).orderBy(*(F.desc(x) for x in log.order)).rowsBetween(Window.unboundedPreceding, -1)
-    target = F.last(seek, ignorenulls=True).over(log.so_far)
-    held = F.coalesce(F.last(pause, ignorenulls=True).over(log.so_far), F.lit(False))
-    return df.withColumns({
-        "epoch": F.count(seek).over(log.so_far), "kept": F.coalesce(F.col(start) >= target, F.lit(True)),
-        "shown": F.when(held, F.last(F.when(~pause, F.col(at)), ignorenulls=True).over(after)).otherwise(F.col(at)),
-        "swapped": F.last(swap, ignorenulls=True).over(log.before),
+    rows = scanned(df, log, {
+        "epoch": sum_of(seek.isNotNull().cast("int")), "__target": last_of(seek), "__held": last_of(pause),
+        "__resumed": next_of(F.when(~pause, F.col(at))), "swapped": last_of(swap, before=True),
     })
+    shown = F.when(F.coalesce("__held", F.lit(False)), F.col("__resumed")).otherwise(F.col(at))
+    return rows.withColumns({"kept": F.coalesce(F.col(start) >= F.col("__target"), F.lit(True)), "shown": shown}).drop("__target", "__held", "__resumed")

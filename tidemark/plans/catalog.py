@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import lookup, ordered, selection
 from tidemark.operators.ordered import Log
+from tidemark.operators.prefix import scanned, sum_of, whole
 from tidemark.operators.scan import bucket_starts
 from tidemark.plans.registry import is_type, log, registry, table
 
@@ -22,7 +23,8 @@ SQL_LADDER = "(values (0, 250000), (1, 460000), (2, 840000), (3, 2150000), (4, 6
 @query("""select event_id, user_id, (row_number() over w - 1)::bigint as seq, coalesce(sum(dur) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as start, sum(dur) over (partition by user_id)::bigint as total
 from log window w as (partition by user_id order by ts, event_id)""")
 def timeline_start(spark, sf_dir):
-    return ordered.timeline(log(spark, sf_dir), USER, "dur").select("event_id", "user_id", "seq", "start", "total")
+    rows = log(spark, sf_dir)
+    return ordered.timeline(rows, ordered.spread(rows, USER), "dur").select("event_id", "user_id", "seq", "start", "total")
 
 
 @query(""", seg as (select user_id, dur, (row_number() over w - 1)::bigint as seq, coalesce(sum(dur) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as start, sum(dur) over (partition by user_id)::bigint as total from log
@@ -46,7 +48,8 @@ def clamp_start(spark, sf_dir):
 
 @query("""select event_id, last_value(case when event_type = 'purchase' then dur end ignore nulls) over (partition by user_id order by ts, event_id) as key_value from log""")
 def carry_key(spark, sf_dir):
-    return ordered.carry(log(spark, sf_dir), USER, F.when(is_type("purchase"), F.col("dur")), "key_value").select("event_id", "key_value")
+    rows = log(spark, sf_dir)
+    return ordered.carry(rows, ordered.spread(rows, USER), F.when(is_type("purchase"), F.col("dur")), "key_value").select("event_id", "key_value")
 
 
 @query(""", run as (select *, coalesce(sum((event_type = 'view')::int) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as r from log)
@@ -189,7 +192,8 @@ def cc_counter(spark, sf_dir):
 @query(""", l as (select *, dur // 10000 as level, lag(dur // 10000) over (partition by user_id order by ts, event_id) as was from log)
 select event_id, (sum((coalesce(was <> level, false))::int) over (partition by user_id order by ts, event_id) % 32)::bigint as version from l""")
 def psi_version(spark, sf_dir):
-    return ordered.changes(log(spark, sf_dir), USER, F.floor(F.col("dur") / 10000), "version", 32).select("event_id", "version")
+    rows = log(spark, sf_dir)
+    return ordered.changes(rows, ordered.spread(rows, USER), F.floor(F.col("dur") / 10000), "version", 32).select("event_id", "version")
 
 
 @query("""with want(pos, name) as (values (0, 'signup'), (1, 'nothing'), (2, 'click'), (3, 'view')), have as (select distinct user_id, event_type from events)
@@ -280,9 +284,10 @@ def retry_delay(spark, sf_dir):
 
 @query("""select event_id, sum(dur) over w::bigint as bytes_written, greatest(0, sum(event_id % 7) over w * 1000000 - (us - min(us) over (partition by user_id)))::bigint as ahead from log window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)""")
 def sink_progress(spark, sf_dir):
-    by = USER.so_far
-    ahead = F.greatest(F.lit(0), F.sum(F.col("event_id") % 7).over(by) * 1_000_000 - (F.col("us") - F.min("us").over(USER.whole)))
-    return log(spark, sf_dir).select("event_id", F.sum("dur").over(by).alias("bytes_written"), ahead.alias("ahead"))
+    rows = log(spark, sf_dir)
+    found = scanned(rows, ordered.spread(rows, USER), {"bytes_written": sum_of(F.col("dur")), "seconds": sum_of(F.col("event_id") % 7), "begun": whole(F.min, F.col("us"))})
+    ahead = F.greatest(F.lit(0), F.col("seconds") * 1_000_000 - (F.col("us") - F.col("begun")))
+    return found.select("event_id", "bytes_written", ahead.alias("ahead"))
 
 
 @query("""with u as (select page_id, url, hex(encode(url)) as h from pages),

@@ -138,9 +138,11 @@ first_value(case when event_type = 'purchase' then us end ignore nulls) over (w
 last_value(case when event_type = 'view' then event_id end ignore nulls) over (w rows between unbounded preceding and 1 preceding) as swapped from log window w as (partition by user_id order by ts, event_id))
 select event_id, epoch, coalesce(start >= target, true) as kept, case when held then resumes else us end as shown, swapped from s""")
 def session_replay(spark, sf_dir):
-    rows = ordered.timeline(log(spark, sf_dir), USER, "dur")
+    rows = log(spark, sf_dir)
+    user = ordered.spread(rows, USER)
+    rows = ordered.timeline(rows, user, "dur")
     pause = F.when(is_type("error"), True).when(is_type("purchase"), False)
-    done = ordered.replay(rows, USER, "us", "start", F.when(is_type("signup"), F.col("dur") * 20), pause, F.when(is_type("view"), F.col("event_id")))
+    done = ordered.replay(rows, user, "us", "start", F.when(is_type("signup"), F.col("dur") * 20), pause, F.when(is_type("view"), F.col("event_id")))
     return done.select("event_id", "epoch", "kept", "shown", "swapped")
 
 
