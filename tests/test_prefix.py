@@ -49,6 +49,15 @@ def test_parts_give_what_one_window_gives(rows, cut, name):
     assert want and plain(CASES[name](rows, cut).collect()) == want
 
 
+def test_packets_of_a_cut_key_count_on(rows):
+    from tidemark.operators.muxing import packetize
+
+    log = Log(("k",), ("t", "i"))
+    units = rows.where("t is not null").withColumns({"pid": F.lit(256) + F.col("i") % 2, "data": F.repeat(F.lit("x"), F.col("v") * 20).cast("binary"), "pcr": F.lit(None).cast("long"), "key": F.lit(False), "break": F.lit(False)})
+    made = lambda g: plain(packetize(units, g).select("i", F.sha2("body", 256)).collect())
+    assert made(ordered.spread(units, log, most=8, least=1)) == made(log)
+
+
 def test_empty_table(rows):
     none = rows.limit(0)
     assert ordered.timeline(none, ordered.spread(none, LOG, least=1), "v").count() == 0

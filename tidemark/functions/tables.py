@@ -21,47 +21,46 @@ PRIVATE, AC3_TAG, UNSUPPORTED = 0x06, 0x6A, (0x87, 0xC2)
 STAMP_OWNER = b"com.apple.streaming.transportStreamTimestamp"
 
 
-@pandas_udf(IntegerType())
-def sync_offset(body: pd.Series) -> pd.Series:
+def synced(data: bytes) -> int:
     """Where whole packets begin: sync bytes follow each other to the end of the search window and a packet has pid 0.
 
     Candidates are searched over 5 packets; one at 0 needs three packets in step, a later one stays in step for up to
-    99 packets. -1 if there is none, or if the first candidate falls out of step. Null gives null.
+    99 packets. -1 if there is none, or if the first candidate falls out of step.
     """
+    raw = np.frombuffer(data, np.uint8)
+    n = len(raw)
+    window = min(5 * PACKET, n - PACKET) + 1
+    # A packet is in step if the next one begins with a sync byte, or the body ends with it.
+    step = np.zeros(n, bool)
+    if n >= PACKET:
+        step[: n - PACKET] = (raw[:-PACKET] == SYNC) & (raw[PACKET:] == SYNC)
+        step[n - PACKET] = raw[n - PACKET] == SYNC
+    at = 0
+    while at < window:
+        later = np.flatnonzero(step[at:window])
+        if not len(later):
+            return -1
+        at += int(later[0])
+        chain = step[at::PACKET]
+        held = len(chain) if chain.all() else int(np.argmin(chain))
+        first = at + PACKET * np.arange(held)
+        tables = np.flatnonzero((raw[first + 1] & 0x1F == 0) & (raw[first + 2] == 0))
+        if at:
+            window = min(at + 99 * PACKET, n - PACKET) + 1
+        enough = (window - at) // PACKET
+        last = max(1, min(enough, 2) if at == 0 else enough)
+        if len(tables) and max(last, int(tables[0])) < held:
+            return at
+        if held < len(chain):
+            return -1
+        at += 1
+    return -1
 
-    def find(data: bytes | None) -> int | None:
-        if data is None:
-            return None
-        raw = np.frombuffer(data, np.uint8)
-        n = len(raw)
-        window = min(5 * PACKET, n - PACKET) + 1
-        # A packet is in step if the next one begins with a sync byte, or the body ends with it.
-        step = np.zeros(n, bool)
-        if n >= PACKET:
-            step[: n - PACKET] = (raw[:-PACKET] == SYNC) & (raw[PACKET:] == SYNC)
-            step[n - PACKET] = raw[n - PACKET] == SYNC
-        at = 0
-        while at < window:
-            later = np.flatnonzero(step[at:window])
-            if not len(later):
-                return -1
-            at += int(later[0])
-            chain = step[at::PACKET]
-            held = len(chain) if chain.all() else int(np.argmin(chain))
-            first = at + PACKET * np.arange(held)
-            tables = np.flatnonzero((raw[first + 1] & 0x1F == 0) & (raw[first + 2] == 0))
-            if at:
-                window = min(at + 99 * PACKET, n - PACKET) + 1
-            enough = (window - at) // PACKET
-            last = max(1, min(enough, 2) if at == 0 else enough)
-            if len(tables) and max(last, int(tables[0])) < held:
-                return at
-            if held < len(chain):
-                return -1
-            at += 1
-        return -1
-
-    return pd.Series([find(x) for x in body], dtype="Int32")
+
+@pandas_udf(IntegerType())
+def sync_offset(body: pd.Series) -> pd.Series:
+    """What synced says of a body; null gives null."""
+    return pd.Series([None if x is None else synced(x) for x in body], dtype="Int32")
 
 
 @pandas_udf(ArrayType(StructType([StructField("type", IntegerType()), StructField("pid", IntegerType()), StructField("tags", ArrayType(IntegerType()))])))

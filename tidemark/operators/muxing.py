@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.framing import big_endian, joined, language_descriptor, pat, pes_unit, pmt, pointed, registration_descriptor
 from tidemark.functions.scalars import language_code, pack_clock
 from tidemark.operators.lookup import as_of
-from tidemark.operators.ordered import Log
+from tidemark.operators.ordered import Log, running_max
+from tidemark.operators.prefix import scanned, sum_of
 from tidemark.operators.scan import bucket_starts
 from tidemark.operators.selection import merge_streams
+from tidemark.sources import boxes
 from tidemark.sources.packets import demux
 
 #: Bytes of a packet after its header; flags of an adaptation field.
@@ -31,8 +33,8 @@ def packetize(units: DataFrame, log: Log) -> DataFrame:
     """units with `packets` (array of 188-byte packets) and `body` (the packets end to end), in place of `data`.
 
     units has pid, data, pcr (a clock for the first packet, or null), key and break (flags of the first packet), and the
-    columns of log. Counters run over the units of a pid in the order of log, so the window sees one row a unit, without data
-    that it need not carry: only counts pass it. Empty or null data gives one packet with stuffing only.
+    columns of log. Counters run over the units of a pid in the order of log; with a log whose large keys are cut (see prefix.spread)
+    no task has a whole one of these. Empty or null data gives one packet with stuffing only.
     """
     data = F.coalesce("data", F.lit(b""))
     flags = F.when(F.coalesce("break", F.lit(False)), DISCONTINUITY).otherwise(0) + F.when(F.coalesce("key", F.lit(False)), RANDOM_ACCESS).otherwise(0) + F.when(F.col("pcr").isNotNull(), CLOCK).otherwise(0)
@@ -41,8 +43,7 @@ def packetize(units: DataFrame, log: Log) -> DataFrame:
     head = F.lit(ROOM) - F.when(F.col("__flags") == 0, 0).otherwise(2 + F.length("__clock"))
     rows = rows.withColumn("__head", head)
     rows = rows.withColumn("__n", (1 + F.ceil(F.greatest(F.lit(0), F.length("data") - F.col("__head")) / ROOM)).cast("int"))
-    before = F.coalesce(F.sum("__n").over(log.within("pid").before), F.lit(0))
-    rows = rows.withColumn("__cc", before.cast("bigint"))
+    rows = scanned(rows, log.within("pid"), {"__cc": sum_of(F.col("__n").cast("bigint"), before=True)}).withColumn("__cc", F.coalesce("__cc", F.lit(0)))
 
     def one(j: Column) -> Column:
         first = j == 0
@@ -63,6 +64,8 @@ def interleave(video: DataFrame, others: list[DataFrame], keys: list[str], at: s
     return merge_streams([(x, i) for i, x in enumerate([video.withColumn("bucket", F.col(at)), *routed])], keys, at, order)
 
 
+#: Pid and stream type of pictures.
+VIDEO_PID, VIDEO_TYPE = 256, 0x1B
 #: Pids of the tables; stream type of private units; stream ids of video, of the first audio stream and of subtitles; the format name of timed text.
 PAT_PID, PMT_PID, PRIVATE_TYPE = 0, 0x1000, 0x06
 VIDEO_ID, AUDIO_ID, PRIVATE_ID, TEXT_FORMAT = 0xE0, 0xC0, 0xBD, "VTT "
@@ -140,6 +143,30 @@ def payload_of(units: DataFrame, kind: str) -> DataFrame:
     return units.where(F.col("kind") == kind).groupBy("seq").agg(joined(F.transform(parts, lambda x: x["payload"])).alias("body"))
 
 
+def canonical(segments: DataFrame, inits: DataFrame, stream: str, init: str) -> DataFrame:
+    """(stream, seq, body): fragmented segments (stream, seq, init, body) as transport streams, one for each with its own tables and counters.
+
+    inits (init, body): the init sections. Of each the first video track counts, if it is described by avc: its samples become
+    pictures between start codes, with the parameter sets in key ones. What pts lacks to dts moves the pts of its segment, and of
+    the stream's later ones, by the most so far. Segments without such samples give no row.
+    """
+    tracks = boxes.codecs(inits.select(F.col(init).alias("seq"), "body"))
+    first = F.min_by(F.struct("track_id", "timescale", "avc"), "track_id")
+    track = tracks.where("kind = 'vide'").groupBy(F.col("seq").alias(init)).agg(first.alias("t")).where("t.avc.length_size is not null").select(init, "t.track_id", "t.timescale", "t.avc")
+    files = segments.select(F.struct(F.col(stream).alias("stream"), F.col("seq").alias("seq"), F.col(init).alias("init")).alias("seq"), F.col(init), "body")
+    rows = boxes.payloads(files, track.drop("avc"), [init])
+    # Only a row a segment passes the window.
+    needs = rows.groupBy("seq").agg(F.max("need").alias("need")).select("seq.stream", F.col("seq.seq").alias("part"), "need")
+    shifts = running_max(needs, Log(("stream",), ("part",)), F.col("need"), "shift").select("stream", F.col("part").alias("part"), "shift")
+    rows = rows.select("seq", F.col("seq.stream").alias("stream"), F.col("seq.seq").alias("part"), F.col("seq.init").alias(init), "i", "dts", "pts", "data")
+    rows = rows.join(shifts, ["stream", "part"]).join(track.select(init, "avc"), init)
+    made = boxes.pictures(rows, F.col("avc"), F.col("shift")).select("seq.stream", F.col("seq.seq").alias("part"), "i", "dts", "pts", "is_key", "data")
+    none = F.lit(None).cast("string")
+    samples = made.select("*", F.lit("video").alias("kind"), F.lit(0).alias("rank"), F.lit(VIDEO_PID).alias("pid"), F.lit(VIDEO_TYPE).alias("type"), none.alias("language"), F.lit(0).alias("__one"))
+    muxed = mux(samples, Log(("stream", "part"), ("i",)), "__one")
+    return streams_of(muxed, ["stream", "part"]).select(F.col("stream").alias(stream), F.col("part").alias("seq"), "body")
+
+
 #: The ways to put a stream out: as it came, one kind of payload alone, or always as a transport stream.
 MODES = ("ts", "es-audio", "es-video", "ts-canonical")
 

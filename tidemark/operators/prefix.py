@@ -49,7 +49,8 @@ class Log:
         return Window.partitionBy(*self.keys).orderBy(*(F.desc_nulls_last(x) for x in self.order)).rowsBetween(Window.unboundedPreceding, -1)
 
     def within(self, *more: str) -> Log:
-        return Log((*self.keys, *more), self.order)
+        """The log of each value of more inside a key; a key that is cut stays so."""
+        return Log((*self.keys, *more), self.order, self.cuts)
 
 
 @dataclass(frozen=True)
@@ -138,8 +139,10 @@ PART = "__part"
 
 def in_parts(df: DataFrame, log: Log) -> DataFrame:
     """df with the part that each row of a cut key is in (PART; 0 for other keys) and whether its key is cut."""
-    keys, names = list(log.keys), [f"__k{i}" for i in range(len(log.keys))]
     cuts, at = log.cuts, F.col(log.order[0])
+    # The cuts may be of fewer keys than the log has, see Log.within.
+    names = [c for c in cuts.columns if c != "__bounds"]
+    keys = list(log.keys[: len(names)])
     rows = df.join(F.broadcast(cuts), _same([df[k] for k in keys], [cuts[n] for n in names]), "left").drop(*names)
     part = F.when(F.col("__bounds").isNull() | at.isNull(), 0).otherwise(F.size(F.filter("__bounds", lambda b: b <= at)))
     return rows.withColumns({"__cut": F.col("__bounds").isNotNull(), PART: part}).drop("__bounds")

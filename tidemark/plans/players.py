@@ -12,6 +12,7 @@ from tidemark.operators.ordered import Log
 from tidemark.plans.catalog import USER
 from tidemark.plans.registry import is_type, log, registry, table
 from tidemark.sources import boxes, cues, packets, playlists
+from tidemark.sources.shared import written
 from tidemark.streaming import session, watermark
 
 QUERIES, SQL, query = registry()
@@ -282,7 +283,7 @@ def mux_units(spark, sf_dir):
 def event_streams(spark, sf_dir):
     muxed = muxing.mux(event_samples(spark, sf_dir), Log(("user_id",), ("ts", "event_id")), "part")
     bodies = muxing.streams_of(muxed, ["user_id", "part"])
-    return bodies.select((F.col("user_id") * 100_000 + F.col("part")).alias("seq"), "body")
+    return written(bodies.select((F.col("user_id") * 100_000 + F.col("part")).alias("seq"), "body"), "event-streams")
 
 
 @query(SQL_SAMPLES + """select user_id * 100000 + part as seq, kind, [256, 257][rank + 1]::bigint as pid, pts, dts, sha256(props) as payload_sha256 from x where kind <> 'text' and octet_length(encode(props)) >= 5""")
@@ -310,7 +311,7 @@ def demux_versions(spark, sf_dir):
     sent = muxed.join(hit, ["user_id", "part", "place"], "left").where("place > 1 or part % 3 <> 1").withColumn("body", framing.joined(broken))
     sent = sent.withColumns({"seq": F.floor(part / 2), "place": F.struct("part", "place")})
     bodies = muxing.streams_of(sent, ["user_id", "seq"]).withColumn("breaks", F.col("seq") % 5 == 0)
-    found = packets.demux(bodies, "user_id", "breaks")
+    found = packets.demux(written(bodies, "event-streams"), "user_id", "breaks")
     return found.select("user_id", "seq", "kind", F.col("pid").cast("bigint").alias("pid"), "pts", "dts", F.sha2("payload", 256).alias("payload_sha256"))
 
 
@@ -424,6 +425,38 @@ def fragment_payloads(spark, sf_dir):
     return found.select(F.col("seq").alias("l_orderkey"), F.col("i").cast("bigint").alias("i"), "dts", "pts", F.sha2("data", 256).alias("data_sha256"))
 
 
+@query("""with l as (select l_orderkey as o, l_linenumber as d, l_quantity::bigint as z, row_number() over w - 1 as i, coalesce(sum(l_linenumber) over (w rows between unbounded preceding and 1 preceding), 0) as t from lineitem window w as (partition by l_orderkey order by l_linenumber, l_quantity)),
+s as (select l_orderkey % 50 as stream, o as seq, i, z, case when o % 2 = 0 then 48000 else 90000 end as scale, o * 10 + t as dts, o * 10 + t + i * 5 - o % 7 as pts, o from (select *, o as l_orderkey from l)),
+k as (select *, floor(dts * 90000 / scale::double + 0.5)::bigint as a, floor(pts * 90000 / scale::double + 0.5)::bigint as b from s),
+n as (select stream, seq, max(greatest(0, a - b)) as need from k group by all), m as (select stream, seq, max(need) over (partition by stream order by seq) as shift from n)
+select k.stream, k.seq, i::bigint as i, a as dts, b + shift as pts, z % 3 = 0 as is_key, sha256(case when z % 3 = 0 then unhex('00000001676400' || lpad(upper(to_hex(scale)), 8, '0') || '0000000168EE3C80') else ''::blob end || unhex('00000001') || encode(case when z % 3 = 0 then 'e' else 'A' end || repeat(chr((97 + i)::int), z::int))) as data_sha256 from k join m using (stream, seq)""")
+def canonical_output(spark, sf_dir):
+    """Fragmented segments put out as transport streams by their init sections, and read back."""
+    n, o = F.size("s"), F.col("seq")
+    zeros = lambda k: F.unhex(F.lit("00" * k))
+    nal = lambda x, i: F.concat(F.when(x["z"] % 3 == 0, "e").otherwise("A"), F.repeat(F.char(i + 97), x["z"].cast("int"))).cast("binary")
+    sized = lambda x, i: F.concat(framing.big_endian(F.length(nal(x, i)), 4), nal(x, i))
+    entries = framing.joined(F.transform("s", lambda x, i: F.concat(framing.big_endian(x["d"], 4), framing.big_endian(x["z"] + 5, 4), framing.big_endian(F.pmod(i * 5 - o % 7, F.lit(1 << 32)), 4))))
+    head, time = _box("tfhd", F.unhex(F.lit("00020000")), framing.big_endian(F.lit(1), 4)), _box("tfdt", F.unhex(F.lit("01000000")), framing.big_endian(o * 10, 8))
+    run = _box("trun", F.unhex(F.lit("01000B01")), framing.big_endian(n, 4), framing.big_endian(n * 12 + 80, 4), entries)
+    body = F.concat(_box("moof", _box("traf", head, time, run)), _box("mdat", framing.joined(F.transform("s", sized))))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seq")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("bigint").alias("d"), F.col("l_quantity").cast("bigint").alias("z")))).alias("s"))
+    segments = written(lines.select((o % 50).alias("stream"), "seq", F.when(o % 2 == 0, "even").otherwise("odd").alias("init"), body.alias("body")), "segments")
+    # An init section for each clock, with a parameter set that says it; audio comes first.
+    scale = F.when(F.col("init") == "even", 48_000).otherwise(90_000)
+    avc = _box("avcC", F.unhex(F.lit("01640028FFE10007676400")), framing.big_endian(scale, 4), F.unhex(F.lit("01000468EE3C80")))
+    picture = _box("avc1", zeros(24), framing.big_endian(F.lit(640), 2), framing.big_endian(F.lit(360), 2), zeros(50), avc)
+
+    def trak(number: int, kind: str, *entry):
+        described = _box("minf", _box("stbl", _box("stsd", F.unhex(F.lit("0000000000000001")), *entry)))
+        return _box("trak", _box("tkhd", zeros(12), framing.big_endian(F.lit(number), 4), zeros(8)), _box("mdia", _box("mdhd", zeros(12), framing.big_endian(scale, 4), zeros(8)), _box("hdlr", zeros(8), F.lit(kind).cast("binary"), zeros(12)), described))
+
+    inits = segments.select("init").distinct().withColumn("body", _box("moov", trak(2, "soun", _box("mp4a", zeros(28))), trak(1, "vide", picture)))
+    units = packets.demux(written(muxing.canonical(segments, inits, "stream", "init"), "canonical"), "stream")
+    i = F.row_number().over(Window.partitionBy("stream", "seq").orderBy("first")) - 1
+    return units.select("stream", "seq", i.cast("bigint").alias("i"), "dts", "pts", framing.is_key(framing.annex_b("payload")).alias("is_key"), F.sha2("payload", 256).alias("data_sha256"))
+
+
 @query(""", s as (select *, coalesce(sum(dur) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as start, count(*) filter (event_type = 'signup') over w as epoch,
 last_value(case when event_type = 'signup' then dur * 20 end ignore nulls) over w as target, coalesce(last_value(case event_type when 'error' then true when 'purchase' then false end ignore nulls) over w, false) as held,
 last_value(case when event_type = 'view' then event_id end ignore nulls) over (w rows between unbounded preceding and 1 preceding) as swapped from log window w as (partition by user_id order by ts, event_id))

@@ -1,8 +1,10 @@
-"""Fragmented media files as tables: boxes, tracks and samples. Only box walking is a Python helper; fields are expressions."""
+"""Fragmented media files as tables: boxes, tracks and samples. A body is walked once, in the task that reads it."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -18,14 +20,14 @@ HOLDERS = dict.fromkeys((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"mvex", b
 ENTRIES = "moov.trak.mdia.minf.stbl.stsd"
 
 
-@pandas_udf(ArrayType(StructType([StructField("path", StringType()), *(StructField(x, IntegerType()) for x in ("parent", "at", "payload", "stop"))])))
-def walk(body: pd.Series) -> pd.Series:
-    """Every box of a body with its dotted path, where its parent, itself and its payload begin, and where it ends.
+def walked(data: bytes) -> list[tuple[str, int, int, int, int]]:
+    """Every box of a body: its dotted path, where its parent, itself and its payload begin, and where it ends.
 
-    Size 0 reaches to the end, size 1 has 64 bits; a box that is too short or overruns ends the walk there. Null gives null.
+    Size 0 reaches to the end, size 1 has 64 bits; a box that is too short or overruns ends the walk there.
     """
+    found = []
 
-    def inside(data: bytes, low: int, high: int, path: str, parent: int, found: list[dict]) -> None:
+    def inside(low: int, high: int, path: str, parent: int) -> None:
         while low + 8 <= high:
             size, kind, head = int.from_bytes(data[low : low + 4], "big"), data[low + 4 : low + 8], 8
             if size == 1:
@@ -34,19 +36,19 @@ def walk(body: pd.Series) -> pd.Series:
             if stop < low + head or stop > high:
                 return
             name = path + kind.decode("latin-1")
-            found.append({"path": name, "parent": parent, "at": low, "payload": low + head, "stop": stop})
+            found.append((name, parent, low, low + head, stop))
             if kind in HOLDERS:
-                inside(data, low + head + HOLDERS[kind], stop, f"{name}.", low, found)
+                inside(low + head + HOLDERS[kind], stop, f"{name}.", low)
             low = stop
 
-    def one(data: bytes | None) -> list[dict] | None:
-        found: list[dict] = []
-        if data is None:
-            return None
-        inside(data, 0, len(data), "", -1, found)
-        return found
+    inside(0, len(data), "", -1)
+    return found
+
 
-    return pd.Series([one(x) for x in body])
+@pandas_udf(ArrayType(StructType([StructField("path", StringType()), *(StructField(x, IntegerType()) for x in ("parent", "at", "payload", "stop"))])))
+def walk(body: pd.Series) -> pd.Series:
+    """What walked says of a body, as an array; null gives null."""
+    return pd.Series([None if x is None else [dict(zip(("path", "parent", "at", "payload", "stop"), b, strict=True)) for b in walked(x)] for x in body])
 
 
 def boxes(files: DataFrame, *paths: str) -> DataFrame:
@@ -57,36 +59,25 @@ def boxes(files: DataFrame, *paths: str) -> DataFrame:
     return rows.select("seq", "b.path", "b.parent", "b.at", "b.stop", data.alias("data"))
 
 
-def tracks(files: DataFrame) -> DataFrame:
-    """(seq, track_id, kind, timescale) of each track; kind is the handler's four letters."""
-    named = boxes(files, "moov.trak", "moov.trak.tkhd", "moov.trak.mdia", "moov.trak.mdia.mdhd", "moov.trak.mdia.hdlr").drop("stop")
-    d, wide = F.col("data"), number(F.col("data"), 0, 1) == 1
-    holders = named.where("path = 'moov.trak.mdia'").select("seq", F.col("at").alias("media"), F.col("parent").alias("trak"))
-    own = named.where("path = 'moov.trak.tkhd'").select("seq", F.col("parent").alias("trak"), F.when(wide, number(d, 20, 4)).otherwise(number(d, 12, 4)).alias("track_id"))
-    media = named.where(F.col("path").isin("moov.trak.mdia.mdhd", "moov.trak.mdia.hdlr")).groupBy("seq", F.col("parent").alias("media")).agg(
-        F.max(F.when(F.col("path").endswith("mdhd"), F.when(wide, number(d, 20, 4)).otherwise(number(d, 12, 4)))).alias("timescale"),
-        F.max(F.when(F.col("path").endswith("hdlr"), F.substring(d, 9, 4).cast("string"))).alias("kind"),
-    )
-    return holders.join(own, ["seq", "trak"]).join(media, ["seq", "media"]).select("seq", "track_id", "kind", "timescale")
-
-
 def codecs(files: DataFrame) -> DataFrame:
-    """(seq, track_id, kind, fourcc, width, height, avc, audio) of each track by its first sample entry.
+    """(seq, track_id, kind, timescale, fourcc, width, height, avc, audio) of each track, by its first sample entry; kind is the
+    handler's four letters.
 
     avc and audio are the structs of its configuration; their fields are null where the entry has none of that kind.
-    Boxes find their track by carrying its place forward in the order of the file.
+    A body is walked once, and boxes find their track by carrying its place forward in the order of the file.
     """
     entries = [f"{ENTRIES}.{x.decode()}" for x in (*PICTURES, *AUDIO)]
     configs = [f"{e}.{c}" for e in entries for c in ("avcC", "esds")]
-    rows = boxes(files, "moov.trak", "moov.trak.tkhd", "moov.trak.mdia.hdlr", ENTRIES, *entries, *configs)
+    rows = boxes(files, "moov.trak", "moov.trak.tkhd", "moov.trak.mdia.mdhd", "moov.trak.mdia.hdlr", ENTRIES, *entries, *configs)
     path, at, d = F.col("path"), F.col("at"), F.col("data")
     # Holders are only placed; of the table of entries the first one's head is read.
     rows = rows.withColumn("data", F.when(path == ENTRIES, F.substring(d, 1, 96)).when(~path.isin("moov.trak", *entries), d))
     in_file = Window.partitionBy("seq").orderBy("at")
     rows = rows.withColumn("trak", F.last(F.when(path == "moov.trak", at), ignorenulls=True).over(in_file))
+    own = lambda name, value: F.min_by(value, F.when(path == name, at))
+    wide = lambda: F.when(number(d, 0, 1) == 1, number(d, 20, 4)).otherwise(number(d, 12, 4))
     found = rows.groupBy("seq", "trak").agg(
-        F.max(F.when(path == "moov.trak.tkhd", F.when(number(d, 0, 1) == 1, number(d, 20, 4)).otherwise(number(d, 12, 4)))).alias("track_id"),
-        F.max(F.when(path == "moov.trak.mdia.hdlr", F.substring(d, 9, 4).cast("string"))).alias("kind"),
+        own("moov.trak.tkhd", wide()).alias("track_id"), own("moov.trak.mdia.mdhd", wide()).alias("timescale"), own("moov.trak.mdia.hdlr", F.substring(d, 9, 4).cast("string")).alias("kind"),
         F.max(F.when(path == ENTRIES, d)).alias("table"), F.min(F.when(path.isin(*entries), at)).alias("entry"),
         F.min(F.when(path.isin(*configs), F.struct("at", "parent", "path", "data"))).alias("own"),
     )
@@ -94,56 +85,115 @@ def codecs(files: DataFrame) -> DataFrame:
     config = lambda name: F.when((F.col("own.parent") == F.col("entry")) & F.col("own.path").endswith(name), F.col("own.data"))
     picture = whole & (F.col("kind") == "vide")
     return found.select(
-        "seq", "track_id", "kind", F.when(whole, F.substring(table, 13, 4).cast("string")).alias("fourcc"), F.when(picture, number(table, 40, 2)).alias("width"),
+        "seq", "track_id", "kind", "timescale", F.when(whole, F.substring(table, 13, 4).cast("string")).alias("fourcc"), F.when(picture, number(table, 40, 2)).alias("width"),
         F.when(picture, number(table, 42, 2)).alias("height"), avc_config(config("avcC")).alias("avc"), audio_config(config("esds")).alias("audio"),
     )
 
 
-def _field(data: Column, flags: Column, start: int | Column, bits: list[int], which: int, size: int = 4, sizes: dict[int, int] | None = None) -> Column:
-    """The field of flag `which`, after those of the flags before it in bits; null if its flag is not set."""
-    at = F.lit(start) if isinstance(start, int) else start
-    for bit in bits[: bits.index(which)]:
-        at = at + F.when(flags.bitwiseAND(F.lit(bit)) > 0, (sizes or {}).get(bit, 4)).otherwise(0)
-    return F.when(flags.bitwiseAND(F.lit(which)) > 0, number(data, at.cast("int"), size))
+def tracks(files: DataFrame) -> DataFrame:
+    """(seq, track_id, kind, timescale) of each track that says all of them; kind is the handler's four letters."""
+    return codecs(files).select("seq", "track_id", "kind", "timescale").where("track_id is not null and kind is not null")
 
 
-def samples(files: DataFrame) -> DataFrame:
-    """(seq, track_id, i, dts, cts, size, offset) of each sample of the fragments, in the track's own ticks.
+def _number(data: bytes, at: int, n: int) -> int:
+    return int.from_bytes(data[at : at + n], "big")
 
-    A sample without its own length or duration has the fragment's default, else 0. Composition offsets are signed.
-    offset counts from the start of the file. Runs of a fragment follow each other in time.
+
+def _signed(x: int | np.ndarray) -> int | np.ndarray:
+    return x - ((x >> 31) << 32)
+
+
+def fragment_rows(data: bytes) -> list[tuple[int, np.ndarray]]:
+    """(track, rows of dts, cts, size, offset) of each track fragment of a body, from one walk.
+
+    A sample without its own length or duration has the fragment's default, else 0. A run that says more samples than it holds ends with
+    the last whole one. Runs of a fragment follow each other in time; composition offsets are signed; offsets count from the start of the body.
     """
-    d = F.col("data")
-    own = boxes(files, "moof.traf", "moof.traf.tfhd", "moof.traf.tfdt", "moof.traf.trun")
-    fragments = own.where("path = 'moof.traf'").select("seq", F.col("at").alias("traf"), F.col("parent").alias("moof"))
-    flags = number(d, 1, 3)
-    head_bits = [0x1, 0x2, 0x8, 0x10]
-    heads = own.where("path = 'moof.traf.tfhd'").select(
-        "seq", F.col("parent").alias("traf"), number(d, 4, 4).alias("track_id"),
-        _field(d, flags, 8, head_bits, 0x8, sizes={1: 8}).alias("duration0"), _field(d, flags, 8, head_bits, 0x10, sizes={1: 8}).alias("size0"),
-        F.when(flags.bitwiseAND(F.lit(1)) > 0, number(d, 9, 7)).alias("base"),
-    )
-    times = own.where("path = 'moof.traf.tfdt'").select("seq", F.col("parent").alias("traf"), F.when(number(d, 0, 1) == 1, number(d, 5, 7)).otherwise(number(d, 4, 4)).alias("start"))
-    bits = [0x100, 0x200, 0x400, 0x800]
-    width = sum((F.when(flags.bitwiseAND(F.lit(b)) > 0, 4).otherwise(0) for b in bits), F.lit(0))
-    table = F.lit(8) + F.when(flags.bitwiseAND(F.lit(1)) > 0, 4).otherwise(0) + F.when(flags.bitwiseAND(F.lit(4)) > 0, 4).otherwise(0)
-    n = number(d, 4, 4).cast("int")
-    signed = lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x)
-    runs = own.where("path = 'moof.traf.trun'").where(n > 0).select("seq", F.col("parent").alias("traf"), F.col("at").alias("run"), "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
-    entry = table + F.col("j") * width
-    runs = runs.select(
-        "seq", "traf", "run", "j", _field(d, flags, entry, bits, 0x100).alias("duration"), _field(d, flags, entry, bits, 0x200).alias("size"),
-        F.coalesce(signed(_field(d, flags, entry, bits, 0x800)), F.lit(0)).alias("cts"), F.when(flags.bitwiseAND(F.lit(1)) > 0, signed(number(d, 8, 4))).alias("data_offset"),
-    )
-    rows = runs.join(fragments, ["seq", "traf"]).join(heads, ["seq", "traf"]).join(times, ["seq", "traf"], "left")
-    rows = rows.withColumns({"duration": F.coalesce("duration", "duration0", F.lit(0)), "size": F.coalesce("size", "size0", F.lit(0))})
-    in_traf = Window.partitionBy("seq", "traf").orderBy("run", "j")
-    in_run = Window.partitionBy("seq", "traf", "run").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("duration").over(in_traf.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select(
-        "seq", "track_id", (F.row_number().over(in_traf) - 1).alias("i"), (F.coalesce("start", F.lit(0)) + before).alias("dts"), "cts", "size",
-        (F.coalesce("base", F.col("moof")) + F.coalesce("data_offset", F.lit(0)) + F.coalesce(F.sum("size").over(in_run), F.lit(0))).alias("offset"),
-    )
+    found, children = walked(data), {}
+    for path, parent, at, payload, stop in found:
+        children.setdefault((path, parent), []).append((at, payload, stop))
+    out = []
+    for path, moof, traf, _, _ in found:
+        if path != "moof.traf" or not (heads := children.get(("moof.traf.tfhd", traf))):
+            continue
+        low = heads[0][1]
+        flags, at = _number(data, low + 1, 3), low + 8
+        base = _number(data, at, 8) if flags & 0x1 else moof
+        at += (8 if flags & 0x1 else 0) + (4 if flags & 0x2 else 0)
+        lasts = _number(data, at, 4) if flags & 0x8 else 0
+        at += 4 if flags & 0x8 else 0
+        long = _number(data, at, 4) if flags & 0x10 else 0
+        times = children.get(("moof.traf.tfdt", traf))
+        clock = 0 if not times else _number(data, times[0][1] + 4, 8 if data[times[0][1]] == 1 else 4)
+        parts = []
+        for _, low, stop in children.get(("moof.traf.trun", traf), ()):
+            flags, n, at = _number(data, low + 1, 3), _number(data, low + 4, 4), low + 8
+            begin = base + (_signed(_number(data, at, 4)) if flags & 0x1 else 0)
+            at += (4 if flags & 0x1 else 0) + (4 if flags & 0x4 else 0)
+            fields = [b for b in (0x100, 0x200, 0x400, 0x800) if flags & b]
+            n = min(n, (stop - at) // (4 * len(fields))) if fields else n
+            cells = np.frombuffer(data, ">u4", n * len(fields), at).reshape(n, len(fields)).astype(np.int64) if n and fields else np.zeros((n, 0), np.int64)
+            of = lambda b, other: cells[:, fields.index(b)] if b in fields else np.full(n, other, np.int64)  # noqa: B023, E731
+            sizes, spans = of(0x200, long), of(0x100, lasts)
+            parts.append(np.stack([clock + np.cumsum(spans) - spans, _signed(of(0x800, 0)), sizes, begin + np.cumsum(sizes) - sizes], axis=1))
+            clock += int(spans.sum())
+        if parts:
+            out.append((_number(data, heads[0][1] + 4, 4), np.concatenate(parts)))
+    return out
+
+
+#: Bytes of samples that go out together.
+BATCH = 4 << 20
+
+
+def fragments(files: DataFrame, keep: list[str], track: str | None = None, cut: bool = False) -> DataFrame:
+    """(keep, track_id, i, dts, cts, size, offset) of each sample of the fragments of files (keep, body), in the track's own ticks.
+
+    track: a column with the only track to read. cut: adds `data`, the sample itself; one that its body doesn't hold whole is left out.
+    A body is walked once, in the task that reads it, and no row of a sample carries it.
+    """
+    kept = files.select(*keep)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "`track_id` long, `i` int, dts long, cts long, size long, offset long", *(["data binary"] if cut else [])])
+    names = [*keep, "track_id", "i", "dts", "cts", "size", "offset", *(["data"] if cut else [])]
+
+    def run(batches):
+        for batch in batches:
+            rows, size = [], 0
+            bodies, only = batch.column("__body"), batch.column("__track").to_pylist() if track else None
+
+            def out():
+                at = pa.array([r for r, _, x, _, _ in rows for _ in range(len(x))], pa.int64())  # noqa: B023
+                cells = np.concatenate([x for _, _, x, _, _ in rows])  # noqa: B023
+                own = [batch.column(i).take(at) for i in range(len(keep))]  # noqa: B023
+                own += [pa.array([t for _, t, x, _, _ in rows for _ in range(len(x))], pa.int64()), pa.array(np.concatenate([i for _, _, _, i, _ in rows]).astype(np.int32))]  # noqa: B023
+                own += [pa.array(cells[:, i]) for i in range(4)] + ([pa.array([d for *_, ds in rows for d in ds], pa.binary())] if cut else [])  # noqa: B023
+                return pa.RecordBatch.from_arrays(own, names)
+
+            for r in range(batch.num_rows):
+                data = bodies[r].as_py()
+                for of, cells in fragment_rows(data) if data else ():
+                    if only and only[r] != of:
+                        continue
+                    places, parts = np.arange(len(cells)), []
+                    if cut:
+                        whole = (cells[:, 3] >= 0) & (cells[:, 3] + cells[:, 2] <= len(data))
+                        places, cells = places[whole], cells[whole]
+                        parts = [data[a : a + n] for a, n in zip(cells[:, 3].tolist(), cells[:, 2].tolist(), strict=True)]
+                    rows.append((r, of, cells, places, parts))
+                    size += 64 * len(cells) + sum(map(len, parts))
+                if size > BATCH:
+                    yield out()
+                    rows, size = [], 0
+            if rows:
+                yield out()
+
+    sent = files.select(*keep, *([F.col(track).alias("__track")] if track else []), F.col("body").alias("__body"))
+    return sent.mapInArrow(run, schema)
+
+
+def samples(files: DataFrame) -> DataFrame:
+    """(seq, track_id, i, dts, cts, size, offset) of each sample of the fragments of files (seq, body); see fragment_rows."""
+    return fragments(files, ["seq"])
 
 
 def first_track(tracks_: DataFrame, kind: str, on: list[str]) -> DataFrame:
@@ -158,13 +208,11 @@ def payloads(files: DataFrame, track: DataFrame, on: list[str]) -> DataFrame:
     need: by how much pts falls short of dts, 0 at least; a stream's shift is the greatest so far (see ordered.running_max).
     on: what files and track share. A sample that its file doesn't hold whole is left out.
     """
-    named = files.select("seq", *(c for c in on if c != "seq"), "body").join(track, on)
-    rows = samples(files).join(named.select("seq", "track_id", "timescale", "body"), ["seq", "track_id"])
-    rows = rows.where(F.col("offset") + F.col("size") <= F.length("body"))
+    named = files.select("seq", *(c for c in on if c != "seq"), "body").join(track, on).withColumn("__only", F.col("track_id"))
+    rows = fragments(named, ["seq", "timescale"], "__only", cut=True)
     scaled = lambda x: F.floor(x * 90_000 / F.col("timescale") + 0.5).cast("bigint")
     dts, pts = scaled(F.col("dts")), scaled(F.col("dts") + F.col("cts"))
-    data = F.substring("body", F.col("offset").cast("int") + 1, F.col("size").cast("int"))
-    return rows.select("seq", "track_id", "i", dts.alias("dts"), pts.alias("pts"), F.greatest(F.lit(0), dts - pts).alias("need"), data.alias("data"))
+    return rows.select("seq", "track_id", "i", dts.alias("dts"), pts.alias("pts"), F.greatest(F.lit(0), dts - pts).alias("need"), "data")
 
 
 def pictures(rows: DataFrame, avc: Column, shift: Column) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.framing import adts_frames, frame_ticks, id3_size, joined
 from tidemark.functions.scalars import unpack_stamp
-from tidemark.functions.tables import id3_stamp, map_entries, program_map, sync_offset
+from tidemark.functions.tables import id3_stamp, map_entries, program_map, synced
 from tidemark.operators.ordered import Log
 
 SIZE, SYNC = 188, 0x47
@@ -61,48 +63,58 @@ def pes(units: DataFrame) -> DataFrame:
     return rows.withColumn("pts", F.when(F.col("pts") - F.col("dts") > 60 * 90_000, F.col("dts")).otherwise(F.col("pts"))).drop("data")
 
 
-def section(payload: Column, starts: Column) -> Column:
-    """The table section in a packet's payload: behind its pointer field where the packet starts one."""
-    return F.when(starts, F.substring(payload, (number(payload, 0, 1) + 2).cast("int"), F.length(payload))).otherwise(payload)
+def tables_in(streams: DataFrame) -> DataFrame:
+    """(stream, epoch, seq, at, i, pid, section) of streams (stream, epoch, seq, body): packets that hold tables, and one with i = -1 for
+    each segment. at: where packets begin.
 
-
-def _heads(streams: DataFrame, pids: Column) -> DataFrame:
-    """Of streams (…, body, at: where packets begin), the packets whose pid is in the array pids: i, pid and section; other columns stay but body."""
-    n = F.floor((F.length("body") - F.col("at")) / SIZE).cast("int")
-    begin = lambda i: F.col("at") + i * SIZE
-    pid = lambda i: number(F.col("body"), begin(i) + 1, 2).bitwiseAND(F.lit(0x1FFF))
-    places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(pids, pid(i)))
-    rows = streams.where(n > 0).withColumn("i", F.explode(places)).withColumn("body", F.substring("body", (begin(F.col("i")) + 1).cast("int"), F.lit(SIZE))).where(number(F.col("body"), 0, 1) == SYNC)
-    flags, control = number(F.col("body"), 1, 1), F.shiftright(number(F.col("body"), 3, 1), 4).bitwiseAND(F.lit(3))
-    start = F.when(control == 1, 4).when(control == 3, number(F.col("body"), 4, 1) + 5)
-    payload = F.when(start < SIZE, F.substring("body", start.cast("int") + 1, F.lit(SIZE)))
-    own = number(F.col("body"), 1, 2).bitwiseAND(F.lit(0x1FFF))
-    kept = [c for c in streams.columns if c not in ("body", "at")]
-    return rows.select(*kept, "i", own.alias("pid"), section(payload, flags.bitwiseAND(F.lit(0x40)) > 0).alias("section")).where("section is not null")
-
-
-#: What a program map says, as versions has it.
-_MAP = ("video_pid", "video_codec", "audio_pid", "audio_codec", "id3_pid", "error")
+    Those are the packets of pid 0 and of pids whose first start holds no unit. One pass over the bodies, which stay in it.
+    """
+    names = ["stream", "epoch", "seq", "at", "i", "pid", "section"]
+    kept = streams.select("stream", "epoch", "seq")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "at int, i int, pid int, section binary"])
+
+    def rows_of(data: bytes):
+        at = max(0, synced(data))
+        yield at, -1, None, None
+        raw = np.frombuffer(data, np.uint8, (len(data) - at) // SIZE * SIZE, at).reshape(-1, SIZE)
+        pids = (raw[:, 1].astype(np.int64) & 0x1F) << 8 | raw[:, 2]
+        control = raw[:, 3] >> 4 & 3
+        start = np.where(control == 1, 4, np.where(control == 3, raw[:, 4].astype(np.int64) + 5, SIZE))
+        good = (raw[:, 0] == SYNC) & (start < SIZE)
+        starts = raw[:, 1] & 0x40 > 0
+        for pid in np.unique(pids[good & starts]).tolist():
+            own = np.flatnonzero(good & (pids == pid))
+            first = own[starts[own]][0]
+            if pid and bytes(raw[first, start[first] : start[first] + 3]) == b"\x00\x00\x01":
+                continue
+            for i in own.tolist():
+                # Behind its pointer field, where the packet starts a table.
+                yield at, i, pid, bytes(raw[i, start[i] + (1 + int(raw[i, start[i]]) if starts[i] else 0) :])
+
+    def run(batches):
+        for batch in batches:
+            found = [(r, *x) for r, data in enumerate(batch.column("body")) if data.is_valid for x in rows_of(data.as_py())]
+            if found:
+                place, *cells = zip(*found, strict=True)
+                at = pa.array(place, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *(pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True))], names)
+
+    return streams.select("stream", "epoch", "seq", "body").mapInArrow(run, schema)
 
 
 def versions(streams: DataFrame) -> DataFrame:
-    """(stream, seq, maps) of streams (stream, epoch, seq, body, at): the program maps that count in each segment, in order: an array of i (the
-    packet that holds the map, -1 for the one in force before the segment) and map. A map is a packet of the pid that the
+    """(stream, seq, at, maps) of streams (stream, epoch, seq, body): the program maps that count in each segment, in order: an array of i
+    (the packet that holds the map, -1 for the one in force before the segment) and map. A map is a packet of the pid that the
     latest association table names; both tables last over the segments of an epoch. Segments in which none counts are left out.
 
     Only table packets and a row a segment pass the windows.
     """
-    keys, order = ["stream", "epoch"], Log(("stream", "epoch"), ("seq", "i"))
-    named = _heads(streams, F.array(F.lit(0).cast("bigint"))).withColumn("names", number(F.col("section"), 10, 2).bitwiseAND(F.lit(0x1FFF)))
-    # A stream's program maps have few pids.
-    pids = named.groupBy(*keys).agg(F.collect_set("names").alias("pids"))
-    maps = _heads(streams.join(pids, keys), F.col("pids")).where("pid <> 0").drop("pids")
-    begins = streams.select(*keys, "seq", F.lit(-1).alias("i"))
-    rows = named.drop("section").unionByName(maps, allowMissingColumns=True).unionByName(begins, allowMissingColumns=True)
+    order = Log(("stream", "epoch"), ("seq", "i"))
+    rows = tables_in(streams).withColumn("names", F.when(F.col("pid") == 0, number(F.col("section"), 10, 2).bitwiseAND(F.lit(0x1FFF))))
     rows = rows.withColumn("in_force", F.last("names", ignorenulls=True).over(order.before)).where("i < 0 or (pid = in_force and pid > 0)")
     read = rows.withColumn("map", F.when(F.col("section").isNotNull(), program_map(map_entries(F.col("section")))))
     read = read.withColumn("map", F.last("map", ignorenulls=True).over(order.so_far)).where("map is not null")
-    return read.groupBy("stream", "seq").agg(F.array_sort(F.collect_list(F.struct("i", "map"))).alias("maps"))
+    return read.groupBy("stream", "seq").agg(F.first("at").alias("at"), F.array_sort(F.collect_list(F.struct("i", "map"))).alias("maps"))
 
 
 def demux(streams: DataFrame, stream: str | None = None, restart: str | None = None) -> DataFrame:
@@ -111,7 +123,7 @@ def demux(streams: DataFrame, stream: str | None = None, restart: str | None = N
     Each body is a segment. With `stream` (a column) the segments of a stream, in the order of seq (unique), share their tables: one without
     any is read by those before it, up to a segment where the column restart is true, which begins anew. The program map in force at a
     packet decides what it belongs to, so a stream may move to another pid at any packet. Bytes before the first packet in step are
-    skipped (see tables.sync_offset), and so are broken packets, other pids and what comes before the first map. Units end with their segment.
+    skipped (see tables.synced), and so are broken packets, other pids and what comes before the first map. Units end with their segment. streams is read twice: for tables, then for units.
     """
     key = F.col(stream) if stream else F.col("seq")
     bodies = streams.select(key.alias("stream"), "seq", "body")
@@ -122,7 +134,6 @@ def demux(streams: DataFrame, stream: str | None = None, restart: str | None = N
         bodies = bodies.join(flags.select("stream", "seq", F.sum("flag").over(own.so_far).alias("epoch")), ["stream", "seq"])
     else:
         bodies = bodies.withColumn("epoch", F.lit(0).cast("bigint"))
-    bodies = bodies.withColumn("at", F.greatest(F.lit(0), sync_offset("body")))
     told = bodies.join(versions(bodies), ["stream", "seq"]).select("stream", "seq", "maps", F.expr("substring(body, at + 1)").alias("body"))
     rows = packets(told, keep=["stream", "maps"])
     # A map counts from the packet behind it on.

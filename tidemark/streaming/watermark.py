@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.sources.shared import fresh
+
 
 def dedup(stream: DataFrame, key: str, segment: str, order: list[str], value: str, reset: str) -> DataFrame:
     """Rows whose value is above the mark of their key: the value of the last row kept in the last segment that kept any.
@@ -43,12 +43,6 @@ def dedup(stream: DataFrame, key: str, segment: str, order: list[str], value: st
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that is there now, into a table in the folder that executors share, and reads that."""
     spark: SparkSession = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        # Only where Spark runs in one process (tests), a local folder.
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{shared.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
