@@ -17,6 +17,8 @@ long text is hashed in one task, in time in proportion; an empty table gives an
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -126,8 +128,8 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-def _candidates(batches, most: int):
-    """Batches of (key, node, sketch), sorted by key, to (key, a, b): candidates (without a key) that connect the members of each
+def _candidates(batches, most: int, limit: int):
+    """Batches of (key, node, sketch), sorted by key, to (key, a, b): candidates within limit bits (without a key) that connect the members of each
     bucket, and the members (a and b its sketch) of those of more than `most`."""
     schema = pa.schema([("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
     held: pa.Table | None = None
@@ -136,7 +138,7 @@ def _candidates(batches, most: int):
     def compared(rows: pa.Table):
         keys = rows.column("key").to_numpy()
         words = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(keys), WORDS)
-        a, b = _links_of(keys, words, LIMIT)
+        a, b = _links_of(keys, words, limit)
         if len(a):
             nodes = rows.column("node").combine_chunks()
             yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), nodes.take(pa.array(a)), nodes.take(pa.array(b))], schema=schema)
@@ -170,14 +172,15 @@ def _candidates(batches, most: int):
         yield from compared(held)
 
 
-def candidates(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between the nodes of sets (node, bands, sketch) that connect all candidates; sets has a node once."""
-    n = sets.count() * BANDS
-    keyed = deal(sets.select("node", F.explode("bands").alias("key")), n, 4 * PER_PART, "key")
-    met = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node")
+def candidates(keyed: DataFrame, sets: DataFrame, rows: int, bucket: int = BUCKET, limit: int = LIMIT) -> DataFrame:
+    """Edges (a, b) that connect all nodes which share a key and differ in at most limit bits of their sketch.
+
+    keyed: (node, key), of which there are about so many rows; sets: (node, sketch), a node once."""
+    dealt = deal(keyed, rows, 4 * PER_PART, "key")
+    met = dealt.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node")
     met = met.join(sets.select("node", "sketch"), "node").select("key", "node", "sketch")
-    compare = lambda df, most: df.mapInArrow(lambda batches: _candidates(batches, most), "key long, a binary, b binary")
-    found = cut(compare(deal(met, n, 4 * PER_PART, "key").sortWithinPartitions("key", "node"), bucket), "odd-candidates")
+    compare = lambda df, most: df.mapInArrow(lambda batches: _candidates(batches, most, limit), "key long, a binary, b binary")
+    found = cut(compare(deal(met, rows, 4 * PER_PART, "key").sortWithinPartitions("key", "node"), bucket), "odd-candidates")
     large = found.where("key is not null")
     blocks = large.groupBy("key").agg(F.ceil(F.count("*") / bucket).alias("n"), F.count("*").alias("rows"))
     edges = found.where("key is null")
@@ -192,19 +195,29 @@ def candidates(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return out
 
 
-def _linked(nodes: list[bytes], labels: list[bytes], words: np.ndarray, minor: np.ndarray, texts: list[str | None], percent: int) -> list[tuple[bytes, bytes]]:
+@dataclass(frozen=True)
+class Rule:
+    """Which texts are linked: words in a shingle, per cent of a union that the intersection has at least, bits in which sketches of
+    linked texts may differ."""
+
+    shingle: int = SHINGLE
+    percent: int = PERCENT
+    limit: int = LIMIT
+
+
+def _linked(nodes: list[bytes], labels: list[bytes], words: np.ndarray, minor: np.ndarray, texts: list[str | None], rule: Rule) -> list[tuple[bytes, bytes]]:
     """Links, confirmed on full sets, that connect all linked members of different labels of which one is minor."""
     apart = np.zeros((len(nodes), len(nodes)), np.int16)
     for i in range(WORDS):
         apart += np.bitwise_count(words[:, None, i] ^ words[None, :, i])
-    near = (apart <= LIMIT) & (minor[:, None] | minor[None, :])
-    _, own = np.unique(np.array(labels, dtype=object).astype(str) if not labels else np.array([x.hex() for x in labels]), return_inverse=True)
+    near = (apart <= rule.limit) & (minor[:, None] | minor[None, :])
+    _, own = np.unique([x.hex() for x in labels], return_inverse=True)
     near &= own[:, None] != own[None, :]
     a, b = np.nonzero(np.triu(near, 1))
     if not len(a):
         return []
     needed = np.unique(np.concatenate([a, b]))
-    sets, edges = shingle_sets(pa.array([texts[i] for i in needed.tolist()], pa.string()))
+    sets, edges = shingle_sets(pa.array([texts[i] for i in needed.tolist()], pa.string()), rule.shingle)
     place = {i: k for k, i in enumerate(needed.tolist())}
     of = lambda i: sets[edges[place[i]] : edges[place[i] + 1]]
     parent = list(range(len(nodes)))
@@ -226,10 +239,10 @@ def _linked(nodes: list[bytes], labels: list[bytes], words: np.ndarray, minor: n
         if x == y:
             continue
         one, two = of(i), of(j)
-        if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        if 100 * min(len(one), len(two)) < rule.percent * max(len(one), len(two)):
             continue
         both = len(np.intersect1d(one, two, assume_unique=True))
-        if 100 * both >= percent * (len(one) + len(two) - both):
+        if 100 * both >= rule.percent * (len(one) + len(two) - both):
             parent[x] = y
             links.append((nodes[i], nodes[j]))
             joined += 1
@@ -238,13 +251,13 @@ def _linked(nodes: list[bytes], labels: list[bytes], words: np.ndarray, minor: n
     return links
 
 
-def _confirmed(batches, percent: int):
+def _confirmed(batches, rule: Rule):
     """Batches of (group, node, label, sketch, minor, text), sorted by group, to confirmed links (a, b)."""
     group, rows = None, []
 
     def done():
         nodes, labels, own, minor, texts = map(list, zip(*rows, strict=True))
-        links = _linked(nodes, labels, np.frombuffer(b"".join(own), np.uint64).reshape(len(nodes), WORDS), np.array(minor), texts, percent)
+        links = _linked(nodes, labels, np.frombuffer(b"".join(own), np.uint64).reshape(len(nodes), WORDS), np.array(minor), texts, rule)
         a, b = zip(*links, strict=True) if links else ([], [])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
@@ -259,9 +272,9 @@ def _confirmed(batches, percent: int):
         yield done()
 
 
-def links(docs: DataFrame, sets: DataFrame, text: str = "text", bucket: int = BUCKET, size: int = BUCKET_BYTES, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b), confirmed on full sets, that connect all linked nodes of sets (node, n, text_key, bands, sketch)."""
-    tried = candidates(sets.where("sketch is not null").select("node", "bands", "sketch"), bucket)
+def confirmed(docs: DataFrame, sets: DataFrame, tried: DataFrame, text: str = "text", rule: Rule = Rule(), bucket: int = BUCKET, size: int = BUCKET_BYTES) -> DataFrame:
+    """Edges (a, b), confirmed on full sets of shingles, that connect all linked nodes of sets (node, n, text_key, sketch) which tried, edges
+    (a, b), brings together. n: how many rows of docs a node has at most; text_key: of one of its texts (see common.text_key)."""
     circles = components(tried).withColumnRenamed("root", "circle")
     members = cut(circles.join(sets.select("node", "n", "text_key", "sketch"), "node"), "odd-members")
     # The text of each member, once, under its node.
@@ -278,7 +291,7 @@ def links(docs: DataFrame, sets: DataFrame, text: str = "text", bucket: int = BU
     def confirm(grouped: DataFrame) -> DataFrame:
         """grouped: group, node, label, sketch, minor."""
         whole = grouped.join(texts, "node").select("group", "node", "label", "sketch", "minor", "text")
-        return whole.repartition("group").sortWithinPartitions("group", "node").mapInArrow(lambda batches: _confirmed(batches, percent), "a binary, b binary")
+        return whole.repartition("group").sortWithinPartitions("group", "node").mapInArrow(lambda batches: _confirmed(batches, rule), "a binary, b binary")
 
     alone = members.join(F.broadcast(large) if small(large, BROADCAST_TEXTS) else large, "circle", "left_anti")
     out = [cut(confirm(alone.select(F.xxhash64("circle", F.lit(0)).alias("group"), "node", F.col("node").alias("label"), "sketch", F.lit(True).alias("minor"))), "odd-links")]
@@ -311,6 +324,13 @@ def links(docs: DataFrame, sets: DataFrame, text: str = "text", bucket: int = BU
     return result
 
 
+def links(docs: DataFrame, sets: DataFrame, text: str = "text", bucket: int = BUCKET, size: int = BUCKET_BYTES) -> DataFrame:
+    """Edges (a, b), confirmed on full sets, that connect all linked nodes of sets (node, n, text_key, bands, sketch)."""
+    banded = sets.where("sketch is not null")
+    tried = candidates(banded.select("node", F.explode("bands").alias("key")), banded, banded.count() * BANDS, bucket)
+    return confirmed(docs, sets, tried, text, bucket=bucket, size=size)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of docs: the least id reachable over links."""
     rows = docs.select(quoted(id_col).alias("__id"), quoted(text).alias("text"), text_key(quoted(text)).alias("text_key"))

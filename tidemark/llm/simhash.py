@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_HASH, SPACED, Words, cut, deal, extend, forget, grams, join_by_copies, mix, quoted, small
+from tidemark.llm.common import NO_HASH, SPACED, Words, cut, deal, extend, forget, grams, join_by_copies, mix, quoted, small, text_key
 from tidemark.llm.components import components
 
 SEED, BUCKET = 42, 1024
@@ -157,9 +157,9 @@ def _segment(names: list[str], low: int, size: int) -> Column:
     return own.bitwiseAND(F.lit((1 << size) - 1))
 
 
-def variants(fps: DataFrame, setting: Setting) -> DataFrame:
-    """fps exploded to (key, *names): one row for each segment with one of its bits blanked."""
-    names, total = setting.names, 64 * setting.index
+def variants(fps: DataFrame, setting: Setting, keep: list[str] | None = None) -> DataFrame:
+    """fps exploded to (key, *names), or its columns in keep for the names: one row for each segment with one of its bits blanked."""
+    names, total = keep or setting.names, 64 * setting.index
     edges = [total * i // setting.segments for i in range(setting.segments + 1)]
     split = fps.select(*names, *(_segment(setting.indexed, a, b - a).alias(f"s{i}") for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))), F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("v"))
     own, low = F.col(f"s{setting.segments - 1}"), F.lit(edges[-2])
@@ -343,14 +343,17 @@ def links(fps: DataFrame, setting: Setting = CLOSE, bucket: int = BUCKET, rows:
     return pairs.unionByName(crowded.mapInArrow(lambda batches, bits=setting.bits, limit=setting.limit: _stars(batches, bits, limit), "a long, b long"))
 
 
-def grouped(docs: DataFrame, pick: Column, text: str = "text", setting: Setting = CLOSE, keep: list[str] | None = None, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, pick: Column, text: str = "text", setting: Setting = CLOSE, keep: list[str] | None = None, bucket: int = BUCKET, also: list[str] = (), connect=None) -> tuple[DataFrame, DataFrame]:
     """(docs, or its columns in keep, with the fingerprint; a row for each distinct fingerprint with n, its number of rows,
-    and least: the smallest pick, nulls left out, of all rows linked to it). pick: a column of docs that keep names."""
+    and least: the smallest pick, nulls left out, of all rows linked to it). pick: a column of docs that keep names.
+
+    connect: what makes edges of distinct fingerprints instead of links; it sees a node of 16 bytes, and the least of each column in also."""
     names = setting.names
     base = cut(fingerprints(docs, text, setting, keep), "simhash")
-    more = [F.first(x).alias(x) for x in setting.columns if x not in names]
-    fps = cut(base.groupBy(*names).agg(F.min(pick).alias("least"), F.count("*").alias("n"), *more).withColumn("node", node_of(names)), "simhash-fps")
-    found = cut(components(links(fps, setting, bucket)), "simhash-components")
+    more = [F.first(x).alias(x) for x in setting.columns if x not in names] + [F.min(x).alias(x) for x in also]
+    node = node_of(names) if connect is None else F.unhex(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in names)))
+    fps = cut(base.groupBy(*names).agg(F.min(pick).alias("least"), F.count("*").alias("n"), *more).withColumn("node", node), "simhash-fps")
+    found = cut(components(links(fps, setting, bucket) if connect is None else connect(fps)), "simhash-components")
     of_root = found.join(fps.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("of_all"))
     linked = found.join(of_root, "root").select("node", "of_all")
     # A linked fingerprint has a row in linked, whose least may be null only if all are.
@@ -365,16 +368,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return join_by_copies(base, by_fp.drop("linked"), setting.names, "n").select(quoted(id_col), *setting.names, F.col("least").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", order: list[Column] = (), setting: Setting = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+def drop_near_copies(docs: DataFrame, text: str = "text", order: list[Column] = (), setting: Setting = SIMILAR, bucket: int = BUCKET, connect=None) -> DataFrame:
     """One row of docs of each group of linked texts: the first by `order` (columns of docs), of rows alike in that the least by
     a hash of all columns. Rows equal in all columns are told apart by nothing, and one of them stays.
 
     Rows are known by a 128-bit hash of their columns (none of which may be a map), so texts are read again instead of written.
+    connect: see grouped; it also sees __text_key, of a text of each fingerprint.
     """
     columns = list(map(quoted, docs.columns))
     own = [F.xxhash64(*columns).alias("__a"), F.xxhash64(F.lit(7), *columns).alias("__b")]
-    rows = docs.select(quoted(text).alias("__text"), *own, F.struct(*order, *own).alias("__pick"))
-    base, by_fp = grouped(rows, F.col("__pick"), "__text", setting, ["__a", "__b", "__pick"], bucket)
+    also = [] if connect is None else ["__text_key"]
+    rows = docs.select(quoted(text).alias("__text"), *own, F.struct(*order, *own).alias("__pick"), *(text_key(quoted(text)).alias(x) for x in also))
+    base, by_fp = grouped(rows, F.col("__pick"), "__text", setting, ["__a", "__b", "__pick", *also], bucket, also, connect)
     touched = by_fp.where("n > 1 or linked").select(*setting.names, "n", F.col("least.__a").alias("__kept_a"), F.col("least.__b").alias("__kept_b"))
     met = join_by_copies(base, touched, setting.names, "n").select("__a", "__b", ((F.col("__a") == F.col("__kept_a")) & (F.col("__b") == F.col("__kept_b"))).alias("kept"))
     met = cut(met.groupBy("__a", "__b").agg(F.first("kept").alias("kept"), F.count("*").alias("copies")), "simhash-met")
