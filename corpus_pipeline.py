@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, mixing, pii, simhash, toxicity
+from tidemark.llm import decontam, mixing, nearcopies, pii, toxicity
 from tidemark.llm.common import cut
 from tidemark.llm.queries import table, toxicity_model
 
@@ -19,10 +19,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five words a shingle, a similarity of about 0.8 or more): the least id (none comes
+    """One row of each group of near copies (five words a shingle, a similarity of 0.8 or more): the least id (none comes
     last), of rows that share it the least by hash of their columns."""
     order = [F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text", "lang", "source", "n_chars").alias("hash")]
-    return simhash.drop_near_copies(docs.select(*COLUMNS), order=order, setting=simhash.SIMILAR)
+    return nearcopies.drop_near_copies(docs.select(*COLUMNS), order=order)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
