@@ -143,6 +143,27 @@ def test_demux_follows_the_tables(spark):
     assert sorted(map(tuple, packets.malformed(spark.createDataFrame([(0, bytearray(b"G" + bytes(187) + bytes(188) + b"x"))], "seq int, body binary")).collect())) == [(0, 2, 1)]
 
 
+def test_counters_begin_anew_behind_a_break(spark):
+    epochs = spark.createDataFrame([(1, 0, 0), (1, 1, 1)], "k int, part int, epoch int")
+    rows = muxing.mux(av(spark), Log(("k",), ("o",)), "part", epochs=epochs).orderBy("part", "place").collect()
+    assert [bytes(r.packets[0])[3] & 15 for r in rows if r.pid == 0] == [0, 0] and [(r.part, bytes(r.packets[0])[3] & 15) for r in rows if r.pid == 257] == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_strict_readers_end_the_job(spark):
+    from tidemark.sources import playlists
+
+    lists = spark.createDataFrame([("u", "#EXTM3U\n#EXT-X-STREAM-INF:CODECS=x\nv.m3u8")], "uri string, text string")
+    assert playlists.variants(lists).first().bitrate is None
+    told = program(4096, 256, 257).replace(b"\x0f\xe1\x01", b"\x87\xe1\x01")
+    streams = spark.createDataFrame([(0, bytearray(told + unit(256, b"a" * 500)))], "seq int, body binary")
+    assert packets.demux(streams).count() == 1
+    files = spark.createDataFrame([(0, bytearray(b"\x00\x00\x00\x0amoof"))], "seq int, body binary")
+    assert boxes.fragments(files, ["seq"]).count() == 0
+    for broken, said in ((playlists.variants(lists, strict=True), "BANDWIDTH"), (packets.demux(streams, strict=True), "unsupported"), (boxes.fragments(files, ["seq"], strict=True), "says 10 bytes")):
+        with pytest.raises(Exception, match=said):
+            broken.collect()
+
+
 def packet(pid, payload, start=True, sync=0x47):
     free = 184 - len(payload)
     field = b"" if free == 0 else bytes([free - 1]) + (b"\x00" + b"\xff" * (free - 2) if free > 1 else b"")

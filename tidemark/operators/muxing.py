@@ -29,12 +29,12 @@ def _packet(pid: Column, first: Column, cc: Column, part: Column, flags: Column,
     return F.concat(head, stuffed, part)
 
 
-def packetize(units: DataFrame, log: Log) -> DataFrame:
+def packetize(units: DataFrame, log: Log, epoch: str | None = None) -> DataFrame:
     """units with `packets` (array of 188-byte packets) and `body` (the packets end to end), in place of `data`.
 
     units has pid, data, pcr (a clock for the first packet, or null), key and break (flags of the first packet), and the
     columns of log. Counters run over the units of a pid in the order of log; with a log whose large keys are cut (see prefix.spread)
-    no task has a whole one of these. Empty or null data gives one packet with stuffing only.
+    no task has a whole one of these. epoch: a column at each new value of which they begin anew (what stands behind a break). Empty or null data gives one packet with stuffing only.
     """
     data = F.coalesce("data", F.lit(b""))
     flags = F.when(F.coalesce("break", F.lit(False)), DISCONTINUITY).otherwise(0) + F.when(F.coalesce("key", F.lit(False)), RANDOM_ACCESS).otherwise(0) + F.when(F.col("pcr").isNotNull(), CLOCK).otherwise(0)
@@ -43,7 +43,7 @@ def packetize(units: DataFrame, log: Log) -> DataFrame:
     head = F.lit(ROOM) - F.when(F.col("__flags") == 0, 0).otherwise(2 + F.length("__clock"))
     rows = rows.withColumn("__head", head)
     rows = rows.withColumn("__n", (1 + F.ceil(F.greatest(F.lit(0), F.length("data") - F.col("__head")) / ROOM)).cast("int"))
-    rows = scanned(rows, log.within("pid"), {"__cc": sum_of(F.col("__n").cast("bigint"), before=True)}).withColumn("__cc", F.coalesce("__cc", F.lit(0)))
+    rows = scanned(rows, log.within("pid", *([epoch] if epoch else [])), {"__cc": sum_of(F.col("__n").cast("bigint"), before=True)}).withColumn("__cc", F.coalesce("__cc", F.lit(0)))
 
     def one(j: Column) -> Column:
         first = j == 0
@@ -71,14 +71,14 @@ PAT_PID, PMT_PID, PRIVATE_TYPE = 0, 0x1000, 0x06
 VIDEO_ID, AUDIO_ID, PRIVATE_ID, TEXT_FORMAT = 0xE0, 0xC0, 0xBD, "VTT "
 
 
-def mux(samples: DataFrame, log: Log, part: str, versions: DataFrame | None = None, clock_at_keys: bool = False) -> DataFrame:
+def mux(samples: DataFrame, log: Log, part: str, versions: DataFrame | None = None, clock_at_keys: bool = False, epochs: DataFrame | None = None) -> DataFrame:
     """Samples to transport packets: (keys, part, place, pid, packets, body), bodies to be joined in that order.
 
     samples: the keys of log, part (a chunk of the output, in the order of log), kind (video, audio or text), rank (0 for video, then
     one number for each other stream), pid, type, language, pts, dts, data, is_key, and the order of log within a part.
     Every part begins with both tables; then come the units by decoding time (other streams: by pts), then rank. The first packet of
     a picture has the clock (clock_at_keys: of key pictures only). Audio streams have ids from 0xC0 on, text ones 0xBD and a
-    registration. versions: (keys, part, version, fresh): the tables' version, 0 without a row; fresh marks the first picture's break.
+    registration. versions: (keys, part, version, fresh): the tables' version, 0 without a row; fresh marks the first picture's break. epochs: (keys, part, epoch): counters begin anew with each epoch of a key.
     """
     keys = [*log.keys, part]
     at = F.when(F.col("kind") == "video", F.col("dts")).otherwise(F.col("pts"))
@@ -110,7 +110,11 @@ def mux(samples: DataFrame, log: Log, part: str, versions: DataFrame | None = No
     units = units.join(tables.select(*keys, "fresh"), keys) if versions is not None else units.withColumn("fresh", F.lit(False))
     units = units.withColumn("break", F.col("__first") & F.coalesce("fresh", F.lit(False)))
     units = units.select(*keys, "place", "pid", F.col("__unit").alias("data"), "pcr", "key", "break")
-    return packetize(heads.unionByName(units), Log(log.keys, (part, "place"))).select(*keys, "place", "pid", "packets", "body")
+    rows = heads.unionByName(units)
+    if epochs is not None:
+        rows = rows.join(epochs.select(*keys, F.col("epoch").alias("__epoch")), keys, "left")
+    made = packetize(rows, Log(log.keys, (part, "place")), None if epochs is None else "__epoch")
+    return made.select(*keys, "place", "pid", "packets", "body")
 
 
 def streams_of(muxed: DataFrame, keys: list[str]) -> DataFrame:

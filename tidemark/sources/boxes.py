@@ -20,10 +20,10 @@ HOLDERS = dict.fromkeys((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"mvex", b
 ENTRIES = "moov.trak.mdia.minf.stbl.stsd"
 
 
-def walked(data: bytes) -> list[tuple[str, int, int, int, int]]:
+def walked(data: bytes, strict: bool = False) -> list[tuple[str, int, int, int, int]]:
     """Every box of a body: its dotted path, where its parent, itself and its payload begin, and where it ends.
 
-    Size 0 reaches to the end, size 1 has 64 bits; a box that is too short or overruns ends the walk there.
+    Size 0 reaches to the end, size 1 has 64 bits; a box that is too short or overruns ends the walk there, or with strict is an error.
     """
     found = []
 
@@ -34,6 +34,8 @@ def walked(data: bytes) -> list[tuple[str, int, int, int, int]]:
                 size, head = int.from_bytes(data[low + 8 : low + 16], "big"), 16
             stop = high if size == 0 else low + size
             if stop < low + head or stop > high:
+                if strict:
+                    raise ValueError(f"a box at {low} says {size} bytes, {high - low} are left")
                 return
             name = path + kind.decode("latin-1")
             found.append((name, parent, low, low + head, stop))
@@ -103,13 +105,13 @@ def _signed(x: int | np.ndarray) -> int | np.ndarray:
     return x - ((x >> 31) << 32)
 
 
-def fragment_rows(data: bytes) -> list[tuple[int, np.ndarray]]:
+def fragment_rows(data: bytes, strict: bool = False) -> list[tuple[int, np.ndarray]]:
     """(track, rows of dts, cts, size, offset) of each track fragment of a body, from one walk.
 
     A sample without its own length or duration has the fragment's default, else 0. A run that says more samples than it holds ends with
     the last whole one. Runs of a fragment follow each other in time; composition offsets are signed; offsets count from the start of the body.
     """
-    found, children = walked(data), {}
+    found, children = walked(data, strict), {}
     for path, parent, at, payload, stop in found:
         children.setdefault((path, parent), []).append((at, payload, stop))
     out = []
@@ -146,11 +148,11 @@ def fragment_rows(data: bytes) -> list[tuple[int, np.ndarray]]:
 BATCH = 4 << 20
 
 
-def fragments(files: DataFrame, keep: list[str], track: str | None = None, cut: bool = False) -> DataFrame:
+def fragments(files: DataFrame, keep: list[str], track: str | None = None, cut: bool = False, strict: bool = False) -> DataFrame:
     """(keep, track_id, i, dts, cts, size, offset) of each sample of the fragments of files (keep, body), in the track's own ticks.
 
     track: a column with the only track to read. cut: adds `data`, the sample itself; one that its body doesn't hold whole is left out.
-    A body is walked once, in the task that reads it, and no row of a sample carries it.
+    strict: such a sample, or a broken box, ends the job. A body is walked once, in the task that reads it, and no row of a sample carries it.
     """
     kept = files.select(*keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "`track_id` long, `i` int, dts long, cts long, size long, offset long", *(["data binary"] if cut else [])])
@@ -171,12 +173,14 @@ def fragments(files: DataFrame, keep: list[str], track: str | None = None, cut:
 
             for r in range(batch.num_rows):
                 data = bodies[r].as_py()
-                for of, cells in fragment_rows(data) if data else ():
+                for of, cells in fragment_rows(data, strict) if data else ():
                     if only and only[r] != of:
                         continue
                     places, parts = np.arange(len(cells)), []
                     if cut:
                         whole = (cells[:, 3] >= 0) & (cells[:, 3] + cells[:, 2] <= len(data))
+                        if strict and not whole.all():
+                            raise ValueError(f"a sample of track {of} reaches past its body")
                         places, cells = places[whole], cells[whole]
                         parts = [data[a : a + n] for a, n in zip(cells[:, 3].tolist(), cells[:, 2].tolist(), strict=True)]
                     rows.append((r, of, cells, places, parts))
@@ -202,14 +206,14 @@ def first_track(tracks_: DataFrame, kind: str, on: list[str]) -> DataFrame:
     return tracks_.where(F.col("kind") == kind).groupBy(*on).agg(top.alias("t")).select(*on, "t.track_id", "t.timescale")
 
 
-def payloads(files: DataFrame, track: DataFrame, on: list[str]) -> DataFrame:
+def payloads(files: DataFrame, track: DataFrame, on: list[str], strict: bool = False) -> DataFrame:
     """(seq, track_id, i, dts, pts, need, data) of the samples of one track (see first_track), cut from files and in 90 kHz ticks.
 
     need: by how much pts falls short of dts, 0 at least; a stream's shift is the greatest so far (see ordered.running_max).
-    on: what files and track share. A sample that its file doesn't hold whole is left out.
+    on: what files and track share. A sample that its file doesn't hold whole is left out; see fragments for strict.
     """
     named = files.select("seq", *(c for c in on if c != "seq"), "body").join(track, on).withColumn("__only", F.col("track_id"))
-    rows = fragments(named, ["seq", "timescale"], "__only", cut=True)
+    rows = fragments(named, ["seq", "timescale"], "__only", cut=True, strict=strict)
     scaled = lambda x: F.floor(x * 90_000 / F.col("timescale") + 0.5).cast("bigint")
     dts, pts = scaled(F.col("dts")), scaled(F.col("dts") + F.col("cts"))
     return rows.select("seq", "track_id", "i", dts.alias("dts"), pts.alias("pts"), F.greatest(F.lit(0), dts - pts).alias("need"), "data")

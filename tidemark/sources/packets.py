@@ -117,13 +117,14 @@ def versions(streams: DataFrame) -> DataFrame:
     return read.groupBy("stream", "seq").agg(F.first("at").alias("at"), F.array_sort(F.collect_list(F.struct("i", "map"))).alias("maps"))
 
 
-def demux(streams: DataFrame, stream: str | None = None, restart: str | None = None) -> DataFrame:
+def demux(streams: DataFrame, stream: str | None = None, restart: str | None = None, strict: bool = False) -> DataFrame:
     """(seq, kind, codec, pid, first, pts, dts, payload, n_packets) of the elementary units of streams (seq, body).
 
     Each body is a segment. With `stream` (a column) the segments of a stream, in the order of seq (unique), share their tables: one without
     any is read by those before it, up to a segment where the column restart is true, which begins anew. The program map in force at a
     packet decides what it belongs to, so a stream may move to another pid at any packet. Bytes before the first packet in step are
-    skipped (see tables.synced), and so are broken packets, other pids and what comes before the first map. Units end with their segment. streams is read twice: for tables, then for units.
+    skipped (see tables.synced), and so are broken packets, other pids and what comes before the first map. Units end with their segment. streams is read twice: for tables, then for units. A map with a
+    stream that cannot be played counts without that stream, or with strict ends the job.
     """
     key = F.col(stream) if stream else F.col("seq")
     bodies = streams.select(key.alias("stream"), "seq", "body")
@@ -140,6 +141,8 @@ def demux(streams: DataFrame, stream: str | None = None, restart: str | None = N
     last = F.element_at(F.filter("maps", lambda m: m["i"] < F.col("i")), -1)["map"]
     is_map = F.exists("maps", lambda m: m["i"] == F.col("i"))
     rows = rows.withColumn("m", F.when(~is_map & (F.get("maps", F.lit(0))["i"] < F.col("i")), last)).where("m is not null").drop("maps")
+    if strict:
+        rows = rows.where(F.coalesce(F.when(F.col("m.error").isNotNull(), F.raise_error(F.col("m.error")).cast("boolean")), F.lit(True)))
     kind = F.when(F.col("pid") == F.col("m.video_pid"), "video").when(F.col("pid") == F.col("m.audio_pid"), "audio").when(F.col("pid") == F.col("m.id3_pid"), "id3")
     codec = F.when(kind == "video", F.col("m.video_codec")).when(kind == "audio", F.col("m.audio_codec"))
     named = rows.withColumns({"kind": kind, "codec": codec}).where("kind is not null").drop("m")

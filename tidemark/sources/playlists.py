@@ -117,15 +117,19 @@ def media_playlists(playlists: DataFrame) -> DataFrame:
     return out.fillna(none)
 
 
-def variants(playlists: DataFrame) -> DataFrame:
-    """One row for each variant of master playlists; the last STREAM-INF before a uri counts. A variant without a bandwidth has a null bitrate."""
+def variants(playlists: DataFrame, strict: bool = False) -> DataFrame:
+    """One row for each variant of master playlists; the last STREAM-INF before a uri counts. A variant without a bandwidth has a null
+    bitrate, or with strict ends the job."""
     rows = _uris(playlists)
     of_run = Window.partitionBy("uri", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("a", attributes(F.last(tag("EXT-X-STREAM-INF"), ignorenulls=True).over(of_run))).where(F.col("is_uri") & F.col("a").isNotNull())
     a = F.col("a")
+    bitrate = leading_int(_attribute(a, "BANDWIDTH"))
+    if strict:
+        bitrate = F.coalesce(bitrate, F.raise_error(F.concat(F.lit("a variant without BANDWIDTH in "), F.col("uri"))).cast("bigint"))
     size = lambda i: F.nullif(F.regexp_extract(_attribute(a, "RESOLUTION"), r"^([0-9]+)x([0-9]+)", i), F.lit("")).try_cast("int")
     return rows.select(
-        "uri", (F.row_number().over(LINES.window) - 1).alias("pos"), resolve_url("uri", "line").alias("variant_uri"), leading_int(_attribute(a, "BANDWIDTH")).alias("bitrate"),
+        "uri", (F.row_number().over(LINES.window) - 1).alias("pos"), resolve_url("uri", "line").alias("variant_uri"), bitrate.alias("bitrate"),
         leading_int(_attribute(a, "AVERAGE-BANDWIDTH")).alias("average_bitrate"), _attribute(a, "CODECS").alias("codecs"), size(1).alias("width"), size(2).alias("height"),
         _attribute(a, "FRAME-RATE").try_cast("double").alias("frame_rate"), _attribute(a, "AUDIO").alias("audio_group"), _attribute(a, "SUBTITLES").alias("subtitle_group"), _attribute(a, "CLOSED-CAPTIONS").alias("caption_group"), _attribute(a, "NAME").alias("name"),
     )
