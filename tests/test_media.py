@@ -81,6 +81,14 @@ def test_tracks_and_broken_boxes(spark):
     assert boxes.samples(frame).count() == 0
 
 
+def test_urls_are_resolved_alike_with_and_without_python(spark):
+    bases = ["http://h/p/a.m3u8", "https://h:8/p/q/a.m3u8?x=1#y", "http://h", "http://h/", "http://h/a/../b/c", "http://h//a/b", "HTTP://H/x", "file:///a/b", "u", "", "http://h/a;b/c", "http://h/.a/b", "http://h/a/b.c/", "http://h?x", None]
+    parts = ["s.ts", "a/b.ts", "/s/t.ts", "//o/x", "http://o/z.ts", "https://o", "../x.ts", "./x", "a/../b", "x?y", "x#y", "", "a:b", ".x", "a//b", "/", "a b", "/a/./b", "http://o/a?b", "~%41.ts", "a;b", None]
+    frame = spark.createDataFrame([(a, b) for a in bases for b in parts], "a string, b string")
+    rows = frame.select("a", "b", fetch.resolved(F.col("a"), F.col("b")).alias("x"), fetch.resolve_url("a", "b").alias("y")).collect()
+    assert [(r.a, r.b, r.x) for r in rows if r.x != r.y] == [] and sum(r.x is not None for r in rows) > 200
+
+
 def test_fetch_retries_and_ranges(spark):
     seen = []
 

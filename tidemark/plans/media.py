@@ -60,7 +60,7 @@ def program_tables(spark, sf_dir):
 @query("""select page_id, case when regexp_matches(url, '^(?i:https?)://') then lower(split_part(url, '://', 1)) || regexp_extract(url, '^[A-Za-z]+(://[^/?#]*)', 1) else '' end || '/seg/' || page_id || '.ts' as segment_url from pages where url is not null""")
 def absolute_url(spark, sf_dir):
     relative = F.concat(F.lit("/seg/"), F.col("page_id").cast("string"), F.lit(".ts"))
-    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", fetch.resolve_url("url", relative).alias("segment_url"))
+    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", fetch.resolved(F.col("url"), relative).alias("segment_url"))
 
 
 def _box(name: str, *parts):

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -31,6 +31,27 @@ def resolve_url(base: pd.Series, relative: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(base, relative, strict=True)], dtype="object")
 
 
+_NAME = r"[A-Za-z0-9_~%-][A-Za-z0-9_.~%-]*"
+#: A base as lists have it: root (scheme and host), then the path up to its last slash. What needs more care goes to resolve_url.
+_BASE = rf"^(https?://[^/?#;]+)(?:((?:/{_NAME})*)(/[^/?#;]*))?(?:[?#][^;]*)?$"
+
+
+def base_of(base: Column) -> Column:
+    """struct<root, folder> of a plain base; root is empty for others."""
+    return F.struct(F.coalesce(F.regexp_extract(base, _BASE, 1), F.lit("")).alias("root"), F.regexp_extract(base, _BASE, 2).alias("folder"))
+
+
+def resolved(base: Column, relative: Column, parts: Column | None = None) -> Column:
+    """relative as seen from base, like resolve_url: names, paths without dots and whole urls by expressions, only the rest in Python.
+
+    parts: base_of(base), where it is there already."""
+    parts = base_of(base) if parts is None else parts
+    quick = F.when(relative.rlike(rf"^{_NAME}(/{_NAME})*$"), F.concat(parts["root"], parts["folder"], F.lit("/"), relative)).when(relative.rlike(rf"^(/{_NAME})+$"), F.concat(parts["root"], relative))
+    quick = F.when(parts["root"] != "", quick.when(relative.rlike(r"^https?://[^/?#;\s]+(/[^?#;\s]*)?$"), relative))
+    left = quick.isNull() & relative.isNotNull()
+    return F.coalesce(quick, resolve_url(F.when(left, base), F.when(left, relative)))
+
+
 def fetch(requests: DataFrame, retries: int = 4, base_ms: float = 200, most_ms: float = 5000, jitter: float = 0.3, timeout_s: float = 20, headers: dict[str, str] | None = None) -> DataFrame:
     """The columns of SCHEMA for each row of requests (uri, offset, length; null offset: the whole body).
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import attributes, hex_value, leading_float, leading_int
 from tidemark.operators.ordered import Log, carry, chained_offset
-from tidemark.sources.fetch import resolve_url
+from tidemark.sources.fetch import base_of, resolved
 
 LINES = Log(("uri",), ("pos",))
 
 
-def lines(playlists: DataFrame) -> DataFrame:
-    """(uri, pos, line) of each line of playlists (uri, text), white space trimmed."""
-    split = playlists.select("uri", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "line"))
+def lines(playlists: DataFrame, *keep: str) -> DataFrame:
+    """(uri, pos, line) of each line of playlists (uri, text), white space trimmed, and its columns in keep."""
+    split = playlists.select("uri", *keep, F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "line"))
     return split.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
 
 
@@ -32,8 +32,9 @@ def _attribute(attrs: Column, name: str) -> Column:
 
 
 def _uris(playlists: DataFrame) -> DataFrame:
-    """lines of playlists that begin with the magic, with is_uri and `run`, the number of uri lines before each line."""
-    rows = lines(playlists.where(F.startswith("text", F.lit("#EXTM3U"))))
+    """lines of playlists that begin with the magic, with is_uri, `run`, the number of uri lines before each line, and `base`, what
+    relative uris of the list start from (read once a list)."""
+    rows = lines(playlists.where(F.startswith("text", F.lit("#EXTM3U"))).withColumn("base", base_of(F.col("uri"))), "base")
     marked = rows.withColumn("is_uri", (F.col("line") != "") & ~F.startswith("line", F.lit("#")))
     return marked.withColumn("run", F.coalesce(F.sum(F.col("is_uri").cast("int")).over(LINES.before), F.lit(0)))
 
@@ -67,9 +68,9 @@ def media_segments(playlists: DataFrame) -> DataFrame:
     rows = rows.withColumn("is_segment", F.col("is_uri") & F.max(F.startswith("line", F.lit("#EXTINF:"))).over(in_run))
     rows = rows.withColumn("run", F.coalesce(F.sum(F.col("is_segment").cast("int")).over(LINES.before), F.lit(0)))
     maps = attributes(tag("EXT-X-MAP"))
-    rows = carry(rows, LINES, tag("EXT-X-KEY"), "key_text")
+    rows = carry(rows, LINES, key_of(tag("EXT-X-KEY")), "own_key")
     rows = carry(rows, LINES, F.when(_attribute(maps, "URI").isNotNull(), F.struct(_attribute(maps, "URI").alias("uri"), _attribute(maps, "BYTERANGE").alias("range"))), "init")
-    rows = carry(rows, LINES, leading_int(tag("EXT-X-MEDIA-SEQUENCE")), "base")
+    rows = carry(rows, LINES, leading_int(tag("EXT-X-MEDIA-SEQUENCE")), "first_sequence")
     inf, date = tag("EXTINF"), F.try_to_timestamp(tag("EXT-X-PROGRAM-DATE-TIME"))
     length, offset = byte_range(tag("EXT-X-BYTERANGE"))
     ranged = F.when(length.isNotNull(), F.struct(length.alias("length"), offset.alias("offset")))
@@ -79,19 +80,18 @@ def media_segments(playlists: DataFrame) -> DataFrame:
         "ranged": F.coalesce(last(F.when(offset.isNotNull(), ranged)), last(ranged)), "discontinuity": F.max(F.col("line") == "#EXT-X-DISCONTINUITY").over(in_run),
     })
     segments = rows.where("is_segment").withColumns({
-        "segment_uri": resolve_url("uri", "line"), "duration": F.coalesce(leading_float(F.substring_index("inf", ",", 1)), F.lit(0.0)),
+        "segment_uri": resolved(F.col("uri"), F.col("line"), F.col("base")), "duration": F.coalesce(leading_float(F.substring_index("inf", ",", 1)), F.lit(0.0)),
         "length": F.col("ranged.length"), "given": F.col("ranged.offset"),
     })
     segments = chained_offset(segments, LINES, F.col("given"), "length", "byte_offset", resource="segment_uri")
     index = F.row_number().over(LINES.window) - 1
     init_length, init_offset = byte_range(F.col("init.range"))
     # Python functions can't stand inside conditions, so uris are resolved as columns of their own; null stays null.
-    segments = segments.withColumns({"own_key": key_of(F.col("key_text")), "init_text": F.col("init.uri")}).withColumn("key_text", F.col("own_key.uri"))
-    segments = segments.withColumns({"key_uri": resolve_url("uri", "key_text"), "init_uri": resolve_url("uri", "init_text")})
+    segments = segments.withColumns({"key_uri": resolved(F.col("uri"), F.col("own_key.uri"), F.col("base")), "init_uri": resolved(F.col("uri"), F.col("init.uri"), F.col("base"))})
     key = F.col("own_key")
     whole = init_length.isNotNull() & init_offset.isNotNull()
     return segments.select(
-        "uri", index.alias("index"), (F.coalesce("base", F.lit(0)) + index).cast("bigint").alias("media_sequence"), "segment_uri", "duration",
+        "uri", index.alias("index"), (F.coalesce("first_sequence", F.lit(0)) + index).cast("bigint").alias("media_sequence"), "segment_uri", "duration",
         F.coalesce(F.sum("duration").over(LINES.before), F.lit(0.0)).alias("start_time_sec"), "title",
         F.when(F.col("byte_offset").isNotNull(), F.col("length")).alias("byte_length"), F.when(F.col("length").isNotNull(), F.col("byte_offset")).alias("byte_offset"),
         "discontinuity", F.when(key.isNotNull(), key.withField("uri", F.col("key_uri"))).alias("key"),
@@ -129,7 +129,7 @@ def variants(playlists: DataFrame, strict: bool = False) -> DataFrame:
         bitrate = F.coalesce(bitrate, F.raise_error(F.concat(F.lit("a variant without BANDWIDTH in "), F.col("uri"))).cast("bigint"))
     size = lambda i: F.nullif(F.regexp_extract(_attribute(a, "RESOLUTION"), r"^([0-9]+)x([0-9]+)", i), F.lit("")).try_cast("int")
     return rows.select(
-        "uri", (F.row_number().over(LINES.window) - 1).alias("pos"), resolve_url("uri", "line").alias("variant_uri"), bitrate.alias("bitrate"),
+        "uri", (F.row_number().over(LINES.window) - 1).alias("pos"), resolved(F.col("uri"), F.col("line"), F.col("base")).alias("variant_uri"), bitrate.alias("bitrate"),
         leading_int(_attribute(a, "AVERAGE-BANDWIDTH")).alias("average_bitrate"), _attribute(a, "CODECS").alias("codecs"), size(1).alias("width"), size(2).alias("height"),
         _attribute(a, "FRAME-RATE").try_cast("double").alias("frame_rate"), _attribute(a, "AUDIO").alias("audio_group"), _attribute(a, "SUBTITLES").alias("subtitle_group"), _attribute(a, "CLOSED-CAPTIONS").alias("caption_group"), _attribute(a, "NAME").alias("name"),
     )
@@ -140,7 +140,7 @@ def renditions(playlists: DataFrame) -> DataFrame:
     rows = lines(playlists).withColumn("a", attributes(tag("EXT-X-MEDIA"))).where("a is not null")
     a = F.col("a")
     yes = lambda n: F.coalesce(_attribute(a, n) == "YES", F.lit(False))
-    out = rows.withColumn("rendition_uri", _attribute(a, "URI")).withColumn("rendition_uri", resolve_url("uri", "rendition_uri")).select(
+    out = rows.withColumn("rendition_uri", _attribute(a, "URI")).withColumn("rendition_uri", resolved(F.col("uri"), F.col("rendition_uri"))).select(
         "uri", "pos", _attribute(a, "TYPE").alias("type"), _attribute(a, "GROUP-ID").alias("group_id"), _attribute(a, "NAME").alias("name"), _attribute(a, "LANGUAGE").alias("language"),
         _attribute(a, "ASSOC-LANGUAGE").alias("assoc_language"), _attribute(a, "CHARACTERISTICS").alias("characteristics"),
         yes("DEFAULT").alias("is_default"), yes("AUTOSELECT").alias("autoselect"), yes("FORCED").alias("forced"), _attribute(a, "CHANNELS").alias("channels"), "rendition_uri",
