@@ -114,6 +114,34 @@ def test_fetch_retries_and_ranges(spark):
     assert (bytes(a.body), a.status, a.attempts) == (b"whole", 200, 3) and bytes(b.body) == b"bytes=10-14" and (gone.status, gone.body, gone.attempts) == (404, None, 1) and none.error == "no uri"
 
 
+def test_neighbouring_ranges_are_one_request(spark):
+    seen, data = [], bytes(range(256)) * 40
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((self.path, self.headers["Range"]))
+            low, high = map(int, self.headers["Range"][6:].split("-")) if self.headers["Range"] else (0, len(data) - 1)
+            self.send_response(404 if self.path == "/gone" else 206)
+            self.end_headers()
+            if self.path != "/gone":
+                self.wfile.write(data[low : high + 1])
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    asked = [("/a", i * 100, 100) for i in range(20)] + [("/a", 150, 10), ("/a", 0, 100), ("/a", 9000, 50), ("/a", 4090, 20), ("/a", 4096, 10), ("/b", 10, 5), ("/b", None, None), ("/b", None, None), ("/gone", 0, 5), ("/gone", 5, 5), ("/a", 10_239, 100)]
+    rows = spark.createDataFrame([(base + u, o, n) for u, o, n in asked] + [(None, None, None)], "uri string, offset long, length long")
+    got = {(r.uri and r.uri[len(base) :], r.offset, r.length): r for r in fetch.fetch_ranges(rows, gap=50, stretch=4096, base_ms=1).collect()}
+    server.shutdown()
+    want = {(u, o, n): None if u == "/gone" else data if o is None else data[o : o + n] for u, o, n in asked}
+    assert {k: r.body and bytes(r.body) for k, r in got.items() if k[0]} == want and got[(None, None, None)].error == "no uri"
+    # Twenty ranges and one inside them together; the stretch ends at 4096; the others alone.
+    assert sorted(seen, key=str) == sorted([("/a", "bytes=0-1999"), ("/a", "bytes=4090-4109"), ("/a", "bytes=4096-4105"), ("/a", "bytes=9000-9049"), ("/a", "bytes=10239-10338"), ("/b", "bytes=10-14"), ("/b", None), ("/gone", "bytes=0-9")], key=str)
+
+
 def test_sinks(spark, tmp_path):
     chunks = spark.createDataFrame([("a", 2, bytearray(b"c")), ("a", 1, bytearray(b"b")), ("b", 0, bytearray(b"a")), ("b", 9, None)], "lang string, place int, body binary")
     out = io.BytesIO()

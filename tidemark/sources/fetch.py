@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from tidemark.operators.prefix import Log, Prefix, scanned, sum_of
+
 SCHEMA = "uri string, offset long, length long, status int, body binary, final_uri string, ttfb_ms double, total_ms double, attempts int, error string"
 
 
@@ -96,6 +98,52 @@ def fetch(requests: DataFrame, retries: int = 4, base_ms: float = 200, most_ms:
     return requests.select("uri", "offset", "length").mapInPandas(run, SCHEMA)
 
 
+#: Ranges so far apart, or less, are asked for together; a request ends with the stretch of so many bytes that its first range begins in.
+GAP, STRETCH = 1 << 16, 32 << 20
+
+
+def coalesced(requests: DataFrame, gap: int = GAP, stretch: int = STRETCH) -> DataFrame:
+    """(uri, offset, length, ranges) of requests (uri, offset, length): one row for all neighbouring ranges of a resource, with an array of them.
+
+    Requests without an offset or length stay alone, equal ones together. Only numbers pass the windows.
+    """
+    rows = requests.select("uri", "offset", "length").distinct()
+    known = F.col("offset").isNotNull() & (F.col("length") > 0)
+    ends = rows.where(known).withColumn("__stretch", F.floor(F.col("offset") / stretch))
+    log = Log(("uri", "__stretch"), ("offset", "length"))
+    ends = scanned(ends, log, {"__reach": running(F.col("offset") + F.col("length"))})
+    runs = scanned(ends, log, {"__run": sum_of(F.coalesce((F.col("offset") > F.col("__reach.v") + gap).cast("int"), F.lit(0)))})
+    whole = runs.groupBy("uri", "__stretch", "__run").agg(F.min("offset").alias("__low"), F.max(F.col("offset") + F.col("length")).alias("__high"), F.collect_list(F.struct("offset", "length")).alias("ranges"))
+    out = whole.select("uri", F.col("__low").alias("offset"), (F.col("__high") - F.col("__low")).alias("length"), "ranges")
+    return out.unionByName(rows.where(~F.coalesce(known, F.lit(False))).withColumn("ranges", F.array(F.struct("offset", "length"))))
+
+
+def running(value: Column) -> Prefix:
+    """struct<v>: the greatest value of the rows before."""
+    own = F.struct(value.alias("v"))
+    return Prefix(lambda order: F.max(own), lambda p, log: F.max(p).over(log.before), lambda log: F.max(own).over(log.before), lambda a, b: F.greatest(a, b))
+
+
+def fetch_ranges(requests: DataFrame, gap: int = GAP, stretch: int = STRETCH, **options) -> DataFrame:
+    """What fetch gives for each different request, but neighbouring ranges of a resource are one request, and are cut apart after it.
+
+    Requests are dealt out by host, so that one host is asked by few tasks. A range past the end of its resource is cut short; total_ms and
+    attempts are those of the request that a range came with.
+    """
+    wanted = coalesced(requests, gap, stretch)
+    host = F.regexp_extract("uri", "^[a-zA-Z]+://([^/?#]*)", 1)
+    got = fetch(wanted.select("uri", "offset", "length").repartition(host), **options)
+    ranges = wanted.select(F.col("uri").alias("__u"), F.col("offset").alias("__o"), F.col("length").alias("__l"), "ranges")
+    same = F.col("uri").eqNullSafe(F.col("__u")) & F.col("offset").eqNullSafe(F.col("__o")) & F.col("length").eqNullSafe(F.col("__l"))
+    low = F.coalesce("offset", F.lit(0))
+    # A request that spans its ranges is cut by all of them before rows are made.
+    piece = lambda r: F.when((F.size("ranges") == 1) | F.col("body").isNull(), F.col("body")).otherwise(F.substring("body", (r["offset"] - low + 1).cast("int"), r["length"].cast("int")))
+    cut = F.transform("ranges", lambda r: F.struct(r["offset"].alias("offset"), r["length"].alias("length"), piece(r).alias("body")))
+    others = [c for c in got.columns if c not in ("offset", "length", "body")]
+    rows = got.join(ranges, same).select(*others, F.explode(cut).alias("r"))
+    return rows.select("r.offset", "r.length", "r.body", *others).select(*got.columns)
+
+
 def texts(fetched: DataFrame) -> DataFrame:
     """(uri, text) of fetched bodies, named by where they were found in the end, so that relative uris resolve; bytes that aren't
     UTF-8 become replacement characters; failed fetches are left out."""
