@@ -240,6 +240,34 @@ def test_repaired_turns_and_no_rows(spark):
     assert repair.digest(none, *repair.repair(repair.damaged(none))).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [512, 6])
+def test_near_copies_in_large_and_small_circles(spark, bucket):
+    """Groups of copies of a base stay as one row each, whatever a task may hold; what only shares its fingerprint with nothing stays."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import nearcopies
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for group, size, n in (("g", 200, 40), ("h", 300, 25), ("i", 50, 3)):
+        base = [word() for _ in range(size)]
+        for _ in range(n):
+            own = list(base)
+            for _ in range(r.randrange(0, size // 150 + 1)):
+                own[r.randrange(size)] = word()
+            rows.append((group, " ".join(own)))
+    rows += [(f"x{i}", " ".join(word() for _ in range(r.randrange(3, 120)))) for i in range(40)]
+    rows += [("e", ""), ("e", None), ("e", " "), ("s", "one two"), ("s", "One  two")]
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate(rows)], "doc_id long, text string, circle string").repartition(4)
+    kept = {x.doc_id for x in nearcopies.drop_near_copies(docs, order=[F.col("doc_id")], bucket=bucket).collect()}
+    firsts = {}
+    for i, (g, _) in enumerate(rows):
+        firsts.setdefault(g, i)
+    assert kept == set(firsts.values())
+
+
 def test_near_copies_of_the_pipeline_on_the_given_table(spark):
     """Of all pairs of 0.8 or more at least 0.9 are found, and nothing below goes."""
     from pyspark.sql import functions as F

@@ -2,33 +2,79 @@
 
 The candidates are SimHash's: deletion-variant signatures of wide fingerprints. Of two texts' bits a share of angle / pi differs, 0.15 at a
 similarity of 0.8, and a segment of 22 or 23 bits is then within one bit with a probability of 0.13: of SEGMENTS segments one is, for 90 of 100
-pairs right at 0.8, 96 at 0.85 and nearly all at 0.9, besides those found through others. Candidates of up to LIMIT of 512 differing bits
-(at 0.8: 77 with a deviation of 8) are put together in circles and decided there on their full sets of shingles, as in
-oddsketch: so no link is below 0.8, and none is lost between the index and the decision.
+pairs right at 0.8, 96 at 0.85 and nearly all at 0.9, besides those found through others. Variants carry the first 64 bits, and what meets under
+a key within FIRST of these (at 0.8: 9.6 with a deviation of 2.9; unrelated texts: 32) is connected. All texts whose first bits are connected
+make a circle, in which pairs of up to LIMIT of 512 bits (77 with a deviation of 8) are decided on their full sets of shingles, as in oddsketch:
+so no link is below 0.8, and none is lost between the index and the decision.
 
 Defined cases: null and wordless texts are alike (and all but one go); a text of fewer words than a shingle is one shingle; see simhash for the rest.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import oddsketch, simhash
+from tidemark.llm.common import cut, deal, forget, join_by_copies
+from tidemark.llm.components import components
 
-SHINGLE, PERCENT, LIMIT = 5, 80, 100
+SHINGLE, PERCENT, FIRST, LIMIT = 5, 80, 19, 100
 INDEX_WORDS, SEGMENTS, WORDS = 6, 17, 8
-SETTING = simhash.Setting(SHINGLE, INDEX_WORDS, SEGMENTS, 0, WORDS, LIMIT)
+SETTING = simhash.Setting(SHINGLE, INDEX_WORDS, SEGMENTS, FIRST, WORDS, LIMIT)
+
+
+def _once(batches):
+    """Batches sorted by their columns, without repeated rows."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            own = [np.asarray(c) for c in batch.columns]
+            new = np.zeros(batch.num_rows, bool)
+            for k, x in enumerate(own):
+                new[1:] |= x[1:] != x[:-1]
+                new[0] |= last is None or x[0] != last[k]
+            last = [x[-1] for x in own]
+            yield batch.filter(pa.array(new))
+
+
+def neighbours(fps: DataFrame, rows: int, bucket: int = simhash.BUCKET) -> DataFrame:
+    """Edges (a, b) of first words of fingerprints that connect all which share a variant of a segment and are near by them."""
+    n = rows * 64 * INDEX_WORDS
+    spread = deal(fps.select(*SETTING.indexed), n, simhash.PER_PART, *SETTING.names)
+    keyed = deal(simhash.variants(spread, SETTING, ["fp"]), n, 4 * simhash.PER_PART, "key").sortWithinPartitions("key", "fp")
+    compare = lambda df, most: df.mapInArrow(lambda batches: simhash._linked(_once(batches), FIRST, most, False), "key long, large boolean, a0 long, b0 long")
+    found = cut(compare(keyed, bucket), "near-links")
+    large = found.where("large").select("key", F.col("a0").alias("fp"))
+    edges = found.where("not large")
+    if not large.isEmpty():
+        # Every pair of blocks of a large bucket meets once; a block also meets itself.
+        blocks = large.groupBy("key").agg(F.ceil(F.count("*") / bucket).alias("n"), F.count("*").alias("rows"))
+        dealt = join_by_copies(large, blocks, "key", "rows").withColumn("own", F.pmod(F.xxhash64("fp"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+        edges = edges.unionByName(compare(pairs.repartition("key").sortWithinPartitions("key", "fp"), 1 << 62))
+    out = cut(edges.select(F.greatest("a0", "b0").alias("a"), F.least("a0", "b0").alias("b")).where("a <> b").distinct(), "near-edges")
+    forget(found)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", order: list[Column] = (), bucket: int = oddsketch.BUCKET) -> DataFrame:
     """One row of docs of each group of near copies: the first by order (see simhash.drop_near_copies)."""
 
     def connect(fps: DataFrame) -> DataFrame:
-        rows = fps.count() * 64 * INDEX_WORDS
-        spread = simhash.deal(fps.select("node", *SETTING.indexed), rows, simhash.PER_PART, "node")
-        sets = fps.select("node", "n", F.col("__text_key").alias("text_key"), F.col("fp_all").alias("sketch"))
-        tried = oddsketch.candidates(simhash.variants(spread, SETTING, ["node"]), sets, rows, bucket, LIMIT)
-        return oddsketch.confirmed(docs, sets, tried, text, oddsketch.Rule(SHINGLE, PERCENT, LIMIT), bucket)
+        tried = neighbours(fps, fps.count(), bucket)
+        # All texts of first bits that are connected; those of first bits without others only if there are several.
+        alike = fps.groupBy("fp").agg(F.count("*").alias("m"))
+        found = components(tried).select(F.col("node").alias("fp"), "root")
+        of_fp = cut(alike.join(found, "fp", "left").where("m > 1 or root is not null").select("fp", "m", F.coalesce("root", "fp").alias("circle")), "near-circles")
+        own = fps.select("node", "fp", "n", F.col("__text_key").alias("text_key"), F.col("fp_all").alias("sketch"))
+        circle = F.unhex(F.lpad(F.hex("circle"), 16, "0")).alias("circle")
+        members = join_by_copies(own, of_fp, "fp", "m").select("node", circle, "n", "text_key", "sketch")
+        degree = join_by_copies(fps.select("node", "fp"), alike.join(oddsketch.degrees(tried).withColumnRenamed("node", "fp"), "fp", "left"), "fp", "m").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+        out = oddsketch.confirmed(docs, members, degree, text, oddsketch.Rule(SHINGLE, PERCENT, LIMIT), bucket)
+        forget(tried, of_fp)
+        return out
 
     return simhash.drop_near_copies(docs, text, order, SETTING, connect=connect)

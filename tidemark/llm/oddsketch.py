@@ -272,11 +272,12 @@ def _confirmed(batches, rule: Rule):
         yield done()
 
 
-def confirmed(docs: DataFrame, sets: DataFrame, tried: DataFrame, text: str = "text", rule: Rule = Rule(), bucket: int = BUCKET, size: int = BUCKET_BYTES) -> DataFrame:
-    """Edges (a, b), confirmed on full sets of shingles, that connect all linked nodes of sets (node, n, text_key, sketch) which tried, edges
-    (a, b), brings together. n: how many rows of docs a node has at most; text_key: of one of its texts (see common.text_key)."""
-    circles = components(tried).withColumnRenamed("root", "circle")
-    members = cut(circles.join(sets.select("node", "n", "text_key", "sketch"), "node"), "odd-members")
+def confirmed(docs: DataFrame, members: DataFrame, degree: DataFrame, text: str = "text", rule: Rule = Rule(), bucket: int = BUCKET, size: int = BUCKET_BYTES) -> DataFrame:
+    """Edges (a, b), confirmed on full sets of shingles, that connect all linked nodes of each circle of members (node, circle, n, text_key, sketch).
+
+    n: how many rows of docs a node has at most; text_key: of one of its texts (see common.text_key). degree: (node, degree), how many
+    candidates a node has, by which a large circle's hub is chosen."""
+    members = cut(members, "odd-members")
     # The text of each member, once, under its node.
     wanted = members.select("text_key", F.col("node"), "n")
     keyed = docs.select(text_key(quoted(text)).alias("text_key"), quoted(text).alias("text"))
@@ -296,8 +297,6 @@ def confirmed(docs: DataFrame, sets: DataFrame, tried: DataFrame, text: str = "t
     alone = members.join(F.broadcast(large) if small(large, BROADCAST_TEXTS) else large, "circle", "left_anti")
     out = [cut(confirm(alone.select(F.xxhash64("circle", F.lit(0)).alias("group"), "node", F.col("node").alias("label"), "sketch", F.lit(True).alias("minor"))), "odd-links")]
     if not large.isEmpty():
-        ends = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node")))
-        degree = ends.groupBy("node").agg(F.count("*").alias("degree"))
         dealt = cut(join_by_copies(members, large.select("circle", "n", "slots"), "circle", "n").withColumn("slot", F.pmod(F.xxhash64("node"), "slots")), "odd-dealt")
         hubs = dealt.join(degree, "node").groupBy("circle", "slots").agg(F.max_by(F.struct("node", "sketch"), F.struct("degree", "node")).alias("h"))
         hubs = hubs.select("circle", "slots", "h.node", "h.sketch", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
@@ -312,7 +311,7 @@ def confirmed(docs: DataFrame, sets: DataFrame, tried: DataFrame, text: str = "t
         minors = minors.withColumn("minor_slots", F.greatest(F.ceil(F.col("k") / (bucket / 2)), F.ceil(F.col("ksize") / (size / 2)))).select("circle", "minor_slots")
         marked = join_by_copies(marked, large.join(minors, "circle").select("circle", "n", "minor_slots"), "circle", "n")
         # A member meets each slot of minors, a minor each slot of members; what the hub linked shares a label.
-        label = F.when(F.col("minor"), F.col("node")).otherwise(F.col("circle")).alias("label")
+        label = F.when(F.col("minor"), F.col("node")).otherwise(F.concat(F.lit(b"*"), "circle")).alias("label")
         columns = ["node", label, "sketch", "minor"]
         all_ = marked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("minor_slots") - 1))).select(group("slot", "j"), *columns)
         few = marked.where("minor").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "minor_slots")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).select(group("slot", "j"), *columns)
@@ -320,15 +319,24 @@ def confirmed(docs: DataFrame, sets: DataFrame, tried: DataFrame, text: str = "t
         out += [first, cut(confirm(met), "odd-links")]
         forget(dealt, marked)
     result = cut(out[0].unionByName(out[1]).unionByName(out[2]), "odd-all") if len(out) > 1 else out[0]
-    forget(tried, texts, members, large)
+    forget(texts, members, large)
     return result
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """(node, degree) of edges (a, b)."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    return ends.groupBy("node").agg(F.count("*").alias("degree"))
+
+
 def links(docs: DataFrame, sets: DataFrame, text: str = "text", bucket: int = BUCKET, size: int = BUCKET_BYTES) -> DataFrame:
     """Edges (a, b), confirmed on full sets, that connect all linked nodes of sets (node, n, text_key, bands, sketch)."""
     banded = sets.where("sketch is not null")
     tried = candidates(banded.select("node", F.explode("bands").alias("key")), banded, banded.count() * BANDS, bucket)
-    return confirmed(docs, sets, tried, text, bucket=bucket, size=size)
+    members = components(tried).withColumnRenamed("root", "circle").join(sets.select("node", "n", "text_key", "sketch"), "node")
+    found = confirmed(docs, members, degrees(tried), text, bucket=bucket, size=size)
+    forget(tried)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
