@@ -15,7 +15,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-@pytest.mark.parametrize("name", ["op12_spelling", "op13_minhash"])
+@pytest.mark.parametrize("name", ["op11_repair", "op12_spelling", "op13_minhash"])
 def test_query_equals_sql(equals_sql, name):
     equals_sql(queries.QUERIES, queries.SQL, name)
 

@@ -98,7 +98,47 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_toxicity, op4_language, op5_decontam, op6_chat, op7_ann, op8_simhash, op9_mixing, op10_substring, op11_repair, op12_spelling, op13_minhash, pipeline)}
 
+
+
+def repair_sql() -> str:
+    """Repairs from the end of each conversation: for each state the least of (cost, audit, repaired lines) by a recursion over its rows."""
+    chosen, names = (2, 2, 3, 2), {2: "user", 3: "assistant"}
+    kept = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    least = lambda *x: f"list_min(list_filter([{', '.join(x)}], lambda q: q is not null))"
+    add = lambda cost, edit, line, v: f"case when {v} is not null then {{'c': {v}.c + {cost}, 'a': '{edit}' || {v}.a, 't': {line} || {v}.t}} end"
+
+    def relaxed(a: str, b: str) -> str:
+        """Values b of values a by at most one insert."""
+        return ", ".join(least(f"{a}{s}", add(2, "I", f"'{names[chosen[s]]}:' || chr(10)", f"{a}{chosen[s]}")) + f" as {b}{s}" for s in range(4))
+
+    def taken(s: int) -> str:
+        keep = " ".join(f"when initial = '{x}' then {add('cut', 'K', 'role || chr(58) || text || chr(10)', f'v{t}')}" for x, t in kept[s].items())
+        keep = f"case when gone then null when initial = '' then {add('cut', 'K', 'role || chr(58) || text || chr(10)', f'v{s}')} {keep} end"
+        reroled = add("2 + cut", "R", f"'{names[chosen[s]]}:' || text || chr(10)", f"v{chosen[s]}")
+        return least(add(3, "D", "''", f"v{s}"), keep, f"case when not gone then {reroled} end") + f" as x{s}"
+
+    state = ", ".join(f"z{s} as v{s}" for s in range(4))
+    end = "{'c': 0::bigint, 'a': '', 't': ''}"
+    none = "null::struct(c bigint, a varchar, t varchar)"
+    inside = lambda source: f"(select key, i, {relaxed('y', 'z')} from (select key, i, {relaxed('x', 'y')} from ({source})))"
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+with recursive tab as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+own as (select coalesce('=' || conv_id, '') as key, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) as h from conversations),
+kind as (select key, turn, role, text, xor(list_reduce(list_prepend(4294967295::bigint, [('0x' || h[2 * i + 1 : 2 * i + 2])::bigint for i in range(length(h) // 2)]), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 20 as k from own, tab),
+harm as (select key, turn, case k when 4 then 'user' else role end as role, case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case k when 3 then 2 else 1 end)) as copy from kind where k <> 0),
+line as (select *, row_number() over (partition by key order by turn nulls first, role, text, copy) as i, count(*) over (partition by key) as n, row_number() over (partition by key, role, text order by turn nulls first, copy) as again, rtrim(text, {spaces}) as bare, role[1:1] as initial from harm),
+row_ as (select *, bare = '' as blank, bare <> '' and again > 1 as twice, bare <> '' and again = 1 and right(bare, 1) not in ('.', '!', '?') as short_, bare = '' or again > 1 as gone, (bare <> '' and again = 1 and right(bare, 1) not in ('.', '!', '?'))::int as cut, lag(initial) over (partition by key order by i) as was from line),
+best as (select key, i, {state} from {inside(f"select key, max(n) + 1 as i, {end} as x0, {none} as x1, {none} as x2, {end} as x3 from row_ group by key")}
+union all select key, i, {state} from {inside(f"select b.key, r.i, {', '.join(taken(s) for s in range(4))} from best b join row_ r on r.key = b.key and r.i = b.i - 1")}),
+count_ as (select key, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (twice) as duplicate, count(*) filter (short_) as truncated, count(*) filter (i > 1 and was || initial not in ('su', 'ua', 'au')) as illegal from row_ group by key)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(v0.c, 0)::bigint as cost, coalesce(v0.a, '') as audit,
+sha256(case when coalesce(v0.t, '') = '' then '' else v0.t[1 : length(v0.t) - 1] end) as repaired_sha256
+from (select distinct conv_id, coalesce('=' || conv_id, '') as key from conversations) c left join count_ using (key) left join best on best.key = c.key and best.i = 1"""
+
+
 SQL = {
+    "op11_repair": repair_sql(),
     "op5_decontam": r"""
 with doc as (select doc_id, row_number() over () as rid, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
 item as (select cast(item_id as varchar) as item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from benchmark where item_id is not null),
