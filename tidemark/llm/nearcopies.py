@@ -1,8 +1,8 @@
 """Near copies for the pipeline: texts with a Jaccard similarity of 0.8 or more of their shingles of five words.
 
 The candidates are SimHash's: deletion-variant signatures of wide fingerprints. Of two texts' bits a share of angle / pi differs, 0.15 at a
-similarity of 0.8, and a segment of 22 or 23 bits is then within one bit with a probability of 0.13: of SEGMENTS segments one is, for 90 of 100
-pairs right at 0.8, 96 at 0.85 and nearly all at 0.9, besides those found through others. Variants carry the first 64 bits, and what meets under
+similarity of 0.8, and a segment of 21 or 22 bits is then within one bit with a probability of 0.15: of SEGMENTS segments one is, for 85 of 100
+pairs right at 0.8, 95 at 0.85 and nearly all at 0.9, besides those found through others. Variants carry the first 64 bits, and what meets under
 a key within FIRST of these (at 0.8: 9.6 with a deviation of 2.9; unrelated texts: 32) is connected. All texts whose first bits are connected
 make a circle, in which pairs of up to LIMIT of 512 bits (77 with a deviation of 8) are decided on their full sets of shingles, as in oddsketch:
 so no link is below 0.8, and none is lost between the index and the decision.
@@ -22,7 +22,7 @@ from tidemark.llm.common import cut, deal, forget, join_by_copies
 from tidemark.llm.components import components
 
 SHINGLE, PERCENT, FIRST, LIMIT = 5, 80, 19, 100
-INDEX_WORDS, SEGMENTS, WORDS = 6, 17, 8
+INDEX_WORDS, SEGMENTS, WORDS = 4, 12, 8
 SETTING = simhash.Setting(SHINGLE, INDEX_WORDS, SEGMENTS, FIRST, WORDS, LIMIT)
 
 
