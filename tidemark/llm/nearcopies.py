@@ -2,8 +2,8 @@
 
 The candidates are SimHash's: deletion-variant signatures of wide fingerprints. Of two texts' bits a share of angle / pi differs, 0.15 at a
 similarity of 0.8, and a segment of 21 or 22 bits is then within one bit with a probability of 0.15: of SEGMENTS segments one is, for 85 of 100
-pairs right at 0.8, 95 at 0.85 and nearly all at 0.9, besides those found through others. Variants carry the first 64 bits, and what meets under
-a key within FIRST of these (at 0.8: 9.6 with a deviation of 2.9; unrelated texts: 32) is connected. All texts whose first bits are connected
+pairs right at 0.8, 95 at 0.85 and nearly all at 0.9, besides those found through others. Variants carry the first 64 bits, which are not indexed, and what meets under
+a key within FIRST of these (at 0.8: 9.6 with a deviation of 2.9; unrelated texts: 32 with one of 4) is connected. All texts whose first bits are connected
 make a circle, in which pairs of up to LIMIT of 512 bits (77 with a deviation of 8) are decided on their full sets of shingles, as in oddsketch:
 so no link is below 0.8, and none is lost between the index and the decision.
 
@@ -21,9 +21,11 @@ from tidemark.llm import oddsketch, simhash
 from tidemark.llm.common import cut, deal, forget, join_by_copies
 from tidemark.llm.components import components
 
-SHINGLE, PERCENT, FIRST, LIMIT = 5, 80, 19, 100
+SHINGLE, PERCENT, FIRST, LIMIT = 5, 80, 17, 100
 INDEX_WORDS, SEGMENTS, WORDS = 4, 12, 8
-SETTING = simhash.Setting(SHINGLE, INDEX_WORDS, SEGMENTS, FIRST, WORDS, LIMIT)
+#: The first word of 64 bits tells members of a bucket apart, so it isn't indexed; those behind it are.
+SETTING = simhash.Setting(SHINGLE, 1 + INDEX_WORDS, 0, FIRST, WORDS, LIMIT)
+INDEX = simhash.Setting(SHINGLE, INDEX_WORDS, SEGMENTS, FIRST, WORDS, LIMIT)
 
 
 def _once(batches):
@@ -43,18 +45,19 @@ def _once(batches):
 def neighbours(fps: DataFrame, rows: int, bucket: int = simhash.BUCKET) -> DataFrame:
     """Edges (a, b) of first words of fingerprints that connect all which share a variant of a segment and are near by them."""
     n = rows * 64 * INDEX_WORDS
-    spread = deal(fps.select(*SETTING.indexed), n, simhash.PER_PART, *SETTING.names)
-    keyed = deal(simhash.variants(spread, SETTING, ["fp"]), n, 4 * simhash.PER_PART, "key").sortWithinPartitions("key", "fp")
+    words = [F.col(x).alias(y) for x, y in zip(SETTING.indexed, ["first", *INDEX.indexed], strict=True)]
+    spread = deal(fps.select(*words), n, simhash.PER_PART, "first", "fp")
+    keyed = deal(simhash.variants(spread, INDEX, ["first"]), n, 4 * simhash.PER_PART, "key").sortWithinPartitions("key", "first")
     compare = lambda df, most: df.mapInArrow(lambda batches: simhash._linked(_once(batches), FIRST, most, False), "key long, large boolean, a0 long, b0 long")
     found = cut(compare(keyed, bucket), "near-links")
-    large = found.where("large").select("key", F.col("a0").alias("fp"))
+    large = found.where("large").select("key", F.col("a0").alias("first"))
     edges = found.where("not large")
     if not large.isEmpty():
         # Every pair of blocks of a large bucket meets once; a block also meets itself.
         blocks = large.groupBy("key").agg(F.ceil(F.count("*") / bucket).alias("n"), F.count("*").alias("rows"))
-        dealt = join_by_copies(large, blocks, "key", "rows").withColumn("own", F.pmod(F.xxhash64("fp"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-        edges = edges.unionByName(compare(pairs.repartition("key").sortWithinPartitions("key", "fp"), 1 << 62))
+        dealt = join_by_copies(large, blocks, "key", "rows").withColumn("own", F.pmod(F.xxhash64("first"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "first")
+        edges = edges.unionByName(compare(pairs.repartition("key").sortWithinPartitions("key", "first"), 1 << 62))
     out = cut(edges.select(F.greatest("a0", "b0").alias("a"), F.least("a0", "b0").alias("b")).where("a <> b").distinct(), "near-edges")
     forget(found)
     return out
