@@ -32,6 +32,16 @@ def test_rules_equal_sql(spark):
         assert got[page][:3] == (host, path, rule) and (got[page][3] == verdict if rule else got[page][3] in ("allow", "block"))
 
 
+def test_rules_say_what_the_contract_says(spark, tmp_path):
+    said = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    want = {rule: verdict for verdict, rule in (x.split(" ") for x in said.split(", "))}
+    assert {host + path: verdict for host, path, verdict in RULES} == want
+    urls = [f"http://{'a.' * (i % 2)}{rule}{i}" for rule in want for i in range(4)]
+    spark.createDataFrame(enumerate(urls), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in op2_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {4 * k + i: (rule, verdict) for k, (rule, verdict) in enumerate(want.items()) for i in range(4)}
+
+
 def test_the_trees_decide_what_no_rule_does(spark):
     rows = op2_url_filter(spark, "/root/testdata/sf0.1").where("rule is null").groupBy("verdict").count().collect()
     share = {r["verdict"]: r["count"] for r in rows}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import ann, chat, decontam, langid, mixing, oddsketch, pii, repair, simhash, spelling, substring, toxicity, url_filter
 
 #: The rules of the url query: host, path, verdict.
-RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
