@@ -70,13 +70,12 @@ def drop_near_copies(docs: DataFrame, text: str = "text", order: list[Column] =
         tried = neighbours(fps, fps.count(), bucket)
         # All texts of first bits that are connected; those of first bits without others only if there are several.
         alike = fps.groupBy("fp").agg(F.count("*").alias("m"))
-        found = components(tried).select(F.col("node").alias("fp"), "root")
-        of_fp = cut(alike.join(found, "fp", "left").where("m > 1 or root is not null").select("fp", "m", F.coalesce("root", "fp").alias("circle")), "near-circles")
+        found = components(tried).select(F.col("node").alias("fp"), "root").join(oddsketch.degrees(tried).withColumnRenamed("node", "fp"), "fp")
+        circle = F.unhex(F.lpad(F.hex(F.coalesce("root", "fp")), 16, "0")).alias("circle")
+        of_fp = cut(alike.join(found, "fp", "left").where("m > 1 or root is not null").select("fp", "m", circle, F.coalesce("degree", F.lit(0)).alias("degree")), "near-circles")
         own = fps.select("node", "fp", "n", F.col("__text_key").alias("text_key"), F.col("fp_all").alias("sketch"))
-        circle = F.unhex(F.lpad(F.hex("circle"), 16, "0")).alias("circle")
-        members = join_by_copies(own, of_fp, "fp", "m").select("node", circle, "n", "text_key", "sketch")
-        degree = join_by_copies(fps.select("node", "fp"), alike.join(oddsketch.degrees(tried).withColumnRenamed("node", "fp"), "fp", "left"), "fp", "m").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
-        out = oddsketch.confirmed(docs, members, degree, text, oddsketch.Rule(SHINGLE, PERCENT, LIMIT), bucket)
+        members = join_by_copies(own, of_fp, "fp", "m").select("node", "circle", "n", "text_key", "sketch", "degree")
+        out = oddsketch.confirmed(docs, members, None, text, oddsketch.Rule(SHINGLE, PERCENT, LIMIT), bucket)
         forget(tried, of_fp)
         return out
 

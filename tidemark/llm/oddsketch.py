@@ -272,12 +272,13 @@ def _confirmed(batches, rule: Rule):
         yield done()
 
 
-def confirmed(docs: DataFrame, members: DataFrame, degree: DataFrame, text: str = "text", rule: Rule = Rule(), bucket: int = BUCKET, size: int = BUCKET_BYTES) -> DataFrame:
+def confirmed(docs: DataFrame, members: DataFrame, degree: DataFrame | None, text: str = "text", rule: Rule = Rule(), bucket: int = BUCKET, size: int = BUCKET_BYTES) -> DataFrame:
     """Edges (a, b), confirmed on full sets of shingles, that connect all linked nodes of each circle of members (node, circle, n, text_key, sketch).
 
     n: how many rows of docs a node has at most; text_key: of one of its texts (see common.text_key). degree: (node, degree), how many
-    candidates a node has, by which a large circle's hub is chosen."""
+    candidates a node has, by which a large circle's hub is chosen; None: members has that column."""
     members = cut(members, "odd-members")
+    degree = members.select("node", "degree") if degree is None else degree
     # The text of each member, once, under its node.
     wanted = members.select("text_key", F.col("node"), "n")
     keyed = docs.select(text_key(quoted(text)).alias("text_key"), quoted(text).alias("text"))
@@ -309,15 +310,16 @@ def confirmed(docs: DataFrame, members: DataFrame, degree: DataFrame, text: str
         marked = cut(dealt.join(linked, "node", "left").withColumn("minor", F.col("met").isNull()), "odd-marked")
         minors = marked.where("minor").groupBy("circle").agg(F.count("*").alias("k"), F.sum("size").alias("ksize"))
         minors = minors.withColumn("minor_slots", F.greatest(F.ceil(F.col("k") / (bucket / 2)), F.ceil(F.col("ksize") / (size / 2)))).select("circle", "minor_slots")
-        marked = join_by_copies(marked, large.join(minors, "circle").select("circle", "n", "minor_slots"), "circle", "n")
+        slotted = cut(large.join(minors, "circle").select("circle", "n", "minor_slots"), "odd-minor-slots")
+        met_in = cut(join_by_copies(marked, slotted, "circle", "n"), "odd-met")
         # A member meets each slot of minors, a minor each slot of members; what the hub linked shares a label.
         label = F.when(F.col("minor"), F.col("node")).otherwise(F.concat(F.lit(b"*"), "circle")).alias("label")
         columns = ["node", label, "sketch", "minor"]
-        all_ = marked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("minor_slots") - 1))).select(group("slot", "j"), *columns)
-        few = marked.where("minor").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "minor_slots")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).select(group("slot", "j"), *columns)
+        all_ = met_in.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("minor_slots") - 1))).select(group("slot", "j"), *columns)
+        few = met_in.where("minor").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "minor_slots")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).select(group("slot", "j"), *columns)
         met = all_.unionByName(few).groupBy("group", "node").agg(*(F.first(x).alias(x) for x in ("label", "sketch", "minor")))
         out += [first, cut(confirm(met), "odd-links")]
-        forget(dealt, marked)
+        forget(dealt, marked, slotted, met_in)
     result = cut(out[0].unionByName(out[1]).unionByName(out[2]), "odd-all") if len(out) > 1 else out[0]
     forget(texts, members, large)
     return result
