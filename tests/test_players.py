@@ -17,6 +17,19 @@ def test_query_equals_sql(equals_sql, name):
     equals_sql(players.QUERIES, players.SQL, name)
 
 
+def test_reanchor_rounds_half_as_sql(spark, tmp_path):
+    import duckdb
+
+    # User 1's position is 2.5, which is 2: inside the first segment of user 0, that ends at 3.
+    rows = [(0, 0, 0.03), (1, 0, 0.05), (2, 1, 0.05)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").selectExpr("event_id", "timestamp_micros(event_id) as ts", "user_id", "'view' as event_type", "value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = players.QUERIES["switch_reanchor"](spark, str(tmp_path)).orderBy("user_id").collect()
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"select user_id, rendition_seq, video_seq from ({players.SQL['switch_reanchor']}) order by user_id").fetchall()
+    assert [tuple(r) for r in got] == want and want[1] == (1, 0, 0)
+
+
 RENDITIONS = "key int, pos int, group_id string, name string, language string, is_default boolean, channels string, uri string"
 
 

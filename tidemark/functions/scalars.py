@@ -18,6 +18,11 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("bigint")
 
 
+def half_even(x: Column) -> Column:
+    """Rounds half to the even neighbour, to BIGINT, as SQL's cast of a DOUBLE does."""
+    return F.rint(x).cast("bigint")
+
+
 def ticks(seconds: Column, scale: int = 90_000) -> Column:
     return half_up(seconds * scale)
 

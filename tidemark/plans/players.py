@@ -186,7 +186,7 @@ coalesce((select min(seq) from o where o.user_id = p.user_id and p.t < o.start +
 def switch_reanchor(spark, sf_dir):
     segments = ordered.timeline(log(spark, sf_dir), USER, "dur")
     own = segments.groupBy("user_id").agg(F.max("seq").alias("seq"), F.sum("dur").alias("total"))
-    own = own.select("user_id", "seq", S.half_up(F.col("total") * (F.col("user_id") % 5 + 1) / 4).alias("t"))
+    own = own.select("user_id", "seq", S.half_even(F.col("total") * (F.col("user_id") % 5 + 1) / 4).alias("t"))
     other = segments.withColumn("user_id", F.col("user_id") + 1)
     found = lookup.reanchor(own, other, ["user_id"], "t", "start", "dur", "seq")
     same = lookup.reanchor(own, other, ["user_id"], "t", "start", "dur", "seq", past_end="same").select("user_id", F.col("seq").alias("video_seq"))
