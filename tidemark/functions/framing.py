@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
 
-from tidemark.functions.scalars import crc32_mpeg2, pack_stamp
+from tidemark.functions.flat import binaries, flat, numbers, stretches, within
+from tidemark.functions.scalars import crc32_mpeg2_short, pack_stamp
 
 #: Sampling rates by their index in an audio frame header.
 RATES = [96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350]
@@ -25,8 +29,8 @@ def big_endian(x: Column, n: int) -> Column:
 
 
 def joined(parts: Column) -> Column:
-    """An array of binaries end to end, in time linear in their size (a fold of concat is quadratic)."""
-    return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+    """An array of binaries end to end, in time linear in their size (a fold of concat is quadratic). The casts keep all bytes."""
+    return F.array_join(F.transform(parts, lambda x: x.cast("string")), "").cast("binary")
 
 
 def pes_unit(stream_id: Column, pts: Column, dts: Column, payload: Column, bounded: Column, aligned: Column | None = None) -> Column:
@@ -44,7 +48,7 @@ def section(table_id: int, number: Column, version: Column, body: Column) -> Col
     size = F.length(body) + 9
     head = F.concat(big_endian(F.lit(table_id), 1), big_endian(size.bitwiseOR(F.lit(0xB000)), 2), big_endian(number, 2), big_endian((version % 32 * 2).bitwiseOR(F.lit(0xC1)), 1), F.unhex(F.lit("0000")))
     whole = F.concat(head, body)
-    return F.concat(whole, big_endian(crc32_mpeg2(whole), 4))
+    return F.concat(whole, big_endian(crc32_mpeg2_short(whole), 4))
 
 
 def pat(program: Column, pmt_pid: Column, version: Column) -> Column:
@@ -137,10 +141,62 @@ def length_prefixed(body: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([split(x, int(w)) for x, w in zip(body, size, strict=True)])
 
 
+@arrow_udf(BooleanType())
+def key_picture(body: pa.Array) -> pa.Array:
+    """is_key of the units between start codes (see annex_b), a batch in vector operations. Null gives null."""
+    raw, at = flat(body)
+    found = np.zeros(len(body), bool)
+    code = np.flatnonzero((raw[:-3] == 0) & (raw[1:-2] == 0) & (raw[2:-1] == 1) & (raw[3:] & 31 == 5))
+    row = np.searchsorted(at, code, "right") - 1
+    found[row[code + 3 < at[row + 1]]] = True
+    return pa.array(found, mask=np.asarray(body.is_null()))
+
+
+@arrow_udf(StructType([StructField("is_key", BooleanType()), StructField("data", BinaryType())]))
+def start_coded(body: pa.Array, size: pa.Array) -> pa.Array:
+    """The units of length_prefixed with 4-byte start codes end to end, and their is_key, a batch in vector operations. Null gives nulls."""
+    raw, at = flat(body)
+    width, keys, datas = numbers(size), np.zeros(len(body), bool), []
+    for low, high in stretches(at):
+        begins, ends, rows = [], [], []
+        row, place = np.arange(low, high), at[low:high].copy()
+        while len(row):
+            # The next unit of every row that has one.
+            more = place + width[row] <= at[row + 1]
+            row, place = row[more], place[more]
+            n = np.zeros(len(row), np.int64)
+            for k in range(int(width[row].max(initial=0))):
+                more = k < width[row]
+                n[more] = n[more] << 8 | raw[place[more] + k]
+            place = place + width[row]
+            more = (n > 0) & (place + n <= at[row + 1])
+            row, place, n = row[more], place[more], n[more]
+            begins.append(place)
+            ends.append(place + n)
+            rows.append(row)
+            place = place + n
+        begin, end, row = (np.concatenate(x) for x in (begins, ends, rows))
+        order = np.argsort(begin)
+        begin, end, row = begin[order], end[order], row[order]
+        keys[row[raw[begin] & 31 == 5]] = True
+        to = np.cumsum(end - begin + 4)
+        out = np.zeros(int(to[-1]) if len(to) else 0, np.uint8)
+        out[to - (end - begin) - 1] = 1
+        out[within(to - (end - begin), to, len(out))] = raw[at[low] : at[high]][within(begin - at[low], end - at[low], int(at[high] - at[low]))]
+        datas.append(binaries(out, np.bincount(row - low, end - begin + 4, high - low).astype(np.int64)))
+    data = pa.concat_arrays(datas) if datas else pa.array([], pa.binary())
+    none = np.asarray(body.is_null()) | np.asarray(size.is_null())
+    return pa.StructArray.from_arrays([pa.array(keys, mask=none), pa.compute.if_else(pa.array(none), pa.scalar(None, pa.binary()), data)], ["is_key", "data"])
+
+
+def coded_units(nals: Column) -> Column:
+    """Units with 4-byte start codes, end to end."""
+    return joined(F.transform(nals, lambda n: F.concat(F.unhex(F.lit("00000001")), n)))
+
+
 def to_annex_b(nals: Column, parameters: Column) -> Column:
     """Units with 4-byte start codes, the parameter sets first where one of them is a key picture."""
-    coded = lambda units: joined(F.transform(units, lambda n: F.concat(F.unhex(F.lit("00000001")), n)))
-    return F.when(is_key(nals), F.concat(coded(parameters), coded(nals))).otherwise(coded(nals))
+    return F.when(is_key(nals), F.concat(coded_units(parameters), coded_units(nals))).otherwise(coded_units(nals))
 
 
 def nal_type(nal: Column) -> Column:

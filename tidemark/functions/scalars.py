@@ -225,3 +225,14 @@ def crc32_mpeg2(data: pd.Series) -> pd.Series:
         live = order[: np.searchsorted(-sizes[order], -i, "left")]
         crc[live] = (crc[live] << np.uint32(8)) ^ _TABLE[(crc[live] >> np.uint32(24)) ^ flat[begin[live] + i]]
     return pd.Series([int(c) if x is not None else None for c, x in zip(crc, data, strict=True)], dtype="Int64")
+
+
+#: The hexadecimal digits, and each with its bits in the other order.
+_DIGITS, _MIRRORED = "0123456789ABCDEF", "084C2A6E195D3B7F"
+
+
+def crc32_mpeg2_short(data: Column) -> Column:
+    """crc32_mpeg2 of short values without Python: it is the usual CRC-32 with the bits of each byte, and those of the result, in the other order."""
+    mirrored = F.unhex(F.translate(F.regexp_replace(F.hex(data), "(.)(.)", "$2$1"), _DIGITS, _MIRRORED))
+    crc = F.crc32(mirrored).bitwiseXOR(F.lit(0xFFFFFFFF))
+    return F.conv(F.translate(F.reverse(F.lpad(F.hex(crc), 8, "0")), _DIGITS, _MIRRORED), 16, 10).cast("bigint")

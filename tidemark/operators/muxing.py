@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BinaryType
 
+from tidemark.functions.flat import binaries, flat, numbers, repeated, stretches
 from tidemark.functions.framing import big_endian, joined, language_descriptor, pat, pes_unit, pmt, pointed, registration_descriptor
 from tidemark.functions.scalars import language_code, pack_clock
 from tidemark.operators.lookup import as_of
@@ -13,20 +18,38 @@ from tidemark.operators.prefix import scanned, sum_of
 from tidemark.operators.scan import bucket_starts
 from tidemark.operators.selection import merge_streams
 from tidemark.sources import boxes
-from tidemark.sources.packets import demux
+from tidemark.sources.packets import SIZE, SYNC, demux
+from tidemark.sources.shared import written
 
 #: Bytes of a packet after its header; flags of an adaptation field.
 ROOM = 184
 DISCONTINUITY, RANDOM_ACCESS, CLOCK = 0x80, 0x40, 0x10
 
 
-def _packet(pid: Column, first: Column, cc: Column, part: Column, flags: Column, clock: Column) -> Column:
-    """One packet: the field that fills what the payload leaves has its length, flags, clock, then stuffing."""
-    free = F.lit(ROOM) - F.length(part)
-    field = F.concat(big_endian(free - 1, 1), big_endian(flags, 1), clock)
-    stuffed = F.when(free == 0, F.lit(b"")).when(free == 1, F.unhex(F.lit("00"))).otherwise(F.concat(field, F.unhex(F.repeat(F.lit("FF"), free - F.length(field)))))
-    head = F.concat(F.unhex(F.lit("47")), big_endian(pid + F.when(first, 0x4000).otherwise(0), 2), big_endian(F.when(free == 0, 0x10).otherwise(0x30) + cc, 1))
-    return F.concat(head, stuffed, part)
+@arrow_udf(BinaryType())
+def _packets(pid: pa.Array, cc: pa.Array, flags: pa.Array, clock: pa.Array, data: pa.Array) -> pa.Array:
+    """The packets of each unit end to end, a batch in vector operations: the field that fills what the payload leaves has its length, flags, clock, then stuffing."""
+    (raw, at), (clocks, clock_at) = flat(data), flat(clock)
+    pid, cc, flags = numbers(pid), numbers(cc), numbers(flags)
+    sizes, fields = np.diff(at), np.diff(clock_at)
+    heads = ROOM - np.where(flags == 0, 0, 2 + fields)
+    made = []
+    for low, high in stretches(at):
+        n = 1 + np.maximum(0, -(-(sizes[low:high] - heads[low:high]) // ROOM))
+        unit, j = repeated(n)
+        unit, first = unit + low, j == 0
+        start = np.where(first, 0, heads[unit] + (j - 1) * ROOM)
+        free = ROOM - np.minimum(sizes[unit] - start, np.where(first, heads[unit], ROOM))
+        cells = np.full((len(unit), SIZE), 0xFF, np.uint8)
+        cells[:, 0], cells[:, 1], cells[:, 2] = SYNC, pid[unit] >> 8 | first * 0x40, pid[unit] & 0xFF
+        cells[:, 3] = np.where(free == 0, 0x10, 0x30) | cc[unit] + j & 15
+        cells[free > 0, 4] = free[free > 0] - 1
+        cells[free > 1, 5] = np.where(first, flags[unit], 0)[free > 1]
+        timed = np.flatnonzero(first & (fields[unit] > 0))
+        cells[timed, 6:12] = clocks[clock_at[unit[timed]][:, None] + np.arange(6)]
+        cells[np.arange(SIZE) >= 4 + free[:, None]] = raw[at[low] : at[high]]
+        made.append(binaries(cells.reshape(-1), n * SIZE))
+    return pa.concat_arrays(made) if made else pa.array([], pa.binary())
 
 
 def packetize(units: DataFrame, log: Log, epoch: str | None = None) -> DataFrame:
@@ -45,15 +68,9 @@ def packetize(units: DataFrame, log: Log, epoch: str | None = None) -> DataFrame
     rows = rows.withColumn("__n", (1 + F.ceil(F.greatest(F.lit(0), F.length("data") - F.col("__head")) / ROOM)).cast("int"))
     rows = scanned(rows, log.within("pid", *([epoch] if epoch else [])), {"__cc": sum_of(F.col("__n").cast("bigint"), before=True)}).withColumn("__cc", F.coalesce("__cc", F.lit(0)))
 
-    def one(j: Column) -> Column:
-        first = j == 0
-        start = F.when(first, 0).otherwise(F.col("__head") + (j - 1) * ROOM)
-        part = F.substring(F.col("data"), start + 1, F.when(first, F.col("__head")).otherwise(ROOM))
-        cc = F.pmod(F.col("__cc") + j, F.lit(16))
-        return _packet(F.col("pid"), first, cc, part, F.when(first, F.col("__flags")).otherwise(0), F.when(first, F.col("__clock")).otherwise(F.lit(b"")))
-
-    rows = rows.withColumn("packets", F.transform(F.sequence(F.lit(0), F.col("__n") - 1), one))
-    return rows.withColumn("body", joined(F.col("packets"))).drop("data", "__flags", "__clock", "__head", "__n", "__cc")
+    rows = rows.withColumn("body", _packets("pid", "__cc", "__flags", "__clock", "data"))
+    each = F.sequence(F.lit(0), F.floor(F.length("body") / SIZE).cast("int") - 1)
+    return rows.withColumn("packets", F.transform(each, lambda j: F.substring("body", j * SIZE + 1, F.lit(SIZE)))).drop("data", "__flags", "__clock", "__head", "__n", "__cc")
 
 
 def interleave(video: DataFrame, others: list[DataFrame], keys: list[str], at: str, order: list[str]) -> DataFrame:
@@ -84,33 +101,29 @@ def mux(samples: DataFrame, log: Log, part: str, versions: DataFrame | None = No
     at = F.when(F.col("kind") == "video", F.col("dts")).otherwise(F.col("pts"))
     rows = samples.withColumn("__at", at)
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("__at", "rank", *log.order)) + 1)
-    told = F.when(F.col("kind") == "text", registration_descriptor(TEXT_FORMAT)).otherwise(F.lit(b""))
-    described = F.concat(F.when(F.col("language").isNotNull(), language_descriptor(language_code(F.col("language")))).otherwise(F.lit(b"")), told)
-    streams = rows.groupBy(*keys, "rank").agg(F.first("type").alias("type"), F.first("pid").alias("pid"), F.first(described).alias("descriptors"))
-    listed = F.array_sort(F.collect_list(F.struct("rank", "type", "pid", "descriptors")))
-    tables = streams.groupBy(*keys).agg(listed.alias("streams"))
+    by, first = Window.partitionBy(*keys), F.col("place") == 2
+    video = F.col("kind") == "video"
+    # A part's first row carries its tables, so samples are read once.
+    rows = rows.withColumn("streams", F.array_sort(F.collect_set(F.struct("rank", "type", "pid", "kind", "language")).over(by)))
     if versions is not None:
-        tables = tables.join(versions.select(*keys, "version", "fresh"), keys, "left")
+        rows = rows.withColumn("__picture", F.min(F.when(video, F.col("place"))).over(by)).join(versions.select(*keys, F.col("version").alias("__version"), F.col("fresh").alias("__fresh")), keys, "left")
+        version, fresh = F.coalesce("__version", F.lit(0)), F.coalesce("__fresh", F.lit(False)) & (F.col("place") == F.col("__picture"))
     else:
-        tables = tables.withColumns({"version": F.lit(0), "fresh": F.lit(False)})
-    tables = tables.withColumn("version", F.coalesce("version", F.lit(0)))
-    entries = F.transform("streams", lambda s: F.struct(s["type"].alias("type"), s["pid"].alias("pid"), s["descriptors"].alias("descriptors")))
-    pair = F.array(
-        F.struct(F.lit(0).alias("place"), F.lit(PAT_PID).alias("pid"), pointed(pat(F.lit(1), F.lit(PMT_PID), F.col("version"))).alias("data")),
-        F.struct(F.lit(1).alias("place"), F.lit(PMT_PID).alias("pid"), pointed(pmt(F.lit(1), F.element_at("streams", 1)["pid"], entries, F.col("version"))).alias("data")),
-    )
-    none = {"pcr": F.lit(None).cast("bigint"), "key": F.lit(False), "break": F.lit(False)}
-    heads = tables.select(*keys, F.explode(pair).alias("t")).select(*keys, "t.place", "t.pid", "t.data").withColumns(none)
-    video = F.col("kind") == "video"
+        version, fresh = F.lit(0), F.lit(False)
+    rows = rows.withColumns({"streams": F.when(first, F.filter("streams", lambda s, i: (i == 0) | (F.get("streams", i - 1)["rank"] != s["rank"]))), "version": F.when(first, version)})
+    described = lambda s: F.concat(F.when(s["language"].isNotNull(), language_descriptor(language_code(s["language"]))).otherwise(F.lit(b"")), F.when(s["kind"] == "text", registration_descriptor(TEXT_FORMAT)).otherwise(F.lit(b"")))
+    entries = F.transform("streams", lambda s: F.struct(s["type"].alias("type"), s["pid"].alias("pid"), described(s).alias("descriptors")))
+    rows = rows.withColumns({"__pat": pointed(pat(F.lit(1), F.lit(PMT_PID), F.col("version"))), "__pmt": pointed(pmt(F.lit(1), F.element_at("streams", 1)["pid"], entries, F.col("version")))})
     stream_id = F.when(video, VIDEO_ID).when(F.col("kind") == "audio", F.lit(AUDIO_ID - 1) + F.col("rank")).otherwise(PRIVATE_ID)
     unit = pes_unit(stream_id, F.col("pts"), F.when(video, F.col("dts")).otherwise(F.col("pts")), F.coalesce("data", F.lit(b"")), ~video, F.col("kind") != "text")
     key = video & F.coalesce(F.col("is_key"), F.lit(False))
-    first = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("place")) == 1
-    units = rows.withColumns({"__unit": unit, "pcr": F.when(key if clock_at_keys else video, F.col("dts")), "key": key, "__first": video & first})
-    units = units.join(tables.select(*keys, "fresh"), keys) if versions is not None else units.withColumn("fresh", F.lit(False))
-    units = units.withColumn("break", F.col("__first") & F.coalesce("fresh", F.lit(False)))
-    units = units.select(*keys, "place", "pid", F.col("__unit").alias("data"), "pcr", "key", "break")
-    rows = heads.unionByName(units)
+    row = lambda *values: F.struct(*(v.cast(t).alias(c) for v, (c, t) in zip(values, (("place", "int"), ("pid", "int"), ("data", "binary"), ("pcr", "bigint"), ("key", "boolean"), ("break", "boolean")), strict=True)))
+    table = lambda place, pid, data: row(F.lit(place), F.lit(pid), F.col(data), F.lit(None), F.lit(False), F.lit(False))
+    # In a column of its own each part of a unit is made once.
+    rows = rows.withColumn("__unit", unit)
+    own = row(F.col("place"), F.col("pid"), F.col("__unit"), F.when(key if clock_at_keys else video, F.col("dts")), key, video & fresh)
+    all_ = F.array(table(0, PAT_PID, "__pat"), table(1, PMT_PID, "__pmt"), own)
+    rows = rows.select(*keys, F.explode(F.slice(all_, F.when(first, 1).otherwise(3), F.lit(3))).alias("r")).select(*keys, "r.*")
     if epochs is not None:
         rows = rows.join(epochs.select(*keys, F.col("epoch").alias("__epoch")), keys, "left")
     made = packetize(rows, Log(log.keys, (part, "place")), None if epochs is None else "__epoch")
@@ -156,18 +169,19 @@ def canonical(segments: DataFrame, inits: DataFrame, stream: str, init: str) ->
     """
     tracks = boxes.codecs(inits.select(F.col(init).alias("seq"), "body"))
     first = F.min_by(F.struct("track_id", "timescale", "avc"), "track_id")
-    track = tracks.where("kind = 'vide'").groupBy(F.col("seq").alias(init)).agg(first.alias("t")).where("t.avc.length_size is not null").select(init, "t.track_id", "t.timescale", "t.avc")
+    # Written, so that its size is known where it is joined: a few of them are broadcast, as many segments have one init section.
+    track = written(tracks.where("kind = 'vide'").groupBy(F.col("seq").alias(init)).agg(first.alias("t")).where("t.avc.length_size is not null").select(init, "t.track_id", "t.timescale", "t.avc"), "tracks")
     files = segments.select(F.struct(F.col(stream).alias("stream"), F.col("seq").alias("seq"), F.col(init).alias("init")).alias("seq"), F.col(init), "body")
-    rows = boxes.payloads(files, track.drop("avc"), [init])
-    # Only a row a segment passes the window.
-    needs = rows.groupBy("seq").agg(F.max("need").alias("need")).select("seq.stream", F.col("seq.seq").alias("part"), "need")
-    shifts = running_max(needs, Log(("stream",), ("part",)), F.col("need"), "shift").select("stream", F.col("part").alias("part"), "shift")
-    rows = rows.select("seq", F.col("seq.stream").alias("stream"), F.col("seq.seq").alias("part"), F.col("seq.init").alias(init), "i", "dts", "pts", "data")
-    rows = rows.join(shifts, ["stream", "part"]).join(track.select(init, "avc"), init)
-    made = boxes.pictures(rows, F.col("avc"), F.col("shift")).select("seq.stream", F.col("seq.seq").alias("part"), "i", "dts", "pts", "is_key", "data")
+    made = boxes.payloads(files, track.drop("avc"), [init]).withColumn(init, F.col("seq.init")).join(track.select(init, "avc"), init)
+    # Read twice: what moves the stamps of a segment comes from all segments before it. Only a row a segment passes the window.
+    made = written(boxes.pictures(made, F.col("avc"), F.lit(0), ["seq", "need"]), "pictures").select(F.col("seq.stream").alias("stream"), F.col("seq.seq").alias("part"), "need", "i", "dts", "pts", "is_key", "data")
+    needs = made.groupBy("stream", "part").agg(F.max("need").alias("need"))
+    shifts = running_max(needs, Log(("stream",), ("part",)), F.col("need"), "shift").select("stream", "part", "shift")
+    # One exchange, by segment, for all that follows.
+    made = made.drop("need").repartition("stream", "part").join(shifts, ["stream", "part"]).withColumn("pts", F.col("pts") + F.col("shift"))
     none = F.lit(None).cast("string")
-    samples = made.select("*", F.lit("video").alias("kind"), F.lit(0).alias("rank"), F.lit(VIDEO_PID).alias("pid"), F.lit(VIDEO_TYPE).alias("type"), none.alias("language"), F.lit(0).alias("__one"))
-    muxed = mux(samples, Log(("stream", "part"), ("i",)), "__one")
+    samples = made.select("stream", "part", "i", "dts", "pts", "is_key", "data", F.lit("video").alias("kind"), F.lit(0).alias("rank"), F.lit(VIDEO_PID).alias("pid"), F.lit(VIDEO_TYPE).alias("type"), none.alias("language"), F.col("part").alias("__part"))
+    muxed = mux(samples, Log(("stream", "part"), ("i",)), "__part")
     return streams_of(muxed, ["stream", "part"]).select(F.col("stream").alias(stream), F.col("part").alias("seq"), "body")
 
 

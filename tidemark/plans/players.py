@@ -453,8 +453,10 @@ def canonical_output(spark, sf_dir):
 
     inits = segments.select("init").distinct().withColumn("body", _box("moov", trak(2, "soun", _box("mp4a", zeros(28))), trak(1, "vide", picture)))
     units = packets.demux(written(muxing.canonical(segments, inits, "stream", "init"), "canonical"), "stream")
+    # Payloads stay in the task that reads them.
+    units = units.select("stream", "seq", "first", "dts", "pts", framing.key_picture("payload").alias("is_key"), F.sha2("payload", 256).alias("data_sha256"))
     i = F.row_number().over(Window.partitionBy("stream", "seq").orderBy("first")) - 1
-    return units.select("stream", "seq", i.cast("bigint").alias("i"), "dts", "pts", framing.is_key(framing.annex_b("payload")).alias("is_key"), F.sha2("payload", 256).alias("data_sha256"))
+    return units.select("stream", "seq", i.cast("bigint").alias("i"), "dts", "pts", "is_key", "data_sha256")
 
 
 @query(""", s as (select *, coalesce(sum(dur) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as start, count(*) filter (event_type = 'signup') over w as epoch,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+from itertools import accumulate, repeat
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tidemark.functions.codec import audio_config, avc_config
-from tidemark.functions.framing import RATES, adts_header, is_key, length_prefixed, to_annex_b
+from tidemark.functions.framing import RATES, adts_header, coded_units, start_coded
 from tidemark.sources.packets import number
 
 #: Sample entries of pictures and audio; boxes that hold boxes, and the bytes before the first of these.
@@ -101,11 +104,11 @@ def _number(data: bytes, at: int, n: int) -> int:
     return int.from_bytes(data[at : at + n], "big")
 
 
-def _signed(x: int | np.ndarray) -> int | np.ndarray:
+def _signed(x: int) -> int:
     return x - ((x >> 31) << 32)
 
 
-def fragment_rows(data: bytes, strict: bool = False) -> list[tuple[int, np.ndarray]]:
+def fragment_rows(data: bytes, strict: bool = False) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
     """(track, rows of dts, cts, size, offset) of each track fragment of a body, from one walk.
 
     A sample without its own length or duration has the fragment's default, else 0. A run that says more samples than it holds ends with
@@ -113,7 +116,8 @@ def fragment_rows(data: bytes, strict: bool = False) -> list[tuple[int, np.ndarr
     """
     found, children = walked(data, strict), {}
     for path, parent, at, payload, stop in found:
-        children.setdefault((path, parent), []).append((at, payload, stop))
+        if path.startswith("moof.traf."):
+            children.setdefault((path, parent), []).append((at, payload, stop))
     out = []
     for path, moof, traf, _, _ in found:
         if path != "moof.traf" or not (heads := children.get(("moof.traf.tfhd", traf))):
@@ -127,20 +131,21 @@ def fragment_rows(data: bytes, strict: bool = False) -> list[tuple[int, np.ndarr
         long = _number(data, at, 4) if flags & 0x10 else 0
         times = children.get(("moof.traf.tfdt", traf))
         clock = 0 if not times else _number(data, times[0][1] + 4, 8 if data[times[0][1]] == 1 else 4)
-        parts = []
-        for _, low, stop in children.get(("moof.traf.trun", traf), ()):
+        runs = children.get(("moof.traf.trun", traf), ())
+        rows = []
+        for _, low, stop in runs:
             flags, n, at = _number(data, low + 1, 3), _number(data, low + 4, 4), low + 8
             begin = base + (_signed(_number(data, at, 4)) if flags & 0x1 else 0)
             at += (4 if flags & 0x1 else 0) + (4 if flags & 0x4 else 0)
             fields = [b for b in (0x100, 0x200, 0x400, 0x800) if flags & b]
-            n = min(n, (stop - at) // (4 * len(fields))) if fields else n
-            cells = np.frombuffer(data, ">u4", n * len(fields), at).reshape(n, len(fields)).astype(np.int64) if n and fields else np.zeros((n, 0), np.int64)
-            of = lambda b, other: cells[:, fields.index(b)] if b in fields else np.full(n, other, np.int64)  # noqa: B023, E731
-            sizes, spans = of(0x200, long), of(0x100, lasts)
-            parts.append(np.stack([clock + np.cumsum(spans) - spans, _signed(of(0x800, 0)), sizes, begin + np.cumsum(sizes) - sizes], axis=1))
-            clock += int(spans.sum())
-        if parts:
-            out.append((_number(data, heads[0][1] + 4, 4), np.concatenate(parts)))
+            n = max(0, min(n, (stop - at) // (4 * len(fields)))) if fields else n
+            cells = struct.unpack_from(f">{n * len(fields)}I", data, at) if n else ()
+            of = lambda b, other: cells[fields.index(b) :: len(fields)] if b in fields else repeat(other, n)  # noqa: B023, E731
+            *dts, clock = accumulate(of(0x100, lasts), initial=clock)
+            *begins, _ = accumulate(of(0x200, long), initial=begin)
+            rows.extend(zip(dts, map(_signed, of(0x800, 0)), of(0x200, long), begins, strict=True))
+        if runs:
+            out.append((_number(data, heads[0][1] + 4, 4), rows))
     return out
 
 
@@ -160,34 +165,34 @@ def fragments(files: DataFrame, keep: list[str], track: str | None = None, cut:
 
     def run(batches):
         for batch in batches:
-            rows, size = [], 0
+            rows, parts, size = [], [], 0
             bodies, only = batch.column("__body"), batch.column("__track").to_pylist() if track else None
 
             def out():
-                at = pa.array([r for r, _, x, _, _ in rows for _ in range(len(x))], pa.int64())  # noqa: B023
-                cells = np.concatenate([x for _, _, x, _, _ in rows])  # noqa: B023
-                own = [batch.column(i).take(at) for i in range(len(keep))]  # noqa: B023
-                own += [pa.array([t for _, t, x, _, _ in rows for _ in range(len(x))], pa.int64()), pa.array(np.concatenate([i for _, _, _, i, _ in rows]).astype(np.int32))]  # noqa: B023
-                own += [pa.array(cells[:, i]) for i in range(4)] + ([pa.array([d for *_, ds in rows for d in ds], pa.binary())] if cut else [])  # noqa: B023
-                return pa.RecordBatch.from_arrays(own, names)
+                cells = np.array(rows, np.int64)  # noqa: B023
+                own = [batch.column(i).take(pa.array(cells[:, 0])) for i in range(len(keep))]  # noqa: B023
+                own += [pa.array(cells[:, 1]), pa.array(cells[:, 2].astype(np.int32)), *(pa.array(cells[:, i]) for i in range(3, 7))]
+                return pa.RecordBatch.from_arrays(own + ([pa.array(parts, pa.binary())] if cut else []), names)  # noqa: B023
 
             for r in range(batch.num_rows):
                 data = bodies[r].as_py()
                 for of, cells in fragment_rows(data, strict) if data else ():
                     if only and only[r] != of:
                         continue
-                    places, parts = np.arange(len(cells)), []
-                    if cut:
-                        whole = (cells[:, 3] >= 0) & (cells[:, 3] + cells[:, 2] <= len(data))
-                        if strict and not whole.all():
-                            raise ValueError(f"a sample of track {of} reaches past its body")
-                        places, cells = places[whole], cells[whole]
-                        parts = [data[a : a + n] for a, n in zip(cells[:, 3].tolist(), cells[:, 2].tolist(), strict=True)]
-                    rows.append((r, of, cells, places, parts))
-                    size += 64 * len(cells) + sum(map(len, parts))
-                if size > BATCH:
+                    for i, x in enumerate(cells):
+                        if cut:
+                            *_, n, low = x
+                            if low < 0 or low + n > len(data):
+                                if strict:
+                                    raise ValueError(f"a sample of track {of} reaches past its body")
+                                continue
+                            parts.append(data[low : low + n])
+                            size += n
+                        rows.append((r, of, i, *x))
+                    size += 64 * len(cells)
+                if size > BATCH and rows:
                     yield out()
-                    rows, size = [], 0
+                    rows, parts, size = [], [], 0
             if rows:
                 yield out()
 
@@ -219,12 +224,12 @@ def payloads(files: DataFrame, track: DataFrame, on: list[str], strict: bool = F
     return rows.select("seq", "track_id", "i", dts.alias("dts"), pts.alias("pts"), F.greatest(F.lit(0), dts - pts).alias("need"), "data")
 
 
-def pictures(rows: DataFrame, avc: Column, shift: Column) -> DataFrame:
-    """Rows of payloads as pictures: data between start codes, the parameter sets first in key ones, is_key, and pts moved by shift."""
-    nals = length_prefixed("data", avc["length_size"])
-    own = rows.withColumn("__nals", nals)
-    sets = F.concat(avc["sps"], avc["pps"])
-    return own.select("seq", "i", "dts", (F.col("pts") + shift).alias("pts"), is_key(F.col("__nals")).alias("is_key"), to_annex_b(F.col("__nals"), sets).alias("data"))
+def pictures(rows: DataFrame, avc: Column, shift: Column, keep: list[str] = ("seq",)) -> DataFrame:
+    """(keep, i, dts, pts, is_key, data) of rows of payloads as pictures: data between start codes, the parameter sets first in key ones, is_key, and pts moved by shift."""
+    own, sets = rows.withColumn("__coded", start_coded("data", avc["length_size"])), F.concat(avc["sps"], avc["pps"])
+    key, data = F.col("__coded.is_key"), F.col("__coded.data")
+    coded = F.when(key, F.concat(coded_units(sets), data)).otherwise(data)
+    return own.select(*keep, "i", "dts", (F.col("pts") + shift).alias("pts"), key.alias("is_key"), coded.alias("data"))
 
 
 def audio_frames(rows: DataFrame, audio: Column) -> DataFrame:

@@ -1,12 +1,17 @@
-"""Transport stream packets and packetised elementary streams as tables, in bit arithmetic on hexadecimal digits."""
+"""Transport stream packets and packetised elementary streams as tables: single packets in bit arithmetic on hexadecimal digits, whole streams
+in vector operations over batches of bodies."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.flat import binaries, flat, numbers, repeated, stretches, within
 from tidemark.functions.framing import adts_frames, frame_ticks, id3_size, joined
 from tidemark.functions.scalars import unpack_stamp
 from tidemark.functions.tables import id3_stamp, map_entries, program_map, synced
@@ -63,6 +68,21 @@ def pes(units: DataFrame) -> DataFrame:
     return rows.withColumn("pts", F.when(F.col("pts") - F.col("dts") > 60 * 90_000, F.col("dts")).otherwise(F.col("pts"))).drop("data")
 
 
+def whole_packets(raw: np.ndarray, at: np.ndarray, skip: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The whole packets of bodies end to end (see flat), each body from skip on: a row of bytes each, its body's place, its number in it."""
+    n = np.maximum(0, np.diff(at) - skip) // SIZE
+    begin = at[:-1] + skip
+    inside = raw if (n * SIZE == np.diff(at)).all() else raw[within(begin, begin + n * SIZE, len(raw))]
+    return inside.reshape(-1, SIZE), *repeated(n)
+
+
+def read_packets(cells: np.ndarray) -> tuple[np.ndarray, ...]:
+    """pid, control, starts, where the payload begins, whether there is one, and whether the sync byte is right, of packets."""
+    pid, control = (cells[:, 1].astype(np.int64) & 0x1F) << 8 | cells[:, 2], cells[:, 3] >> 4 & 3
+    begin = np.where(control == 1, 4, np.where(control == 3, cells[:, 4].astype(np.int64) + 5, SIZE))
+    return pid, control, cells[:, 1] & 0x40 > 0, np.minimum(begin, SIZE - 1), begin < SIZE, cells[:, 0] == SYNC
+
+
 def tables_in(streams: DataFrame) -> DataFrame:
     """(stream, epoch, seq, at, i, pid, section) of streams (stream, epoch, seq, body): packets that hold tables, and one with i = -1 for
     each segment. at: where packets begin.
@@ -73,31 +93,39 @@ def tables_in(streams: DataFrame) -> DataFrame:
     kept = streams.select("stream", "epoch", "seq")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "at int, i int, pid int, section binary"])
 
-    def rows_of(data: bytes):
-        at = max(0, synced(data))
-        yield at, -1, None, None
-        raw = np.frombuffer(data, np.uint8, (len(data) - at) // SIZE * SIZE, at).reshape(-1, SIZE)
-        pids = (raw[:, 1].astype(np.int64) & 0x1F) << 8 | raw[:, 2]
-        control = raw[:, 3] >> 4 & 3
-        start = np.where(control == 1, 4, np.where(control == 3, raw[:, 4].astype(np.int64) + 5, SIZE))
-        good = (raw[:, 0] == SYNC) & (start < SIZE)
-        starts = raw[:, 1] & 0x40 > 0
-        for pid in np.unique(pids[good & starts]).tolist():
-            own = np.flatnonzero(good & (pids == pid))
-            first = own[starts[own]][0]
-            if pid and bytes(raw[first, start[first] : start[first] + 3]) == b"\x00\x00\x01":
-                continue
-            for i in own.tolist():
-                # Behind its pointer field, where the packet starts a table.
-                yield at, i, pid, bytes(raw[i, start[i] + (1 + int(raw[i, start[i]]) if starts[i] else 0) :])
+    def found(raw: np.ndarray, at: np.ndarray):
+        """(row, at, i, pid, section) of bodies end to end; the rows of segments have i = -1."""
+        sizes = np.diff(at)
+        # A body in step from its first byte on, with a table there, needs no search.
+        byte = lambda k: np.where(sizes > k, raw[np.minimum(at[:-1] + k, len(raw) - 1)] if len(raw) else 0, 0)
+        plain = (byte(0) == SYNC) & (byte(SIZE) == SYNC) & (byte(2 * SIZE) == SYNC) & ((sizes == 3 * SIZE) | (byte(3 * SIZE) == SYNC)) & (byte(1) & 0x1F == 0) & (byte(2) == 0)
+        skip = np.zeros(len(sizes), np.int64)
+        for r in np.flatnonzero(~plain).tolist():
+            skip[r] = max(0, synced(raw[at[r] : at[r + 1]]))
+        cells, row, i = whole_packets(raw, at, skip)
+        pid, _, starts, begin, payload, good = read_packets(cells)
+        key = row << 13 | pid
+        keys, first = np.unique(key[good & payload & starts], return_index=True)
+        first = np.flatnonzero(good & payload & starts)[first]
+        head = np.minimum(begin[first][:, None] + np.arange(3), SIZE - 1)
+        unit = (begin[first] + 3 <= SIZE) & (np.take_along_axis(cells[first], head, 1) == (0, 0, 1)).all(1)
+        own = np.flatnonzero(good & payload & np.isin(key, keys[~unit | (keys & 0x1FFF == 0)]))
+        # Behind its pointer field, where the packet starts a table.
+        low = begin[own] + np.where(starts[own], 1 + cells[own, begin[own]].astype(np.int64), 0)
+        sections = binaries(cells[own][np.arange(SIZE) >= low[:, None]], np.maximum(0, SIZE - low))
+        each = np.arange(len(sizes))
+        return each, skip, row[own], i[own], pid[own], sections
 
     def run(batches):
         for batch in batches:
-            found = [(r, *x) for r, data in enumerate(batch.column("body")) if data.is_valid for x in rows_of(data.as_py())]
-            if found:
-                place, *cells = zip(*found, strict=True)
-                at = pa.array(place, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *(pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True))], names)
+            batch = batch.filter(batch.column("body").is_valid())
+            raw, at = flat(batch.column("body"))
+            for low, high in stretches(at):
+                each, skip, row, i, pid, sections = found(raw[at[low] : at[high]], at[low : high + 1] - at[low])
+                place, int32 = pa.array(low + np.concatenate([each, row])), lambda *x: pa.array(np.concatenate(x).astype(np.int32))
+                pids = pa.array(np.concatenate([each, pid]).astype(np.int32), mask=np.arange(len(place)) < len(each))
+                cells = [int32(skip, skip[row]), int32(each * 0 - 1, i), pids, pa.concat_arrays([pa.nulls(len(each), pa.binary()), sections])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(place) for c in range(3)), *cells], names)
 
     return streams.select("stream", "epoch", "seq", "body").mapInArrow(run, schema)
 
@@ -136,21 +164,66 @@ def demux(streams: DataFrame, stream: str | None = None, restart: str | None = N
     else:
         bodies = bodies.withColumn("epoch", F.lit(0).cast("bigint"))
     told = bodies.join(versions(bodies), ["stream", "seq"]).select("stream", "seq", "maps", F.expr("substring(body, at + 1)").alias("body"))
-    rows = packets(told, keep=["stream", "maps"])
-    # A map counts from the packet behind it on.
-    last = F.element_at(F.filter("maps", lambda m: m["i"] < F.col("i")), -1)["map"]
-    is_map = F.exists("maps", lambda m: m["i"] == F.col("i"))
-    rows = rows.withColumn("m", F.when(~is_map & (F.get("maps", F.lit(0))["i"] < F.col("i")), last)).where("m is not null").drop("maps")
-    if strict:
-        rows = rows.where(F.coalesce(F.when(F.col("m.error").isNotNull(), F.raise_error(F.col("m.error")).cast("boolean")), F.lit(True)))
-    kind = F.when(F.col("pid") == F.col("m.video_pid"), "video").when(F.col("pid") == F.col("m.audio_pid"), "audio").when(F.col("pid") == F.col("m.id3_pid"), "id3")
-    codec = F.when(kind == "video", F.col("m.video_codec")).when(kind == "audio", F.col("m.audio_codec"))
-    named = rows.withColumns({"kind": kind, "codec": codec}).where("kind is not null").drop("m")
-    if stream:
-        named = named.withColumn("seq", F.struct("stream", "seq"))
-    units = pes(assemble(named.drop("stream"), "kind"))
+    units = told.mapInArrow(unit_rows(strict), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in told.select("stream", "seq").schema), UNITS]))
     out = ["kind", "codec", "pid", "first", "pts", "dts", "payload", "n_packets"]
-    return units.select(F.col("seq.stream").alias(stream), F.col("seq.seq").alias("seq"), *out) if stream else units.select("seq", *out)
+    return units.select(F.col("stream").alias(stream), "seq", *out) if stream else units.select("seq", *out)
+
+
+UNITS = "kind string, codec string, pid long, first int, pts long, dts long, payload binary, n_packets long"
+KINDS = ("video", "audio", "id3")
+
+
+def unit_rows(strict: bool) -> Callable:
+    """For mapInArrow over (stream, seq, maps, body): the units (see assemble and pes) of each body under its maps, a batch in vector operations."""
+
+    def found(raw: np.ndarray, at: np.ndarray, map_at: np.ndarray, map_i: np.ndarray, pids: list[np.ndarray], errors: pa.Array):
+        """For each unit: its body, kind, map, then the columns from pid on."""
+        cells, row, i = whole_packets(raw, at)
+        pid, _, starts, begin, payload, good = read_packets(cells)
+        # A map counts from the packet behind it on; maps lie in the order of bodies and places.
+        places, place = np.repeat(np.arange(len(map_at) - 1), np.diff(map_at)) << 32 | map_i + 1, row << 32 | i + 1
+        behind = np.searchsorted(places, place, "left")
+        is_map = (behind < map_at[row + 1]) & (places[np.minimum(behind, len(places) - 1)] == place)
+        own, known = np.maximum(behind - 1, 0), (behind > map_at[row]) & ~is_map
+        if strict and len(bad := np.flatnonzero(known & np.asarray(errors.is_valid())[own])):
+            raise ValueError(errors[own[bad[0]]].as_py())
+        kind = np.select([pid == p[own] for p in pids], range(3), 3)
+        kept = np.flatnonzero(known & (kind < 3) & payload & good)
+        # A unit is the packets of a kind of a body from one start to the next.
+        kept = kept[np.argsort(row[kept] << 2 | kind[kept], kind="stable")]
+        group = row[kept] << 2 | kind[kept]
+        head = np.flatnonzero(starts[kept] | np.concatenate([[True], group[1:] != group[:-1]])[: len(kept)])
+        n = np.diff(np.append(head, len(kept)))
+        data = cells[kept][np.arange(SIZE) >= begin[kept][:, None]]
+        sizes = np.add.reduceat(SIZE - begin[kept], head) if len(head) else np.zeros(0, np.int64)
+        low = np.cumsum(sizes) - sizes
+        d = data[np.minimum(low[:, None] + np.arange(19), max(0, len(data) - 1))].astype(np.int64) if len(head) else np.zeros((0, 19), np.int64)
+        whole = (sizes >= 19) & (d[:, 0] == 0) & (d[:, 1] == 0) & (d[:, 2] == 1) & (sizes > 9 + d[:, 8])
+        d, low, sizes, n, top = d[whole], low[whole], sizes[whole], n[whole], kept[head[whole]]
+        stamp = lambda k: (d[:, k] >> 1 & 7) << 30 | d[:, k + 1] << 22 | d[:, k + 2] >> 1 << 15 | d[:, k + 3] << 7 | d[:, k + 4] >> 1
+        shown, told = d[:, 7] >= 0x80, d[:, 7] & 0x40 > 0
+        pts, dts = stamp(9), np.where(told, stamp(14), stamp(9))
+        pts = np.where(shown & (pts - dts > 60 * 90_000), dts, pts)
+        skip = 9 + d[:, 8]
+        bytes_ = binaries(data[within(low + skip, low + sizes, len(data))], sizes - skip)
+        return row[top], kind[top], own[top], [pa.array(pid[top]), pa.array(i[top].astype(np.int32)), pa.array(pts, mask=~shown), pa.array(dts, mask=~(shown | told)), bytes_, pa.array(n)]
+
+    def run(batches):
+        for batch in batches:
+            raw, at = flat(batch.column("body"))
+            maps = batch.column("maps")
+            map_at, entries = np.asarray(maps.offsets, np.int64) - maps.offsets[0].as_py(), maps.flatten()
+            field = lambda name: pa.compute.struct_field(entries, ["map", name])  # noqa: B023, E731
+            map_i, pids = numbers(pa.compute.struct_field(entries, ["i"])), [numbers(field(f"{k}_pid"), -1) for k in KINDS]
+            errors, codecs = field("error"), pa.concat_arrays([field("video_codec"), field("audio_codec"), pa.nulls(len(entries), pa.string())])
+            for low, high in stretches(at):
+                a, b = map_at[low], map_at[high]
+                row, kind, own, cells = found(raw[at[low] : at[high]], at[low : high + 1] - at[low], map_at[low : high + 1] - a, map_i[a:b], [p[a:b] for p in pids], errors[a:b])
+                place = pa.array(low + row)
+                told = [batch.column(0).take(place), batch.column(1).take(place), pa.array(KINDS).take(pa.array(kind)), codecs.take(pa.array(kind * len(entries) + a + own))]
+                yield pa.RecordBatch.from_arrays([*told, *cells], ["stream", "seq", *(c.split()[0] for c in UNITS.split(", "))])
+
+    return run
 
 
 def malformed(streams: DataFrame) -> DataFrame:
