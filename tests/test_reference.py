@@ -60,6 +60,26 @@ def test_uris_without_a_length_are_no_segments(spark):
     assert segments_of(spark) == [] and playlists.media_segments(spark.createDataFrame([("u", "no magic\n#EXTINF:1,\na")], "uri string, text string")).count() == 0
 
 
+def test_segments_pass_one_exchange_and_no_line_does(spark):
+    frame = spark.createDataFrame([("u", MEDIA)], "uri string, text string")
+    plan = playlists.media_segments(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
+def test_lines_with_space_and_tails_without_a_uri(spark):
+    """White space of all kinds around lines and between; tags of a stretch that come twice; what no uri follows; a list of thousands of lines without a segment."""
+    text = " \r\n\t #EXT-X-MEDIA-SEQUENCE:4 \r\r \n#EXT-X-MEDIA-SEQUENCE:x\n#EXTINF:1,a \n \x0b#EXTINF:2,\n#EXT-X-BYTERANGE:9@8\n#EXT-X-BYTERANGE:7\n#EXT-X-BYTERANGE:x\n#EXT-X-DISCONTINUITY \n#EXT-X-PROGRAM-DATE-TIME:2024-01-01T00:00:00Z\n#EXT-X-PROGRAM-DATE-TIME:x\n\f one.ts \x0b\r\ntwo.ts\n#EXTINF:3\n#EXT-X-DISCONTINUITY:1\n../a b.ts\r#EXTINF:4,\n#EXT-X-KEY:METHOD=NONE\n"
+    rows = segments_of(spark, text)
+    assert [(r["index"], r.media_sequence, r.segment_uri, r.duration, r.start_time_sec, r.title, r.byte_length, r.byte_offset, r.discontinuity, r.key) for r in rows] == [
+        (0, 4, "http://h/a/one.ts", 2.0, 0.0, "a", 9, 8, True, None), (1, 5, "http://h/a b.ts", 3.0, 2.0, None, None, None, False, None),
+    ]
+    assert rows[0].program_date_time is not None and rows[1].program_date_time is None
+    assert segments_of(spark, *(f"v{i}.m3u8" for i in range(20_000)), *("#EXTINF:1," for _ in range(3_000))) == []
+    many = segments_of(spark, *(x for i in range(3_000) for x in ("#EXTINF:1,", "#a", f"v{i}.ts")))
+    assert len(many) == 3_000 and (many[-1].segment_uri, many[-1].start_time_sec) == ("http://h/a/v2999.ts", 2999.0)
+    assert len(segments_of(spark, *("#b" for _ in range(20_000)), "#EXTINF:1,", *("#c" for _ in range(20_000)), "x")) == 1
+
+
 def test_keys_and_playlists(spark):
     rows = segments_of(spark, '#EXT-X-KEY:METHOD=AES-128,URI="k",IV=0xABC', '#EXT-X-MAP:URI="i.mp4",BYTERANGE="10@5"', "#EXTINF:1,", "a", "#EXT-X-KEY:METHOD=NONE", '#EXT-X-MAP:X="y"', "#EXTINF:1,", "b", "#EXT-X-KEY:METHOD=OTHER", "#EXTINF:1,", "c")
     assert [(r.key.method, r.key.uri, r.key.iv and bytes(r.key.iv).hex()) for r in rows] == [("AES-128", "http://h/a/k", "0abc"), ("NONE", None, None), ("NONE", None, None)]

@@ -189,11 +189,12 @@ def clock_ticks(text: Column) -> Column:
 
 def attributes(text: Column) -> Column:
     """map<name, value> of NAME=VALUE lists; quoted values may hold commas; the last of equal names wins."""
-    names = F.regexp_extract_all(text, F.lit(r'([^=,\s]+)=("[^"]*"?|[^,]*)'), F.lit(1))
-    values = F.transform(F.regexp_extract_all(text, F.lit(r'([^=,\s]+)=("[^"]*"?|[^,]*)'), F.lit(2)), lambda v: F.regexp_replace(v, '^"|"$', ""))
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+    parts = F.regexp_extract_all(text, F.lit(r'[^=,\s]+=(?:"[^"]*"?|[^,]*)'), F.lit(0))
+    pairs = F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(F.substr(x, F.locate("=", x) + 1), '^"|"$', "").alias("v")))
+    last = lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1))), lambda q: q["k"] == p["k"]))
+    # As an array of one, so that the pairs are made once and not again for each of them.
+    made = F.transform(F.array(pairs), lambda all_: F.map_from_entries(last(all_)))
+    return F.get(made, F.lit(0))
 
 
 _TABLE = []

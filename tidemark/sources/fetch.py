@@ -20,17 +20,19 @@ from tidemark.operators.prefix import Log, Prefix, scanned, sum_of
 SCHEMA = "uri string, offset long, length long, status int, body binary, final_uri string, ttfb_ms double, total_ms double, attempts int, error string"
 
 
+def _joined(a: str | None, b: str | None) -> str | None:
+    try:
+        return None if a is None or b is None else urljoin(a, b)
+    except ValueError:
+        return None
+
+
 @pandas_udf(StringType())
 def resolve_url(base: pd.Series, relative: pd.Series) -> pd.Series:
     """relative as seen from base; null where either is null or can't be read."""
-
-    def one(a: str | None, b: str | None) -> str | None:
-        try:
-            return None if a is None or b is None else urljoin(a, b)
-        except ValueError:
-            return None
-
-    return pd.Series([one(a, b) for a, b in zip(base, relative, strict=True)], dtype="object")
+    if relative.isna().all():
+        return pd.Series([None] * len(relative), dtype="object")
+    return pd.Series([_joined(a, b) for a, b in zip(base, relative, strict=True)], dtype="object")
 
 
 _NAME = r"[A-Za-z0-9_~%-][A-Za-z0-9_.~%-]*"
@@ -43,15 +45,28 @@ def base_of(base: Column) -> Column:
     return F.struct(F.coalesce(F.regexp_extract(base, _BASE, 1), F.lit("")).alias("root"), F.regexp_extract(base, _BASE, 2).alias("folder"))
 
 
+def _quick(base: Column, relative: Column, parts: Column) -> Column:
+    """What resolved finds by expressions, else null."""
+    quick = F.when(relative.rlike(rf"^{_NAME}(/{_NAME})*$"), F.concat(parts["root"], parts["folder"], F.lit("/"), relative)).when(relative.rlike(rf"^(/{_NAME})+$"), F.concat(parts["root"], relative))
+    return F.when(parts["root"] != "", quick.when(relative.rlike(r"^https?://[^/?#;\s]+(/[^?#;\s]*)?$"), relative))
+
+
+def _rest(quick: Column, base: Column, relative: Column) -> Column:
+    left = quick.isNull() & relative.isNotNull()
+    return F.coalesce(quick, resolve_url(F.when(left, base), F.when(left, relative)))
+
+
 def resolved(base: Column, relative: Column, parts: Column | None = None) -> Column:
     """relative as seen from base, like resolve_url: names, paths without dots and whole urls by expressions, only the rest in Python.
 
     parts: base_of(base), where it is there already."""
-    parts = base_of(base) if parts is None else parts
-    quick = F.when(relative.rlike(rf"^{_NAME}(/{_NAME})*$"), F.concat(parts["root"], parts["folder"], F.lit("/"), relative)).when(relative.rlike(rf"^(/{_NAME})+$"), F.concat(parts["root"], relative))
-    quick = F.when(parts["root"] != "", quick.when(relative.rlike(r"^https?://[^/?#;\s]+(/[^?#;\s]*)?$"), relative))
-    left = quick.isNull() & relative.isNotNull()
-    return F.coalesce(quick, resolve_url(F.when(left, base), F.when(left, relative)))
+    return _rest(_quick(base, relative, base_of(base) if parts is None else parts), base, relative)
+
+
+def with_resolved(df: DataFrame, base: Column, parts: Column, relatives: dict[str, Column]) -> DataFrame:
+    """df with columns of resolved uris; what is found by expressions is found once, in columns of its own."""
+    found = df.withColumns({f"__{name}": _quick(base, x, parts) for name, x in relatives.items()})
+    return found.withColumns({name: _rest(F.col(f"__{name}"), base, x) for name, x in relatives.items()}).drop(*(f"__{name}" for name in relatives))
 
 
 def fetch(requests: DataFrame, retries: int = 4, base_ms: float = 200, most_ms: float = 5000, jitter: float = 0.3, timeout_s: float = 20, headers: dict[str, str] | None = None) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import attributes, hex_value, leading_float, leading_int
-from tidemark.operators.ordered import Log, carry, chained_offset
-from tidemark.sources.fetch import base_of, resolved
+from tidemark.operators.ordered import Log, chained_offset
+from tidemark.operators.prefix import last_of, scanned, sum_of
+from tidemark.sources.fetch import base_of, resolved, with_resolved
 
 LINES = Log(("uri",), ("pos",))
 
@@ -39,12 +42,11 @@ def _uris(playlists: DataFrame) -> DataFrame:
     return marked.withColumn("run", F.coalesce(F.sum(F.col("is_uri").cast("int")).over(LINES.before), F.lit(0)))
 
 
-def key_of(text: Column) -> Column:
-    """struct<method, uri, iv, format, versions> of a key tag: a method other than the two known ones is NONE."""
-    a = attributes(text)
+def key_of(a: Column) -> Column:
+    """struct<method, uri, iv, format, versions> of a key tag's attributes: a method other than the two known ones is NONE."""
     method = F.when(_attribute(a, "METHOD").isin("AES-128", "SAMPLE-AES"), _attribute(a, "METHOD")).otherwise("NONE")
     fields = F.struct(method.alias("method"), _attribute(a, "URI").alias("uri"), hex_value(_attribute(a, "IV")).alias("iv"), _attribute(a, "KEYFORMAT").alias("format"), _attribute(a, "KEYFORMATVERSIONS").alias("versions"))
-    return F.when(text.isNotNull(), fields)
+    return F.when(a.isNotNull(), fields)
 
 
 def byte_range(text: Column) -> tuple[Column, Column]:
@@ -53,6 +55,28 @@ def byte_range(text: Column) -> tuple[Column, Column]:
     return F.when(offset.isNotNull() | ~F.contains(text, F.lit("@")), leading_int(F.substring_index(text, "@", 1))), offset
 
 
+#: White space of a line's ends with its end, and the same at the end of all; both as the trimming of lines takes them.
+_LINE_END, _SPACE = "[ \\t\\x0B\\f]*+[\\r\\n]\\s*+", " \t\n\x0b\f\r"
+#: A segment with what binds to it: all lines up to one of its length, then tags, then its uri. It begins where the one before ended; no part goes back.
+_STRETCH = r"\G(?s:.*?)\n#EXTINF:[^\n]*+(?:\n#[^\n]*+)*+\n[^#\n][^\n]*+"
+
+
+def _values(name: str) -> Column:
+    """What follows the tag on each line of a stretch that has it; null if none does."""
+    return F.when(F.contains("stretch", F.lit(f"\n#{name}:")), F.regexp_extract_all("stretch", F.lit(rf"\n#{name}:([^\n]*)"), F.lit(1)))
+
+
+def _newest(values: Column) -> Column:
+    """The last of an array that isn't null."""
+    return F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(-1))
+
+
+def _ranges(texts: Column) -> Column:
+    """The readable ones of an array of byte ranges, as structs of length and offset."""
+    after = F.transform(texts, lambda t: F.struct(t.alias("t"), F.contains(t, F.lit("@")).alias("told"), leading_int(F.when(F.contains(t, F.lit("@")), F.substring_index(t, "@", -1))).alias("offset")))
+    return F.filter(F.transform(after, lambda x: F.struct(F.when(x["offset"].isNotNull() | ~x["told"], leading_int(F.substring_index(x["t"], "@", 1))).alias("length"), x["offset"].alias("offset"))), lambda x: x["length"].isNotNull())
+
+
 def media_segments(playlists: DataFrame) -> DataFrame:
     """One row for each segment: uri, index, media_sequence, segment_uri, duration, start_time_sec, title, byte_length,
     byte_offset, discontinuity, key (see key_of), init_uri, init_length, init_offset, program_date_time.
@@ -63,40 +87,40 @@ def media_segments(playlists: DataFrame) -> DataFrame:
     that its text begins with, else 0; an unreadable date is null. Uris are resolved against the playlist's. A text without the
     magic has no segments. Of several ranges before one segment, one with an offset counts before one without, then the last.
     """
-    rows = _uris(playlists)
-    in_run = Window.partitionBy("uri", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("is_segment", F.col("is_uri") & F.max(F.startswith("line", F.lit("#EXTINF:"))).over(in_run))
-    rows = rows.withColumn("run", F.coalesce(F.sum(F.col("is_segment").cast("int")).over(LINES.before), F.lit(0)))
-    maps = attributes(tag("EXT-X-MAP"))
-    rows = carry(rows, LINES, key_of(tag("EXT-X-KEY")), "own_key")
-    rows = carry(rows, LINES, F.when(_attribute(maps, "URI").isNotNull(), F.struct(_attribute(maps, "URI").alias("uri"), _attribute(maps, "BYTERANGE").alias("range"))), "init")
-    rows = carry(rows, LINES, leading_int(tag("EXT-X-MEDIA-SEQUENCE")), "first_sequence")
-    inf, date = tag("EXTINF"), F.try_to_timestamp(tag("EXT-X-PROGRAM-DATE-TIME"))
-    length, offset = byte_range(tag("EXT-X-BYTERANGE"))
-    ranged = F.when(length.isNotNull(), F.struct(length.alias("length"), offset.alias("offset")))
-    last = lambda value: F.last(value, ignorenulls=True).over(in_run)
+    # Lines are cut into stretches of one segment each in their own row: only segments pass the windows, in one exchange and one sort.
+    loose = reduce(lambda a, b: a | b, (F.contains("text", F.lit(x)) for x in ("\r", "\t", "\x0b", "\f", " \n", "\n ", "\n\n")))
+    text = F.rtrim(F.when(loose, F.regexp_replace("text", _LINE_END, "\n")).otherwise(F.col("text")), F.lit(_SPACE))
+    found = F.when(F.startswith("text", F.lit("#EXTM3U")), F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(_STRETCH), F.lit(0)))
+    # In a column of its own before they are cut, the base is read once a list.
+    rows = playlists.withColumn("base", base_of(F.col("uri"))).select("uri", "base", F.posexplode(found).alias("pos", "stretch"))
+    told = lambda line: F.nullif(F.regexp_extract(line, "^[^,]*,(.*)$", 1), F.lit(""))
     rows = rows.withColumns({
-        "inf": last(inf), "title": last(F.nullif(F.regexp_extract(inf, "^[^,]*,(.*)$", 1), F.lit(""))), "date": last(date),
-        "ranged": F.coalesce(last(F.when(offset.isNotNull(), ranged)), last(ranged)), "discontinuity": F.max(F.col("line") == "#EXT-X-DISCONTINUITY").over(in_run),
+        "line": F.substring_index("stretch", "\n", -1), "inf": F.substring_index(F.substring_index("stretch", "\n#EXTINF:", -1), "\n", 1),
+        "key_attributes": attributes(F.try_element_at(_values("EXT-X-KEY"), F.lit(-1))), "ranges": _ranges(_values("EXT-X-BYTERANGE")),
+        "map": F.try_element_at(F.filter(F.transform(_values("EXT-X-MAP"), attributes), lambda a: _attribute(a, "URI").isNotNull()), F.lit(-1)),
+        "first_sequence": _newest(F.transform(_values("EXT-X-MEDIA-SEQUENCE"), leading_int)), "date": _newest(F.transform(_values("EXT-X-PROGRAM-DATE-TIME"), lambda x: F.try_to_timestamp(x))),
+        "discontinuity": F.contains(F.concat("stretch", F.lit("\n")), F.lit("\n#EXT-X-DISCONTINUITY\n")),
     })
-    segments = rows.where("is_segment").withColumns({
-        "segment_uri": resolved(F.col("uri"), F.col("line"), F.col("base")), "duration": F.coalesce(leading_float(F.substring_index("inf", ",", 1)), F.lit(0.0)),
-        "length": F.col("ranged.length"), "given": F.col("ranged.offset"),
-    })
-    segments = chained_offset(segments, LINES, F.col("given"), "length", "byte_offset", resource="segment_uri")
-    index = F.row_number().over(LINES.window) - 1
-    init_length, init_offset = byte_range(F.col("init.range"))
-    # Python functions can't stand inside conditions, so uris are resolved as columns of their own; null stays null.
-    segments = segments.withColumns({"key_uri": resolved(F.col("uri"), F.col("own_key.uri"), F.col("base")), "init_uri": resolved(F.col("uri"), F.col("init.uri"), F.col("base"))})
-    key = F.col("own_key")
+    init_length, init_offset = byte_range(_attribute(F.col("map"), "BYTERANGE"))
     whole = init_length.isNotNull() & init_offset.isNotNull()
-    return segments.select(
-        "uri", index.alias("index"), (F.coalesce("first_sequence", F.lit(0)) + index).cast("bigint").alias("media_sequence"), "segment_uri", "duration",
-        F.coalesce(F.sum("duration").over(LINES.before), F.lit(0.0)).alias("start_time_sec"), "title",
+    rows = rows.withColumns({
+        "title": F.coalesce(told(F.col("inf")), _newest(F.transform(_values("EXTINF"), told))), "duration": F.coalesce(leading_float(F.substring_index("inf", ",", 1)), F.lit(0.0)),
+        "ranged": F.coalesce(F.try_element_at(F.filter("ranges", lambda r: r["offset"].isNotNull()), F.lit(-1)), F.try_element_at("ranges", F.lit(-1))),
+        "own_key": key_of(F.col("key_attributes")), "map_uri": _attribute(F.col("map"), "URI"),
+    })
+    # Python functions can't stand inside conditions, so uris are resolved as columns of their own, before the exchange; null stays null.
+    rows = with_resolved(rows, F.col("uri"), F.col("base"), {"segment_uri": F.col("line"), "key_uri": F.col("own_key.uri"), "init_uri": F.col("map_uri")}).select(
+        "uri", "pos", "title", "duration", "discontinuity", "date", "first_sequence", "segment_uri", F.col("ranged.length").alias("length"), F.col("ranged.offset").alias("given"),
+        F.when(F.col("own_key").isNotNull(), F.col("own_key").withField("uri", F.col("key_uri"))).alias("key"),
+        F.when(F.col("map").isNotNull(), F.struct("init_uri", F.when(whole, init_length).alias("init_length"), F.when(whole, init_offset).alias("init_offset"))).alias("init"),
+    )
+    rows = scanned(rows, LINES, {name: last_of(F.col(name)) for name in ("key", "init", "first_sequence")} | {"start_time_sec": sum_of(F.col("duration"), before=True)})
+    rows = chained_offset(rows, LINES, F.col("given"), "length", "byte_offset", resource="segment_uri")
+    return rows.select(
+        "uri", F.col("pos").alias("index"), (F.coalesce("first_sequence", F.lit(0)) + F.col("pos")).cast("bigint").alias("media_sequence"), "segment_uri", "duration",
+        F.coalesce("start_time_sec", F.lit(0.0)).alias("start_time_sec"), "title",
         F.when(F.col("byte_offset").isNotNull(), F.col("length")).alias("byte_length"), F.when(F.col("length").isNotNull(), F.col("byte_offset")).alias("byte_offset"),
-        "discontinuity", F.when(key.isNotNull(), key.withField("uri", F.col("key_uri"))).alias("key"),
-        "init_uri", F.when(whole, init_length).alias("init_length"), F.when(whole, init_offset).alias("init_offset"),
-        F.col("date").alias("program_date_time"),
+        "discontinuity", "key", "init.init_uri", "init.init_length", "init.init_offset", F.col("date").alias("program_date_time"),
     )
 
 
